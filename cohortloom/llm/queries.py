@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, secrets, simhash, url_filter
+from . import bpe, class_lm, decontaminate, html_text, langid, media, quality, secrets, simhash, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_langid": langid.op1_langid,
         "op2_simhash": simhash.op2_simhash,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_quality": quality.op4_quality,
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_html": html_text.op6_html,
         "op7_bpe": bpe.op7_bpe,
+        "op8_media": media.op8_media,
+        "op9_class_lm": class_lm.op9_class_lm,
         "op10_secrets": secrets.op10_secrets,
     }
 
