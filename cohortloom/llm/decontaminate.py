@@ -109,13 +109,18 @@ def find_windows(words: list[bytes], index: dict, hit: list) -> None:
                 hit.append((start, end, n))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, items, spans) of every row; spans are hit word ranges [start, end), merged."""
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """With `carry`, the row's own columns go along as one struct `row`.
+
+    (id, n_words, n_hit, n_items, items_sha256, items, spans) of every row; spans are hit word ranges [start, end), merged."""
     spark = docs.sparkSession
     blocks = _blocks(benchmark, item_col, item_text_col, width, block_bytes)
-    rows = docs.select(id_col, F.col(text_col).cast("binary").alias("_text"), F.lit(None).cast("array<int>").alias("_from"), F.lit(None).cast("array<int>").alias("_to"), F.lit(None).cast("array<string>").alias("_items"))
+    extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
+    rows = docs.select(id_col, *extra, F.col(text_col).cast("binary").alias("_text"), F.lit(None).cast("array<int>").alias("_from"), F.lit(None).cast("array<int>").alias("_to"), F.lit(None).cast("array<string>").alias("_items"))
     kind = rows.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, span_from array<int>, span_to array<int>"
+    carried = ["row"] * carry
+    schema += "".join(f", row {rows.schema['row'].dataType.simpleString()}" for _ in carried)
     counts = _counts(docs, text_col, blocks) if blocks else {}
 
     def scan(block, last):
@@ -141,9 +146,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 if last:
                     n_hit = [sum(t) - sum(f) if f else 0 for f, t in zip(froms, tos)]
                     sha = [hashlib.sha256(",".join(x or ()).encode()).hexdigest() for x in names]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x or ()) for x in names], pa.int64()), pa.array(sha, pa.string()), pa.array([x or [] for x in names], pa.list_(pa.string())), pa.array([x or [] for x in froms], pa.list_(pa.int32())), pa.array([x or [] for x in tos], pa.list_(pa.int32()))], [id_col, "n_words", "n_hit", "n_items", "items_sha256", "items", "span_from", "span_to"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x or ()) for x in names], pa.int64()), pa.array(sha, pa.string()), pa.array([x or [] for x in names], pa.list_(pa.string())), pa.array([x or [] for x in froms], pa.list_(pa.int32())), pa.array([x or [] for x in tos], pa.list_(pa.int32())), *(b.column(c) for c in carried)], [id_col, "n_words", "n_hit", "n_items", "items_sha256", "items", "span_from", "span_to", *carried])
                 else:
-                    yield pa.RecordBatch.from_arrays([ids, b.column("_text"), pa.array(froms, pa.list_(pa.int32())), pa.array(tos, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], [id_col, "_text", "_from", "_to", "_items"])
+                    yield pa.RecordBatch.from_arrays([ids, *(b.column(c) for c in carried), b.column("_text"), pa.array(froms, pa.list_(pa.int32())), pa.array(tos, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], [id_col, *carried, "_text", "_from", "_to", "_items"])
 
         return run
 
@@ -154,6 +159,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return rows
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
+    """The rows that hold no window of any item."""
+    found = contamination(docs, benchmark, carry=True, **columns)
+    return found.where("n_hit = 0").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     froms, tos = [], []
     for a, z in spans:

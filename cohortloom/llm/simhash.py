@@ -136,17 +136,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def salted_cells(keyed: DataFrame, salt, shard: int) -> DataFrame:
+    """The rows of keys that two or more rows have, with the cell (i, j) where each takes part; q marks the queries of a mixed cell.
+
+    A key of up to `shard` rows is one cell. Of a larger one, slice s (dealt by `salt`, which
+    must not change between runs) of c meets slices s..c-1 as tree and 0..s-1 as query.
+    """
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    cold = keyed.join(sizes.where(F.col("n") <= shard), "key", "left_semi").select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("q"))
+    hot = keyed.withColumn("salt", salt).join(sizes.where(F.col("n") > shard), "key").withColumn("c", F.ceil(F.col("n") / F.lit(shard)).cast("int")).withColumn("s", F.expr("cast(pmod(salt, c) as int)"))
+    cells = hot.select(*keyed.columns, F.explode(F.expr("concat(transform(sequence(s, c - 1), j -> struct(s as i, j as j, false as q)), filter(transform(sequence(0, s), i -> struct(i as i, s as j, true as q)), x -> x.i < x.j))")).alias("x")).select(*keyed.columns, "x.i", "x.j", "x.q")
+    return cold.unionByName(cells)
+
+
 def near_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) between the `rep`s of nodes(fp long, rep long), enough to join all that the radius links."""
     masks = shard_masks(radius)
     keyed = nodes.select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("m", "bits")).select("fp", "rep", F.xxhash64("m", "bits").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    hot = sizes.where(F.col("n") > shard)
-    cold = keyed.join(sizes.where(F.col("n") <= shard), "key", "left_semi").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("q"), "fp", "rep")
-    # slice s of c meets slices s..c-1 as tree and 0..s as query
-    slices = keyed.join(hot, "key").withColumn("c", F.ceil(F.col("n") / F.lit(shard)).cast("int")).withColumn("s", F.expr("cast(pmod(xxhash64(fp, 7), c) as int)"))
-    cells = slices.select("key", "fp", "rep", "s", F.explode(F.expr("concat(transform(sequence(s, c - 1), j -> struct(s as i, j as j, false as q)), filter(transform(sequence(0, s), i -> struct(i as i, s as j, true as q)), x -> x.i < x.j))")).alias("x")).select("key", "x.i", "x.j", "x.q", "fp", "rep")
-    spread = cold.unionByName(cells).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "q", "fp")
+    spread = salted_cells(keyed, F.xxhash64("fp", F.lit(7)), shard).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "q", "fp")
 
     def run(batches):
         for cell in runs_of(batches, ("key", "i", "j")):
@@ -160,7 +167,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
                 at = np.array(links)
                 yield pa.RecordBatch.from_arrays([pa.array(reps[at[:, 0]]), pa.array(reps[at[:, 1]])], ["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long")
+    return spread.select("key", "i", "j", "q", "fp", "rep").mapInArrow(run, "a long, b long")
 
 
 def runs_of(batches, keys):
