@@ -5,7 +5,7 @@ the merges over all of them at once: an inverted index leads from a pair's rank
 word positions that hold it, a heap hands out the ranks in order, and each merge updates
 only the neighbours it touches. A word's positions of one rank are merged left to right,
 one at a time, so that a lower rank born of a merge comes first, as in word-by-word
-encoding. Nothing is shuffled; memory follows the Arrow batch (Spark bounds its bytes).
+encoding. Nothing is shuffled; texts are split about a megabyte at a time.
 
 Edge cases: null text counts as empty and gives no ids; very long texts are whole words
 and positions like any other; repeated rows stay; extra columns are ignored.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import portions, table
 
 MAX_VOCAB_BYTES = 64 << 20
 #: For texts of these characters only, the standard library's classes agree with the Unicode properties of the pattern.
@@ -247,7 +247,7 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
 
         for b in batches:
             counts, coded, decoded, lists = [], [], [], []
-            for ids in words.encode([split(text or "") for text in b.column(text_col).to_pylist()]):
+            for ids in (x for some in portions(b.column(text_col).to_pylist()) for x in words.encode([split(t or "") for t in some])):
                 counts.append(len(ids))
                 coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(words.replay.decode(ids)).hexdigest())

@@ -24,6 +24,19 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def portions(texts: list, size: int = 1 << 20):
+    """The texts in turn, in lists of about `size` characters (a longer text is a list of its own), to bound what a task holds at once."""
+    some, held = [], 0
+    for t in texts:
+        some.append(t)
+        held += len(t or "")
+        if held >= size:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share; a private one only where that is unset (tests)."""
     sc = spark.sparkContext
