@@ -12,9 +12,9 @@ LOWER = UPPER.lower()
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of this session hold at most 1,000 rows and about 8 MB, so that Python workers stay small next to the heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Arrow batches of this session hold at most 200 rows and about 2 MB, so that Python workers stay small next to the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
