@@ -245,20 +245,23 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
         def split(text):
             return PLAIN_PATTERN.findall(text) if plain and PLAIN.fullmatch(text) else full.findall(text)
 
-        for b in batches:
-            counts, coded, decoded, lists = [], [], [], []
-            for ids in (x for some in portions(b.column(text_col).to_pylist()) for x in words.encode([split(t or "") for t in some])):
-                counts.append(len(ids))
-                coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(words.replay.decode(ids)).hexdigest())
+        try:
+            for b in batches:
+                counts, coded, decoded, lists = [], [], [], []
+                for ids in (x for some in portions(b.column(text_col).to_pylist()) for x in words.encode([split(t or "") for t in some])):
+                    counts.append(len(ids))
+                    coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                    decoded.append(hashlib.sha256(words.replay.decode(ids)).hexdigest())
+                    if keep_ids:
+                        lists.append(ids.astype(np.int32))
+                out = [b.column(id_col), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    lists.append(ids.astype(np.int32))
-            out = [b.column(id_col), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                out.append(pa.array(lists, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names)
+                    out.append(pa.array(lists, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names)
+        finally:
+            words.clear()  # the next task of this worker starts small
 
     rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
     kind = rows.schema[id_col].dataType.simpleString()
