@@ -150,8 +150,8 @@ def compiled(rule: SecretRule) -> re.Pattern:
     return re.compile(pattern, rule.flags)
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """The rows with a column `secrets`: array of (kind, start, end) in code points, by start, then kind as listed."""
+def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretRule, ...] = RULES, out_col: str = "secrets") -> DataFrame:
+    """The rows with a column `out_col` (an older one is replaced): array of (kind, start, end) in code points, by start, then kind as listed."""
     queries = [trigram_query(r.pattern, r.flags) for r in rules]
     needed = sorted(set().union(*(trigrams_in(q) for q in queries)))
     order = {r.kind: i for i, r in enumerate(rules)}
@@ -167,11 +167,10 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretRul
                 for i in np.flatnonzero(candidates(query, postings, len(texts))).tolist():
                     found[i] += matches(rule, regex, texts[i])
             spans = [[{"kind": k, "start": s, "end": e} for s, e, k in sorted(x, key=lambda m: (m[0], order[m[2]]))] for x in found]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], [*b.schema.names, "secrets"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], [*b.schema.names, out_col])
 
-    if "secrets" in docs.columns:
-        docs = docs.drop("secrets")
-    schema = docs.select("*", F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("secrets")).schema
+    docs = docs.drop(out_col)
+    schema = docs.select("*", F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>").alias(out_col)).schema
     return docs.mapInArrow(run, schema)
 
 
@@ -189,13 +188,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The rows with every found span of the text replaced; overlapping spans give one mark."""
     names = docs.columns
-    found = find_secrets(docs, text_col)
+    found = find_secrets(docs, text_col, out_col="_found_secrets")
     kind = docs.schema
 
     def run(batches):
         for b in batches:
             out = []
-            for text, spans in zip(b.column(text_col).to_pylist(), b.column("secrets").to_pylist()):
+            for text, spans in zip(b.column(text_col).to_pylist(), b.column("_found_secrets").to_pylist()):
                 if spans:
                     parts, at = [], 0
                     for s in spans:
