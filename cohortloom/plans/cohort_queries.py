@@ -35,6 +35,18 @@ def update_join(spark, sf):
     return cohort.update_column(master, subtypes, "projid", "subtype").select("projid", "patient_class", "subtype")
 
 
+def master_left_join(spark, sf):
+    """The clinical table with each sample's mean value and cells; samples without any have NULL."""
+    m = views.spend_type(spark, sf).groupBy(F.col("sample_id").alias("projid")).agg(F.count("*").alias("cells"), F.round(F.avg("value"), 4).alias("mean"))
+    return views.clinical(spark, sf).join(m, "projid", "left").select("projid", "diagnosis", "cells", "mean")
+
+
+def matrix_orientation(spark, sf):
+    """Rows and columns of the wide form and whether the rule takes its rows for features."""
+    n = views.spend_type(spark, sf).agg(F.count_distinct("sample_id").alias("n_rows"), F.count_distinct("feature_id").alias("n_cols"))
+    return n.select("n_rows", "n_cols", ((F.col("n_rows") > F.col("n_cols")) & (F.col("n_rows") > 1000)).alias("transposed"))
+
+
 def survival_prep(spark, sf):
     return cohort.survival_inputs(views.clinical(spark, sf)).select("projid", F.round("t", 6).alias("t"), F.col("event").cast("int").alias("event"), "stage")
 
@@ -136,7 +148,7 @@ def mse(spark, sf):
     return li.agg(F.round(F.avg(F.pow(F.col("y") - F.col("p"), 2)), 6).alias("mse"), F.round(0.7 * F.avg(bce) + 0.3 * F.avg(F.pow(F.col("y") - F.col("p"), 2)), 6).alias("dual_loss"))
 
 
-QUERIES = {f.__name__: f for f in (sample_join, sample_semi, patient_class, class_counts, update_join, survival_prep, survival_linear, survival_product_limit, spearman_validation, kruskal_h, mannwhitney_u, boxplot_stats, composition, dominant_type, subtype_labels, consensus_matrix, silhouette, subtype_sizes, root_select, auroc, jaccard, stability_counts, mse)}
+QUERIES = {f.__name__: f for f in (sample_join, sample_semi, patient_class, class_counts, update_join, master_left_join, matrix_orientation, survival_prep, survival_linear, survival_product_limit, spearman_validation, kruskal_h, mannwhitney_u, boxplot_stats, composition, dominant_type, subtype_labels, consensus_matrix, silhouette, subtype_sizes, root_select, auroc, jaccard, stability_counts, mse)}
 
 _CLASS = """cls AS (SELECT *, CASE WHEN braaksc IS NULL OR ceradsc IS NULL THEN CASE WHEN diagnosis = 'Control' THEN 'Healthy Control' ELSE 'Clinical AD' END
   WHEN NOT (diagnosis = 'Control' OR coalesce(cogdx = 1, false)) THEN 'Clinical AD' WHEN braaksc >= 3 AND ceradsc >= 3 THEN 'AsymAD' ELSE 'Healthy Control' END AS patient_class FROM clinical)"""
@@ -152,6 +164,8 @@ ORACLE = {
     "patient_class": f"WITH {V['clinical']}, {_CLASS} SELECT projid, patient_class FROM cls",
     "class_counts": f"WITH {V['clinical']}, {_CLASS} SELECT patient_class, count(*) AS n FROM cls GROUP BY 1",
     "update_join": f"WITH {V['clinical']}, {_CLASS} SELECT projid, patient_class, CASE WHEN patient_class = 'Clinical AD' THEN 'ST' || (projid % 3 + 1) END AS subtype FROM cls",
+    "master_left_join": f"WITH {V['spend_type']}, {V['clinical']}, m AS (SELECT sample_id, count(*) AS cells, round(avg(value), 4) AS mean FROM spend_type GROUP BY 1) SELECT projid, diagnosis, cells, mean FROM clinical LEFT JOIN m ON sample_id = projid",
+    "matrix_orientation": f"WITH {V['spend_type']} SELECT count(DISTINCT sample_id) AS n_rows, count(DISTINCT feature_id) AS n_cols, n_rows > n_cols AND n_rows > 1000 AS transposed FROM spend_type",
     "survival_prep": f"WITH {V['clinical']} SELECT projid, round((1 - dpt) * 100, 6) AS t, (coalesce(braaksc >= 4, false) OR coalesce(mmse < 20, false))::INT AS event, CASE WHEN dpt < 0.33 THEN 'Early' WHEN dpt < 0.67 THEN 'Intermediate' ELSE 'Advanced' END AS stage FROM clinical",
     "survival_linear": f"""WITH {V['survival']}, o AS (SELECT grp, t, row_number() OVER (PARTITION BY grp ORDER BY t) AS k, count(*) OVER (PARTITION BY grp) AS n FROM survival)
       SELECT grp, t, count(*) AS m, round(max(CASE WHEN n > 1 THEN 1 - (k - 1) / (n - 1)::DOUBLE ELSE 1 END), 6) AS level_first, round(min(CASE WHEN n > 1 THEN 1 - (k - 1) / (n - 1)::DOUBLE ELSE 1 END), 6) AS level_last FROM o GROUP BY ALL""",

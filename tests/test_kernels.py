@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortloom.functions import kernels
 from cohortloom.operators import cohort, deconv, matrix, network, stats
@@ -83,3 +84,28 @@ def test_choices(spark):
     assert cohort.running_lambda(path).first()["lambda"] == 0.5
     e = spark.createDataFrame([(i, i + 1, 0.1 * i) for i in range(1, 41)], "i int, j int, w double")
     assert network.top_share(e, "w").count() == 2
+
+
+def test_layout_keeps_groups_apart():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.1, (40, 5)), rng.normal(4, 0.1, (40, 5))])
+    y = kernels.layout(x, k=8)
+    inside = np.linalg.norm(y[:40] - y[:40].mean(axis=0), axis=1).mean()
+    assert np.linalg.norm(y[:40].mean(axis=0) - y[40:].mean(axis=0)) > 2 * inside
+
+
+def test_steps_run_and_stop_at_the_first_failure(spark):
+    from cohortloom.plans import steps
+    from cohortloom.sources import io
+
+    m, c, cells = io.synthetic_matrix(spark, 12, 8), io.synthetic_clinical(spark, 12), io.synthetic_cells(spark, 40, 8)
+    ready = steps.preprocess(m, c)["matrix"]
+    assert ready.count() == 96 and ready.where("value is null").count() == 0
+    bulk = m.where("value is not null").withColumn("feature_id", F.regexp_replace("feature_id", "PROT", "GENE"))
+    got = steps.deconvolve(bulk, cells)["proportions"].groupBy("sample_id").agg(F.round(F.sum("proportion"), 6).alias("s")).collect()
+    assert {r["s"] for r in got} == {1.0} and steps.deconvolve(bulk, None)["status"] == "SKIPPED"
+    assert steps.coexpression(ready, 8, 0.0)["edges"].count() == 28
+    master = c.withColumn("subtype", F.col("diagnosis")).withColumn("dpt", F.col("age_death") / 100.0)
+    assert steps.validate(master)["sizes"].count() == 2
+    done = steps.run_all([("a", lambda d: {"status": "PASS"}), ("b", lambda d: 1 / 0), ("c", lambda d: {"status": "PASS"})])
+    assert [x["status"] for x in done.values()] == ["PASS", "FAIL"]
