@@ -15,7 +15,7 @@ from ..operators import cohort, deconv, matrix, network, stats
 
 def preprocess(m: DataFrame, clinical: DataFrame, max_missing_pct: float = 50.0, k: int = 5, covariates: tuple[str, ...] = ("age_death", "msex", "pmi")) -> dict:
     """Quality control, imputation, log2, z-scores and adjustment for covariates."""
-    kept = matrix.qc_filter(m, max_missing_pct)
+    kept = matrix.qc_filter(m, max_missing_pct).persist()  # read by every join of the imputation
     full = kept.where("value is not null").unionByName(matrix.knn_impute(kept, k))
     scaled = matrix.zscore(matrix.log2_transform(full))
     return {"status": "PASS", "matrix": matrix.residualise(scaled, clinical.withColumnRenamed("projid", "sample_id"), list(covariates))}
@@ -49,7 +49,7 @@ def validate(master: DataFrame, group: str = "subtype", value: str = "mmse") ->
 
 def coexpression(m: DataFrame, n_features: int, least: float = 0.1) -> dict:
     """Edges of the overlap network at the fitted power."""
-    corr = network.abs_corr(m)
+    corr = network.abs_corr(m).persist()  # used by the fit and by the overlap; recomputed if an executor is lost
     fit = network.soft_threshold(corr, n_features)
     first = fit.select("chosen").first()
     tom = network.topological_overlap(corr, first["chosen"] if first else 6)

@@ -99,7 +99,7 @@ def test_steps_run_and_stop_at_the_first_failure(spark):
     from cohortloom.sources import io
 
     m, c, cells = io.synthetic_matrix(spark, 12, 8), io.synthetic_clinical(spark, 12), io.synthetic_cells(spark, 40, 8)
-    ready = steps.preprocess(m, c)["matrix"]
+    ready = steps.preprocess(m.cache(), c.cache())["matrix"].cache()
     assert ready.count() == 96 and ready.where("value is null").count() == 0
     bulk = m.where("value is not null").withColumn("feature_id", F.regexp_replace("feature_id", "PROT", "GENE"))
     got = steps.deconvolve(bulk, cells)["proportions"].groupBy("sample_id").agg(F.round(F.sum("proportion"), 6).alias("s")).collect()
