@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairs import nearest_donors
+
 KEYS = ["sample_id", "feature_id"]
 
 
@@ -93,18 +95,14 @@ def knn_impute(m: DataFrame, k: int = 5) -> DataFrame:
     zero takes all the weight; without donors the cell is the feature's mean. Only
     samples that miss something are compared with others.
     """
-    p = m.select("feature_id").distinct().count()
-    samples = m.groupBy("sample_id").agg(F.count("value").alias("held"))
-    short = samples.where(F.col("held") < p).select("sample_id")
-    missing = short.crossJoin(m.select("feature_id").distinct()).join(m.where("value is not null").select(*KEYS), KEYS, "left_anti")
-    a = m.join(short, "sample_id", "left_semi").select(F.col("sample_id").alias("sample_id"), "feature_id", F.col("value").alias("va"))
-    b = m.select(F.col("sample_id").alias("donor"), "feature_id", F.col("value").alias("vb"))
-    dist = a.join(b, "feature_id").where("donor <> sample_id").groupBy("sample_id", "donor").agg(F.sqrt(p * F.avg((F.col("va") - F.col("vb")) ** 2)).alias("d"))
-    donors = missing.join(dist, "sample_id").join(b, ["donor", "feature_id"])
-    near = donors.withColumn("r", F.row_number().over(Window.partitionBy(*KEYS).orderBy("d", "donor"))).where(F.col("r") <= k)
-    per = near.groupBy(*KEYS).agg(F.avg(F.when(F.col("d") == 0, F.col("vb"))).alias("same"), (F.sum(F.when(F.col("d") > 0, F.col("vb") / F.col("d"))) / F.sum(F.when(F.col("d") > 0, 1 / F.col("d")))).alias("weighted"))
+    names = m.select("feature_id").distinct().select(F.array_sort(F.collect_list("feature_id")).alias("names"))  # the matrix's columns
+    rows = arrays(complete_grid(m))
+    short = rows.where(F.exists("features", lambda v: v.isNull()))
+    near = nearest_donors(short, rows, k).groupBy("sample_id", "place").agg(F.avg(F.when(F.col("d") == 0, F.col("value"))).alias("same"), (F.sum(F.when(F.col("d") > 0, F.col("value") / F.col("d"))) / F.sum(F.when(F.col("d") > 0, 1 / F.col("d")))).alias("weighted"))
+    missing = short.select("sample_id", F.posexplode("features").alias("place", "v")).where("v is null").drop("v")
     means = m.groupBy("feature_id").agg(F.avg("value").alias("mean"))
-    return missing.join(per, KEYS, "left").join(means, "feature_id").select(*KEYS, F.coalesce("same", "weighted", "mean").alias("value"))
+    named = missing.join(near, ["sample_id", "place"], "left").crossJoin(F.broadcast(names)).withColumn("feature_id", F.element_at("names", F.col("place") + 1))
+    return named.join(means, "feature_id").select(*KEYS, F.coalesce("same", "weighted", "mean").alias("value"))
 
 
 def pivot(m: DataFrame, features: list) -> DataFrame:

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matrix import arrays
+from .pairs import label_distances
+
 
 def average_ranks(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Rank from 1 within `by`, ties at their mean; also `{out}_ties`, how many share the value."""
@@ -98,14 +101,9 @@ def pair_jaccard(sets: DataFrame, run: str, members: str) -> DataFrame:
 def silhouette(m: DataFrame, labels: DataFrame) -> DataFrame:
     """(sample_id, label, s) with Euclidean distances; a sample alone in its cluster has 0.
 
-    Distances are an equality self-join on the feature with partial sums per pair, which is
-    what any exact silhouette costs; use it on cohorts, not on corpora.
+    Distances are summed per label inside pairs of blocks (see pairs.py).
     """
-    a = m.select(F.col("sample_id").alias("i"), "feature_id", F.col("value").alias("va"))
-    b = m.select(F.col("sample_id").alias("j"), "feature_id", F.col("value").alias("vb"))
-    dist = a.join(b, "feature_id").groupBy("i", "j").agg(F.sqrt(F.sum((F.col("va") - F.col("vb")) ** 2)).alias("d"))
-    li, lj = labels.select(F.col("sample_id").alias("i"), F.col("label").alias("li")), labels.select(F.col("sample_id").alias("j"), F.col("label").alias("lj"))
-    per = dist.where("i <> j").join(li, "i").join(lj, "j").groupBy("i", "li", "lj").agg(F.avg("d").alias("d"))
+    per = label_distances(arrays(m).join(labels.select("sample_id", "label"), "sample_id")).withColumn("d", F.col("d") / F.col("n"))
     ab = per.groupBy("i", "li").agg(F.min(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)))
     return ab.select(F.col("i").alias("sample_id"), F.col("li").alias("label"), F.coalesce(s, F.lit(0.0)).alias("s"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matrix, network
+from ..operators.pairs import nearest
 from ..sources import views
 from ..sources.views import SQL as V
 from .matrix_queries import r6
@@ -96,11 +97,7 @@ def partitions(spark, sf):
 
 def knn_graph(spark, sf):
     """The 15 nearest of every sample by Euclidean distance, ties by id."""
-    m = views.emb_long(spark, sf)
-    a = m.select(F.col("sample_id").alias("i"), "feature_id", F.col("value").alias("va"))
-    b = m.select(F.col("sample_id").alias("j"), "feature_id", F.col("value").alias("vb"))
-    d = a.join(b, "feature_id").where("i <> j").groupBy("i", "j").agg(F.sqrt(F.sum((F.col("va") - F.col("vb")) ** 2)).alias("d"))
-    return r6(d.withColumn("rank", F.expr("row_number() over (partition by i order by d, j)").cast("long")).where("rank <= 15"), "d")
+    return r6(nearest(matrix.arrays(views.emb_long(spark, sf)), 15), "d")
 
 
 QUERIES = {f.__name__: f for f in (minimum_slice, abs_corr, soft_threshold, tom, tom_edges, consensus_edges, confidence_tiers, node_degree, top_pct_edges, split_70_30, node_features, tabular_mean_features, partitions, knn_graph)}
