@@ -24,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": url_filter.OP3_SQL,
         "op5_decontaminate": decontaminate.OP5_SQL,
+        "op10_secrets": secrets.OP10_SQL,
     }

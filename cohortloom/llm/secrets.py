@@ -46,7 +46,7 @@ RULES = (
     SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     SecretRule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     SecretRule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}"),
-    SecretRule("url_login", r"://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    SecretRule("url_login", r"://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{3,64}@"),
 )
 
 # A query is True (no condition), ("tri", trigram), ("and", ...) or ("or", ...).
@@ -210,3 +210,31 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
 
 def digest(spans: list[tuple[int, int, str]]) -> str:
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in spans).encode()).hexdigest()
+
+
+def _in_sql(rule: SecretRule, order: int) -> str:
+    """Spans of one rule: the pieces between matches and the matches themselves give the offsets."""
+    pattern = rule.pattern
+    if rule.flags & re.IGNORECASE:  # letters of the first group in either case, and no others
+        head, rest = pattern.split(")", 1)
+        pattern = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", head) + ")" + rest
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT row_id, '{rule.kind}' AS kind, {order} AS k, list_sum(list_transform(pieces[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0) AS s, len(found[i]) AS size
+  FROM (SELECT row_id, pieces, found, held, unnest(range(1, len(found) + 1)) AS i FROM (
+    SELECT row_id, string_split_regex(t, '{quoted}') AS pieces, regexp_extract_all(t, '{quoted}') AS found, regexp_extract_all(t, '{quoted}', {rule.group}) AS held FROM d))
+  WHERE len(held[i]) >= {rule.least}"""
+
+
+def _count_sql(kind: str) -> str:
+    return f"count(*) FILTER (kind = '{kind}') AS n_{kind}"
+
+
+OP10_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({" UNION ALL ".join(_in_sql(r, i) for i, r in enumerate(RULES))}),
+g AS (SELECT row_id, {", ".join(_count_sql(r.kind) for r in RULES if r.base)},
+    string_agg(kind || ':' || s::BIGINT || ':' || (s + size)::BIGINT, ',' ORDER BY s, k) FILTER (k < {sum(r.base for r in RULES)}) AS base,
+    string_agg(kind || ':' || s::BIGINT || ':' || (s + size)::BIGINT, ',' ORDER BY s, k) AS spans FROM m GROUP BY row_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in RULES if r.base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (row_id)
+"""
