@@ -73,7 +73,7 @@ def marker_purity(profiles: DataFrame, markers: DataFrame) -> DataFrame:
     """
     own = markers.withColumnRenamed("cell_type", "marker_of")
     types = profiles.select("cell_type").distinct()
-    means = profiles.join(F.broadcast(own), "feature_id").groupBy("marker_of", "cell_type").agg(F.avg("abundance").alias("m"), F.count_distinct("feature_id").alias("k"))
+    means = profiles.join(own, "feature_id").groupBy("marker_of", "cell_type").agg(F.avg("abundance").alias("m"), F.count_distinct("feature_id").alias("k"))
     grid = types.withColumnRenamed("cell_type", "marker_of").crossJoin(types).join(means, ["marker_of", "cell_type"], "left")
     is_own = F.col("cell_type") == F.col("marker_of")
     per = grid.groupBy("marker_of").agg(F.max(F.when(is_own, F.col("m"))).alias("own"), F.coalesce(F.max(F.when(is_own, F.col("k"))), F.lit(0)).alias("n_markers"), F.coalesce(F.avg(F.when(~is_own, F.coalesce("m", F.lit(0.0)))), F.lit(0.0)).alias("others"))

@@ -79,7 +79,7 @@ def residualise(m: DataFrame, covariates: DataFrame, names: list[str], id_col: s
 def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:
     """Codes from 0 in the order of the distinct values, -1 for NULL; the values (few) are ranked apart from the rows."""
     values = df.where(F.col(col).isNotNull()).select(col).distinct().withColumn(out, F.row_number().over(Window.orderBy(col)) - 1)
-    return df.join(F.broadcast(values), col, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
+    return df.join(values, col, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
 def top_variable(m: DataFrame, n: int) -> DataFrame:
@@ -126,7 +126,7 @@ def histogram(df: DataFrame, col: str, bins: int, group: str | None = None) -> D
     keys = [group] if group else []
     known = df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("v"))
     bounds = known.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
-    joined = known.join(F.broadcast(bounds), keys) if keys else known.crossJoin(F.broadcast(bounds))
+    joined = known.join(bounds, keys) if keys else known.crossJoin(F.broadcast(bounds))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(F.lit(0))
     return joined.withColumn("bin", at.cast("int")).withColumn("w", width).groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.first("w").alias("w"), F.first("total").alias("total")).select(*keys, "bin", "n", (F.col("n") / F.nullif(F.col("total") * F.col("w"), F.lit(0.0))).alias("density"))

@@ -99,7 +99,7 @@ def node_features(abundance: DataFrame, clinical: DataFrame, proportions: DataFr
 
     nodes(node, degree, betweenness) is the network's vertex list; cells without abundance are 0.
     """
-    grid = clinical.select(F.col("projid").alias("sample_id"), "dpt", "msex").crossJoin(F.broadcast(nodes))
+    grid = clinical.select(F.col("projid").alias("sample_id"), "dpt", "msex").crossJoin(nodes)
     a = abundance.select("sample_id", F.col("feature_id").alias("node"), F.col("value").alias("abundance"))
     joined = grid.join(a, ["sample_id", "node"], "left").join(proportions, "sample_id", "left")
     return joined.select("sample_id", "node", F.coalesce("abundance", F.lit(0.0)).alias("abundance"), F.col("dpt").alias("pseudotime"), F.coalesce("proportion", F.lit(0.0)).alias("proportion"), F.when(F.col("msex") == 1, 1.0).otherwise(0.0).alias("sex"), F.col("degree").cast("double").alias("degree"), F.col("betweenness"), F.col("node").isin(genes).cast("double").alias("risk_gene"))

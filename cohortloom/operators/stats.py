@@ -7,9 +7,10 @@ whole column unless the column is all distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pvalues import chi2_sf, normal_two_sided
 from .matrix import arrays
 from .pairs import label_distances
 
@@ -51,12 +52,22 @@ def mann_whitney(df: DataFrame, group: str, value: str, first: object, second: o
     return s.select("n1", "n2", (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
 
 
-def normal_two_sided(z: Column) -> Column:
-    """Two-sided normal tail by the Abramowitz–Stegun 26.2.17 polynomial (error below 1e-7)."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.least(F.lit(1.0), 2 * F.exp(-x * x / 2) / F.sqrt(F.lit(2 * 3.141592653589793)) * poly)
+def kruskal_test(df: DataFrame, group: str, value: str) -> DataFrame:
+    """kruskal with its p-value (chi-squared, one degree fewer than the groups)."""
+    return kruskal(df, group, value).withColumn("p", chi2_sf("h", (F.col("groups") - 1).cast("int")))
+
+
+def mann_whitney_test(df: DataFrame, group: str, value: str, first: object, second: object) -> DataFrame:
+    """mann_whitney with z and the two-sided p-value of the normal approximation, corrected for ties and continuity."""
+    two = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
+    ties = two.groupBy(value).agg(F.count("*").cast("double").alias("m")).agg(F.sum(F.col("m") ** 3 - F.col("m")).alias("ties"))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n = n1 + n2
+    spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    far = F.abs(F.col("u") - n1 * n2 / 2) - 0.5
+    z = F.signum(F.col("u") - n1 * n2 / 2) * F.greatest(far, F.lit(0.0)) / F.nullif(spread, F.lit(0.0))
+    out = mann_whitney(df, group, value, first, second).crossJoin(F.broadcast(ties)).select("n1", "n2", "u", z.alias("z"))
+    return out.withColumn("p", normal_two_sided("z"))
 
 
 def survival_linear(df: DataFrame, group: str, t: str) -> DataFrame:

@@ -77,6 +77,15 @@ def mannwhitney_u(spark, sf):
     return stats.mann_whitney(views.survival(spark, sf), "grp", "t", 0, 1)
 
 
+def kruskal_test(spark, sf):
+    return r6(stats.kruskal_test(views.survival(spark, sf), "grp", "t"), "h", "p")
+
+
+def mannwhitney_test(spark, sf):
+    """z against SQL; its p-value is the normal tail."""
+    return r6(stats.mann_whitney_test(views.survival(spark, sf), "grp", "t", 0, 1), "z", "p")
+
+
 def boxplot_stats(spark, sf):
     q = views.survival(spark, sf).groupBy("grp").agg(F.expr("percentile(t, array(0.25, 0.5, 0.75))").alias("q"))
     return q.select("grp", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
@@ -148,7 +157,7 @@ def mse(spark, sf):
     return li.agg(F.round(F.avg(F.pow(F.col("y") - F.col("p"), 2)), 6).alias("mse"), F.round(0.7 * F.avg(bce) + 0.3 * F.avg(F.pow(F.col("y") - F.col("p"), 2)), 6).alias("dual_loss"))
 
 
-QUERIES = {f.__name__: f for f in (sample_join, sample_semi, patient_class, class_counts, update_join, master_left_join, matrix_orientation, survival_prep, survival_linear, survival_product_limit, spearman_validation, kruskal_h, mannwhitney_u, boxplot_stats, composition, dominant_type, subtype_labels, consensus_matrix, silhouette, subtype_sizes, root_select, auroc, jaccard, stability_counts, mse)}
+QUERIES = {f.__name__: f for f in (sample_join, sample_semi, patient_class, class_counts, update_join, master_left_join, matrix_orientation, survival_prep, survival_linear, survival_product_limit, spearman_validation, kruskal_h, mannwhitney_u, kruskal_test, mannwhitney_test, boxplot_stats, composition, dominant_type, subtype_labels, consensus_matrix, silhouette, subtype_sizes, root_select, auroc, jaccard, stability_counts, mse)}
 
 _CLASS = """cls AS (SELECT *, CASE WHEN braaksc IS NULL OR ceradsc IS NULL THEN CASE WHEN diagnosis = 'Control' THEN 'Healthy Control' ELSE 'Clinical AD' END
   WHEN NOT (diagnosis = 'Control' OR coalesce(cogdx = 1, false)) THEN 'Clinical AD' WHEN braaksc >= 3 AND ceradsc >= 3 THEN 'AsymAD' ELSE 'Healthy Control' END AS patient_class FROM clinical)"""
@@ -198,3 +207,4 @@ ORACLE = {
     "mse": """WITH x AS (SELECT l_discount * 10 AS y, l_tax * 10 AS p FROM lineitem) SELECT round(avg(pow(y - p, 2)), 6) AS mse,
       round(0.7 * avg(-CASE WHEN y > 0.5 THEN ln(1 / (1 + exp(-p))) ELSE ln(1 - 1 / (1 + exp(-p))) END) + 0.3 * avg(pow(y - p, 2)), 6) AS dual_loss FROM x""",
 }
+ORACLE["kruskal_test"] = "WITH q AS (" + ORACLE["kruskal_h"].replace("round((12", "((12").replace("), 6) AS h", ")) AS h") + ") SELECT n, groups, round(h, 6) AS h, round(exp(-h / 2), 6) AS p FROM q"

@@ -109,3 +109,17 @@ def test_steps_run_and_stop_at_the_first_failure(spark):
     assert steps.validate(master)["sizes"].count() == 2
     done = steps.run_all([("a", lambda d: {"status": "PASS"}), ("b", lambda d: 1 / 0), ("c", lambda d: {"status": "PASS"})])
     assert [x["status"] for x in done.values()] == ["PASS", "FAIL"]
+
+
+def test_tails():
+    from cohortloom.functions.pvalues import chi2_tail
+
+    # table values of the chi-squared distribution at 5 %
+    for df, x in ((1, 3.841459), (2, 5.991465), (3, 7.814728), (4, 9.487729), (7, 14.067140)):
+        assert chi2_tail(x, df) == pytest.approx(0.05, abs=1e-6)
+
+
+def test_mann_whitney_by_hand(spark):
+    df = spark.createDataFrame([(0, 1.0), (0, 2.0), (0, 3.0), (1, 4.0), (1, 5.0), (1, 6.0)], "g int, v double")
+    r = stats.mann_whitney_test(df, "g", "v", 0, 1).first()
+    assert r["u"] == 0 and r["z"] == pytest.approx(-4 / 5.25**0.5) and r["p"] == pytest.approx(0.0809, abs=1e-4)
