@@ -156,6 +156,39 @@ def test_near_dedup_edges_and_large_group(spark):
     assert [r["doc_id"] for r in near_dedup.one_of_each(spark.createDataFrame(rows, DOCS)).collect()] == [0]
 
 
+def test_near_dedup_repeated_lines_are_brute_force(spark):
+    """A line repeated in one copy leaves the set nearly as it is; pairs about the similarity are all found too."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(60):
+        words = [f"w{rng.integers(10**6)}" for _ in range(200)]
+        line = [f"l{i}x{k}" for k in range(10)]
+        texts += [words + line, words + line * 50]
+    for i in range(300):
+        words = [f"v{rng.integers(10**6)}" for _ in range(150)]
+        edited = list(words)
+        for k in range(int(rng.integers(2, 5))):
+            edited[20 + 40 * k // 2] = f"e{i}x{k}"
+        texts += [words, edited]
+    sets = {i: set(near_dedup.shingle_hashes(" ".join(t).encode()).tolist()) for i, t in enumerate(texts)}
+    linked = [(i, i + 1) for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert 60 < len(linked) < 360
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r["doc_id"] for r in near_dedup.one_of_each(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == set(components(sets, linked).values())
+
+
+def test_near_dedup_pairs_without_a_shared_band(spark, monkeypatch):
+    """With one band of all minima, only the prefix join finds pairs."""
+    monkeypatch.setattr(near_dedup, "BANDS", 1)
+    monkeypatch.setattr(near_dedup, "ROWS", near_dedup.SLOTS)
+    rows = []
+    for i in range(40):
+        words = [f"d{i}x{k}" for k in range(100)]
+        rows += [(2 * i, " ".join(words), "en", "s", 1), (2 * i + 1, " ".join(words[:90]), "en", "s", 1)]
+    assert {r["doc_id"] for r in near_dedup.one_of_each(spark.createDataFrame(rows, DOCS)).collect()} == set(range(0, 80, 2))
+
+
 # urls
 
 
