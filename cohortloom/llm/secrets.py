@@ -39,15 +39,24 @@ class SecretRule:
     base: bool = False
 
 
+#: From the header to the END line; without one through the header fields and the lines of base64, the last of which may be short.
+_BREAK = r"""(?:[\s>#*|"',]|\\[rn])"""
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:\r?\n[A-Z][A-Za-z0-9-]*:\x20[^\r\n]*)*(?:(?:{_BREAK}+[A-Za-z0-9+/]{{16,}}={{0,2}})+(?:{_BREAK}+=?[A-Za-z0-9+/]+(?:={{1,2}}|(?=[\x20\t]*(?:[\r\n]|\\[rn]|\Z))))?)?)"
+)
 RULES = (
     SecretRule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, re.IGNORECASE | re.ASCII, True),
     SecretRule("access", r"AKIA[A-Z0-9]+", 0, 20, 0, True),
     SecretRule("hex", r"[0-9a-f]+", 0, 24, 0, True),
-    SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    SecretRule("private_key", PRIVATE_KEY),
     SecretRule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     SecretRule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}"),
-    SecretRule("url_login", r"://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{3,64}@"),
+    SecretRule("url_login", r"://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]{3,}@"),
 )
+#: The SQL keeps its text: headers of keys only, and logins of up to 64 characters a part.
+SQL_PATTERNS = {"private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "url_login": r"://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{3,64}@"}
 
 # A query is True (no condition), ("tri", trigram), ("and", ...) or ("or", ...).
 
@@ -214,7 +223,7 @@ def digest(spans: list[tuple[int, int, str]]) -> str:
 
 def _in_sql(rule: SecretRule, order: int) -> str:
     """Spans of one rule: the pieces between matches and the matches themselves give the offsets."""
-    pattern = rule.pattern
+    pattern = SQL_PATTERNS.get(rule.kind, rule.pattern)
     if rule.flags & re.IGNORECASE:  # letters of the first group in either case, and no others
         head, rest = pattern.split(")", 1)
         pattern = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", head) + ")" + rest
