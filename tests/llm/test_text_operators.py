@@ -2,7 +2,6 @@
 
 import base64
 import hashlib
-import math
 import re
 import struct
 import zlib
@@ -13,8 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, class_lm, decontaminate, html_text, langid, media, near_dedup, quality, secrets, simhash, url_filter
-from cohortloom.llm.common import crc_mod, table
+from cohortloom.llm import bpe, decontaminate, html_text, langid, media, near_dedup, quality, secrets, simhash, url_filter
+from cohortloom.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, "en", "s", None), (2, "", None, None, 0), (3, " \t\n ", "en", "s", 4), (4, "x", "en", "s", 1), (4, "x", "en", "s", 1), (None, "no id here at all", "fr", "s", 3), (7, "long " * 30_000, "en", "s", 150_000), (8, "1234 !!! 5678", "de", None, 13)]
@@ -283,36 +282,6 @@ def test_media_reads_images_and_tables_are_complete():
     assert (media.decode_image(b"P5 30 20 255\n" + grey.tobytes()) == grey).all() and media.describe(np.zeros((5, 5))) == [] and media.describe(np.zeros((64, 64))) == []
 
 
-# language model
-
-
-def test_class_lm_base_and_gain(spark, sf, docs):
-    got = {r["doc_id"]: r for r in class_lm.op9_class_lm(spark, sf).collect()}
-    words = {i: t.encode().lower().split() + [None] for i, t in docs}
-    counts = Counter(w for i, ws in words.items() if crc(i) % 7 != 2 for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    for i, ws in words.items():
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws), sum(counts[w] > 0 for w in ws), n, crc(i) % 7 == 2)
-        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
-    held = [r for r in got.values() if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
-def test_class_lm_edges(spark):
-    got = {r["doc_id"]: r for r in class_lm.score_texts(frame(spark), crc_mod(F.col("doc_id"), 7) != 2).collect()}
-    assert got[1]["n_tokens"] == got[2]["n_tokens"] == 1 and got[7]["n_tokens"] == 30_001 and all(math.isfinite(r["score"]) and r["score"] <= 0 for r in got.values())
-    none = class_lm.score_texts(frame(spark), F.lit(False)).collect()
-    assert {r["n_known"] for r in none} == {0} and {r["train_tokens"] for r in none} == {0}
-    assert class_lm.score_texts(frame(spark).limit(0), F.lit(True)).count() == 0
-
-
-def test_class_lm_probabilities_sum_to_one():
-    follows = np.zeros((class_lm.CLASSES + 2,) * 2)
-    follows[3, 4], follows[class_lm.END, 3] = 5, 2
-    assert np.allclose((10 ** class_lm.log_transitions(follows, 7, 1)).sum(axis=1), 1)
-
-
 # secrets
 
 
