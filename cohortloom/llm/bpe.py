@@ -1,11 +1,15 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Each task splits its texts by the public pattern, takes the distinct words, and replays
-the merges over all of them at once: an inverted index leads from a pair's rank to the
-word positions that hold it, a heap hands out the ranks in order, and each merge updates
-only the neighbours it touches. A word's positions of one rank are merged left to right,
-one at a time, so that a lower rank born of a merge comes first, as in word-by-word
-encoding. Nothing is shuffled; texts are split about a megabyte at a time.
+Tasks split their texts by the public pattern into chunks: the distinct words, and the texts as
+runs of word numbers. The words of all chunks are dealt by hash to buckets; a bucket replays
+the merges over its distinct words at once, so that a word of the corpus is encoded once, and
+sends each chunk the ids of the words it asked for. In a replay an inverted index leads from a
+token pair (by the rank of the token it makes; all pairs that make it share a list) to the word
+positions that hold it, a heap hands out the ranks in order, and each merge updates only the
+neighbours it touches. A word's positions of one rank are merged left to right; should a merge
+bear a lower rank, that goes first in its word, as in word-by-word encoding.
+
+Chunks are cut by size and buckets by the bytes of all texts, so groups stay small.
 
 Edge cases: null text counts as empty and gives no ids; very long texts are whole words
 and positions like any other; repeated rows stay; extra columns are ignored.
@@ -15,17 +19,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
-from itertools import islice
+from array import array
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, table
+from .common import pack, table, unpack
 
+CHUNK_BYTES = 8 << 20
+CHUNK_ROWS = 1 << 16
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES = 8 << 20
 MAX_VOCAB_BYTES = 64 << 20
 #: For texts of these characters only, the standard library's classes agree with the Unicode properties of the pattern.
 PLAIN = re.compile("[\t\n\x20-\x7eÀ-ÖØ-öø-ɏ]*")
@@ -33,6 +42,10 @@ PLAIN_STANDS_FOR = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+#: Below so many positions of a rank, single steps are faster than arrays.
+FEW = 128
+
+
 class MergeReplay:
     """Encodes lists of byte words and decodes ids, by a table of ranks (bytes to id)."""
 
@@ -54,9 +67,11 @@ class MergeReplay:
                 if left is not None and (right := ranks.get(b[k:])) is not None:
                     codes.append(left * n + right)
                     merged.append(i)
+        self.rank_of = dict(zip(codes, merged))
         order = np.argsort(np.array(codes, np.int64), kind="stable")
         self.codes = np.array(codes, np.int64)[order]
         self.merged = np.array(merged, np.int64)[order]
+        self.first_ranks = self.pair_rank(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256))
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each adjacent pair, -1 where the pair merges to nothing."""
@@ -83,76 +98,110 @@ class MergeReplay:
     def _replay(self, words: list[bytes], lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not words:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        sym = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
-        size = len(sym)
-        word = np.repeat(np.arange(len(words), dtype=np.int64), lens)
+        n, rank_of = self.n, self.rank_of
+        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        size = len(raw)
+        # per position: symbol (-1: merged away), next and previous position, rank of the pair that begins here, word
+        s_, n_, p_, r_, w_ = (array("i", bytes(4 * size)) for _ in range(5))
+        sym, nxt, prv, rank, word = (np.frombuffer(x, np.int32) for x in (s_, n_, p_, r_, w_))
         ends = np.cumsum(lens) - 1
-        nxt = np.arange(1, size + 1, dtype=np.int64)
-        nxt[ends] = -1
-        prv = np.arange(-1, size - 1, dtype=np.int64)
-        prv[ends - lens + 1] = -1
-        rank = np.full(size, -1, np.int64)
+        sym[:] = self.byte_id[raw]
+        nxt[:], prv[:] = np.arange(1, size + 1), np.arange(-1, size - 1)
+        nxt[ends], prv[ends - lens + 1] = -1, -1
+        word[:] = np.repeat(np.arange(len(words)), lens)
+        rank[:] = -1
         here = np.flatnonzero(nxt >= 0)
-        base = self.pair_rank(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256))
-        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        rank[here] = base[raw[here] * 256 + raw[here + 1]]
-        alive = np.ones(size, bool)
-        index: dict[int, list[np.ndarray]] = {}
+        rank[here] = self.first_ranks[raw[here] * 256 + raw[here + 1]]
+        index: dict[int, list[int]] = {}
         heap: list[int] = []
 
         def post(positions: np.ndarray) -> None:
-            """Enters positions into the inverted index under the rank of the pair that begins there."""
+            """Enters positions into the index under the rank of the pair that begins there."""
             r = rank[positions]
-            if len(positions) > 1:
-                order = np.argsort(r, kind="stable")
-                positions, r = positions[order], r[order]
-                cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
-                firsts = [0, *cuts.tolist()]
-                lasts = [*cuts.tolist(), len(r)]
-            else:
-                firsts, lasts = [0], [len(r)]
-            for a, z, k in zip(firsts, lasts, r[firsts].tolist()):
+            order = np.argsort(r, kind="stable")
+            order = order[np.searchsorted(r[order], 0) :]
+            positions, r = positions[order], r[order]
+            cuts = np.flatnonzero(r[1:] != r[:-1]) + 1
+            for k, some in zip(r[np.concatenate([[0], cuts])].tolist() if len(r) else (), np.split(positions, cuts)):
                 if (found := index.get(k)) is None:
-                    index[k] = [positions[a:z]]
-                    heapq.heappush(heap, k)
+                    index[k] = some.tolist()
+                    heappush(heap, k)
                 else:
-                    found.append(positions[a:z])
-
-        first = here[rank[here] >= 0]
-        if len(first):
-            post(first)
-        while heap:
-            r = heapq.heappop(heap)
-            found = index.pop(r)
-            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
-            at = at[rank[at] == r]
-            if not len(at):
-                continue
-            w = word[at]
-            lead = np.ones(len(at), bool)
-            lead[1:] = w[1:] != w[:-1]
-            if not lead.all():
-                index[r] = [at[~lead]]
-                heapq.heappush(heap, r)
-                at = at[lead]
-            gone = nxt[at]
+                    found.extend(some.tolist())
+
+        def few(r: int, at: list[int]) -> None:
+            held = -1  # a word in which a lower rank was born; its other positions come again
+            for p in sorted(at):
+                if r_[p] != r:
+                    continue
+                if w_[p] == held:
+                    if r not in index:
+                        heappush(heap, r)
+                    index.setdefault(r, []).append(p)
+                    continue
+                gone, before = n_[p], p_[p]
+                after = n_[gone]
+                s_[p], s_[gone], r_[gone], n_[p], r_[p] = r, -1, -1, after, -1
+                if after >= 0:
+                    p_[after] = p
+                for q, pair in ((p, r * n + s_[after] if after >= 0 else -1), (before, s_[before] * n + r)):
+                    if q < 0 or pair < 0:
+                        continue
+                    k = r_[q] = rank_of.get(pair, -1)
+                    if k >= 0:
+                        if (found := index.get(k)) is None:
+                            index[k] = [q]
+                            heappush(heap, k)
+                        else:
+                            found.append(q)
+                        if k < r:
+                            held = w_[p]
+
+        def many(r: int, listed: list[int]) -> None:
+            every = np.unique(np.array(listed, np.int64))
+            every = every[rank[every] == r]
+            if not len(every):
+                return
+            # of overlapping pairs every other one, from the left
+            start = np.ones(len(every), bool)
+            start[1:] = every[1:] != nxt[every[:-1]]
+            since = np.arange(len(every))
+            at = every[(since - np.maximum.accumulate(np.where(start, since, 0))) % 2 == 0]
+            gone, before = nxt[at], prv[at]
             after = nxt[gone]
-            before = prv[at]
-            sym[at] = r
-            alive[gone] = False
-            rank[gone] = -1
-            nxt[at] = after
+            beside = np.zeros(len(at), bool)
+            beside[1:] = gone[:-1] == before[1:]
+            left = np.where(before >= 0, self.pair_rank(np.where(beside, r, sym[before]).astype(np.int64), np.full(len(at), r)), -1)
+            right = np.where(after >= 0, self.pair_rank(np.full(len(at), r), sym[after].astype(np.int64)), -1)
+            low = ((left >= 0) & (left < r)) | ((right >= 0) & (right < r))
+            if low.any():  # after the first of a word, its other positions come again
+                w = word[at]
+                seen = np.cumsum(low) - low
+                wait = seen > seen[np.searchsorted(w, w)]
+                again = every[np.isin(word[every], w[wait])].tolist()
+                at, gone, after = at[~wait], gone[~wait], after[~wait]
+            sym[at], sym[gone], rank[gone], nxt[at] = r, -1, -1, after
             has = after >= 0
             prv[after[has]] = at[has]
-            rank[at] = -1
-            rank[at[has]] = self.pair_rank(sym[at[has]], sym[after[has]])
-            before = before[before >= 0]
-            rank[before] = self.pair_rank(sym[before], sym[nxt[before]])
-            touched = np.concatenate([at, before])
-            touched = touched[rank[touched] >= 0]
-            if len(touched):
-                post(np.sort(touched))
-        return sym[alive], np.bincount(word[alive], minlength=len(words)).astype(np.int64)
+            before = prv[at]
+            touched = np.unique(np.concatenate([at, before[before >= 0]]))
+            follow = nxt[touched]
+            rank[touched] = np.where(follow >= 0, self.pair_rank(sym[touched].astype(np.int64), sym[follow].astype(np.int64)), -1)
+            post(touched)
+            if low.any():
+                again = [p for p in again if r_[p] == r]
+                if again and r not in index:
+                    heappush(heap, r)
+                if again:
+                    index.setdefault(r, []).extend(again)
+
+        post(here)
+        while heap:
+            r = heappop(heap)
+            at = index.pop(r)
+            (few if len(at) < FEW else many)(r, at)
+        alive = sym >= 0
+        return sym[alive].astype(np.int64), np.bincount(word[alive], minlength=len(words)).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         lens = self.token_len[ids]
@@ -179,93 +228,138 @@ def _vocab(path: str) -> bytes:
     return data
 
 
-class Numbered(dict):
-    """Gives each new word the next number."""
-
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        return number
+_REPLAYS: dict[str, MergeReplay] = {}
 
 
-#: A worker's table of encoded words starts afresh beyond so many; this bounds memory only, every word is encoded.
-KEEP_WORDS = 400_000
+def replay_of(data: bytes) -> MergeReplay:
+    """One table of merges per Python worker, kept by the vocabulary's content."""
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _REPLAYS:
+        _REPLAYS.clear()
+        _REPLAYS[key] = MergeReplay(load_ranks(data))
+    return _REPLAYS[key]
 
 
-class WordTable:
-    """Encoded words of the batches that a worker has seen."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
 
-    def __init__(self, replay: MergeReplay):
-        self.replay = replay
-        self.clear()
+    return np.fromiter((xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
-    def clear(self) -> None:
-        self.index = Numbered()
-        self.flat = np.empty(0, np.int64)
-        self.n_ids = np.empty(0, np.int64)
 
-    def encode(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Ids of each text, given as its list of words."""
-        if len(self.index) > KEEP_WORDS:
-            self.clear()
-        old = len(self.index)
-        number = self.index.__getitem__
-        rows = [np.fromiter(map(number, words), np.int64, len(words)) for words in texts]
-        if len(self.index) > old:
-            flat, n_ids = self.replay.encode([w.encode() for w in islice(self.index, old, None)])
-            self.flat = np.concatenate([self.flat, flat])
-            self.n_ids = np.concatenate([self.n_ids, n_ids])
-        start = np.cumsum(self.n_ids) - self.n_ids
-        return [self.flat[spread(start[w], self.n_ids[w])] for w in rows]
+def pack_words(words: list[bytes]) -> bytes:
+    """The number of words, then their lengths and bytes compressed."""
+    import zstandard
 
+    lens = np.fromiter(map(len, words), np.uint32, len(words))
+    return len(words).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(lens.tobytes() + b"".join(words))
 
-_TABLES: dict[str, WordTable] = {}
 
+def unpack_words(data: bytes) -> list[bytes]:
+    import zstandard
 
-def words_of(data: bytes) -> WordTable:
-    """One table per Python worker, kept by the vocabulary's content."""
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = WordTable(MergeReplay(load_ranks(data)))
-    return _TABLES[key]
+    n = int.from_bytes(data[:8], "little")
+    held = zstandard.ZstdDecompressor().decompress(data[8:])
+    ends = np.cumsum(np.frombuffer(held[: 4 * n], np.uint32), dtype=np.int64) + 4 * n
+    return [held[a:z] for a, z in zip([4 * n, *ends[:-1].tolist()], ends.tolist())]
 
 
-def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>]) of every row; the ids have been decoded again for the last digest."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_vocab(vocab_path))
+def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> DataFrame:
+    """One row per chunk of a task's texts: ids, lens (words of each text), seq (word numbers on end) and the words, by their hash."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         import regex
 
-        words = words_of(shared.value)
         full = regex.compile(pattern)
         plain = pattern == PLAIN_STANDS_FOR
+        part, k = TaskContext.get().partitionId(), 0
+        ids, lens, seqs, numbers, held = [], [], [], {}, 0
+
+        def chunk():
+            words = [w.encode() for w in numbers]
+            hashes = word_hashes(words)
+            order = np.lexsort((np.arange(len(words)), hashes))
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words), dtype=np.int32)
+            seq = np.concatenate(seqs)
+            one = {"chunk": part << 32 | k, "ids": ids, "lens": lens, "seq": pack(rank[seq]), "words": pack_words([words[i] for i in order.tolist()])}
+            return pa.RecordBatch.from_pylist([one], schema)
+
+        for b in batches:
+            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(b.schema.field("id").type)), ("lens", pa.list_(pa.int64())), ("seq", pa.binary()), ("words", pa.binary())])
+            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+                text = text or ""
+                words = PLAIN_PATTERN.findall(text) if plain and PLAIN.fullmatch(text) else full.findall(text)
+                ids.append(i), lens.append(len(words))
+                seqs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+                held += len(text)
+                if held >= CHUNK_BYTES or len(ids) >= CHUNK_ROWS:
+                    yield chunk()
+                    ids, lens, seqs, numbers, held, k = [], [], [], {}, 0, k + 1
+        if ids:
+            yield chunk()
+
+    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, lens array<long>, seq binary, words binary")
+
+
+def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of hashes, in their order."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
 
-        def split(text):
-            return PLAIN_PATTERN.findall(text) if plain and PLAIN.fullmatch(text) else full.findall(text)
-
-        try:
-            for b in batches:
-                counts, coded, decoded, lists = [], [], [], []
-                for ids in (x for some in portions(b.column(text_col).to_pylist()) for x in words.encode([split(t or "") for t in some])):
-                    counts.append(len(ids))
-                    coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    decoded.append(hashlib.sha256(words.replay.decode(ids)).hexdigest())
-                    if keep_ids:
-                        lists.append(ids.astype(np.int32))
-                out = [b.column(id_col), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    out.append(pa.array(lists, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(out, names)
-        finally:
-            words.clear()  # the next task of this worker starts small
-
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>]) of every row; the ids have been decoded again for the last digest."""
+    vocab = docs.sparkSession.sparkContext.broadcast(_vocab(vocab_path))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    n = max(1, -(-size // BUCKET_BYTES))
+    # one exchange of the chunks serves both uses below, so both read all columns
+    chunks = split_chunks(docs, pattern, id_col, text_col).repartition("chunk")
+    kind = chunks.schema["ids"].dataType.elementType.simpleString()
+
+    def ask(batches):
+        for b in batches:
+            for chunk, packed in zip(b.column("chunk").to_pylist(), b.column("words").to_pylist()):
+                words = unpack_words(packed)
+                bucket = bucket_of(word_hashes(words), n)
+                present, starts = np.unique(bucket, return_index=True)
+                cuts = [*starts.tolist(), len(words)]
+                yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(np.full(len(present), chunk)), pa.array([pack_words(words[a:z]) for a, z in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "chunk", "words"])
+
+    def encode(rows: pa.Table) -> pa.Table:
+        numbers: dict[bytes, int] = {}
+        asked = [np.array([numbers.setdefault(w, len(numbers)) for w in unpack_words(x)], np.int64) for x in rows["words"].to_pylist()]
+        flat, n_ids = replay_of(vocab.value).encode(list(numbers))
+        start = np.cumsum(n_ids) - n_ids
+        return pa.table({"bucket": rows["bucket"], "chunk": rows["chunk"], "n_ids": pa.array([pack(n_ids[w].astype(np.uint32)) for w in asked], pa.binary()), "word_ids": pa.array([pack(flat[spread(start[w], n_ids[w])].astype(np.uint32)) for w in asked], pa.binary())})
+
+    answers = chunks.mapInArrow(ask, "bucket long, chunk long, words binary").groupBy("bucket").applyInArrow(encode, "bucket long, chunk long, n_ids binary, word_ids binary")
+
+    def write(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        got = got.sort_by("bucket")
+        out = {name: [] for name in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")}
+        none = np.empty(0, np.uint32)
+        n_ids = np.concatenate([none, *(unpack(x, "u4") for x in got["n_ids"].to_pylist())]).astype(np.int64)
+        flat = np.concatenate([none, *(unpack(x, "u4") for x in got["word_ids"].to_pylist())]).astype(np.int64)
+        start = np.cumsum(n_ids) - n_ids
+        decode = replay_of(vocab.value).decode
+        seq, lens = unpack(chunk["seq"][0].as_py(), "i4"), chunk["lens"][0].as_py()
+        at = 0
+        for k in lens:
+            w = seq[at : at + k]
+            at += k
+            ids = flat[spread(start[w], n_ids[w])]
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(decode(ids)).hexdigest())
+            if keep_ids:
+                out["ids"].append(ids.astype(np.int32))
+        ids_col = chunk["ids"].combine_chunks()
+        cols = {id_col: ids_col.flatten(), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids_sha256": pa.array(out["ids_sha256"], pa.string()), "decoded_sha256": pa.array(out["decoded_sha256"], pa.string())}
+        return pa.table(cols | ({"ids": pa.array(out["ids"], pa.list_(pa.int32()))} if keep_ids else {}))
+
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(write, schema)
 
 
 def default_vocab() -> tuple[str, str]:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc_mod, table
+from .common import checkpoint, crc_mod, pack, table, unpack
 
 CHUNK_BYTES = 16 << 20
 CHUNK_ROWS = 1 << 16
@@ -49,21 +49,6 @@ END_HASH = 0
 AFTER, SELF, CONTEXTS = CLASSES + 1, 2 * CLASSES + 2, 2 * CLASSES + 3
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Whole numbers compressed byte plane by byte plane."""
-    import zstandard
-
-    a = np.ascontiguousarray(a)
-    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
-
-
-def unpack(b: bytes, kind: str) -> np.ndarray:
-    import zstandard
-
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
-
-
 def tokenise(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word numbers of all texts on end, tokens of each text, hash of each number); numbers follow the hashes, 0 is the end of a text."""
     from xxhash import xxh64_intdigest

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.llm import class_lm
-from cohortloom.llm.common import crc_mod, table
+from cohortloom.llm.common import crc_mod, pack, table, unpack
 
 DOCS = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, " \t\n "), (4, "x"), (4, "x"), (None, "no id here at all"), (7, "long " * 30_000), (8, "1234 !!! 5678")]
@@ -129,4 +129,4 @@ def test_class_lm_probabilities_sum_to_one():
 
 def test_packed_numbers():
     for a in (np.arange(5, dtype=np.int32), np.array([2**40], np.int64), np.empty(0, np.uint16), np.array([3], np.uint8)):
-        assert (class_lm.unpack(class_lm.pack(a), a.dtype.str) == a).all()
+        assert (unpack(pack(a), a.dtype.str) == a).all()

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -260,6 +261,65 @@ def test_bpe_is_tiktoken_and_round_trips(spark, docs):
     assert null["n_tokens"] == 0 and bpe.encode_texts(frame(spark).limit(0), path, pattern).count() == 0
 
 
+def tiktoken_ids(texts):
+    import tiktoken
+
+    path, pattern = bpe.default_vocab()
+    with open(path, "rb") as f:
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(f.read()), special_tokens={})
+    return [enc.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_over_many_chunks_and_buckets(spark, docs, monkeypatch):
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 10_000)
+    texts = [t for _, t in docs[:80]] + ["same words again"] * 50
+    df = frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode_texts(df, *bpe.default_vocab(), keep_ids=True).collect()}
+    assert [got[i] for i in range(len(texts))] == tiktoken_ids(texts)
+
+
+@pytest.mark.parametrize("few", [0, bpe.FEW, 10**9])
+def test_bpe_replay_is_word_by_word_encoding(monkeypatch, few):
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "FEW", few)
+    path, pattern = bpe.default_vocab()
+    with open(path, "rb") as f:
+        ranks = bpe.load_ranks(f.read())
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(0)
+    words = [bytes(rng.choice(list(b"abcdefst "), rng.integers(1, 40)).astype(np.uint8)) for _ in range(1000)] + [b"a" * k for k in range(1, 100)] + ["äö日本".encode() * k for k in range(1, 20)] + [b""]
+    flat, n = bpe.MergeReplay(ranks).encode(words)
+    ends = np.cumsum(n)
+    assert [flat[a:z].tolist() for a, z in zip(ends - n, ends)] == [enc._core_bpe.encode_single_piece(w) if w else [] for w in words]
+
+
+def test_bpe_low_ranks_born_of_a_merge_go_first(monkeypatch):
+    """Ranks that no training gives: 'bc' and 'cb' lead to lower ranks."""
+    import tiktoken
+
+    ranks = {bytes([i]): i + 100 for i in range(256)} | {b"bc": 50, b"abc": 3, b"bcb": 2, b"cb": 60, b"cbc": 1, b"bcbc": 40}
+    enc = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.choice(list(b"abc"), rng.integers(1, 30)).astype(np.uint8)) for _ in range(500)] + [b"bc" * 300, b"abcb" * 200]
+    for few in (0, 10**9):
+        monkeypatch.setattr(bpe, "FEW", few)
+        flat, n = bpe.MergeReplay(ranks).encode(words)
+        ends = np.cumsum(n)
+        assert [flat[a:z].tolist() for a, z in zip(ends - n, ends)] == [enc._core_bpe.encode_single_piece(w) for w in words]
+
+
+def test_bpe_of_words_of_a_million_characters(spark):
+    rng = np.random.default_rng(1)
+    texts = ["a" * 1_000_000, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))]
+    began = time.time()
+    got = {r["doc_id"]: r for r in bpe.encode_texts(frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)]), *bpe.default_vocab()).collect()}
+    assert time.time() - began < 60
+    assert [got[i]["decoded_sha256"] for i in (0, 1)] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    assert [got[i]["n_tokens"] for i in (0, 1)] == [250_000, len(tiktoken_ids(texts[1:])[0])]
+
+
 # pictures
 
 
