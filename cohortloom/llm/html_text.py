@@ -1,13 +1,17 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree that forgives unclosed and stray tags. Parts that are never
-the article (menus, headers and footers of the page, asides, forms, scripts, and elements
-whose class, id or role names adverts, notices, sidebars or reader comments) are cut
-first. Every node left has a density: its characters per tag, adjusted by how much of
+A page is read into a tree that forgives unclosed and stray tags, in time linear in the page.
+Parts that are never the article (menus, headers and footers of the page, asides, forms,
+scripts, and blocks whose class, id or role names adverts, notices, sidebars or reader
+comments) are cut first. A name cuts blocks only, never words within a paragraph, and not a
+block that holds the page's heading, its main element or an article, nor the header of an
+article; and if names would cut all the text there is, they cut nothing. Every node left has a
+density: its characters per tag, adjusted by how much of
 them stands in links, against the share of links in the whole body. A node's density sum
 adds up its children's. The node of the greatest sum is the article; the least density on
 its path to the body is the threshold, and below other nodes that reach it, the subtree of
-the greatest sum is kept as well.
+the greatest sum is kept as well. A heading of the first rank that stands before the article
+belongs to it if it has none of its own.
 
 Character references are decoded, white space inside a block becomes one blank, and
 blocks are joined in page order by one line feed.
@@ -35,7 +39,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 RAW = "script|style|noscript|template|textarea|title|iframe|noembed|noframes|xmp"
 CUT_TAGS = frozenset("nav footer aside form button select option head menu dialog svg canvas object audio video".split()) | frozenset(RAW.split("|"))
 NAMES = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promos promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
-CUT_NAME = re.compile(rf"(?:^|\s)(?!(?:has|with|no|non|without)[-_])(?:(?:{'|'.join(NAMES)})(?:[-_][^\s]*)?|[^\s]*[-_](?:{'|'.join(NAMES)}))(?=\s|$)", re.I)
+#: What may follow a name in a class: comment-list, nav-2, but not comment-free.
+PARTS = "area articles bar block body bottom box button buttons col column container content form group head holder icons inner item items left links list main media menu message outer panel post posts primary right row secondary section signup slot stories text thread title top unit wrap wrapper".split()
+CUT_NAME = re.compile(rf"(?:^|\s)(?!(?:has|with|no|non|without)[-_])(?:[^\s]*[-_])?(?:{'|'.join(NAMES)})(?:[-_](?:{'|'.join(PARTS)}|\d+))*(?=\s|$)", re.I)
+HEADER_NAME = re.compile(r"(?:^|[\s_-])header(?:[\s_-]|$)", re.I)
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 KEPT_TAGS = frozenset("html body main article".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S | re.I)
@@ -58,20 +65,58 @@ class Dom:
         self.flow: list[tuple[int, str]] = []  # (node, text); node -1 is a block bound
 
 
+class Open:
+    """The open elements, with the places of each tag and of the scopes, so that no search walks the stack."""
+
+    def __init__(self):
+        self.nodes = [0]
+        self.tags = ["#root"]
+        self.places: dict[str, list[int]] = {}
+        self.scopes = [0]
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def close(self, size: int) -> None:
+        """Leaves the lowest `size` open."""
+        while len(self.nodes) > size:
+            self.nodes.pop()
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def end(self, tag: str) -> None:
+        if held := self.places.get(tag):
+            self.close(held[-1])
+
+    def start(self, tag: str) -> None:
+        """Closes what the tag's beginning closes."""
+        while tag in CLOSES:
+            last = max((held[-1] for t in CLOSES[tag] if (held := self.places.get(t))), default=0)
+            if last <= self.scopes[-1]:
+                break
+            self.close(last)
+
+
 def parse(page: str) -> Dom:
     dom = Dom()
-    stack = [0]
+    opened = Open()
     at = 0
 
     def text(s: str) -> None:
         if s:
-            dom.flow.append((stack[-1], s))
+            dom.flow.append((opened.nodes[-1], s))
 
     def bound(tag: str) -> None:
         if tag not in INLINE:
             dom.flow.append((-1, ""))
         elif tag == "br":
-            dom.flow.append((stack[-1], " "))
+            dom.flow.append((opened.nodes[-1], " "))
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -83,18 +128,9 @@ def parse(page: str) -> Dom:
         tag = tag.lower()
         bound(tag)
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if dom.tag[stack[i]] == tag:
-                    del stack[i:]
-                    break
+            opened.end(tag)
             continue
-        if closing := CLOSES.get(tag):
-            for i in range(len(stack) - 1, 0, -1):
-                open_tag = dom.tag[stack[i]]
-                if open_tag in closing:
-                    del stack[i:]
-                elif open_tag in SCOPE:
-                    break
+        opened.start(tag)
         names = roles = ""
         hidden = False
         if m["attrs"]:
@@ -107,25 +143,52 @@ def parse(page: str) -> Dom:
                 else:
                     hidden |= key == "hidden" or value.lower() == "true"
         dom.tag.append(tag)
-        dom.parent.append(stack[-1])
+        dom.parent.append(opened.nodes[-1])
         dom.names.append(names)
         dom.roles.append(roles)
         dom.hidden.append(hidden)
         if tag not in VOID and not m["attrs"].endswith("/"):
-            stack.append(len(dom.tag) - 1)
+            opened.push(len(dom.tag) - 1, tag)
     text(html_lib.unescape(page[at:]))
     return dom
 
 
+def inherited(dom: Dom, own: list[bool]) -> list[bool]:
+    """Which nodes have the mark or lie in one that has it."""
+    out = list(own)
+    for i in range(1, len(out)):
+        out[i] = out[i] or out[dom.parent[i]]
+    return out
+
+
+def holding(dom: Dom, own: list[bool]) -> list[bool]:
+    """Which nodes have the mark or hold one that has it."""
+    out = list(own)
+    for i in range(len(out) - 1, 0, -1):
+        if out[i]:
+            out[dom.parent[i]] = True
+    return out
+
+
 def cut_nodes(dom: Dom) -> list[bool]:
     """Which nodes are, or lie in, parts that are never the article."""
-    cut = [False] * len(dom.tag)
-    in_article = [False] * len(dom.tag)
-    for i in range(1, len(dom.tag)):
-        tag, up = dom.tag[i], dom.parent[i]
-        in_article[i] = tag == "article" or in_article[up]
-        cut[i] = cut[up] or tag in CUT_TAGS or (tag == "header" and not in_article[i]) or (tag not in KEPT_TAGS and (dom.hidden[i] or dom.roles[i] in CUT_ROLES or bool(dom.names[i] and CUT_NAME.search(dom.names[i]))))
-    return cut
+    n = len(dom.tag)
+    in_article = inherited(dom, [t == "article" for t in dom.tag])
+    plain = [dom.tag[i] in CUT_TAGS or (dom.tag[i] == "header" and not in_article[i]) or (dom.tag[i] not in KEPT_TAGS and (dom.hidden[i] or dom.roles[i] in CUT_ROLES)) for i in range(n)]
+    plain = inherited(dom, plain)
+    named = [bool(dom.names[i]) and dom.tag[i] not in INLINE and dom.tag[i] not in ("html", "body") and not (in_article[i] and HEADER_NAME.search(dom.names[i])) and bool(CUT_NAME.search(dom.names[i])) for i in range(n)]
+    if not any(named):
+        return plain
+    in_named = inherited(dom, named)
+    first = [i for i in range(n) if dom.tag[i] == "h1" and not plain[i]]
+    heading = first[:1] if all(in_named[i] for i in first) else []  # a heading outside named blocks needs no care
+    safe = [not plain[i] and (dom.tag[i] == "main" or (dom.tag[i] == "article" and not named[i]) or i in heading) for i in range(n)]
+    # an article in a block of comments is one of them
+    comments = inherited(dom, [named[i] and "comment" in dom.names[i].lower() for i in range(n)])
+    safe = holding(dom, [safe[i] and not (comments[i] and dom.tag[i] == "article") for i in range(n)])
+    cut = inherited(dom, [plain[i] or (named[i] and not safe[i] and dom.tag[i] not in KEPT_TAGS) for i in range(n)])
+    left = any(node >= 0 and not cut[node] and s.strip() for node, s in dom.flow)
+    return cut if left else plain
 
 
 def hosts(dom: Dom) -> list[int]:
@@ -180,7 +243,8 @@ def main_nodes(dom: Dom) -> list[bool]:
     n = len(dom.tag)
     cut = cut_nodes(dom)
     body = next((i for i in range(n) if dom.tag[i] == "body"), 0)
-    if body and any(node >= 0 and s.strip() and not cut[node] and not under(dom, node, body) for node, s in dom.flow):
+    inside = inherited(dom, [i == body for i in range(n)])
+    if body and any(node >= 0 and s.strip() and not cut[node] and not inside[node] for node, s in dom.flow):
         body = 0  # a stray end tag put text behind the body
     host = hosts(dom)
     dense = densities(dom, cut, body, host)
@@ -210,16 +274,20 @@ def main_nodes(dom: Dom) -> list[bool]:
             reached[i] = reached[host[i]] and not cut[i] and not formatting(dom.tag[i]) and dense[i] >= threshold - 1e-9
         if reached[i] and dense[i] > 0:
             chosen.add(best[i])
-    kept = [False] * n
-    for i in range(n):
-        kept[i] = not cut[i] and (i in chosen or (i > 0 and kept[dom.parent[i]]))
+    kept = article(dom, cut, chosen)
+    if not any(kept[i] and dom.tag[i] == "h1" for i in range(n)):
+        begin = next((i for i in range(n) if kept[i]), 0)
+        if heading := [i for i in range(begin) if dom.tag[i] == "h1" and not cut[i]]:
+            kept = article(dom, cut, chosen | {heading[-1]})
     return kept
 
 
-def under(dom: Dom, node: int, top: int) -> bool:
-    while node > top:
-        node = dom.parent[node]
-    return node == top
+def article(dom: Dom, cut: list[bool], chosen: set[int]) -> list[bool]:
+    """The nodes below the chosen ones that are not cut."""
+    kept = [False] * len(cut)
+    for i in range(len(cut)):
+        kept[i] = not cut[i] and (i in chosen or (i > 0 and kept[dom.parent[i]]))
+    return kept
 
 
 def main_text(page: str | None) -> str:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import struct
 import time
@@ -228,6 +229,56 @@ def test_html_finds_the_article():
     assert html_text.main_text(page) == "Big title\nFirst & bold text\nsecond <para>, link goes on."
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="post-header"><h1>Title</h1></div><div class="content"><p>Some long text, with several words and more.</p><p>And a second paragraph that goes on.</p></div>', "Title\nSome long text, with several words and more.\nAnd a second paragraph that goes on."),
+        ('<p>A <span class="notice-word">word</span> in text.</p>', "A word in text."),
+        ('<p class="comment-free">Stays here.</p>', "Stays here."),
+        ('<div class="layout sidebar-right"><div class="x"><p>One paragraph of text.</p><p>Two paragraphs of text.</p></div></div>', "One paragraph of text.\nTwo paragraphs of text."),
+        ('<div class="logo"><h1>Site</h1></div><article><header class="entry-header"><h1>T</h1></header><p>Body text of the article here.</p></article><div class="comments-area"><article class="comment"><p>so nice a page this is, so nice</p></article></div>', "T\nBody text of the article here."),
+        ('<div class="header"><h1>Site</h1></div><div><h1>Real</h1><p>Text of the page that is long enough.</p></div><div class="ad-slot">buy</div><p class="cookie-notice">we use</p>', "Real\nText of the page that is long enough."),
+    ],
+)
+def test_html_names_cut_blocks_beside_the_article_only(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_html_densities_are_brute_force():
+    page = "<body><div><p>one two <b>three</b></p><p>four <a href=x>five six</a></p></div><nav>menu</nav><div>seven</div></body>"
+    dom = html_text.parse(page)
+    cut, host = html_text.cut_nodes(dom), html_text.hosts(dom)
+    got = html_text.densities(dom, cut, dom.tag.index("body"), host)
+    below = lambda i, up: i == up or (i > 0 and below(host[i], up))
+    nodes = [i for i in range(len(dom.tag)) if not cut[i]]
+    size = lambda i, link: sum(len(s.replace(" ", "")) for node, s in dom.flow if node >= 0 and not cut[node] and below(node if node == i else host[node] if html_text.formatting(dom.tag[node]) else node, i) and (not link or dom.tag[node] == "a"))
+    body = dom.tag.index("body")
+    share = size(body, True) / size(body, False)
+    for i in nodes:
+        if html_text.formatting(dom.tag[i]):
+            continue
+        c, lc = size(i, False), size(i, True)
+        t = max(1, sum(j != i and below(j, i) and not html_text.formatting(dom.tag[j]) for j in nodes))
+        lt = sum(j != i and below(j, i) and dom.tag[j] == "a" for j in nodes)
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        assert got[i] == pytest.approx(max(0.0, c / t * math.log(c / max(1, lc) * t / max(1, lt) + 1e-9, base))), dom.tag[i]
+
+
+@pytest.mark.parametrize("page", ["</b>" * 100_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, "<b>" * 100_000 + "<hr>" * 100_000, "<div>" * 50_000 + "</body>" + "text <i>x</i>" * 50_000, "<p><div>" + "<b>" * 50_000 + "<hr>" * 50_000])
+def test_html_time_is_linear(page):
+    began = time.time()
+    html_text.main_text(page)
+    assert time.time() - began < 10
+
+
+def test_html_ties_go_to_the_first_and_repeated_rows_stay(spark):
+    same = "<div><p>alpha beta gamma</p></div>"
+    dom = html_text.parse(f"<body>{same}{same}</body>")
+    assert html_text.main_text(f"<body>{same}{same}</body>") == "alpha beta gamma\nalpha beta gamma" and any(html_text.main_nodes(dom))
+    df = spark.createDataFrame([(1, same)] * 3, "page_id long, html string")
+    assert [r["text"] for r in html_text.extract(df).collect()] == ["alpha beta gamma"] * 3
+
+
 def test_html_edges(spark, sf):
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p>") == "" and html_text.main_text("just text &amp; more") == "just text & more"
     assert html_text.main_text("<div>" * 20_000 + "deep") == "deep" and html_text.main_text('<p a="x>y') in ("", "y")
