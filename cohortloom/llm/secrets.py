@@ -2,10 +2,12 @@
 
 Each rule's regular expression is parsed into a Boolean query over trigrams: literal runs
 give conjunctions, alternatives give disjunctions, and what can be left out gives nothing.
-Over each batch the needed trigrams' postings (which texts hold them) are made once; a
-rule's query intersects and unites postings, and only the candidates run its expression.
-Rules without a mandatory trigram scan everything. Letters are compared in lower case in
-the index, so a candidate set is never too small.
+Texts are read about a megabyte at a time: every trigram of their bytes becomes a number once,
+one table look-up each says which of the rules' trigrams it is, and what is found makes the
+postings (which texts hold which trigram). A rule's query intersects and unites postings, and
+only the candidates run its expression, so the cost of the index does not grow with the rules.
+Rules without a mandatory trigram scan everything. A-Z count as a-z in the index, and a letter
+that a rule reads in other cases too is no part of a query, so candidates are never too few.
 
 Edge cases: null text counts as empty and holds no secret; repeated rows stay; very long
 texts are scanned whole; extra columns are ignored.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import portions, table
 
 
 @dataclass(frozen=True)
@@ -71,15 +73,22 @@ def disj(parts):
 
 
 def of_text(s: str):
-    s = s.lower()
-    return conj([("tri", s[i : i + 3]) for i in range(len(s) - 2)])
+    b = s.encode("utf-8", "surrogatepass").translate(LOWER_BYTES)
+    return conj([("tri", b[i : i + 3]) for i in range(len(b) - 2)])
 
 
+#: A-Z as a-z, all other bytes as they are.
+LOWER_BYTES = bytes(i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 MAX_STRINGS = 16
 
 
 def trigram_query(pattern: str, flags: int = 0):
     """Boolean trigram query that every text with a match satisfies."""
+    any_case = flags & re.IGNORECASE
+
+    def sure(c: int) -> bool:
+        """Is the letter itself, or A-Z for a-z, all that it can match?"""
+        return not any_case or (c < 128 and (bool(flags & re.ASCII) or chr(c) not in "iIkKsS"))
 
     def walk(items):
         """(exact strings that the items can spell, or None; query)."""
@@ -93,9 +102,9 @@ def trigram_query(pattern: str, flags: int = 0):
         for op, arg in items:
             exact = None
             query = True
-            if op is C.LITERAL:
+            if op is C.LITERAL and sure(arg):
                 exact = [chr(arg)]
-            elif op is C.IN and all(k is C.LITERAL for k, _ in arg):
+            elif op is C.IN and all(k is C.LITERAL and sure(v) for k, v in arg):
                 exact = [chr(v) for _, v in arg]
             elif op is C.SUBPATTERN:
                 exact, query = walk(arg[3])
@@ -115,7 +124,7 @@ def trigram_query(pattern: str, flags: int = 0):
             elif op is C.AT:
                 exact = [""]
             if exact is not None:
-                exact = list(dict.fromkeys(s.lower() for s in exact))
+                exact = list(dict.fromkeys(exact))
                 if len(runs[-1]) * len(exact) <= MAX_STRINGS:
                     runs[-1] = [a + b for a in runs[-1] for b in exact]
                     continue
@@ -131,13 +140,13 @@ def trigram_query(pattern: str, flags: int = 0):
     return query if exact is None else disj([of_text(s) for s in exact])
 
 
-def trigrams_in(query) -> set[str]:
+def trigrams_in(query) -> set[bytes]:
     if query is True:
         return set()
     return {query[1]} if query[0] == "tri" else set().union(*(trigrams_in(q) for q in query[1:]))
 
 
-def candidates(query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
+def candidates(query, postings: dict[bytes, np.ndarray], n: int) -> np.ndarray:
     """Which of n texts satisfy the query."""
     if query is True:
         return np.ones(n, bool)
@@ -147,6 +156,30 @@ def candidates(query, postings: dict[str, np.ndarray], n: int) -> np.ndarray:
     return (np.logical_and if query[0] == "and" else np.logical_or).reduce(parts)
 
 
+def numbered(trigrams: list[bytes]) -> np.ndarray:
+    """For each of all trigrams of bytes its number in the list, counted from 1, or 0."""
+    place = np.zeros(1 << 24, np.uint16 if len(trigrams) < 1 << 16 else np.uint32)
+    for k, g in enumerate(trigrams):
+        place[g[0] << 16 | g[1] << 8 | g[2]] = k + 1
+    return place
+
+
+def postings_of(texts: list[str], place: np.ndarray, n: int) -> np.ndarray:
+    """(n, texts): which texts hold each trigram."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(p) for p in parts])
+    c = np.frombuffer(b"".join(parts).translate(LOWER_BYTES), np.uint8)
+    out = np.zeros((n, len(texts)), bool)
+    for a in range(0, len(c), 1 << 20):
+        x = c[a : a + (1 << 20) + 2].astype(np.uint32)
+        number = place[x[:-2] << 16 | x[1:-1] << 8 | x[2:]]
+        at = np.flatnonzero(number)
+        owner = np.searchsorted(ends, at + a, side="right")
+        whole = at + a + 2 < ends[owner]  # not across two texts
+        out[number[at[whole]].astype(np.int64) - 1, owner[whole]] = True
+    return out
+
+
 def matches(rule: SecretRule, compiled: re.Pattern, text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), rule.kind) for m in compiled.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
@@ -167,15 +200,17 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretRul
 
     def run(batches):
         ready = [compiled(r) for r in rules]
+        place = numbered(needed)
         for b in batches:
-            texts = [t or "" for t in b.column(text_col).to_pylist()]
-            lower = [t.lower() for t in texts]
-            postings = {g: np.fromiter((g in t for t in lower), bool, len(lower)) for g in needed}
-            found: list[list] = [[] for _ in texts]
-            for rule, regex, query in zip(rules, ready, queries):
-                for i in np.flatnonzero(candidates(query, postings, len(texts))).tolist():
-                    found[i] += matches(rule, regex, texts[i])
-            spans = [[{"kind": k, "start": s, "end": e} for s, e, k in sorted(x, key=lambda m: (m[0], order[m[2]]))] for x in found]
+            spans: list[list] = []
+            for texts in portions(b.column(text_col).to_pylist()):
+                texts = [t or "" for t in texts]
+                held = dict(zip(needed, postings_of(texts, place, len(needed))))
+                found: list[list] = [[] for _ in texts]
+                for rule, regex, query in zip(rules, ready, queries):
+                    for i in np.flatnonzero(candidates(query, held, len(texts))).tolist():
+                        found[i] += matches(rule, regex, texts[i])
+                spans += [[{"kind": k, "start": s, "end": e} for s, e, k in sorted(x, key=lambda m: (m[0], order[m[2]]))] for x in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], [*b.schema.names, out_col])
 
     docs = docs.drop(out_col)

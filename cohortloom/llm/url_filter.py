@@ -1,14 +1,18 @@
 """URL filters: rules indexed by their rarest literal token.
 
-Every rule names literal tokens that any URL it fits must contain. The token that the
+Rules are patterns over host and path: plain text, `*` for anything, `^` for a separator or the
+end, `||` at the beginning for the start of the host or of one of its labels. Every rule
+names literal tokens that any URL it fits must contain as a whole. The token that the
 corpus holds least often becomes the rule's key; a URL's own tokens then fetch the
-candidate rules, and only those run their regular expressions. The rule list is
-configuration (bounded by ``MAX_RULES``), so its index travels in the task closure;
-pages are never shuffled.
+candidate rules, and only those run their regular expressions (the rarest token of a long
+pattern says little about the rest, so most candidates can still be rejected). Rules without
+a whole token are tried on every URL. Rules are judged in blocks of ``BLOCK_RULES``, whose index
+travels in the task closure; pages are never shuffled.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path, no rule and the
 method's verdict (allow); an empty table gives an empty result; repeated rows stay; extra
-columns are ignored; among equally long base rules the one listed first wins.
+columns are ignored; among equally long base rules the one listed first wins, and of several
+patterns the one listed first is named.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import LOWER, UPPER, ascii_lower, table
 
-MAX_RULES = 20_000
+BLOCK_RULES = 20_000
 TOKEN = re.compile(r"[a-z0-9]+")
+_LOWER = str.maketrans(UPPER, LOWER)
 
 
 @dataclass(frozen=True)
@@ -47,9 +52,17 @@ def site_rule(verdict: str, name: str) -> UrlRule:
     return UrlRule(name, verdict, rf"\A(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}", tuple(tokens), True)
 
 
-def word_rule(word: str) -> UrlRule:
-    """Blocks URLs with the word as a whole token of host or path."""
-    return UrlRule(f"word:{word}", "block", rf"(?:\A|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|\Z)", (word,))
+SEPARATOR = "[^a-z0-9_.%-]"
+
+
+def pattern_rule(text: str, verdict: str = "block") -> UrlRule:
+    """A rule from a pattern in lower case, such as `||ads.` or `/track/*.gif^`."""
+    body = text.removeprefix("||")
+    begin = r"(?:\A|\A[^/]*\.)" if body != text else ""
+    pattern = begin + "".join(".*" if c == "*" else rf"(?:{SEPARATOR}|\Z)" if c == "^" else re.escape(c) for c in body)
+    # a token is whole if the pattern itself bounds it
+    tokens = [m[0] for m in TOKEN.finditer(body) if (m.start() > 0 or begin) and body[m.start() - 1 : m.start()] != "*" and body[m.end() : m.end() + 1] not in ("", "*")]
+    return UrlRule(text, verdict, pattern, tuple(tokens))
 
 
 SITE_RULES = (
@@ -58,8 +71,31 @@ SITE_RULES = (
     site_rule("block", "example.com/de/"),
     site_rule("allow", "org/fr/"),
 )
-BLOCK_WORDS = ("ads", "adserver", "casino", "checkout", "login", "porn", "signup", "tracker", "viagra", "xxx")
-DEFAULT_RULES = SITE_RULES + tuple(word_rule(w) for w in BLOCK_WORDS)
+#: Adverts, trackers, accounts, shops' tills, betting, pills, adult pages and spam.
+BLOCK_PATTERNS = (
+    "||ads.",
+    "||ads-*.",
+    "||adserver*.",
+    "/ads/*",
+    "||track.",
+    "||tracker*.",
+    "/track/*.gif^",
+    "||casino-*.",
+    "||*-casino.",
+    "||free-bets.",
+    "||cheap-pills.",
+    "/viagra-*",
+    "||xxx.",
+    "||adult-*.",
+    "||spam-*.",
+    "/porn/",
+    "/login^",
+    "/signup^",
+    "/cart/*/checkout^",
+    "/wp-login.php^",
+    "/tag/*/page/",
+)
+DEFAULT_RULES = SITE_RULES + tuple(map(pattern_rule, BLOCK_PATTERNS))
 
 
 def host_of(url: Column) -> Column:
@@ -78,10 +114,18 @@ def token_counts(pages: DataFrame, url_col: str, tokens: list[str]) -> dict[str,
     return {r["t"]: r["count"] for r in rows}
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = DEFAULT_RULES) -> DataFrame:
-    """(id, host, path, rule, verdict, pattern_rule, n_candidates) of every row."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES}")
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = DEFAULT_RULES, block_rules: int = BLOCK_RULES) -> DataFrame:
+    """(id, host, path, rule, verdict, pattern_rule, n_candidates, n_rejected) of every row."""
+    rows = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("pattern_rule"), F.lit(0).cast("long").alias("n_candidates"), F.lit(0).cast("long").alias("n_rejected"))
+    kind = rows.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, host string, path string, rule string, verdict string, pattern_rule string, n_candidates long, n_rejected long"
+    for k in range(0, len(rules), block_rules):
+        rows = rows.mapInArrow(_judge(pages, url_col, rules[k : k + block_rules]), schema)
+    return rows
+
+
+def _judge(pages: DataFrame, url_col: str, rules: tuple[UrlRule, ...]):
+    """Work of one block of rules on rows that bear the outcome of those before."""
     names = sorted({t for r in rules for t in r.tokens})
     seen = token_counts(pages, url_col, names)
     index: dict[str, list[int]] = {}
@@ -91,38 +135,39 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         (index.setdefault(key, []) if key is not None else always).append(i)
 
     def judge(batches):
-        compiled = [re.compile(r.pattern, re.S) for r in rules]
+        compiled: dict[int, re.Pattern] = {}
         for b in batches:
-            rule, verdict, pattern, n_cand = [], [], [], []
-            for host, path in zip(b.column("host").to_pylist(), b.column("path").to_pylist()):
+            cols = {c: b.column(c).to_pylist() for c in b.schema.names[1:]}
+            for n, (host, path) in enumerate(zip(cols["host"], cols["path"])):
                 whole = host + path
-                low = whole.lower()
+                low = whole.translate(_LOWER)
                 cand = {i for t in set(TOKEN.findall(low)) for i in index.get(t, ())}
                 cand.update(always)
-                site = word = None
                 for i in sorted(cand):
                     r = rules[i]
-                    if compiled[i].search(whole if r.site else low):
-                        if r.site:
-                            site = r if site is None or len(r.name) > len(site.name) else site
-                        elif word is None:
-                            word = r
-                rule.append(site and site.name)
-                pattern.append(word and word.name)
-                verdict.append((site or word).verdict if site or word else "allow")
-                n_cand.append(len(cand))
-            yield pa.RecordBatch.from_arrays([b.column(id_col), b.column("host"), b.column("path"), pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(pattern, pa.string()), pa.array(n_cand, pa.int64())], [id_col, "host", "path", "rule", "verdict", "pattern_rule", "n_candidates"])
-
-    rows = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(judge, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, pattern_rule string, n_candidates long")
+                    if i not in compiled:
+                        compiled[i] = re.compile(r.pattern, re.S)
+                    if not compiled[i].search(whole if r.site else low):
+                        cols["n_rejected"][n] += 1
+                    elif r.site:
+                        if cols["rule"][n] is None or len(r.name) > len(cols["rule"][n]):
+                            cols["rule"][n], cols["verdict"][n] = r.name, r.verdict
+                    elif cols["pattern_rule"][n] is None:
+                        cols["pattern_rule"][n] = r.name
+                        if cols["rule"][n] is None:
+                            cols["verdict"][n] = r.verdict
+                cols["n_candidates"][n] += len(cand)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, b.schema.field(c).type) for c, v in cols.items())], b.schema.names)
+
+    return judge
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-_WORDS = "|".join(BLOCK_WORDS)
+#: The patterns again, as one expression for the SQL's engine.
+_PATTERNS = "|".join(f"(?:{r.pattern})" for r in DEFAULT_RULES if not r.site).replace(r"\A", "^").replace(r"\Z", "$")
 OP3_SQL = rf"""
 WITH parts AS (
   SELECT page_id,
@@ -139,7 +184,7 @@ ruled AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
        WHEN rule IS NOT NULL THEN 'allow'
-       WHEN regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])({_WORDS})([^a-z0-9]|$)') THEN 'block'
+       WHEN regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?s){_PATTERNS}') THEN 'block'
        ELSE 'allow' END AS verdict
 FROM ruled
 """

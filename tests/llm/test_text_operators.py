@@ -193,16 +193,43 @@ def test_near_dedup_pairs_without_a_shared_band(spark, monkeypatch):
 # urls
 
 
+def url_frame(spark, urls):
+    return spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+
+
 def test_url_rules(spark):
-    urls = ["http://A.net/", None, "no scheme", "https://example.net/en/x?y", "https://notexample.net/en/", "http://www.example.com/de/a#b", "x://org/fr/", "https://a.org/fr/?q=ads", "http://b.org/ads/1", "http://b.org/Adserver", "http://b.org/loads", "http://u.de/x\ny://q.net/"]
-    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    urls = ["http://A.net/", None, "no scheme", "https://example.net/en/x?y", "https://notexample.net/en/", "http://www.example.com/de/a#b", "x://org/fr/", "https://a.org/fr/?q=ads", "http://b.org/ads/1", "http://b.org/Login", "http://b.org/loads/", "http://u.de/x\ny://q.net/", "http://m.casino-win.b.org/", "http://b.org/casino-win.", "http://b.org/track/a/b.gif", "http://b.org/track/a/b.gifs", "http://b.org/trac\u212a/x.gif", "http://" + "l" * 200_000 + ".b.org/ads/"]
+    df = url_frame(spark, urls + urls[:1])
     got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df).collect()}
-    assert got[0] == ("a.net", "net/", "block") and got[1] == ("", None, "allow") and got[2] == ("", None, "allow")
+    assert got[0] == got[18] == ("a.net", "net/", "block") and got[1] == ("", None, "allow") and got[2] == ("", None, "allow")
     assert got[3][1:] == ("example.net/en/", "allow") and got[4][1:] == ("net/", "block") and got[5][1:] == ("example.com/de/", "block")
-    assert got[6][1:] == got[7][1:] == ("org/fr/", "allow") and got[8][2] == got[9][2] == "block" and got[10][2] == "allow" and got[11][0] == "u.de"
+    assert got[6][1:] == got[7][1:] == ("org/fr/", "allow") and got[11][0] == "u.de"
+    assert [got[i][2] for i in (8, 9, 10, 12, 13, 14, 15, 16, 17)] == ["block", "block", "allow", "block", "allow", "block", "allow", "allow", "block"]
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_patterns_are_brute_force_and_index_skips(spark, sf):
+    rng = np.random.default_rng(4)
+    words = ["ads", "track", "casino", "win", "login", "tag", "page", "a", "b", "net", "org", "gif", "cart", "checkout", "viagra"]
+    urls = ["http://" + ".".join(rng.choice(words, rng.integers(1, 4))) + rng.choice(["", "-x"]) + ".de/" + rng.choice(["/", "-", "."]).join(rng.choice(words, rng.integers(1, 5))) for _ in range(800)]
+    rules = url_filter.DEFAULT_RULES
+    for block in (3, 1000):
+        got = url_filter.judge_urls(url_frame(spark, urls), block_rules=block).collect()
+        for r in got:
+            whole = r["host"] + r["path"]
+            sites = [x for x in rules if x.site and re.search(x.pattern, whole, re.S)]
+            fits = [x for x in rules if not x.site and re.search(x.pattern, whole.lower(), re.S)]
+            best = max(sites, key=lambda x: len(x.name), default=None)
+            assert (r["rule"], r["pattern_rule"]) == (best and best.name, fits[0].name if fits else None)
+            assert r["verdict"] == (best or (fits or [None])[0] or url_filter.SITE_RULES[1]).verdict
+        assert sum(r["n_rejected"] for r in got) > 0 and sum(r["n_candidates"] for r in got) < 0.5 * len(rules) * len(got) and any(r["pattern_rule"] for r in got)
+
+
+def test_equally_long_site_rules_and_the_first_wins(spark):
+    rules = (url_filter.site_rule("allow", "de/a/"), url_filter.site_rule("block", "de/a/"))
+    assert url_filter.judge_urls(url_frame(spark, ["http://x.de/a/"]), rules=rules).first()["verdict"] == "allow"
+
+
 # decontamination
 
 
@@ -413,6 +440,23 @@ def test_secrets_are_brute_force(spark, sf, docs):
     assert all(r[i]["base_sha256"] == hashlib.sha256(",".join(brute_secrets(t)).encode()).hexdigest() for i, t in docs)
 
 
+def test_secret_postings_are_brute_force_and_rules_of_any_case():
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("abcABCé \n"), rng.integers(0, 60))) for _ in range(300)] + ["", "ab", "x" * 1_200_000 + "abc"]
+    needed = [b"abc", b"bca", "cé".encode(), b"aaa"]
+    got = secrets.postings_of(texts, secrets.numbered(needed), len(needed))
+    low = [t.encode().translate(secrets.LOWER_BYTES) for t in texts]
+    assert (got == np.array([[g in t for t in low] for g in needed])).all()
+    kelvin = "to\u212aen"
+    assert re.search("token", kelvin, re.I) and secrets.trigram_query("token", re.I) is True and secrets.trigram_query("token", re.I | re.A) is not True
+
+
+def test_secrets_of_a_very_long_text_and_repeated_rows(spark):
+    text = "word " * 300_000 + "password=abcdefgh1 " + "é" * 10
+    got = secrets.find_secrets(frame(spark, [(1, text, "", "", 0)] * 2)).collect()
+    assert [[(s["kind"], s["start"], s["end"]) for s in r["secrets"]] for r in got] == [[("assign", 1_500_000, 1_500_018)]] * 2
+
+
 def test_secrets_edges(spark):
     assert all(r["secrets"] == [] for r in secrets.find_secrets(frame(spark)).collect()) and secrets.find_secrets(frame(spark).limit(0)).count() == 0
     assert secrets.trigram_query("[0-9a-f]+") is True
