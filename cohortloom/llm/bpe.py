@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, table, unpack
+from .common import pack, parts, table, unpack
 
 CHUNK_BYTES = 8 << 20
 CHUNK_ROWS = 1 << 16
@@ -313,8 +313,9 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
     vocab = docs.sparkSession.sparkContext.broadcast(_vocab(vocab_path))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     n = max(1, -(-size // BUCKET_BYTES))
+    spread_over = parts(docs.sparkSession, n)
     # one exchange of the chunks serves both uses below, so both read all columns
-    chunks = split_chunks(docs, pattern, id_col, text_col).repartition("chunk")
+    chunks = split_chunks(docs, pattern, id_col, text_col).repartition(spread_over, "chunk")
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
 
     def ask(batches):
@@ -333,7 +334,7 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
         start = np.cumsum(n_ids) - n_ids
         return pa.table({"bucket": rows["bucket"], "chunk": rows["chunk"], "n_ids": pa.array([pack(n_ids[w].astype(np.uint32)) for w in asked], pa.binary()), "word_ids": pa.array([pack(flat[spread(start[w], n_ids[w])].astype(np.uint32)) for w in asked], pa.binary())})
 
-    answers = chunks.mapInArrow(ask, "bucket long, chunk long, words binary").groupBy("bucket").applyInArrow(encode, "bucket long, chunk long, n_ids binary, word_ids binary")
+    answers = chunks.mapInArrow(ask, "bucket long, chunk long, words binary").repartition(spread_over, "bucket").groupBy("bucket").applyInArrow(encode, "bucket long, chunk long, n_ids binary, word_ids binary")
 
     def write(chunk: pa.Table, got: pa.Table) -> pa.Table:
         got = got.sort_by("bucket")
@@ -359,7 +360,7 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
         return pa.table(cols | ({"ids": pa.array(out["ids"], pa.list_(pa.int32()))} if keep_ids else {}))
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(write, schema)
+    return chunks.groupBy("chunk").cogroup(answers.repartition(spread_over, "chunk").groupBy("chunk")).applyInArrow(write, schema)
 
 
 def default_vocab() -> tuple[str, str]:

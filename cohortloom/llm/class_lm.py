@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, crc_mod, pack, table, unpack
+from .common import checkpoint, crc_mod, pack, parts, table, unpack
 
 CHUNK_BYTES = 16 << 20
 CHUNK_ROWS = 1 << 16
@@ -106,7 +106,7 @@ def training_run(row: dict) -> np.ndarray:
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:
-    """A row per chunk: totals (training count of each of its words), and of the words that it is the first to hold: how many were trained, once, and the most frequent."""
+    """Of checkpointed chunks, a row per chunk: totals (training count of each of its words), and of the words that it is the first to hold: how many were trained, once, and the most frequent."""
 
     def count(batches):
         for b in batches:
@@ -117,7 +117,8 @@ def word_counts(chunks: DataFrame) -> DataFrame:
 
     uses = chunks.select("chunk", "train", "lens", "seq", "hashes").mapInArrow(count, "h long, chunk long, n long")
     w = Window.partitionBy("h")
-    known = uses.select("chunk", "h", F.sum("n").over(w).alias("total"), (F.row_number().over(w.orderBy("chunk")) == 1).alias("first"))
+    n = parts(chunks.sparkSession, chunks.count())  # some 300,000 words a chunk
+    known = uses.repartition(n, "h").select("chunk", "h", F.sum("n").over(w).alias("total"), (F.row_number().over(w.orderBy("chunk")) == 1).alias("first"))
 
     def gather(rows: pa.Table) -> pa.Table:
         h = rows["h"].to_numpy().view(np.uint64)
@@ -128,7 +129,7 @@ def word_counts(chunks: DataFrame) -> DataFrame:
         one = {"chunk": rows["chunk"][0], "totals": pack(total), "n_tokens": int(total[first].sum()), "n_distinct": int((total[first] > 0).sum()), "n_once": int((total[first] == 1).sum()), "top": [{"n": int(total[i]), "h": int(h[i].view(np.int64))} for i in top]}
         return pa.Table.from_pylist([one], pa.schema([("chunk", pa.int64()), ("totals", pa.binary()), ("n_tokens", pa.int64()), ("n_distinct", pa.int64()), ("n_once", pa.int64()), ("top", pa.list_(pa.struct([("n", pa.int64()), ("h", pa.int64())])))]))
 
-    return known.groupBy("chunk").applyInArrow(gather, "chunk long, totals binary, n_tokens long, n_distinct long, n_once long, top array<struct<n:bigint,h:bigint>>")
+    return known.repartition(n, "chunk").groupBy("chunk").applyInArrow(gather, "chunk long, totals binary, n_tokens long, n_distinct long, n_once long, top array<struct<n:bigint,h:bigint>>")
 
 
 def class_run(row: dict, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,9 +250,9 @@ def summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.
     return out, total
 
 
-def turn(slots: np.ndarray, parts: int) -> np.ndarray:
-    """Which of the parts (a power of two) the words of a slot belong to."""
-    return (slots * np.uint32(0x9E3779B1)) >> np.uint32(33 - parts.bit_length()) if parts > 1 else np.zeros_like(slots)
+def turn(slots: np.ndarray, of: int) -> np.ndarray:
+    """Which of so many parts (a power of two above 1) the words of a slot belong to."""
+    return (slots * np.uint32(0x9E3779B1)) >> np.uint32(33 - of.bit_length())
 
 
 def log_likelihood(table_: np.ndarray) -> float:
@@ -260,7 +261,7 @@ def log_likelihood(table_: np.ndarray) -> float:
     return float(xlogx(n).sum() - xlogx(n.sum(axis=0)).sum() - xlogx(n.sum(axis=1)).sum())
 
 
-def exchange_round(chunks: DataFrame, classes, table_: np.ndarray, part: int, parts: int) -> dict[int, bytes]:
+def exchange_round(chunks: DataFrame, classes, table_: np.ndarray, part: int, of: int) -> dict[int, bytes]:
     """The new classes of every range of slots that holds a word of the part, after it has moved."""
     span = 1 << RANGE_BITS
 
@@ -269,7 +270,7 @@ def exchange_round(chunks: DataFrame, classes, table_: np.ndarray, part: int, pa
             for row in b.to_pylist():
                 cls, slots = class_run(row, classes.value)
                 slot, ctx, n = contexts_of(training_run(row), cls.astype(np.int64), slots)
-                mine = turn(slot, parts) == part
+                mine = turn(slot, of) == part
                 slot, ctx, n = slot[mine], ctx[mine], n[mine]
                 present, starts = np.unique(slot >> RANGE_BITS, return_index=True)
                 cuts = [*starts.tolist(), len(slot)]
@@ -306,7 +307,8 @@ def exchange_round(chunks: DataFrame, classes, table_: np.ndarray, part: int, pa
         if at is not None:
             yield settled(at, keys, n)
 
-    rows = sent.repartition("slots").sortWithinPartitions("slots").mapInArrow(merge, "slots int, classes binary").collect()  # a byte per slot
+    n = min(parts(chunks.sparkSession, chunks.count()), 1 << (SLOT_BITS - RANGE_BITS))
+    rows = sent.repartition(n, "slots").sortWithinPartitions("slots").mapInArrow(merge, "slots int, classes binary").collect()  # a byte per slot
     return {r["slots"]: r["classes"] for r in rows}
 
 
@@ -319,10 +321,10 @@ def exchange(chunks: DataFrame, counted: DataFrame, rounds: int = ROUNDS) -> tup
         classes[slots_of(np.array([r["h"]], np.int64).view(np.uint64))] = k
     shared = sc.broadcast(classes)
     table_ = class_bigrams(chunks, shared)
-    parts, part = 2, 0
+    of, part = 2, 0
     for _ in range(rounds if table_.any() else 0):
         new = classes.copy()
-        for at, some in exchange_round(chunks, shared, table_, part % parts, parts).items():
+        for at, some in exchange_round(chunks, shared, table_, part % of, of).items():
             new[at << RANGE_BITS : (at + 1) << RANGE_BITS] = np.frombuffer(some, np.uint8)
         sent = sc.broadcast(new)
         after = class_bigrams(chunks, sent)
@@ -331,7 +333,7 @@ def exchange(chunks: DataFrame, counted: DataFrame, rounds: int = ROUNDS) -> tup
             classes, shared, table_, part = new, sent, after, part + 1
         else:  # too many moved together
             sent.unpersist()
-            parts *= 2
+            of *= 2
     return shared, table_
 
 

@@ -68,13 +68,18 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def parts(spark: SparkSession, least: int) -> int:
+    """Partitions of a shuffle: the session's number, or more where the data ask for it."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage by a copy in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges(a long, b long); component is the smallest node reachable.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) as joins on
@@ -86,7 +91,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
-    for _ in range(max_rounds):
+    while True:  # every round that changes anything lowers a neighbour, so this ends
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: neighbours above u point at the least of u's neighbourhood
@@ -99,7 +104,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
