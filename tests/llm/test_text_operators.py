@@ -401,23 +401,145 @@ def test_bpe_of_words_of_a_million_characters(spark):
 # pictures
 
 
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
 def test_media_finds_edited_copies(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.normal(0, 0.4, 64)]) for i in range(60)]
-    rows += [(i + 1000, rows[7][1]) for i in range(40)] + [(2000, None), (2001, None), (None, rows[1][1])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = {r["id"]: r for r in media.copy_search(media.pictures(vectors.where("vec_id < 60"), change=True), media.pictures(vectors)).collect()}
-    recall = np.mean([found[i]["best_query"] == i for i in range(60)])
-    assert recall >= 0.9 and sum(r["n_links"] for r in found.values() if r["id"] < 60) <= 62
-    assert {found[1000 + i]["class_id"] for i in range(40)} == {7} and found[2001]["class_id"] == 2000 and found[2000]["n_links"] == 0 and None not in found
-    empty = media.pictures(vectors.limit(0))
+    rows = [(100 * i, [float(x) for x in rng.normal(0, 0.4, 64)]) for i in range(60)]
+    rows += [(i + 10_000, rows[7][1]) for i in range(40)] + [(20_000, None), (20_001, None), (None, rows[1][1])]
+    drawn = vectors(spark, rows).withColumn("corners", F.lit("clash")).withColumn("digest", F.lit("clash"))
+    found = {r["id"]: r for r in media.copy_search(media.pictures(drawn.where("vec_id < 6000"), change=True), media.pictures(drawn)).collect()}
+    recall = np.mean([found[100 * i]["best_query"] == 100 * i for i in range(60)])
+    assert recall >= 0.9 and sum(r["n_links"] for r in found.values() if r["id"] < 6000) <= 62
+    assert {found[10_000 + i]["class_id"] for i in range(40)} == {700} and {found[10_000 + i]["n_links"] for i in range(40)} == {found[700]["n_links"]}
+    assert found[20_001]["class_id"] == 20_000 and found[20_000]["n_links"] == 0 and found[20_000]["status"] == "empty" and None not in found
+    empty = media.pictures(drawn.limit(0))
     assert media.copy_search(empty, empty).count() == 0
 
 
-def test_media_reads_images_and_tables_are_complete():
+def bilinear(grey, y, x):
+    y, x = np.clip(y, 0, grey.shape[0] - 1.001), np.clip(x, 0, grey.shape[1] - 1.001)
+    a, b = y.astype(int), x.astype(int)
+    f, g = y - a, x - b
+    return (grey[a, b] * (1 - g) + grey[a, b + 1] * g) * (1 - f) + (grey[a + 1, b] * (1 - g) + grey[a + 1, b + 1] * g) * f
+
+
+def turned(grey, degrees):
+    t, (h, w) = np.deg2rad(degrees), grey.shape
+    y, x = np.mgrid[:h, :w] - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
+    return bilinear(grey, np.cos(t) * y - np.sin(t) * x + (h - 1) / 2, np.sin(t) * y + np.cos(t) * x + (w - 1) / 2)
+
+
+def enlarged(grey, f):
+    y, x = np.mgrid[: int(grey.shape[0] * f), : int(grey.shape[1] * f)]
+    return bilinear(grey, (y + 0.5) / f - 0.5, (x + 0.5) / f - 0.5)
+
+
+EDITS = {
+    "same": (lambda g: g, 0.95),
+    "crop": (lambda g: g[:, 20:], 0.9),
+    "turn 3": (lambda g: turned(g, 3), 0.9),
+    "turn 15": (lambda g: turned(g, 15), 0.8),
+    "turn 90": (np.rot90, 0.95),
+    "1.25 x": (lambda g: enlarged(g, 1.25), 0.9),
+    "2 x": (lambda g: enlarged(g, 2), 0.9),
+    "0.8 x": (lambda g: media.resized(g, 1.25), 0.9),
+    "blur": (lambda g: media._box(g, 1), 0.9),
+    "16 x and turn": (lambda g: turned(enlarged(g, 4), 2), None),
+}
+
+
+def matched(a, b, side):
+    """Consensus of two described images, all pairs of corners tried."""
+    d = np.bitwise_count((a[4][:, None] ^ b[4][None]).view(np.uint64)) + np.bitwise_count((a[5][:, None] ^ b[5][None]).view(np.uint64))
+    i, j = np.nonzero(d <= media.RADIUS)
+    if len(i) < media.INLIERS:
+        return None
+    names = ("qx", "qy", "qs", "qa"), ("x", "y", "s", "a")
+    m = {n: a[k][i] for k, n in enumerate(names[0])} | {n: b[k][j] for k, n in enumerate(names[1])}
+    return media.consensus(m | {"near": np.full(len(i), side * media.NEAR_SHARE)})
+
+
+@pytest.mark.parametrize("name", EDITS)
+def test_media_recall_by_edit(name):
+    edit, least = EDITS[name]
+    rng = np.random.default_rng(3)
+    greys = [media.decode_image(media.drawn([float(x) for x in rng.normal(0, 0.4, 64)])) for _ in range(20)]
+    if least is None:  # a large image against its turned copy
+        greys, edit, least = [enlarged(g, 4) for g in greys[:10]], lambda g: turned(g, 2), 0.9
+    known = [media.describe(g) for g in greys]
+    found = [matched(media.describe(edit(g)), d, max(g.shape)) for g, d in zip(greys, known)]
+    assert np.mean([f is not None for f in found]) >= least
+    assert sum(matched(media.describe(edit(greys[i])), known[i - 1], max(greys[i].shape)) is not None for i in range(1, len(greys))) == 0
+
+
+def test_media_tables_are_complete(spark):
+    """Every two descriptors within the radius meet under a key, by the join's own keys."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 2**63, (60, 2)).tolist()
+    near = []
+    for a, b in words:
+        x = (a << 64) | b
+        for bit in rng.choice(128, int(rng.integers(0, media.RADIUS + 4)), replace=False).tolist():
+            x ^= 1 << bit
+        near.append((x >> 64, x & (2**64 - 1)))
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    a = media.tabled(spark.createDataFrame([(i, signed(p), signed(q)) for i, (p, q) in enumerate(words)], "i long, d0 long, d1 long")).select("key", "i")
+    b = media.tabled(spark.createDataFrame([(i, signed(p), signed(q)) for i, (p, q) in enumerate(near)], "j long, d0 long, d1 long")).select("key", "j")
+    met = {(r["i"], r["j"]) for r in a.join(b, "key").distinct().collect()}
+    apart = lambda p, q: (p[0] ^ q[0]).bit_count() + (p[1] ^ q[1]).bit_count()
+    linked = {(i, j) for i, p in enumerate(words) for j, q in enumerate(near) if apart(p, q) <= media.RADIUS}
+    assert len(linked) > 30 and linked <= met
+
+
+def test_media_reads_images():
     grey = np.random.default_rng(1).integers(0, 255, (20, 30), dtype=np.uint8)
     assert (media.decode_image(media.encode_png(grey)) == grey).all() and media.decode_image(b"\x89PNG\r\n\x1a\nxx") is None and media.decode_image(None) is None and media.decode_image(b"") is None
-    assert (media.decode_image(b"P5 30 20 255\n" + grey.tobytes()) == grey).all() and media.describe(np.zeros((5, 5))) == [] and media.describe(np.zeros((64, 64))) == []
+    assert (media.decode_image(b"P5 30 20 255\n" + grey.tobytes()) == grey).all() and not len(media.describe(np.zeros((5, 5)))[0]) and not len(media.describe(np.zeros((64, 64)))[0])
+
+
+def png(w, h, depth, colour, lines, interlaced=0, palette=None):
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = part(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, interlaced))
+    return b"\x89PNG\r\n\x1a\n" + head + (part(b"PLTE", palette) if palette else b"") + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b"")
+
+
+def test_media_reads_all_kinds_of_png():
+    rng = np.random.default_rng(2)
+    wide = rng.integers(0, 65536, (4, 6))
+    got = media.decode_image(png(6, 4, 16, 0, b"".join(b"\0" + r.astype(">u2").tobytes() for r in wide)))
+    assert np.allclose(got, wide / 257)
+    colours = rng.integers(0, 256, (16, 3), dtype=np.uint8)
+    at = rng.integers(0, 16, (4, 6))
+    four = b"".join(b"\0" + bytes(r[k] << 4 | r[k + 1] for k in range(0, 6, 2)) for r in at.tolist())
+    assert np.allclose(media.decode_image(png(6, 4, 4, 3, four, palette=colours.tobytes())), colours.mean(axis=1)[at])
+    grey = rng.integers(0, 256, (11, 13), dtype=np.uint8)
+    laced = b"".join(b"\0" + grey[y, x0::dx].tobytes() for y0, x0, dy, dx in media.PASSES for y in range(y0, 11, dy) if x0 < 13)
+    assert (media.decode_image(png(13, 11, 8, 0, laced, interlaced=1)) == grey).all()
+    rgb = rng.integers(0, 256, (5, 4, 3), dtype=np.int64)
+    lines, up = b"", np.zeros((4, 3), np.int64)
+    for y, kind in enumerate((0, 1, 2, 3, 4)):
+        left = np.concatenate([np.zeros((1, 3), np.int64), rgb[y, :-1]])
+        corner = np.concatenate([np.zeros((1, 3), np.int64), up[:-1]])
+        p = left + up - corner
+        paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = (0 * left, left, up, (left + up) // 2, paeth)[kind]
+        lines += bytes([kind]) + ((rgb[y] - guess) & 255).astype(np.uint8).tobytes()
+        up = rgb[y]
+    assert np.allclose(media.decode_image(png(4, 5, 8, 2, lines)), rgb.mean(axis=2))
+
+
+def test_media_statuses_ties_and_one_id_with_two_images(spark):
+    rng = np.random.default_rng(3)
+    a, b = (media.drawn([float(x) for x in rng.normal(0, 0.4, 64)]) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a), (3, b"no image"), (4, media.encode_png(np.full((64, 64), 9))), (5, b"")]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in rows], "id long, image binary")
+    queries = spark.createDataFrame([(i, bytearray(a)) for i in (30, 20)], "id long, image binary")
+    got = sorted((r["id"], r["class_id"], r["status"], r["n_links"], r["best_query"]) for r in media.copy_search(queries, df).collect())
+    assert got[2:] == [(2, 1, "described", 2, 20), (3, 3, "unreadable", 0, None), (4, 4, "plain", 0, None), (5, 5, "empty", 0, None)]
+    assert [g[:4] for g in got[:2]] == [(1, 1, "described", 0), (1, 1, "described", 2)]
 
 
 # secrets
