@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -60,11 +61,29 @@ def portions(texts: list, size: int = 1 << 20):
         yield some
 
 
+def within_bytes(df: DataFrame, id_col: str, size: Column, most: int) -> DataFrame:
+    """The rows, checkpointed; if their sizes pass `most` together, the share of them, chosen by a hash of the id, that keeps near it."""
+    held = checkpoint(df)
+    total = held.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return held if total <= most else held.where(F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 20)) < most / total * (1 << 20))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one made from it that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; a private one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir, which all executors share; where that is unset, a private one on a local master only (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 

@@ -7,13 +7,15 @@ containment is its single rarest token; that token's place in the window bounds
 the window can start (position bound) and how many words must follow (length bound).
 What is left is verified word by word.
 
-Documents are scanned where they lie, never shuffled. The benchmark's windows are sent
-along in blocks of bounded size (``block_bytes``): a benchmark within one block costs one
-pass; a larger one costs a pass over the documents for each block, each adding to the
-hit intervals that the row carries.
+Documents are scanned where they lie, never shuffled. The benchmark is dealt to blocks of
+about ``block_bytes`` by a hash of its items; one block at a time is read, counted and sent along with
+the tasks, so neither the driver nor a task ever holds more of it. A benchmark within one block
+costs one pass over the documents to count and one to scan; a larger one costs both for each block,
+and what a block finds is kept (checkpointed) until all have been read.
 
 Edge cases: null or wordless text has no words and no hits; items without words have no
-windows; an item shorter than ``width`` is one window; equal items count as separate items;
+windows; an item shorter than ``width`` is one window; equal items count as separate items; items
+without an id count as one that has no name;
 repeated document rows stay; extra columns are ignored; an empty benchmark hits nothing.
 """
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpoint, table
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
@@ -45,9 +47,9 @@ def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     return list(dict.fromkeys(tuple(words[i : i + width]) for i in range(len(words) - width + 1)))
 
 
-def _counts(docs: DataFrame, text_col: str, blocks: list) -> dict[bytes, int]:
-    """Occurrences in the whole corpus of the words of the benchmark: sums per task, then over tasks."""
-    vocabulary = sorted({w for b in blocks for w in b["vocabulary"]})
+def _counts(docs: DataFrame, text_col: str, items: list) -> dict[bytes, int]:
+    """Occurrences in the whole corpus of the words of a block: sums per task, then over tasks."""
+    vocabulary = sorted({w for _, words in items for w in words})
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def run(batches):
@@ -63,26 +65,15 @@ def _counts(docs: DataFrame, text_col: str, blocks: list) -> dict[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["w", "n"])
 
     found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    shared.unpersist()
     seen = {vocabulary[r["w"]]: r["n"] for r in found}
     return {w: seen.get(w, 0) for w in vocabulary}
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int) -> list[dict]:
-    """The benchmark in blocks of bounded size, read row by row; only their words stay on the driver between."""
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).where(f"`{text_col}` is not null").toLocalIterator()
-    blocks, items, held = [], [], 0
-    for item, text in rows:
-        words = words_of(bytes(text))
-        if not words:
-            continue
-        items.append((item or "", words))
-        held += len(text) * 2
-        if held >= block_bytes:
-            blocks.append({"items": items, "vocabulary": {w for _, ws in items for w in ws}})
-            items, held = [], 0
-    if items:
-        blocks.append({"items": items, "vocabulary": {w for _, ws in items for w in ws}})
-    return blocks
+def _items(block: DataFrame) -> list[tuple[str | None, list[bytes]]]:
+    """(item, words) of a block's items that have words, in a fixed order."""
+    rows = [(r[0], words_of(bytes(r[1]))) for r in block.collect()]
+    return sorted(((i, w) for i, w in rows if w), key=lambda x: (x[0] or "", x[1]))
 
 
 def prefix_index(items: list[tuple[str, list[bytes]]], counts: dict[bytes, int], width: int):
@@ -110,53 +101,80 @@ def find_windows(words: list[bytes], index: dict, hit: list) -> None:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
-    """With `carry`, the row's own columns go along as one struct `row`.
-
-    (id, n_words, n_hit, n_items, items_sha256, items, spans) of every row; spans are hit word ranges [start, end), merged."""
-    spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_col, item_text_col, width, block_bytes)
-    extra = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry
-    rows = docs.select(id_col, *extra, F.col(text_col).cast("binary").alias("_text"), F.lit(None).cast("array<int>").alias("_from"), F.lit(None).cast("array<int>").alias("_to"), F.lit(None).cast("array<string>").alias("_items"))
+    """(id, n_words, n_hit, n_items, items_sha256, items, span_from, span_to) of every row; spans are hit word ranges [from, to), merged.
+
+    With `carry`, the row's own columns go along as one struct `row`.
+    """
+    sc = docs.sparkSession.sparkContext
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("t")).where("t is not null")
+    n = max(1, -(-2 * (bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes))
+    rows = docs.select(id_col, *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * carry, F.col(text_col).cast("binary").alias("_text"))
     kind = rows.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, span_from array<int>, span_to array<int>"
     carried = ["row"] * carry
-    schema += "".join(f", row {rows.schema['row'].dataType.simpleString()}" for _ in carried)
-    counts = _counts(docs, text_col, blocks) if blocks else {}
+    extra = "".join(f", row {rows.schema['row'].dataType.simpleString()}" for _ in carried)
+    spans = [("items", pa.list_(pa.string())), ("span_from", pa.list_(pa.int32())), ("span_to", pa.list_(pa.int32()))]
+
+    def scan(items):
+        """Work on (_text) that gives, for each text, its number of words, item names and merged spans."""
+        shared = sc.broadcast((items, _counts(docs, text_col, items) if items else {}))
+
+        ready: list = []  # the index, built once in a task
+
+        def over(texts):
+            if not ready:
+                ready.append((shared.value[0], *prefix_index(*shared.value, width)))
+            held, index, owners = ready[0]
+            for text in texts:
+                words = words_of(text)
+                hit: list = []
+                find_windows(words, index, hit)
+                f, t = merged(sorted((a, z) for a, z, _ in hit))
+                yield len(words), sorted({held[k][0] for _, _, w in hit for k in owners[w]}, key=lambda x: (x is not None, x)), f, t
+
+        return over
+
+    def finished(ids, own, got):
+        n_words, names, froms, tos = zip(*got) if got else ((),) * 4
+        named = [",".join(i for i in x if i is not None) for x in names]
+        cols = [pa.array(n_words, pa.int64()), pa.array([sum(t) - sum(f) for f, t in zip(froms, tos)], pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named], pa.string())]
+        return pa.RecordBatch.from_arrays([ids, *cols, *(pa.array(x, k) for x, (_, k) in zip((names, froms, tos), spans)), *own], [id_col, "n_words", "n_hit", "n_items", "items_sha256", "items", "span_from", "span_to", *carried])
+
+    schema = f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, span_from array<int>, span_to array<int>{extra}"
+    if n == 1:
+        over = scan(_items(bench))
+
+        def run(batches):
+            for b in batches:
+                yield finished(b.column(id_col), [b.column(c) for c in carried], list(over(b.column("_text").to_pylist())))
 
-    def scan(block, last):
-        shared = spark.sparkContext.broadcast((block["items"], {w: counts[w] for w in block["vocabulary"]}))
+        return rows.mapInArrow(run, schema)
 
+    def block_hits(over):
         def run(batches):
-            items, own = shared.value
-            index, owners = prefix_index(items, own, width)
             for b in batches:
-                n_words, froms, tos, names = [], [], [], []
-                for text, f0, t0, i0 in zip(*(b.column(c).to_pylist() for c in ("_text", "_from", "_to", "_items"))):
-                    words = words_of(text)
-                    n_words.append(len(words))
-                    hit: list = []
-                    find_windows(words, index, hit)
-                    if not hit:
-                        froms.append(f0), tos.append(t0), names.append(i0)
-                        continue
-                    f, t = merged(sorted([(a, z) for a, z, _ in hit] + list(zip(f0 or (), t0 or ()))))
-                    froms.append(f), tos.append(t)
-                    names.append(sorted({*(i0 or ()), *(items[k][0] for _, _, n in hit for k in owners[n])}))
-                ids = b.column(id_col)
-                if last:
-                    n_hit = [sum(t) - sum(f) if f else 0 for f, t in zip(froms, tos)]
-                    sha = [hashlib.sha256(",".join(x or ()).encode()).hexdigest() for x in names]
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x or ()) for x in names], pa.int64()), pa.array(sha, pa.string()), pa.array([x or [] for x in names], pa.list_(pa.string())), pa.array([x or [] for x in froms], pa.list_(pa.int32())), pa.array([x or [] for x in tos], pa.list_(pa.int32())), *(b.column(c) for c in carried)], [id_col, "n_words", "n_hit", "n_items", "items_sha256", "items", "span_from", "span_to", *carried])
-                else:
-                    yield pa.RecordBatch.from_arrays([ids, *(b.column(c) for c in carried), b.column("_text"), pa.array(froms, pa.list_(pa.int32())), pa.array(tos, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], [id_col, *carried, "_text", "_from", "_to", "_items"])
+                hit = [(hashlib.sha256(text or b"").hexdigest(), *x[1:]) for text, x in ((t, next(over([t]))) for t in b.column("_text").to_pylist()) if x[2]]
+                yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in hit], k) for i, k in enumerate((pa.string(), *(k for _, k in spans)))], ["digest", *(c for c, _ in spans)])
 
         return run
 
-    blocks = blocks or [{"items": [], "vocabulary": set()}]
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        rows = rows.mapInArrow(scan(block, last), schema if last else rows.schema)
-    return rows
+    found = None
+    for k in range(n):
+        over = scan(_items(bench.where(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == k)))
+        hits = checkpoint(rows.select("_text").mapInArrow(block_hits(over), "digest string, items array<string>, span_from array<int>, span_to array<int>"))
+        found = hits if found is None else found.unionByName(hits)
+    # equal texts have equal hits: one row for each text that any block hits
+    by_text = found.distinct().groupBy("digest").agg(F.collect_list(F.struct("items", "span_from", "span_to")).alias("hits"))
+    joined = rows.withColumn("digest", F.sha2(F.coalesce("_text", F.lit(b"")), 256)).join(by_text, "digest", "left").drop("digest")
+
+    def gather(batches):
+        for b in batches:
+            got = []
+            for text, hits in zip(b.column("_text").to_pylist(), b.column("hits").to_pylist()):
+                names = sorted({i for h in hits or () for i in h["items"]}, key=lambda x: (x is not None, x))
+                got.append((len(words_of(text)), names, *merged(sorted(s for h in hits or () for s in zip(h["span_from"], h["span_to"])))))
+            yield finished(b.column(id_col), [b.column(c) for c in carried], got)
+
+    return joined.select(id_col, *carried, "_text", "hits").mapInArrow(gather, schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:

@@ -19,19 +19,23 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def char_buckets(c: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """Buckets below 2**bits of the character n-grams of every order."""
+#: Code points whose n-grams are made at a time.
+PIECE = 1 << 20
+
+
+def char_buckets(c: np.ndarray, orders: tuple[int, ...], bits: int):
+    """Buckets below 2**bits of the character n-grams of every order, in parts: (order, buckets)."""
     shift = np.uint32(32 - bits)
-    out = []
-    h = c * _A
-    for n in range(1, max(orders) + 1):
-        if n > 1:
-            if len(c) < n:
-                break
-            h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _B + c[n - 1 :] * _A
-        if n in orders:
-            out.append((((h ^ (h >> np.uint32(13))) + np.uint32(n)) * _C) >> shift)
-    return np.concatenate(out) if out else np.empty(0, np.uint32)
+    for a in range(0, len(c), PIECE):
+        part = c[a : a + PIECE + max(orders) - 1]
+        h = part * _A
+        for n in range(1, max(orders) + 1):
+            if n > 1:
+                if len(part) < n:
+                    break
+                h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * _B + part[n - 1 :] * _A
+            if n in orders:
+                yield n, (((h[:PIECE] ^ (h[:PIECE] >> np.uint32(13))) + np.uint32(n)) * _C) >> shift
 
 
 def letters_only(text: str) -> np.ndarray:
@@ -52,8 +56,20 @@ _PLACES = np.random.default_rng(7).integers(1, 2**32, 64, np.uint32) | np.uint32
 
 def word_hashes(c: np.ndarray) -> np.ndarray:
     """A 32-bit hash for each run of non-blank code points."""
-    solid = ~_BLANK[c]
-    at = np.flatnonzero(solid)
+    out = []
+    at = 0
+    while at < len(c):
+        end = min(len(c), at + PIECE)
+        while end < len(c) and not _BLANK[c[end]]:  # up to the end of a word
+            gap = np.flatnonzero(_BLANK[c[end : end + PIECE]])
+            end = end + int(gap[0]) if len(gap) else min(len(c), end + PIECE)
+        out.append(_word_hashes(c[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint32)
+
+
+def _word_hashes(c: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(~_BLANK[c])
     if not len(at):
         return np.empty(0, np.uint32)
     first = np.ones(len(at), bool)

@@ -4,7 +4,8 @@ Texts become TF-IDF vectors of hashed character n-grams (orders 1 to 3 over the
 Document frequencies are counted over all training rows on the executors. The weights are
 fitted by follow-the-regularised-leader (proximal, one rate per coordinate) with L1 and L2
 penalties, on a sample of about ``per_class`` rows of each label (the documented bound of
-the fit, chosen by a hash of the id; every language gets its share). A fifth of that sample
+the fit, chosen by a hash of the id; every language gets its share), and fewer where their features
+would pass ``fit_bytes`` together. Labels are taken to number in the hundreds at most. A fifth of that sample
 is held back to fit the temperature that calibrates the probabilities.
 
 Edge cases: a null text or one without letters is `und` with score 0, as is every row
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, table, within_bytes
 from .features import char_buckets, letters_only
 
 BITS = 15
 ORDERS = (1, 2, 3)
 PER_CLASS = 1_000
+FIT_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,9 @@ def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     c = letters_only(text or "")
     if not len(c):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    n = np.bincount(char_buckets(c, ORDERS, BITS), minlength=1 << BITS)
+    n = np.zeros(1 << BITS, np.int64)
+    for _, buckets in char_buckets(c, ORDERS, BITS):
+        n += np.bincount(buckets, minlength=1 << BITS)
     at = np.flatnonzero(n)
     return at, n[at]
 
@@ -120,7 +124,7 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_class: int = PER_CLASS) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_class: int = PER_CLASS, fit_bytes: int = FIT_BYTES) -> Model:
     """Learns from the rows given; the caller leaves out what is held out."""
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -131,23 +135,23 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
         return Model((), idf, np.zeros(((1 << BITS) + 1, 1)), 1.0)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_class / sizes[k]))])
     mark = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(1)), F.lit(1 << 20))
-    sample = known.where(mark < share[F.col("lang")] * (1 << 20)).select("lang", "t", (F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(2)), F.lit(5)) == 0).alias("calibrate"))
+    sample = known.where(mark < share[F.col("lang")] * (1 << 20)).select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "lang", "t", (F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(2)), F.lit(5)) == 0).alias("calibrate"))
 
     def featurise(batches):
         for b in batches:
             pairs = [counts_of(t) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("calibrate"), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32()))], ["lang", "calibrate", "at", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), b.column("calibrate"), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([p[1].astype(np.int32) for p in pairs], pa.list_(pa.int32()))], ["id", "lang", "calibrate", "at", "n"])
 
-    got = sample.mapInArrow(featurise, "lang string, calibrate boolean, at array<int>, n array<int>").toArrow()
+    got = within_bytes(sample.mapInArrow(featurise, "id string, lang string, calibrate boolean, at array<int>, n array<int>"), "id", 8 * F.size("at"), fit_bytes).toArrow()
     number = {k: i for i, k in enumerate(langs)}
     fit, hold = [], []
-    for lang, cal, at, n in zip(got["lang"].to_pylist(), got["calibrate"].to_pylist(), got["at"], got["n"]):
+    rows = sorted(zip(got["id"].to_pylist(), got["lang"].to_pylist(), got["calibrate"].to_pylist(), got["at"], got["n"]), key=lambda r: (r[:2], r[3].values.to_pylist()))
+    for _, lang, cal, at, n in rows:  # in the order of ids, not of arrival
         at = at.values.to_numpy()
         if len(at):
             (hold if cal else fit).append((at, tfidf(at, n.values.to_numpy(), idf), number[lang]))
     fit, hold = (fit, hold) if fit else (hold, fit)
-    order = np.lexsort([[len(a) for a, _, _ in fit], [float(v[0]) for _, v, _ in fit], [y for _, _, y in fit]]) if fit else []
-    weights = fit_ftrl([fit[i] for i in order], 1 << BITS, len(langs))
+    weights = fit_ftrl(fit, 1 << BITS, len(langs))
     logits = np.array([v @ weights[at] + weights[-1] for at, v, _ in hold]).reshape(-1, len(langs))
     return Model(langs, idf.astype(np.float32), weights.astype(np.float32), fit_temperature(logits, np.array([y for _, _, y in hold], np.int64)))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, table
+from .common import free_name, portions, table
 
 
 @dataclass(frozen=True)
@@ -231,14 +231,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The rows with every found span of the text replaced; overlapping spans give one mark."""
-    names = docs.columns
-    found = find_secrets(docs, text_col, out_col="_found_secrets")
+    names, held = docs.columns, free_name(docs, "found_secrets")
+    found = find_secrets(docs, text_col, out_col=held)
     kind = docs.schema
 
     def run(batches):
         for b in batches:
             out = []
-            for text, spans in zip(b.column(text_col).to_pylist(), b.column("_found_secrets").to_pylist()):
+            for text, spans in zip(b.column(text_col).to_pylist(), b.column(held).to_pylist()):
                 if spans:
                     parts, at = [], 0
                     for s in spans:

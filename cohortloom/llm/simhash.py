@@ -44,11 +44,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     ends = starts + lens
     if len(words) > shingle:
         starts, ends = starts[: 1 - shingle], ends[shingle - 1 :]
-        h = np.array([xxh64_intdigest(joined[a:z], 42) for a, z in zip(starts.tolist(), ends.tolist())], np.uint64)
     else:
-        h = np.array([xxh64_intdigest(joined, 42)], np.uint64)
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(bits * 2 > len(h)).tobytes(), "big")
+        starts, ends = starts[:1], ends[-1:]
+    bits = np.zeros(64, np.int64)
+    for k in range(0, len(starts), 1 << 16):  # a long text's shingles a part at a time
+        h = np.array([xxh64_intdigest(joined[a:z], 42) for a, z in zip(starts[k : k + (1 << 16)].tolist(), ends[k : k + (1 << 16)].tolist())], np.uint64)
+        bits += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(bits * 2 > len(starts)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

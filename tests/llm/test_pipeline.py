@@ -1,9 +1,15 @@
 """The pipeline's rows against its stages done by hand."""
 
+import hashlib
+import re
+import struct
+
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortloom.llm import bpe, decontaminate, near_dedup, quality
+from cohortloom.llm import bpe, decontaminate, near_dedup, quality, secrets
 from cohortloom.llm.common import table
 
 
@@ -20,10 +26,56 @@ def test_stages_and_run(spark, sf):
     windows = {w for t in bench for w in decontaminate.windows_of(decontaminate.words_of(t.encode()), decontaminate.WIDTH)}
     one = near_dedup.one_of_each(after)
     clean = {r["doc_id"] for r in one.collect() if not any(tuple(ws[i : i + len(w)]) == w for ws in [decontaminate.words_of(r["text"].encode())] for w in windows for i in range(len(ws) - len(w) + 1) if ws[i] == w[0])}
-    got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf).collect()}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, sf).collect()}
     assert set(got) == clean
-    counted = {r["doc_id"]: r["n_tokens"] for r in bpe.encode_texts(after, *bpe.default_vocab()).collect()}
-    assert sum(got[i] == counted[i] for i in got) > 0.8 * len(got) and all(texts[i] is not None for i in got)
+    path, pattern = bpe.default_vocab()
+    with open(path, "rb") as f:
+        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(f.read()), special_tokens={})
+    for i, row in got.items():
+        text = redacted(texts[i])
+        ids = enc.encode_ordinary(text)
+        assert row == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def redacted(text):
+    """Matches of all rules; those that overlap give one mark."""
+    spans = [(m.start(), m.end()) for rule in secrets.RULES for m in re.finditer(rule.pattern, text, rule.flags) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+    groups: list = []
+    for a, z in sorted(spans):
+        if groups and a < groups[-1][1]:
+            groups[-1][1] = max(groups[-1][1], z)
+        else:
+            groups.append([a, z])
+    for a, z in reversed(groups):
+        text = text[:a] + "[secret]" + text[z:]
+    return text
+
+
+ODD = [(1, None, "en", "s", None), (2, "", None, None, 0), (3, " \t\n ", "en", "s", 4), (4, "x", "en", "s", 1), (4, "x", "en", "s", 1), (None, "no id here at all", "fr", "s", 3), (7, "long " * 30_000, "en", "s", 150_000)]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_rows_and_clashing_columns(spark, sf, name, stage):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("score", "group", "times", "found_secrets", "row", "id", "digest", "chunk"):
+        docs = docs.withColumn(c, F.lit("own"))
+    rows = stage(spark, docs, sf).collect()
+    ids = {r["doc_id"] for r in rows}
+    if name == "tokens":
+        assert len(rows) == len(ODD) and sorted(r["n_tokens"] for r in rows)[:2] == [0, 0]
+    else:
+        assert all(r[c] == "own" for r in rows for c in ("score", "group", "times", "found_secrets", "row", "id"))
+    if name == "near_dedup":
+        assert ids == {1, 4, 7, None} and len(rows) == 4
+    if name in ("decontaminate", "secrets"):
+        assert len(rows) == len(ODD)
+
+
+def test_a_repeated_id_leaves_the_same_row_each_time(spark):
+    rows = [(5, t, "en", s, 1) for t, s in (("b b", "x"), ("a a", "z"), ("a a", "y"), ("c", "w"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [near_dedup.one_of_each(d).collect() for d in (docs, docs.orderBy(F.desc("text")).repartition(3))]
+    assert got[0] == got[1] and len(got[0]) == 1 and got[0][0]["text"] == "a a"
 
 
 def test_empty_documents(spark, sf):

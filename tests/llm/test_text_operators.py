@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, decontaminate, html_text, langid, media, near_dedup, quality, secrets, simhash, url_filter
+from cohortloom.llm import bpe, decontaminate, features, html_text, langid, media, near_dedup, quality, secrets, simhash, url_filter
 from cohortloom.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -66,9 +66,76 @@ def test_leader_weights_are_sparse_and_temperature_calibrates():
     assert 3 < langid.fit_temperature(logits, y) < 9
 
 
+def test_leader_weights_are_brute_force():
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4), int(rng.integers(3))) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.05
+    z, n = ({(i, c): 0.0 for i in range(13) for c in range(3)} for _ in range(2))
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+    order = np.random.default_rng(1)
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            at, v, y = rows[k]
+            x = {**dict(zip(at.tolist(), v.tolist())), 12: 1.0}
+            w = {(i, c): weight((i, c)) for i in x for c in range(3)}
+            e = [math.exp(sum(x[i] * w[i, c] for i in x)) for c in range(3)]
+            for i in x:
+                for c in range(3):
+                    g = x[i] * (e[c] / sum(e) - (c == y))
+                    z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / alpha * w[i, c]
+                    n[i, c] += g * g
+    got = langid.fit_ftrl(rows, 12, 3)
+    assert all(got[k] == pytest.approx(weight(k), abs=1e-9) for k in z)
+
+
+def test_language_ties_go_to_the_first_label_and_long_texts_are_read_whole(spark, monkeypatch):
+    none = langid.Model(("aa", "bb"), np.ones(1 << langid.BITS), np.zeros(((1 << langid.BITS) + 1, 2)), 1.0)
+    assert langid.predict(frame(spark), none).where("doc_id = 4").first()["lang_pred"] == "aa"
+    text = "".join(np.random.default_rng(0).choice(list("abc dé\n"), 5000))
+    whole, scores = langid.counts_of(text), list(quality.weighted(text))
+    monkeypatch.setattr(features, "PIECE", 7)
+    assert all((a == b).all() for a, b in zip(whole, langid.counts_of(text))) and all(np.allclose(a, b) for a, b in zip(scores, quality.weighted(text)))
+
+
+def test_fit_bytes_bound_the_sample(spark, sf):
+    docs = table(spark, sf, "documents")
+    few = langid.train(docs.where(~langid.held_out()), fit_bytes=100_000)
+    got = langid.predict(docs.select("doc_id", "lang", "text"), few).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) > 0.8
+
+
 # quality
 
 
+def test_embedding_steps_are_brute_force(monkeypatch):
+    monkeypatch.setattr(quality, "BITS", 3)
+    monkeypatch.setattr(quality, "DIM", 2)
+    monkeypatch.setattr(quality, "LEAST_STEPS", 1)
+    rng = np.random.default_rng(6)
+    rows = [(np.sort(rng.choice(8, 3, replace=False)), rng.random(3).astype(np.float32), int(rng.integers(2))) for _ in range(12)]
+    init = np.random.default_rng(1)
+    v = [[float(x) for x in r] for r in ((init.random((8, 2)) - 0.5) / 2)]
+    out, bias, step = [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0], 0
+    for _ in range(2):
+        for k in init.permutation(12):
+            at, w, y = rows[k]
+            lr = 1 - step / 24
+            step += 1
+            mean = [sum(float(x) * v[i][d] for i, x in zip(at, w)) for d in range(2)]
+            e = [math.exp(mean[0] * out[0][c] + mean[1] * out[1][c] + bias[c]) for c in range(2)]
+            p = [e[c] / sum(e) - (c == y) for c in range(2)]
+            back = [out[d][0] * p[0] + out[d][1] * p[1] for d in range(2)]
+            for c in range(2):
+                bias[c] -= lr * p[c]
+                for d in range(2):
+                    out[d][c] -= lr * mean[d] * p[c]
+            for i, x in zip(at, w):
+                for d in range(2):
+                    v[i][d] -= lr * float(x) * back[d]
+    got = quality.fit_sgd(rows, epochs=2)
+    assert np.allclose(got[0], v, atol=1e-4) and np.allclose(got[1], out, atol=1e-4) and np.allclose(got[2], bias, atol=1e-4)
+
+
 def test_quality_accuracy(spark, sf):
     got = quality.op4_quality(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out").collect()
     assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.95
@@ -246,6 +313,15 @@ def test_contamination_edges(spark):
     assert decontaminate.contamination(df, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0 and decontaminate.contamination(df.limit(0), bench).count() == 0
 
 
+def test_contamination_of_items_without_id_long_rows_and_repeats(spark):
+    bench = spark.createDataFrame([(None, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (8, "k l m")], "item_id long, text string")
+    long = "word " * 200_000 + "a b c d e f g h i j k l m"
+    df = frame(spark, [(1, long, "", "", 0), (1, long, "", "", 0), (2, "k l", "", "", 0)])
+    for size in (1 << 20, 8):
+        got = decontaminate.contamination(df, bench, block_bytes=size).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in got) == [(1, 200_013, 13, 3, hashlib.sha256(b"7,8").hexdigest())] * 2 + [(2, 2, 0, 0, hashlib.sha256(b"").hexdigest())]
+
+
 # pages
 
 
