@@ -39,6 +39,8 @@ MAX_VOCAB_BYTES = 64 << 20
 #: For texts of these characters only, the standard library's classes agree with the Unicode properties of the pattern.
 PLAIN = re.compile("[\t\n\x20-\x7eÀ-ÖØ-öø-ɏ]*")
 PLAIN_STANDS_FOR = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A blank that white space precedes and follows; without one, plain texts may be cut before every blank and split piece by piece.
+BLANK_WITHIN = re.compile(r"\s (?:\s|\Z)")
 PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
@@ -46,6 +48,27 @@ PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[
 FEW = 128
 
 
+class Pieces(dict):
+    """Numbers the pieces of texts and, once for each, the words that a piece falls into."""
+
+    def __init__(self, split):
+        self.split, self.words, self.lens = split, {}, []
+        self.flat = array("i")
+
+    def __missing__(self, piece: str) -> int:
+        got = self.split(piece)
+        self.flat.extend([self.words.setdefault(w, len(self.words)) for w in got])
+        self.lens.append(len(got))
+        number = self[piece] = len(self)
+        return number
+
+    def numbers(self, pieces: np.ndarray) -> np.ndarray:
+        """Word numbers of pieces on end."""
+        lens = np.array(self.lens, np.int64)
+        starts = np.cumsum(lens) - lens
+        return np.frombuffer(self.flat, np.int32)[spread(starts[pieces], lens[pieces])] if len(self.flat) else np.empty(0, np.int32)
+
+
 class MergeReplay:
     """Encodes lists of byte words and decodes ids, by a table of ranks (bytes to id)."""
 
@@ -274,29 +297,37 @@ def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> D
         full = regex.compile(pattern)
         plain = pattern == PLAIN_STANDS_FOR
         part, k = TaskContext.get().partitionId(), 0
-        ids, lens, seqs, numbers, held = [], [], [], {}, 0
+        schema = None
+
+        def fresh():
+            # whole texts that can't be cut are pieces too, of which each is met once
+            return [], [], [], Pieces(lambda t: (PLAIN_PATTERN.findall if plain and PLAIN.fullmatch(t) else full.findall)(t)), 0
+
+        ids, n_pieces, seqs, pieces, held = fresh()
 
         def chunk():
-            words = [w.encode() for w in numbers]
+            words = [w.encode() for w in pieces.words]
             hashes = word_hashes(words)
             order = np.lexsort((np.arange(len(words)), hashes))
             rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words), dtype=np.int32)
             seq = np.concatenate(seqs)
-            one = {"chunk": part << 32 | k, "ids": ids, "lens": lens, "seq": pack(rank[seq]), "words": pack_words([words[i] for i in order.tolist()])}
+            ends = np.concatenate([[0], np.cumsum(np.append(np.array(pieces.lens, np.int64), 0)[seq])])[np.cumsum([0, *n_pieces])]
+            one = {"chunk": part << 32 | k, "ids": ids, "lens": np.diff(ends).tolist(), "seq": pack(rank[pieces.numbers(seq)]), "words": pack_words([words[i] for i in order.tolist()])}
             return pa.RecordBatch.from_pylist([one], schema)
 
         for b in batches:
-            schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(b.schema.field("id").type)), ("lens", pa.list_(pa.int64())), ("seq", pa.binary()), ("words", pa.binary())])
+            if schema is None:
+                schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(b.schema.field("id").type)), ("lens", pa.list_(pa.int64())), ("seq", pa.binary()), ("words", pa.binary())])
             for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 text = text or ""
-                words = PLAIN_PATTERN.findall(text) if plain and PLAIN.fullmatch(text) else full.findall(text)
-                ids.append(i), lens.append(len(words))
-                seqs.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+                cut = text.replace(" ", "\0 ").split("\0") if plain and PLAIN.fullmatch(text) and not BLANK_WITHIN.search(text) else [text]
+                ids.append(i), n_pieces.append(len(cut))
+                seqs.append(np.fromiter(map(pieces.__getitem__, cut), np.int32, len(cut)))
                 held += len(text)
                 if held >= CHUNK_BYTES or len(ids) >= CHUNK_ROWS:
                     yield chunk()
-                    ids, lens, seqs, numbers, held, k = [], [], [], {}, 0, k + 1
+                    (ids, n_pieces, seqs, pieces, held), k = fresh(), k + 1
         if ids:
             yield chunk()
 

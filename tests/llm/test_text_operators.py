@@ -404,7 +404,9 @@ def test_bpe_is_tiktoken_and_round_trips(spark, docs):
     path, pattern = bpe.default_vocab()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    texts = [t for _, t in docs] + [t or "" for _, t, *_ in ODD] + ["I'll don't\r\n\r\n  x", "北京 ١٢٣ ½ \x85a\x1cb", "😀" * 40, "<|endoftext|>", "a" * 5000, "  "]
+    texts = [t for _, t in docs] + [t or "" for _, t, *_ in ODD] + ["I'll don't\r\n\r\n  x", "北京 ١٢٣ ½ \x85a\x1cb", "😀" * 40, "<|endoftext|>", "a" * 5000, "  ", " a", "a  b   c", "a \n b\n c \n\n d", "a\n \n b ", "x  ", "it's 's  don't 12 3.4 é à\t b\t \tc"]
+    rng = np.random.default_rng(9)
+    texts += ["".join(rng.choice(list("ab1.' \n\té"), 30)) for _ in range(400)]
     df = frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])
     got = {r["doc_id"]: r for r in bpe.encode_texts(df, path, pattern, keep_ids=True).collect()}
     for i, t in enumerate(texts):
