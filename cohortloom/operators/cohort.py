@@ -37,8 +37,13 @@ def event_flag(braak: Column, mmse: Column) -> Column:
 
 
 def survival_inputs(df: DataFrame) -> DataFrame:
-    """Adds t = (1 - dpt) * 100, the event flag and the stage."""
-    return df.withColumn("t", (1 - F.col("dpt")) * 100).withColumn("event", event_flag(F.col("braaksc"), F.col("mmse"))).withColumn("stage", disease_stage(F.col("dpt")))
+    """Adds t = (1 - dpt) * 100, the event flag and the stage; without pseudotime t is the row's place by id, and a measure that is absent marks no event."""
+    absent = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("double")
+    if "dpt" in df.columns:
+        timed = df.withColumn("t", (1 - F.col("dpt")) * 100)
+    else:
+        timed = df.withColumn("t", (F.row_number().over(Window.orderBy("projid")) - 1).cast("double"))  # a cohort's patients
+    return timed.withColumn("event", event_flag(absent("braaksc"), absent("mmse"))).withColumn("stage", disease_stage(absent("dpt")))
 
 
 def subtype_cohort(df: DataFrame) -> DataFrame:
@@ -84,15 +89,26 @@ def select_k(candidates: DataFrame, min_cophenetic: float = 0.85, min_size: int
 
 
 def name_subtypes(df: DataFrame) -> DataFrame:
-    """(subtype, name): dominant cell type by mean proportion and stage by mean pseudotime, as "Ex-enriched (Early)"."""
-    cts = sorted(c for c in df.columns if c.startswith("ct_"))
-    mean = df.groupBy("subtype").agg(F.avg("dpt").alias("dpt"), *[F.avg(c).alias(c) for c in cts])
-    best = F.greatest(*cts) if len(cts) > 1 else F.col(cts[0])
-    top = F.coalesce(*[F.when(F.col(c) == best, F.lit(c[3:])) for c in cts])
-    return mean.select("subtype", F.concat(top, F.lit("-enriched ("), disease_stage(F.col("dpt")), F.lit(")")).alias("name"))
+    """(subtype, name): dominant cell type by mean proportion and stage by mean pseudotime, as "Ex-enriched (Early)".
+
+    Rows without a subtype are left out; without cell-type columns, or without pseudotime, that part is "Unknown".
+    """
+    cts = [c for c in df.columns if c.startswith("ct_")]
+    has_time = "dpt" in df.columns
+    mean = df.where(F.col("subtype").isNotNull()).groupBy("subtype").agg(*[F.avg(c).alias(c) for c in cts], *[F.avg("dpt").alias("dpt")] * has_time, F.count("*").alias("n"))
+    best = F.greatest(*cts) if len(cts) > 1 else F.col(cts[0]) if cts else None
+    top = F.coalesce(*[F.when(F.col(c) == best, F.lit(c[3:])) for c in cts], F.lit("Unknown"))
+    stage = disease_stage(F.col("dpt")) if has_time else F.lit("Unknown")
+    return mean.select("subtype", F.concat(top, F.lit("-enriched ("), stage, F.lit(")")).alias("name"))
 
 
 def running_lambda(path: DataFrame, beta: float = 0.05) -> DataFrame:
-    """The smallest lambda before the first whose instability exceeds beta, walking down from the largest; NULL if the first exceeds."""
-    w = Window.orderBy(F.desc("lambda"))
-    return path.withColumn("broken", F.max((F.col("instability") > beta).cast("int")).over(w)).where("broken = 0").agg(F.min("lambda").alias("lambda"))
+    """The smallest lambda before the first whose instability exceeds beta, walking down from the largest; the largest if that exceeds."""
+    w = Window.orderBy(F.desc("lambda"))  # a handful of penalties
+    walked = path.withColumn("broken", F.max((F.col("instability") > beta).cast("int")).over(w))
+    return walked.agg(F.coalesce(F.min(F.when(F.col("broken") == 0, F.col("lambda"))), F.max("lambda")).alias("lambda"))
+
+
+def with_controls(subtype: DataFrame, master: DataFrame) -> DataFrame:
+    """The rows of one subtype and all controls below; a control of the subtype occurs twice."""
+    return subtype.unionByName(master.where("diagnosis = 'Control'").select(*subtype.columns))

@@ -69,14 +69,14 @@ def marker_purity(profiles: DataFrame, markers: DataFrame) -> DataFrame:
     """(cell_type, n_markers, purity, status): own mean of a type's markers against the mean of the other types' means.
 
     Types none of whose markers occur are MISSING with purity 0; other types without the
-    markers count as 0.
+    markers count as 0, and the others of a single type as 0.0001.
     """
     own = markers.withColumnRenamed("cell_type", "marker_of")
     types = profiles.select("cell_type").distinct()
     means = profiles.join(own, "feature_id").groupBy("marker_of", "cell_type").agg(F.avg("abundance").alias("m"), F.count_distinct("feature_id").alias("k"))
     grid = types.withColumnRenamed("cell_type", "marker_of").crossJoin(types).join(means, ["marker_of", "cell_type"], "left")
     is_own = F.col("cell_type") == F.col("marker_of")
-    per = grid.groupBy("marker_of").agg(F.max(F.when(is_own, F.col("m"))).alias("own"), F.coalesce(F.max(F.when(is_own, F.col("k"))), F.lit(0)).alias("n_markers"), F.coalesce(F.avg(F.when(~is_own, F.coalesce("m", F.lit(0.0)))), F.lit(0.0)).alias("others"))
+    per = grid.groupBy("marker_of").agg(F.max(F.when(is_own, F.col("m"))).alias("own"), F.coalesce(F.max(F.when(is_own, F.col("k"))), F.lit(0)).alias("n_markers"), F.coalesce(F.avg(F.when(~is_own, F.coalesce("m", F.lit(0.0)))), F.lit(0.0001)).alias("others"))
     purity = F.when(F.col("n_markers") > 0, F.col("own") / (F.col("own") + F.col("others") + 1e-8)).otherwise(F.lit(0.0))
     status = F.when(F.col("n_markers") == 0, "MISSING").when(F.col("purity") > 0.6, "PASS").otherwise("LOW_CONFIDENCE")
     return per.withColumn("purity", purity).select(F.col("marker_of").alias("cell_type"), "n_markers", "purity", status.alias("status"))

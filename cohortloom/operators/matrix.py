@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,27 +55,27 @@ def shift_nonnegative(m: DataFrame) -> DataFrame:
 def residualise(m: DataFrame, covariates: DataFrame, names: list[str], id_col: str = "sample_id") -> DataFrame:
     """Residuals of each feature's least squares on the covariates, with intercept.
 
-    The covariates (NULL at their mean) are made orthogonal to each other feature by feature in
-    sequence, so that slopes are single ratios of sums; absent covariates are skipped.
+    Covariates that are NULL stand at their mean; absent ones are skipped. Each feature's normal equations are sums
+    over its rows (one aggregate with partial sums); their solution, a row a feature, is joined back.
     """
     names = [n for n in names if n in covariates.columns]
-    means = covariates.agg(*[F.avg(n).alias(f"_m_{n}") for n in names]) if names else None
-    x = m
-    if names:
-        filled = covariates.crossJoin(F.broadcast(means)).select(F.col(id_col).alias("sample_id"), *[F.coalesce(F.col(n).cast("double"), F.col(f"_m_{n}")).alias(f"x_{n}") for n in names])
-        x = m.join(filled, "sample_id")
-    w = Window.partitionBy("feature_id")
-    x = x.withColumn("r", F.col("value") - F.avg("value").over(w))
-    done: list[str] = []
-    for n in names:
-        x = x.withColumn(f"o_{n}", F.col(f"x_{n}") - F.avg(f"x_{n}").over(w))
-        for d in done:
-            slope = F.sum(F.col(f"x_{n}") * F.col(f"o_{d}")).over(w) / F.nullif(F.sum(F.col(f"o_{d}") * F.col(f"o_{d}")).over(w), F.lit(0.0))
-            x = x.withColumn("_s", F.coalesce(slope, F.lit(0.0))).withColumn(f"o_{n}", F.col(f"o_{n}") - F.col("_s") * F.col(f"o_{d}"))
-        slope = F.sum(F.col("value") * F.col(f"o_{n}")).over(w) / F.nullif(F.sum(F.col(f"o_{n}") * F.col(f"o_{n}")).over(w), F.lit(0.0))
-        x = x.withColumn("_s", F.coalesce(slope, F.lit(0.0))).withColumn("r", F.col("r") - F.col("_s") * F.col(f"o_{n}"))
-        done.append(n)
-    return x.select(*KEYS, F.col("r").alias("value"))
+    k = len(names)
+    means = covariates.agg(*[F.avg(n).alias(f"_m_{n}") for n in names], F.lit(0).alias("_"))
+    # centred, so that the sums stay small
+    filled = covariates.crossJoin(F.broadcast(means)).select(F.col(id_col).alias("sample_id"), *[(F.coalesce(F.col(n).cast("double"), F.col(f"_m_{n}")) - F.col(f"_m_{n}")).alias(f"_x{i}") for i, n in enumerate(names)])
+    x = (m.join(filled, "sample_id") if k else m).where(F.col("value").isNotNull())
+    cols = [F.lit(1.0), *[F.col(f"_x{i}") for i in range(k)]]
+    sums = x.groupBy("feature_id").agg(F.array(*[F.sum(a * b) for a in cols for b in cols]).alias("xx"), F.array(*[F.sum(a * F.col("value")) for a in cols]).alias("xy"))
+
+    def solve(parts):
+        for p in parts:
+            xx = np.array(p["xx"].tolist(), float).reshape(-1, k + 1, k + 1)
+            beta = np.einsum("fij,fj->fi", np.linalg.pinv(xx, rcond=1e-11, hermitian=True), np.array(p["xy"].tolist(), float).reshape(-1, k + 1))
+            yield pd.DataFrame({"feature_id": p["feature_id"], "beta": list(beta)})
+
+    fits = sums.mapInPandas(solve, f"feature_id {m.schema['feature_id'].dataType.simpleString()}, beta array<double>")
+    fitted = sum((F.col("beta")[i] * c for i, c in enumerate(cols)), F.lit(0.0))
+    return x.join(fits, "feature_id").select(*KEYS, (F.col("value") - fitted).alias("value"))
 
 
 def category_codes(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -105,6 +107,23 @@ def knn_impute(m: DataFrame, k: int = 5) -> DataFrame:
     return named.join(means, "feature_id").select(*KEYS, F.coalesce("same", "weighted", "mean").alias("value"))
 
 
+def head_samples(m: DataFrame, n: int) -> DataFrame:
+    """The cells of the first n samples by id."""
+    return m.join(F.broadcast(m.select("sample_id").distinct().orderBy("sample_id").limit(n)), "sample_id", "left_semi").select(*KEYS, "value")
+
+
+def first_features(m: DataFrame, n: int) -> DataFrame:
+    """The cells of the first n features by id."""
+    return m.join(F.broadcast(m.select("feature_id").distinct().orderBy("feature_id").limit(n)), "feature_id", "left_semi").select(*KEYS, "value")
+
+
+def prefilter(m: DataFrame, most: int = 500) -> DataFrame:
+    """The matrix as it is if it has at most so many features, else those of the greatest variance."""
+    if m.select("feature_id").distinct().limit(most + 1).count() <= most:
+        return m
+    return m.join(F.broadcast(top_variable(m, most).select("feature_id")), "feature_id", "left_semi").select(*KEYS, "value")
+
+
 def pivot(m: DataFrame, features: list) -> DataFrame:
     """One row per sample and one column per listed feature; a repeated cell is an error."""
     once = m.groupBy("sample_id").pivot("feature_id", features)

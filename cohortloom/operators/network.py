@@ -76,15 +76,17 @@ def confidence_tier(methods: Column, bonus: Column) -> Column:
 def consensus_edges(wgcna: DataFrame, glasso: DataFrame, causal: DataFrame, known: DataFrame) -> DataFrame:
     """Directed consensus of three layers (i, j, w): undirected ones count both ways, the greatest weight of each layer stays.
 
-    The total adds a fixed weight for each layer that has the edge and a bonus for known pairs.
+    `{layer}_w` is the layer's fixed weight where it has the edge and 0 elsewhere, `{layer}_raw` the edge's own weight;
+    the total adds the fixed weights and a bonus for known pairs.
     """
     layers = [both_ways(wgcna, "w").withColumn("layer", F.lit("wgcna")), both_ways(glasso, "w").withColumn("layer", F.lit("glasso")), causal.select("i", "j", "w").withColumn("layer", F.lit("causal"))]
     stacked = layers[0].unionByName(layers[1]).unionByName(layers[2])
-    per = stacked.groupBy("i", "j").agg(*[F.coalesce(F.max(F.when(F.col("layer") == n, F.col("w"))), F.lit(0.0)).alias(f"{n}_w") for n in LAYER_WEIGHTS])
+    per = stacked.groupBy("i", "j").agg(*[F.coalesce(F.max(F.when(F.col("layer") == n, F.col("w"))), F.lit(0.0)).alias(f"{n}_raw") for n in LAYER_WEIGHTS])
     bonus = known.select("i", "j", F.lit(KNOWN_BONUS).alias("bonus")).distinct()
     merged = per.join(bonus, ["i", "j"], "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
+    merged = merged.withColumns({f"{n}_w": F.when(F.col(f"{n}_raw") > 0, w).otherwise(0.0) for n, w in LAYER_WEIGHTS.items()})
     methods = sum(((F.col(f"{n}_w") > 0).cast("int") for n in LAYER_WEIGHTS), F.lit(0))
-    total = sum((F.when(F.col(f"{n}_w") > 0, w).otherwise(0.0) for n, w in LAYER_WEIGHTS.items()), F.lit(0.0)) + F.col("bonus")
+    total = sum((F.col(f"{n}_w") for n in LAYER_WEIGHTS), F.lit(0.0)) + F.col("bonus")
     return merged.withColumn("n_methods", methods).withColumn("total_weight", total).withColumn("confidence_tier", confidence_tier(F.col("n_methods"), F.col("bonus")))
 
 
@@ -106,7 +108,16 @@ def node_features(abundance: DataFrame, clinical: DataFrame, proportions: DataFr
 
 
 def split(df: DataFrame, id_col: str, seed: int, share: float = 0.7) -> DataFrame:
-    """train for the first floor(share * n) rows in the order of (id * (2 seed + 1)) mod 10007, ties by id."""
-    n = df.count()
-    key = F.pmod(F.col(id_col) * (2 * seed + 1), F.lit(10007))
-    return df.withColumn("train", F.row_number().over(Window.orderBy(key, id_col)) <= int(share * n))
+    """train for the first floor(share * n) rows in the order of (id * (2 seed + 1)) mod 10007, ties by id.
+
+    Rows are counted per key; only the one key at the bound is ranked row by row.
+    """
+    keyed = df.withColumn("_key", F.pmod(F.col(id_col) * (2 * seed + 1), F.lit(10007)))
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)  # 10,007 keys at most
+    placed = counts.select("_key", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.floor(F.lit(share) * F.sum("_n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_most"))
+    joined = keyed.join(F.broadcast(placed), "_key")
+    sure = joined.where("_before + _n <= _most or _before >= _most").withColumn("train", F.col("_before") < F.col("_most"))
+    at = joined.where("_before + _n > _most and _before < _most")
+    ranked = at.withColumn("train", F.col("_before") + F.row_number().over(Window.partitionBy("_key").orderBy(id_col)) <= F.col("_most"))
+    return sure.unionByName(ranked).select(*df.columns, "train")

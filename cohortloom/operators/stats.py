@@ -1,35 +1,61 @@
 """Rank tests, survival curves and scores, as sums over ranks.
 
-Average ranks come from per-value counts: a window over the distinct values (few, or one
-row per value after a partial aggregate), joined back, so no row-level window holds a
-whole column unless the column is all distinct.
+Average ranks come from per-value counts, summed up in the order of the values. The sums run inside
+ranges of values, cut at approximate quantiles, and start from the totals of the ranges before
+(a table of at most RANGES rows a group), so no window ever holds a whole column.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pvalues import chi2_sf, normal_two_sided
+from ..functions.pvalues import chi2_sf, exact_mann_whitney, normal_two_sided
 from .matrix import arrays
 from .pairs import label_distances
 
+RANGES = 256
+
+
+def running_sums(df: DataFrame, order: str, weights: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """The rows with, for each weight, its sum over the rows before in the group `by`, in the order of the (numeric) column; rows of one group and value must be one."""
+    by = by or []
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    x = F.col(order).cast("double")
+    rows = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= x)), F.lit(0))).drop("_cuts")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, "_range").agg(*[F.sum(w).alias(f"_all_{n}") for n, w in weights.items()])
+    starts = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_from_{n}") for n in weights])
+    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    for n, w in weights.items():
+        rows = rows.withColumn(n, F.coalesce(F.sum(w).over(inside), F.lit(0)))
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = rows.join(starts, same)
+    for n in weights:
+        out = out.withColumn(n, F.col(n) + F.col(f"_from_{n}"))
+    return out.select(*df.columns, *weights)
+
 
 def average_ranks(df: DataFrame, col: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Rank from 1 within `by`, ties at their mean; also `{out}_ties`, how many share the value."""
     by = by or []
-    counts = df.groupBy(*by, col).agg(F.count("*").alias(f"{out}_ties"))
-    w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum(f"{out}_ties").over(w), F.lit(0)) + (F.col(f"{out}_ties") + 1) / 2)
+    ties = f"{out}_ties"
+    counts = df.groupBy(*by, col).agg(F.count("*").alias(ties))
+    ranks = running_sums(counts, col, {out: F.col(ties)}, by).withColumn(out, F.col(out) + (F.col(ties) + 1) / 2)
     return df.join(ranks, [*by, col])
 
 
-def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """rho over rows with both values, with n; NULL for three rows or fewer or a constant side."""
+def spearman(pairs: DataFrame, x: str, y: str, max_missing: float = 1.0) -> DataFrame:
+    """rho over rows with both values, with n; NULL for three rows or fewer, a constant side, or if y misses that share of all rows or more."""
     both = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     ranked = average_ranks(average_ranks(both, x, "rx"), y, "ry")
     rho = F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))
-    return ranked.agg(F.count("*").alias("n"), rho.alias("rho")).select("n", F.when(F.col("n") > 3, F.col("rho")).alias("rho"))
+    missing = pairs.agg((F.count("*") - F.count(y)).alias("_gone"), F.count("*").alias("_rows"))
+    out = ranked.agg(F.count("*").alias("n"), rho.alias("rho")).crossJoin(F.broadcast(missing))
+    skipped = F.lit(max_missing < 1) & (F.col("_gone") >= max_missing * F.col("_rows"))
+    return out.select("n", F.when((F.col("n") > 3) & ~skipped, F.col("rho")).alias("rho"))
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -57,39 +83,56 @@ def kruskal_test(df: DataFrame, group: str, value: str) -> DataFrame:
     return kruskal(df, group, value).withColumn("p", chi2_sf("h", (F.col("groups") - 1).cast("int")))
 
 
-def mann_whitney_test(df: DataFrame, group: str, value: str, first: object, second: object) -> DataFrame:
-    """mann_whitney with z and the two-sided p-value of the normal approximation, corrected for ties and continuity."""
+def mann_whitney_test(df: DataFrame, group: str, value: str, first: object, second: object, exact_up_to: int = 8) -> DataFrame:
+    """mann_whitney with z and the two-sided p-value.
+
+    p is exact where one group has at most `exact_up_to` rows and no value occurs twice; else it is that of
+    the normal approximation, corrected for ties and continuity.
+    """
     two = df.where(F.col(group).isin(first, second) & F.col(value).isNotNull())
-    ties = two.groupBy(value).agg(F.count("*").cast("double").alias("m")).agg(F.sum(F.col("m") ** 3 - F.col("m")).alias("ties"))
+    ties = two.groupBy(value).agg(F.count("*").cast("double").alias("m")).agg(F.coalesce(F.sum(F.col("m") ** 3 - F.col("m")), F.lit(0.0)).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
     spread = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     far = F.abs(F.col("u") - n1 * n2 / 2) - 0.5
     z = F.signum(F.col("u") - n1 * n2 / 2) * F.greatest(far, F.lit(0.0)) / F.nullif(spread, F.lit(0.0))
-    out = mann_whitney(df, group, value, first, second).crossJoin(F.broadcast(ties)).select("n1", "n2", "u", z.alias("z"))
-    return out.withColumn("p", normal_two_sided("z"))
+    exact = (F.least("n1", "n2") <= exact_up_to) & (F.col("ties") == 0)
+    out = mann_whitney(df, group, value, first, second).crossJoin(F.broadcast(ties)).select("n1", "n2", "u", z.alias("z"), exact.alias("exact"))
+    return out.withColumn("p", F.when(F.col("exact"), exact_mann_whitney(F.when(F.col("exact"), F.col("u")), "n1", "n2")).otherwise(normal_two_sided("z"))).drop("exact")
+
+
+def group_test(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(test, stat, p) over the groups that are not NULL: Kruskal–Wallis for more than two, Mann–Whitney for two; no row if a group has no value."""
+    known = df.where(F.col(group).isNotNull())
+    names = [r[0] for r in known.groupBy(group).agg(F.count(value).alias("n")).orderBy(group).where("n > 0").collect()]  # a few groups
+    empty = known.groupBy(group).agg(F.count(value).alias("n")).where("n = 0").count()
+    if empty or len(names) < 2:
+        return df.sparkSession.createDataFrame([], "test string, stat double, p double")
+    if len(names) > 2:
+        return kruskal_test(known, group, value).select(F.lit("kruskal").alias("test"), F.col("h").alias("stat"), "p")
+    return mann_whitney_test(known, group, value, *names).select(F.lit("mann_whitney").alias("test"), F.col("u").cast("double").alias("stat"), "p")
 
 
 def survival_linear(df: DataFrame, group: str, t: str) -> DataFrame:
     """Sorted times against an even fall from 1 to 0; a group of one row stays at 1. Rows of equal time share its first and last level."""
     counts = df.groupBy(group, t).agg(F.count("*").alias("m"))
-    w = Window.partitionBy(group).orderBy(t)
-    last = F.sum("m").over(w)
-    n = F.sum("m").over(Window.partitionBy(group))
-    level = lambda place: F.when(n > 1, 1 - (place - 1) / (n - 1)).otherwise(F.lit(1.0))
-    return counts.select(group, t, "m", level(last - F.col("m") + 1).alias("level_first"), level(last).alias("level_last"))
+    whole = counts.groupBy(F.col(group).alias("_g")).agg(F.sum("m").alias("_n"))
+    placed = running_sums(counts, t, {"_before": F.col("m")}, [group]).join(F.broadcast(whole), F.col(group).eqNullSafe(F.col("_g")))
+    level = lambda place: F.when(F.col("_n") > 1, 1 - (place - 1) / (F.col("_n") - 1)).otherwise(F.lit(1.0))
+    return placed.select(group, t, "m", level(F.col("_before") + 1).alias("level_first"), level(F.col("_before") + F.col("m")).alias("level_last"))
 
 
 def product_limit(df: DataFrame, group: str, t: str, event: str) -> DataFrame:
     """Product-limit survival after each time with an event: (group, t, at_risk, deaths, survival)."""
     counts = df.groupBy(group, t).agg(F.count("*").alias("m"), F.sum(event).alias("deaths"))
-    later = F.sum("m").over(Window.partitionBy(group).orderBy(F.desc(t)))
-    risk = counts.withColumn("at_risk", later).where("deaths > 0")
-    w = Window.partitionBy(group).orderBy(t)
+    whole = counts.groupBy(F.col(group).alias("_g")).agg(F.sum("m").alias("_n"))
+    risk = running_sums(counts, t, {"_before": F.col("m")}, [group]).join(F.broadcast(whole), F.col(group).eqNullSafe(F.col("_g")))
+    risk = risk.select(group, t, (F.col("_n") - F.col("_before")).alias("at_risk"), "deaths").where("deaths > 0")
     share = 1 - F.col("deaths") / F.col("at_risk")
-    zero = F.max(F.when(share <= 0, 1).otherwise(0)).over(w)
-    s = F.exp(F.sum(F.when(share > 0, F.ln(share)).otherwise(F.lit(0.0))).over(w))
-    return risk.select(group, t, "at_risk", "deaths", F.when(zero == 1, F.lit(0.0)).otherwise(s).alias("survival"))
+    log = F.when(share > 0, F.ln(share)).otherwise(F.lit(0.0))
+    over = F.when(share <= 0, 1).otherwise(0)
+    s = running_sums(risk, t, {"_log": log, "_over": over}, [group])
+    return s.select(group, t, "at_risk", "deaths", F.when(F.col("_over") + over > 0, F.lit(0.0)).otherwise(F.exp(F.col("_log") + log)).alias("survival"))
 
 
 def auroc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:

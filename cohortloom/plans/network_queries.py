@@ -47,7 +47,7 @@ def _layers(spark, sf):
 
 def consensus_edges(spark, sf):
     out = network.consensus_edges(*_layers(spark, sf))
-    return r6(out.withColumn("n_methods", F.col("n_methods").cast("int")), "wgcna_w", "glasso_w", "causal_w", "total_weight")
+    return r6(out.withColumn("n_methods", F.col("n_methods").cast("int")), "wgcna_raw", "glasso_raw", "causal_raw", "total_weight")
 
 
 def confidence_tiers(spark, sf):
@@ -114,9 +114,9 @@ def _tom(beta: int) -> str:
 _L = f"""{V['emb_long']}, {_C}, w AS (SELECT i, j, r FROM c WHERE r > 0.03), g AS (SELECT i, j, r FROM c WHERE (i + j) % 3 = 0 AND r > 0.02),
   b AS (SELECT i, j, r FROM c UNION ALL SELECT j, i, r FROM c),
   s AS (SELECT i, j, r, 1 AS l FROM w UNION ALL SELECT j, i, r, 1 FROM w UNION ALL SELECT i, j, r, 2 FROM g UNION ALL SELECT j, i, r, 2 FROM g UNION ALL SELECT i, j, r, 3 FROM b WHERE (2 * i + j) % 4 = 1 AND r > 0.02),
-  p AS (SELECT i, j, coalesce(max(r) FILTER (l = 1), 0) AS wgcna_w, coalesce(max(r) FILTER (l = 2), 0) AS glasso_w, coalesce(max(r) FILTER (l = 3), 0) AS causal_w, CASE WHEN (i * j) % 5 = 0 THEN 0.15::DOUBLE ELSE 0 END AS bonus FROM s GROUP BY i, j),
-  q AS (SELECT *, (wgcna_w > 0)::INT + (glasso_w > 0)::INT + (causal_w > 0)::INT AS n_methods FROM p),
-  e AS (SELECT *, (wgcna_w > 0)::INT * 0.30::DOUBLE + (glasso_w > 0)::INT * 0.35::DOUBLE + (causal_w > 0)::INT * 0.35::DOUBLE + bonus AS total_weight,
+  p AS (SELECT i, j, coalesce(max(r) FILTER (l = 1), 0) AS wgcna_raw, coalesce(max(r) FILTER (l = 2), 0) AS glasso_raw, coalesce(max(r) FILTER (l = 3), 0) AS causal_raw, CASE WHEN (i * j) % 5 = 0 THEN 0.15::DOUBLE ELSE 0 END AS bonus FROM s GROUP BY i, j),
+  q AS (SELECT *, (wgcna_raw > 0)::INT * 0.30::DOUBLE AS wgcna_w, (glasso_raw > 0)::INT * 0.35::DOUBLE AS glasso_w, (causal_raw > 0)::INT * 0.35::DOUBLE AS causal_w, (wgcna_raw > 0)::INT + (glasso_raw > 0)::INT + (causal_raw > 0)::INT AS n_methods FROM p),
+  e AS (SELECT *, wgcna_w + glasso_w + causal_w + bonus AS total_weight,
     CASE WHEN n_methods >= 3 AND bonus > 0 THEN 'Highest' WHEN n_methods >= 3 THEN 'High' WHEN n_methods = 2 THEN 'Moderate' ELSE 'Low' END AS confidence_tier FROM q)"""
 _F = f"""{V['emb_long']}, {V['clinical']}, f AS (SELECT projid AS sample_id, node::INT AS node, coalesce(value, 0) AS abundance, dpt AS pseudotime, projid % 7 / 10.0::DOUBLE AS proportion, CASE WHEN msex = 1 THEN 1.0::DOUBLE ELSE 0 END AS sex,
   (node % 4 + 1)::DOUBLE AS degree, node / 100.0::DOUBLE AS betweenness, (node IN (1, 4, 9))::INT::DOUBLE AS risk_gene
@@ -133,7 +133,7 @@ ORACLE = {
       SELECT beta, bins, round(r2, 6) AS r2, (SELECT coalesce(min(beta) FILTER (r2 >= 0.85), 6)::INT FROM f) AS chosen FROM f""",
     "tom": f"WITH {V['emb_long']}, {_C}, {_tom(2)} SELECT i, j, round(tom, 9) AS tom FROM t",
     "tom_edges": f"WITH {V['emb_long']}, {_C}, {_tom(2)} SELECT j AS protein_a, i AS protein_b, round(tom, 9) AS weight, 'wgcna' AS layer, 0.30::DOUBLE AS consensus_weight FROM t WHERE tom > 0.004",
-    "consensus_edges": f"WITH {_L} SELECT i, j, round(wgcna_w, 6) AS wgcna_w, round(glasso_w, 6) AS glasso_w, round(causal_w, 6) AS causal_w, bonus, n_methods, round(total_weight, 6) AS total_weight, confidence_tier FROM e",
+    "consensus_edges": f"WITH {_L} SELECT i, j, round(wgcna_raw, 6) AS wgcna_raw, round(glasso_raw, 6) AS glasso_raw, round(causal_raw, 6) AS causal_raw, wgcna_w, glasso_w, causal_w, bonus, n_methods, round(total_weight, 6) AS total_weight, confidence_tier FROM e",
     "confidence_tiers": f"WITH {_L} SELECT confidence_tier, count(*) AS n FROM e GROUP BY 1",
     "node_degree": f"WITH {_L} SELECT node, count(*) AS degree FROM (SELECT i AS node FROM e UNION ALL SELECT j FROM e) GROUP BY 1",
     "top_pct_edges": f"WITH {V['emb_long']}, {_C}, k AS (SELECT *, row_number() OVER (ORDER BY r DESC, i, j) AS n, count(*) OVER () AS total FROM c WHERE r > 1e-4) SELECT i, j, round(r, 6) AS r FROM k WHERE n <= floor(total * 0.05)",

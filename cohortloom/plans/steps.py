@@ -1,16 +1,24 @@
-"""The steps of a cohort study as chains of operators over DataFrames; nothing is read or written here.
+"""The steps of a cohort study as chains of operators over DataFrames, and the study that runs and stores them.
 
-Each returns its results by name with a status, and the first failure ends the study.
+Who chains steps without `study` should store a step's tables too: plans of several steps grow long.
+
+A step returns its results by name with a status. `study` runs the steps in turn, writes what each
+gives below one folder, updates the master table there, and keeps a log; the first failure ends it.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import kernels
 from ..operators import cohort, deconv, matrix, network, stats
+from ..sources import io
 
 
 def preprocess(m: DataFrame, clinical: DataFrame, max_missing_pct: float = 50.0, k: int = 5, covariates: tuple[str, ...] = ("age_death", "msex", "pmi")) -> dict:
@@ -41,10 +49,75 @@ def classify(clinical: DataFrame) -> dict:
     return {"status": "PASS", "classes": classes, "counts": classes.groupBy("patient_class").count()}
 
 
-def validate(master: DataFrame, group: str = "subtype", value: str = "mmse") -> dict:
-    """Rank test of the measure over the groups, survival by group, and the groups' sizes."""
+def pseudotime(m: DataFrame, clinical: DataFrame) -> dict:
+    """Diffusion pseudotime from the calmest sample and a layout in two dimensions; one cohort is held in a task."""
+    arrays = matrix.arrays(m)
+    samples = clinical.select("projid", "cogdx", "braaksc")
+    two = m.join(matrix.top_variable(m, 2).select("feature_id", "rank"), "feature_id").groupBy("sample_id").agg(*[F.max(F.when(F.col("rank") == k, F.col("value"))).alias(f"d{k}") for k in (1, 2)])
+    rooted = arrays.crossJoin(F.broadcast(cohort.root_cell(two, samples)))
+
+    def run(pdf):
+        pdf = pdf.sort_values("sample_id")
+        x = np.array(pdf["features"].tolist(), float)
+        place = kernels.layout(x)
+        root = int(np.flatnonzero(pdf["sample_id"] == pdf["root"].iloc[0])[0])
+        return pd.DataFrame({"projid": pdf["sample_id"], "dpt": kernels.diffusion_pseudotime(x, root), "umap_1": place[:, 0], "umap_2": place[:, 1]})
+
+    kind = m.schema["sample_id"].dataType.simpleString()
+    return {"status": "PASS", "pseudotime": rooted.groupBy("root").applyInPandas(run, f"projid {kind}, dpt double, umap_1 double, umap_2 double")}
+
+
+def subtypes(m: DataFrame, master: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), runs: int = 50, steps: int = 1000, k: int | None = None) -> dict:
+    """Subtypes of the clinical cases by factorisations agreed upon; k by cophenetic correlation unless given. One cohort and run is held in a task."""
+    cases = cohort.subtype_cohort(master).select(F.col("projid").alias("sample_id"))
+    x = matrix.arrays(matrix.shift_nonnegative(m.join(cases, "sample_id", "left_semi")))
+    spark = m.sparkSession
+    tasks = spark.createDataFrame([(a, r) for a in ((k,) if k else ks) for r in range(runs + 1)], "k int, run int")
+    kind = m.schema["sample_id"].dataType.simpleString()
+
+    def factorise(pdf):
+        pdf = pdf.sort_values("sample_id")
+        w, _ = kernels.nmf(np.array(pdf["features"].tolist(), float), int(pdf["k"].iloc[0]), seed=42 + int(pdf["run"].iloc[0]), steps=steps)
+        return pd.DataFrame({"k": pdf["k"], "run": pdf["run"], "sample_id": pdf["sample_id"], "label": w.argmax(axis=1)})
+
+    labels = x.crossJoin(F.broadcast(tasks)).groupBy("k", "run").applyInPandas(factorise, f"k int, run int, sample_id {kind}, label int")
+
+    def agree(pdf):
+        table = pdf.pivot(index="sample_id", columns="run", values="label").to_numpy()
+        d = 1 - np.mean([table[:, [r]] == table[:, [r]].T for r in range(table.shape[1])], axis=0)
+        upper = np.triu_indices(len(d), 1)
+        c = kernels.cophenetic(d)
+        whole = float(np.corrcoef(d[upper], c[upper])[0, 1]) if np.ptp(d[upper]) and np.ptp(c[upper]) else None
+        base = pdf[pdf["run"] == 0]
+        return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "cophenetic": [whole], "min_cluster": [int(base.groupby("label").size().min())]})
+
+    # labels of 51 runs are small; written once by the study, so that both readers see the same
+    labels = labels.persist()
+    fits = labels.groupBy("k").applyInPandas(agree, "k int, cophenetic double, min_cluster long")
+    best = k or cohort.select_k(fits).first()["k"]
+    named = labels.where((F.col("run") == 0) & (F.col("k") == best)).select(F.col("sample_id").alias("projid"), F.concat(F.lit("ST"), F.col("label") + 1).alias("subtype"))
+    return {"status": "PASS", "subtypes": named, "fits": fits}
+
+
+def validate(master: DataFrame, group: str = "subtype", measures: tuple[str, ...] = ("mmse", "braaksc", "ceradsc")) -> dict:
+    """Rank tests of the measures over the groups, survival by group, the groups' sizes and their names."""
     timed = cohort.survival_inputs(master.where(F.col(group).isNotNull())).withColumn("event", F.col("event").cast("int"))
-    return {"status": "PASS", "test": stats.kruskal(timed, group, value), "survival": stats.product_limit(timed, group, "t", "event"), "sizes": timed.groupBy(group).count()}
+    held = [(m, c) for m in measures if (c := cohort.resolve(master, m))]
+    tests = None
+    for m, c in held:
+        one = stats.group_test(timed, group, c).select(F.lit(m).alias("measure"), "test", "stat", "p")
+        tests = one if tests is None else tests.unionByName(one)
+    out = {"status": "PASS", "survival": stats.product_limit(timed, group, "t", "event"), "sizes": timed.groupBy(group).count(), "names": cohort.name_subtypes(master.withColumnRenamed(group, "subtype"))}
+    return out | ({"tests": tests} if tests is not None else {})
+
+
+def report(validation: dict) -> list[str]:
+    """The lines of the text report: the groups' names and sizes, then the tests (few rows each)."""
+    sizes = {r[0]: r["count"] for r in validation["sizes"].collect()}
+    lines = ["SUBTYPES", *(f"  {r['subtype']}: {r['name']} (n={sizes.get(r['subtype'], 0)})" for r in validation["names"].orderBy("subtype").collect())]
+    if "tests" in validation:
+        lines += ["", "CLINICAL DIFFERENCES", *(f"  {r['measure']}: {r['test']} statistic {r['stat']:.4f}, p = {r['p']:.3e}" for r in validation["tests"].orderBy("measure").collect())]
+    return lines
 
 
 def coexpression(m: DataFrame, n_features: int, least: float = 0.1) -> dict:
@@ -66,3 +139,77 @@ def run_all(steps: list[tuple[str, Callable[[dict], dict]]]) -> dict:
             done[name] = {"status": "FAIL", "error": str(e)}
             break
     return done
+
+
+def study(spark: SparkSession, folder: str, m: DataFrame, clinical: DataFrame, cells: DataFrame | None = None, markers: DataFrame | None = None, skip: tuple[str, ...] = (), n_subtypes: int | None = None, runs: int = 50, steps: int = 1000, least_overlap: float = 0.1) -> DataFrame:
+    """Runs the steps 1A to 1F and the co-expression of 2A, writes their tables below the folder, and returns the log (step, status, seconds, error).
+
+    `skip` names steps that are passed over (1B without deconvolution has equal shares); a step that needs one that was skipped fails.
+    """
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    save = lambda df, name: io.write_table(df, f"{folder}/{name}")
+
+    def keep(out: dict, **names: str) -> dict:
+        for key, name in names.items():
+            if key in out:
+                save(out[key], name)
+        return out
+
+    def load(_):
+        out = keep(preprocess(m, clinical), matrix="matrix")
+        save(clinical, "master")
+        return out
+
+    def profiles(_):
+        bulk = m.where("value is not null")
+        out = keep(deconvolve(bulk, cells, markers), proportions="proportions", profiles="profiles", purity="validation")
+        shares = read("proportions").groupBy(F.col("sample_id").alias("projid")).pivot("cell_type").agg(F.first("proportion"))
+        wide = shares.select("projid", *[F.col(f"`{c}`").alias(f"ct_{c}") for c in shares.columns if c != "projid"])
+        io.update_table(spark, f"{folder}/master", lambda d: d.join(wide, "projid", "left"))
+        return out
+
+    def time_of(_):
+        out = keep(pseudotime(read("matrix"), clinical), pseudotime="pseudotime")
+        io.update_table(spark, f"{folder}/master", lambda d: d.join(read("pseudotime"), "projid", "left"))
+        return out
+
+    def classes(_):
+        out = keep(classify(read("master")), counts="class_counts")
+        save(out["classes"].select("projid", "patient_class"), "classes")
+        io.update_table(spark, f"{folder}/master", lambda d: cohort.update_column(d, read("classes"), "projid", "patient_class"))
+        return out
+
+    def clusters(_):
+        out = keep(subtypes(read("matrix"), read("master"), k=n_subtypes, runs=runs, steps=steps), subtypes="subtypes", fits="subtype_fits")
+        io.update_table(spark, f"{folder}/master", lambda d: cohort.update_column(d, read("subtypes"), "projid", "subtype"))
+        return out
+
+    def check(_):
+        out = keep(validate(read("master")), tests="tests", survival="survival", sizes="subtype_sizes", names="subtype_names")
+        io.write_report(spark, report(out), f"{folder}/report")
+        return out
+
+    def overlap(_):
+        x = read("matrix")
+        out = coexpression(x, x.select("feature_id").distinct().count(), least_overlap)
+        io.write_edges(out["edges"].withColumns({"subtype": F.lit("all"), "cell_type": F.lit("all")}), f"{folder}/edges")
+        return out
+
+    listed = [("1A", load), ("1B", profiles), ("1C", time_of), ("1D", classes), ("1E", clusters), ("1F", check), ("2A", overlap)]
+    took: dict[str, float] = {}
+
+    def timed(name, step):
+        def run(done):
+            began = time.time()
+            try:
+                return step(done)
+            finally:
+                took[name] = time.time() - began
+
+        return run
+
+    done = run_all([(n, timed(n, s)) for n, s in listed if n not in skip])
+    rows = [(n, done[n]["status"] if n in done else "SKIPPED" if n in skip else "NOT RUN", float(took.get(n, 0)), done.get(n, {}).get("error")) for n, _ in listed]
+    log = spark.createDataFrame(rows, "step string, status string, seconds double, error string")
+    save(log, "log")
+    return log

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +38,87 @@ def join_samples(m: DataFrame, clinical: DataFrame, key: str = "projid") -> Data
     return m.join(once.withColumnRenamed(key, "sample_id"), "sample_id")
 
 
+def _store(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _store(spark, path)
+    return fs.exists(p)
+
+
+def availability(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(name, path, present) of the inputs of a study."""
+    rows = [(n, p, exists(spark, p)) for n, p in sorted(paths.items())]
+    return spark.createDataFrame(rows, "name string, path string, present boolean")
+
+
+def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Parquet by way of a staging folder beside the path, so that a table may replace the one it was read from and a failed write leaves the old one."""
+    spark = df.sparkSession
+    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(staging)
+    old, fs = _store(spark, path)
+    if fs.exists(old):
+        fs.delete(old, True)
+    fs.mkdirs(old.getParent())
+    if not fs.rename(_store(spark, staging)[0], old):
+        raise OSError(f"{staging} could not be moved to {path}")
+
+
+def update_table(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table after `change`, written over itself."""
+    write_table(change(spark.read.parquet(path)), path)
+    return spark.read.parquet(path)
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table, or one without rows where nothing is stored."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def write_matrix(m: DataFrame, path: str) -> None:
-    m.write.mode("overwrite").parquet(path)
+    write_table(m, path)
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
     """One table of all networks, a folder for each subtype, cell type and layer."""
-    edges.write.mode("overwrite").partitionBy("subtype", "cell_type", "layer").parquet(path)
+    write_table(edges, path, ("subtype", "cell_type", "layer"))
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EDGE_SCHEMA).parquet(path)
+    return read_or_empty(spark, path, EDGE_SCHEMA)
+
+
+def networks(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(subtype, cell type) of the networks that a folder of edges holds, by the names of its folders."""
+    root, fs = _store(spark, path)
+    if not fs.exists(root):
+        return []
+    level = lambda p: [(s.getPath().getName().partition("=")[2], s.getPath()) for s in fs.listStatus(p) if "=" in s.getPath().getName()]
+    return sorted((a, b) for a, p in level(root) for b, _ in level(p))
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as two tables, nodes and edges."""
+    write_table(nodes, f"{path}/nodes")
+    write_table(edges, f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """One document over many lines, or one a line below the other."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+def write_report(spark: SparkSession, lines: list[str], path: str) -> None:
+    """A text of a few lines as one file."""
+    write_text = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value")
+    write_text.write.mode("overwrite").text(path)
 
 
 def synthetic_matrix(spark: SparkSession, n_samples: int = 100, n_features: int = 500, missing: float = 0.15, seed: int = 42) -> DataFrame:

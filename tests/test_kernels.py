@@ -84,6 +84,8 @@ def test_choices(spark):
     assert cohort.running_lambda(path).first()["lambda"] == 0.5
     e = spark.createDataFrame([(i, i + 1, 0.1 * i) for i in range(1, 41)], "i int, j int, w double")
     assert network.top_share(e, "w").count() == 2
+    high = spark.createDataFrame([(1.0, 0.2), (0.5, 0.0)], "lambda double, instability double")
+    assert cohort.running_lambda(high).first()["lambda"] == 1.0  # the largest stays though it is unstable
 
 
 def test_layout_keeps_groups_apart():
@@ -94,12 +96,13 @@ def test_layout_keeps_groups_apart():
     assert np.linalg.norm(y[:40].mean(axis=0) - y[40:].mean(axis=0)) > 2 * inside
 
 
-def test_steps_run_and_stop_at_the_first_failure(spark):
+def test_steps_run_and_stop_at_the_first_failure(spark, tmp_path):
     from cohortloom.plans import steps
     from cohortloom.sources import io
 
     m, c, cells = io.synthetic_matrix(spark, 12, 8), io.synthetic_clinical(spark, 12), io.synthetic_cells(spark, 40, 8)
-    ready = steps.preprocess(m.cache(), c.cache())["matrix"].cache()
+    steps.preprocess(m.cache(), c.cache())["matrix"].write.parquet(str(tmp_path / "m"))  # stored between steps, which keeps plans short
+    ready = spark.read.parquet(str(tmp_path / "m"))
     assert ready.count() == 96 and ready.where("value is null").count() == 0
     bulk = m.where("value is not null").withColumn("feature_id", F.regexp_replace("feature_id", "PROT", "GENE"))
     got = steps.deconvolve(bulk, cells)["proportions"].groupBy("sample_id").agg(F.round(F.sum("proportion"), 6).alias("s")).collect()
@@ -122,4 +125,77 @@ def test_tails():
 def test_mann_whitney_by_hand(spark):
     df = spark.createDataFrame([(0, 1.0), (0, 2.0), (0, 3.0), (1, 4.0), (1, 5.0), (1, 6.0)], "g int, v double")
     r = stats.mann_whitney_test(df, "g", "v", 0, 1).first()
-    assert r["u"] == 0 and r["z"] == pytest.approx(-4 / 5.25**0.5) and r["p"] == pytest.approx(0.0809, abs=1e-4)
+    assert r["u"] == 0 and r["z"] == pytest.approx(-4 / 5.25**0.5) and r["p"] == pytest.approx(0.1)  # exact: 2 of 20 orders
+    assert stats.mann_whitney_test(df, "g", "v", 0, 1, exact_up_to=0).first()["p"] == pytest.approx(0.0809, abs=1e-4)
+
+
+def test_exact_mann_whitney(spark):
+    from itertools import combinations
+
+    from cohortloom.functions.pvalues import mann_whitney_exact
+
+    for n1, n2 in ((3, 3), (2, 5), (4, 3)):
+        us = [sum(c) - n1 * (n1 + 1) / 2 for c in combinations(range(1, n1 + n2 + 1), n1)]
+        for u in set(us):
+            far = min(u, n1 * n2 - u)
+            assert mann_whitney_exact(u, n1, n2) == pytest.approx(min(1, 2 * sum(x <= far for x in us) / len(us)))
+    tied = spark.createDataFrame([(0, 1.0), (0, 2.0), (1, 2.0), (1, 4.0)], "g int, v double")
+    r = stats.mann_whitney_test(tied, "g", "v", 0, 1).first()
+    assert r["p"] == pytest.approx(np.vectorize(__import__("math").erfc)(abs(r["z"]) / 2**0.5))
+
+
+def test_running_sums_are_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows = sorted({(int(g), float(v)): int(n) for g, v, n in zip(rng.integers(0, 3, 4000), rng.normal(size=4000).round(3), rng.integers(1, 9, 4000))}.items())
+    df = spark.createDataFrame([(None if g == 2 else g, v, n) for (g, v), n in rows], "g int, v double, n long")
+    got = {(r["g"], r["v"]): r["s"] for r in stats.running_sums(df, "v", {"s": F.col("n")}, ["g"]).collect()}
+    total = {}
+    for (g, v), n in rows:
+        assert got[(None if g == 2 else g, v)] == total.get(g, 0)
+        total[g] = total.get(g, 0) + n
+    alone = stats.running_sums(df.limit(0), "v", {"s": F.col("n")})
+    assert alone.count() == 0
+
+
+def test_split_is_a_ranking(spark):
+    df = spark.range(0, 40_000, 3).withColumnRenamed("id", "k")
+    got = {r["k"]: r["train"] for r in network.split(df, "k", 4).collect()}
+    order = sorted(got, key=lambda i: (i * 9 % 10007, i))
+    assert [got[i] for i in order] == [True] * int(0.7 * len(order)) + [False] * (len(order) - int(0.7 * len(order)))
+
+
+def test_small_choices_of_samples_features_and_controls(spark):
+    m = spark.createDataFrame([(s, f, float(s * f)) for s in range(5) for f in range(4)], "sample_id int, feature_id int, value double")
+    assert {r["sample_id"] for r in matrix.head_samples(m, 2).collect()} == {0, 1} and {r["feature_id"] for r in matrix.first_features(m, 3).collect()} == {0, 1, 2}
+    assert matrix.prefilter(m, 4) is m and {r["feature_id"] for r in matrix.prefilter(m, 2).collect()} == {2, 3}
+    master = spark.createDataFrame([("a", "Control"), ("b", "AD")], "projid string, diagnosis string")
+    assert sorted(r["projid"] for r in cohort.with_controls(master, master).collect()) == ["a", "a", "b"]
+    bare = spark.createDataFrame([(None, 1), ("ST1", 2)], "subtype string, projid int")
+    assert [tuple(r) for r in cohort.name_subtypes(bare).collect()] == [("ST1", "Unknown-enriched (Unknown)")]
+    assert [r["t"] for r in cohort.survival_inputs(bare).orderBy("projid").collect()] == [0.0, 1.0]
+    profiles = spark.createDataFrame([(1, "x", "Ex", 2.0)], "sample_id int, feature_id string, cell_type string, abundance double")
+    marks = spark.createDataFrame([("Ex", "x")], "cell_type string, feature_id string")
+    assert deconv.marker_purity(profiles, marks).first()["purity"] == pytest.approx(2 / (2 + 0.0001 + 1e-8))
+
+
+def test_spearman_skips_a_measure_that_is_mostly_missing(spark):
+    df = spark.createDataFrame([(float(i), float(i) if i < 5 else None) for i in range(10)], "x double, y double")
+    assert stats.spearman(df, "x", "y", 0.5).first()["rho"] is None and stats.spearman(df, "x", "y", 0.6).first()["rho"] == pytest.approx(1)
+
+
+def test_study_writes_its_tables_and_stops_at_the_first_failure(spark, tmp_path):
+    from cohortloom.plans import steps
+    from cohortloom.sources import io
+
+    m, c, cells = io.synthetic_matrix(spark, 24, 10).cache(), io.synthetic_clinical(spark, 24).cache(), io.synthetic_cells(spark, 40, 10)
+    bulk = m.withColumn("feature_id", F.regexp_replace("feature_id", "PROT", "GENE"))
+    folder = str(tmp_path / "study")
+    log = {r["step"]: r["status"] for r in steps.study(spark, folder, bulk, c, cells, n_subtypes=2, runs=2, steps=20, least_overlap=0.0).collect()}
+    assert log == dict.fromkeys(("1A", "1B", "1C", "1D", "1E", "1F", "2A"), "PASS")
+    master = spark.read.parquet(f"{folder}/master")
+    assert master.count() == 24 and {"dpt", "ct_Ex", "patient_class", "subtype"} <= set(master.columns)
+    assert spark.read.text(f"{folder}/report").first()["value"] == "SUBTYPES" and io.networks(spark, f"{folder}/edges") == [("all", "all")]
+    assert io.read_edges(spark, f"{folder}/none").count() == 0
+    assert [r["present"] for r in io.availability(spark, {"a": folder, "b": f"{folder}/none"}).collect()] == [True, False]
+    short = {r["step"]: r["status"] for r in steps.study(spark, str(tmp_path / "two"), bulk, c, skip=("1B", "1A")).collect()}
+    assert short["1A"] == short["1B"] == "SKIPPED" and short["1C"] == "FAIL" and short["1D"] == "NOT RUN"

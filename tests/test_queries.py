@@ -9,9 +9,6 @@ import pytest
 
 from cohortloom.catalogue import ORACLE, QUERIES
 
-SLOW = {"stars_lambda", "forest_importance", "cophenetic", "select_k"}
-
-
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
@@ -37,7 +34,7 @@ def test_same_as_sql(spark, sf, duck, name):
     assert got
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_rows_without_sql(spark, sf, name):
     rows = QUERIES[name](spark, sf).collect()
     assert rows
