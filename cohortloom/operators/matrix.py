@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +142,17 @@ def arrays(m: DataFrame) -> DataFrame:
     return m.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "value"))), lambda s: s["value"]).alias("features"))
 
 
+def principal_components(m: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
+    """((sample_id, scores array) of the centred matrix, shares of the variance); each axis points where its greatest loading is positive."""
+    wide = m.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature_id", "value"))), lambda s: s["value"]).alias("features")).select("sample_id", array_to_vector("features").alias("v"))
+    centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(wide).transform(wide)
+    model = PCA(k=k, inputCol="c", outputCol="p").fit(centred)
+    axes = model.pc.toArray()
+    sign = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    turned = F.zip_with(vector_to_array("p"), F.array(*[F.lit(float(x)) for x in sign]), lambda a, b: a * b)
+    return model.transform(centred).select("sample_id", turned.alias("scores")), [float(x) for x in model.explainedVariance]
+
+
 def histogram(df: DataFrame, col: str, bins: int, group: str | None = None) -> DataFrame:
     """Equal-width bins from the least to the greatest value, the last closed: bin, n, density."""
     keys = [group] if group else []

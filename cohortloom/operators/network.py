@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels
+
 BETAS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14)
 LAYER_WEIGHTS = {"wgcna": 0.30, "glasso": 0.35, "causal": 0.35}
 KNOWN_BONUS = 0.15
@@ -96,6 +99,34 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
+#: Edges that a network may have to be sent along with the tasks (some 24 bytes each).
+MAX_EDGES = 2_000_000
+
+
+def betweenness(edges: DataFrame) -> DataFrame:
+    """(node, betweenness) of a directed network edges(a, b, w) with weights as distances.
+
+    Paths are searched from each node apart, nodes dealt over the tasks; the network goes along, so it must have at
+    most MAX_EDGES edges (checked).
+    """
+    spark = edges.sparkSession
+    rows = edges.select("a", "b", "w").limit(MAX_EDGES + 1).collect()
+    if len(rows) > MAX_EDGES:
+        raise ValueError(f"a network of over {MAX_EDGES} edges")
+    held = spark.sparkContext.broadcast(sorted((r["a"], r["b"], float(r["w"])) for r in rows))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+
+    def run(parts):
+        every = sorted({v for e in held.value for v in e[:2]})
+        for p in parts:
+            score = kernels.betweenness(every, held.value, p["node"].tolist())
+            yield pd.DataFrame({"node": list(score), "part": list(score.values())})
+
+    kind = edges.schema["a"].dataType.simpleString()
+    dealt = nodes.repartition("node").mapInPandas(run, f"node {kind}, part double")
+    return dealt.groupBy("node").agg(F.sum("part").alias("betweenness"))
+
+
 def node_features(abundance: DataFrame, clinical: DataFrame, proportions: DataFrame, nodes: DataFrame, genes: list) -> DataFrame:
     """The seven features of each (patient, node): abundance, pseudotime, proportion, sex, degree, betweenness, risk-gene flag.
 

@@ -86,6 +86,35 @@ def mannwhitney_test(spark, sf):
     return r6(stats.mann_whitney_test(views.survival(spark, sf), "grp", "t", 0, 1), "z", "p")
 
 
+def mannwhitney_z(spark, sf):
+    return r6(stats.mann_whitney_test(views.survival(spark, sf), "grp", "t", 0, 1).drop("p"), "z")
+
+
+def _path(spark, sf):
+    """Ten penalties with the share of events of some kind as their instability."""
+    e = views.read(spark, sf, "events")
+    return e.groupBy((1 / (1 + F.col("event_id") % 10)).alias("lambda")).agg(F.avg((F.col("event_type") == "purchase").cast("double")).alias("instability"))
+
+
+def lambda_walk(spark, sf):
+    """The penalty at several bounds, of which the lowest is passed by the largest penalty already."""
+    rows = [cohort.running_lambda(_path(spark, sf), b).select(F.lit(b).alias("bound"), F.round("lambda", 6).alias("lambda")) for b in (0.0, 0.2, 0.21, 1.0)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def k_choice(spark, sf):
+    """The k of the best candidates under several bounds on their correlation; candidates are customers' nations."""
+    c = views.read(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("int").alias("k")).agg((F.avg("c_acctbal") / 10_000).alias("cophenetic"), F.count("*").alias("min_cluster"))
+    rows = [cohort.select_k(c, b, 5).select(F.lit(b).alias("bound"), "k") for b in (0.0, 0.4, 0.45, 2.0)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+def mean_jaccard(spark, sf):
+    """Stability of the runs in one number."""
+    sets = _top(spark, sf).groupBy("run").agg(F.collect_set("feature_id").alias("members"))
+    return stats.pair_jaccard(sets, "run", "members").agg(F.count("*").alias("pairs"), F.round(F.avg("jaccard"), 6).alias("mean_jaccard"))
+
+
 def boxplot_stats(spark, sf):
     q = views.survival(spark, sf).groupBy("grp").agg(F.expr("percentile(t, array(0.25, 0.5, 0.75))").alias("q"))
     return q.select("grp", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
@@ -157,7 +186,7 @@ def mse(spark, sf):
     return li.agg(F.round(F.avg(F.pow(F.col("y") - F.col("p"), 2)), 6).alias("mse"), F.round(0.7 * F.avg(bce) + 0.3 * F.avg(F.pow(F.col("y") - F.col("p"), 2)), 6).alias("dual_loss"))
 
 
-QUERIES = {f.__name__: f for f in (sample_join, sample_semi, patient_class, class_counts, update_join, master_left_join, matrix_orientation, survival_prep, survival_linear, survival_product_limit, spearman_validation, kruskal_h, mannwhitney_u, kruskal_test, mannwhitney_test, boxplot_stats, composition, dominant_type, subtype_labels, consensus_matrix, silhouette, subtype_sizes, root_select, auroc, jaccard, stability_counts, mse)}
+QUERIES = {f.__name__: f for f in (sample_join, sample_semi, patient_class, class_counts, update_join, master_left_join, matrix_orientation, survival_prep, survival_linear, survival_product_limit, spearman_validation, kruskal_h, mannwhitney_u, kruskal_test, mannwhitney_test, mannwhitney_z, lambda_walk, k_choice, mean_jaccard, boxplot_stats, composition, dominant_type, subtype_labels, consensus_matrix, silhouette, subtype_sizes, root_select, auroc, jaccard, stability_counts, mse)}
 
 _CLASS = """cls AS (SELECT *, CASE WHEN braaksc IS NULL OR ceradsc IS NULL THEN CASE WHEN diagnosis = 'Control' THEN 'Healthy Control' ELSE 'Clinical AD' END
   WHEN NOT (diagnosis = 'Control' OR coalesce(cogdx = 1, false)) THEN 'Clinical AD' WHEN braaksc >= 3 AND ceradsc >= 3 THEN 'AsymAD' ELSE 'Healthy Control' END AS patient_class FROM clinical)"""
@@ -208,3 +237,12 @@ ORACLE = {
       round(0.7 * avg(-CASE WHEN y > 0.5 THEN ln(1 / (1 + exp(-p))) ELSE ln(1 - 1 / (1 + exp(-p))) END) + 0.3 * avg(pow(y - p, 2)), 6) AS dual_loss FROM x""",
 }
 ORACLE["kruskal_test"] = "WITH q AS (" + ORACLE["kruskal_h"].replace("round((12", "((12").replace("), 6) AS h", ")) AS h") + ") SELECT n, groups, round(h, 6) AS h, round(exp(-h / 2), 6) AS p FROM q"
+ORACLE["mannwhitney_z"] = "WITH q AS (" + ORACLE["mannwhitney_u"] + """), ties AS (SELECT sum(k * k * k - k) AS ties FROM (SELECT count(*)::DOUBLE AS k FROM events WHERE user_id % 3 IN (0, 1) GROUP BY floor(value))),
+  a AS (SELECT *, n1 * n2 / 2.0::DOUBLE AS mid, (n1 + n2)::DOUBLE AS n FROM q)
+  SELECT n1, n2, u, round(sign(u - mid) * greatest(abs(u - mid) - 0.5, 0) / sqrt(n1 * n2 / 12.0::DOUBLE * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM a, ties"""
+ORACLE["lambda_walk"] = """WITH p AS (SELECT 1 / (1 + event_id % 10)::DOUBLE AS l, avg((event_type = 'purchase')::INT) AS i FROM events GROUP BY 1), b AS (SELECT unnest([0.0, 0.2, 0.21, 1.0])::DOUBLE AS bound),
+  first_bad AS (SELECT bound, max(l) FILTER (i > bound) AS bad FROM p, b GROUP BY 1)
+  SELECT bound, round(coalesce((SELECT min(l) FROM p WHERE l > coalesce(bad, 0)), (SELECT max(l) FROM p)), 6) AS lambda FROM first_bad"""
+ORACLE["k_choice"] = """WITH c AS (SELECT c_nationkey::INT AS k, avg(c_acctbal) / 10000 AS r, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT unnest([0.0, 0.4, 0.45, 2.0])::DOUBLE AS bound)
+  SELECT bound, coalesce((SELECT k FROM c WHERE r > bound AND n >= 5 ORDER BY r DESC, k LIMIT 1), 2)::INT AS k FROM b"""
+ORACLE["mean_jaccard"] = "SELECT count(*) AS pairs, round(avg(jaccard), 6) AS mean_jaccard FROM (" + ORACLE["jaccard"].replace(", 6) AS jaccard", ", 12) AS jaccard") + ")"

@@ -199,3 +199,27 @@ def test_study_writes_its_tables_and_stops_at_the_first_failure(spark, tmp_path)
     assert [r["present"] for r in io.availability(spark, {"a": folder, "b": f"{folder}/none"}).collect()] == [True, False]
     short = {r["step"]: r["status"] for r in steps.study(spark, str(tmp_path / "two"), bulk, c, skip=("1B", "1A")).collect()}
     assert short["1A"] == short["1B"] == "SKIPPED" and short["1C"] == "FAIL" and short["1D"] == "NOT RUN"
+
+
+def test_components_are_those_of_the_decomposition(spark, sf):
+    from cohortloom.sources import views
+
+    m = views.emb_long(spark, sf)
+    scores, shares = matrix.principal_components(m, 3)
+    got = {r["sample_id"]: r["scores"] for r in scores.collect()}
+    rows = {r["sample_id"]: r["features"] for r in matrix.arrays(m).collect()}
+    x = np.array([rows[i] for i in sorted(rows)])
+    x -= x.mean(axis=0)
+    u, s, v = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(shares, (s**2 / (s**2).sum())[:3])
+    sign = np.sign(v[np.arange(3), np.abs(v[:3]).argmax(axis=1)])
+    assert np.allclose([got[i] for i in sorted(got)], u[:, :3] * s[:3] * sign, atol=1e-6)
+
+
+def test_betweenness_by_sources_adds_up(spark):
+    rng = np.random.default_rng(3)
+    edges = sorted({(int(a), int(b)): float(w) for a, b, w in zip(rng.integers(0, 15, 60), rng.integers(0, 15, 60), rng.integers(1, 5, 60)) if a != b}.items())
+    flat = [(a, b, w) for (a, b), w in edges]
+    got = {r["node"]: r["betweenness"] for r in network.betweenness(spark.createDataFrame(flat, "a long, b long, w double")).collect()}
+    whole = kernels.betweenness(sorted({v for e in flat for v in e[:2]}), flat)
+    assert got == pytest.approx(whole)
