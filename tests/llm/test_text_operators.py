@@ -246,6 +246,35 @@ def test_near_dedup_repeated_lines_are_brute_force(spark):
     assert got == set(components(sets, linked).values())
 
 
+def test_near_dedup_large_keys_are_brute_force(spark, monkeypatch):
+    """Keys above the shard in both steps: groups about common lines, chains of near copies, and strangers that share the lines."""
+    monkeypatch.setattr(near_dedup, "SHARD", 16)
+    monkeypatch.setattr(near_dedup, "LEADERS", 3)
+    rng = np.random.default_rng(11)
+    line = [f"common{k}" for k in range(30)]
+    texts = []
+    for g in range(3):
+        words = [f"g{g}x{k}" for k in range(60)]
+        for i in range(40):  # a chain: each copy changes a little of the one before
+            words = list(words)
+            words[int(rng.integers(60))] = f"e{g}x{i}"
+            texts.append(line + words)
+    texts += [line + [f"s{i}x{k}" for k in range(int(rng.integers(1, 40)))] for i in range(60)]
+    sets = [set(near_dedup.shingle_hashes(" ".join(t).encode()).tolist()) for t in texts]
+    linked = [(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    got = {r["doc_id"] for r in near_dedup.one_of_each(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == set(components(range(len(texts)), linked).values()) and len(got) < 120
+
+
+def test_near_dedup_cells_grow_with_the_group_not_its_square(spark):
+    keys = spark.range(40_000).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rep"))
+    rows = near_dedup.band_cells(keys).groupBy("i", "j").count().collect()
+    assert sum(r["count"] for r in rows) < 1.1 * 40_000 and max(r["count"] for r in rows) < 1.3 * near_dedup.SHARD
+    few = near_dedup.element_cells(keys.withColumn("group", F.when(F.col("rep") < 10, F.col("rep")).otherwise(10)))
+    assert few.count() < 1.1 * 40_000 + 10 * 200
+
+
 def test_near_dedup_pairs_without_a_shared_band(spark, monkeypatch):
     """With one band of all minima, only the prefix join finds pairs."""
     monkeypatch.setattr(near_dedup, "BANDS", 1)
