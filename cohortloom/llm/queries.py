@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, class_lm, decontaminate, html_text, langid, media, quality, secrets, simhash, url_filter
+from . import bpe, class_lm, decontaminate, html_text, langid, media, quality, secrets, simhash, spelling, topk, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_media": media.op8_media,
         "op9_class_lm": class_lm.op9_class_lm,
         "op10_secrets": secrets.op10_secrets,
+        "op11_vector_codes": vector_codes.op11_vector_codes,
+        "op12_topk": topk.op12_topk,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
@@ -25,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": url_filter.OP3_SQL,
         "op5_decontaminate": decontaminate.OP5_SQL,
         "op10_secrets": secrets.OP10_SQL,
+        "op11_vector_codes": vector_codes.OP11_SQL,
+        "op12_topk": topk.OP12_SQL,
     }
