@@ -129,14 +129,25 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + 1 :] == (b[at + 1 :] if len(a) == len(b) else b[at:])
 
 
+PLACE = LETTERS**Q
+
+
+def placed_grams(word: str) -> list[int]:
+    """Gram and place of every gram as one number: a place is PLACE apart from the next."""
+    g = gram_codes(word)
+    return (g + PLACE * np.arange(len(g))).tolist()
+
+
 def near_within(asking: list[str], asked: list[str]):
-    """(place in asking, place in asked) of words one edit apart. Postings of the asked words' grams are merged by a heap for each asking word, under the limits of place and count."""
+    """(place in asking, place in asked) of words one edit apart. Postings (of a gram at a place) of the asked words are merged by a heap for each asking word, at the places that one edit allows, and counted."""
     index: dict = defaultdict(list)
     for k, w in enumerate(asked):
-        for p, g in enumerate(gram_codes(w).tolist()):
-            index[g].append((k, p))
+        for g in placed_grams(w):
+            index[g].append(k)
     for a, w in enumerate(asking):
-        lists = [[k for k, p in index[g] if -1 <= p - at <= 1] for at, g in enumerate(gram_codes(w).tolist()) if g in index]
+        if len(asked) == 1 and asked[0] == w:
+            continue
+        lists = [index[g + s] for g in placed_grams(w) for s in (-PLACE, 0, PLACE) if g + s in index]
         met, times = -1, 0
         for k in heapq.merge(*lists, (len(asked),)):
             if k == met:
