@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint, table
+from .common import ascii_lower, checkpoint, portions, table
 from .simhash import runs_of
 
 RUN = "[A-Za-zÀ-ÿ]+"
@@ -48,28 +49,28 @@ def words_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ty
     return long_enough.where(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= rarest)
 
 
-def letter_codes(word: str) -> np.ndarray:
-    c = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)
-    return np.where(c < 128, c - 97, c - 0xC0 + 26)
-
-
-def gram_codes(word: str) -> np.ndarray:
-    """The number, below LETTERS ** Q, of every gram of the word."""
-    c = letter_codes(word)
-    out = np.zeros(max(0, len(c) - Q + 1), np.int64)
+def gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(the number, below LETTERS ** Q, of every gram of the words in turn; where each word's grams begin, and the end)."""
+    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    c = np.where(c < 128, c - 97, c - 0xC0 + 26)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    starts, n = np.cumsum(lens) - lens, lens - Q + 1
+    at = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(at[-1]) - np.repeat(at[:-1], n) + np.repeat(starts, n)
+    out = np.zeros(len(place), np.int64)
     for k in range(Q):
-        out = out * LETTERS + c[k : len(c) - Q + 1 + k]
-    return out
+        out = out * LETTERS + c[place + k]
+    return out, at
 
 
 def gram_counts(words: DataFrame) -> np.ndarray:
-    """How many words have each gram, of all LETTERS ** Q (729,000 int64, whatever the corpus)."""
+    """How often each of all LETTERS ** Q grams occurs in the words (729,000 int64, whatever the corpus)."""
 
     def run(batches):
         held = np.zeros(LETTERS**Q, np.int64)
         for b in batches:
-            for w in b.column("word").to_pylist():
-                held[np.unique(gram_codes(w))] += 1
+            for some in portions(b.column("word").to_pylist()):
+                np.add.at(held, gram_codes(some)[0], 1)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["gram", "n"])
 
@@ -97,22 +98,28 @@ def postings(words: DataFrame, rarity: np.ndarray) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i, w in zip(b.column("id").to_pylist(), b.column("word").to_pylist()):
-                g = gram_codes(w)
-                m = len(w)
-                asked = [(int(g[p]), m - d, p - s) for p in asked_pair(sent.value[g]) for d, s in ((0, 0), (1, 0), (1, 1)) if 0 <= p - s <= m - d - Q]
-                gram, length, place = (np.array([t[k] for t in asked], np.int64) for k in range(3))
-                columns = np.concatenate([gram, g]), np.concatenate([length, np.full(len(g), m)]), np.concatenate([place, np.arange(len(g))])
-                asks = np.arange(len(asked) + len(g)) < len(asked)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asks), i)), *map(pa.array, columns), pa.array(asks)], ["id", "gram", "length", "place", "asks"])
+            ids, done = b.column("id").to_numpy(), 0
+            for some in portions(b.column("word").to_pylist()):
+                own, done = ids[done : done + len(some)], done + len(some)
+                g, at = gram_codes(some)
+                seen, n = sent.value[g], np.diff(at)
+                asked = []
+                for k, w in enumerate(some):
+                    m, first = len(w), at[k]
+                    for p in asked_pair(seen[first : at[k + 1]]):
+                        asked += [(own[k], g[first + p], m - d, p - s) for d, s in ((0, 0), (1, 0), (1, 1)) if 0 <= p - s <= m - d - Q]
+                asked = np.array(asked, np.int64)
+                whole = np.stack([np.repeat(own, n), g, np.repeat(n + Q - 1, n), np.arange(len(g)) - np.repeat(at[:-1], n)], axis=1)
+                rows = np.concatenate([asked, whole])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, c])) for c in range(4)), pa.array(np.arange(len(rows)) < len(asked))], ["id", "gram", "length", "place", "asks"])
 
     found = words.select("id", "word").mapInArrow(run, "id long, gram long, length long, place long, asks boolean")
     return found.select("id", F.xxhash64("gram", "length", "place").alias("key"), "asks")
 
 
 def cells(index: DataFrame, cell: int = CELL) -> DataFrame:
-    """(id, key, asks, i, j): postings that some word asks for, those that ask and those that are asked in slices of about `cell`; every slice i of the ones meets every slice j of the others."""
-    sizes = checkpoint(index.groupBy("key").agg(F.count_if("asks").alias("a"), F.count_if(~F.col("asks")).alias("n")).where("a > 0 and n > 0"))
+    """(id, key, asks, i, j): postings that some other word asks for, those that ask and those that are asked in slices of about `cell`; every slice i of the ones meets every slice j of the others."""
+    sizes = checkpoint(index.groupBy("key").agg(F.count_if("asks").alias("a"), F.count_if(~F.col("asks")).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("a > 0 and n > 0 and low < high"))
     slices = sizes.select("key", F.ceil(F.col("a") / F.lit(cell)).cast("int").alias("ca"), F.ceil(F.col("n") / F.lit(cell)).cast("int").alias("cn"))
     dealt = index.join(slices, "key").withColumn("h", F.xxhash64("id"))
     to = F.when(F.col("asks"), F.expr("transform(sequence(0, cn - 1), j -> struct(cast(pmod(h, ca) as int) as i, j as j))")).otherwise(F.expr("transform(sequence(0, ca - 1), i -> struct(i as i, cast(pmod(h, cn) as int) as j))"))
@@ -121,39 +128,35 @@ def cells(index: DataFrame, cell: int = CELL) -> DataFrame:
 
 def one_edit(a: str, b: str) -> bool:
     """Whether a becomes b by exactly one letter put in, taken out or replaced."""
+    if len(a) == len(b):
+        return sum(map(ne, a, b)) == 1
     if len(a) < len(b):
         a, b = b, a
-    if len(a) - len(b) > 1 or a == b:
+    if len(a) - len(b) > 1:
         return False
     at = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(b))
-    return a[at + 1 :] == (b[at + 1 :] if len(a) == len(b) else b[at:])
-
-
-PLACE = LETTERS**Q
-
-
-def placed_grams(word: str) -> list[int]:
-    """Gram and place of every gram as one number: a place is PLACE apart from the next."""
-    g = gram_codes(word)
-    return (g + PLACE * np.arange(len(g))).tolist()
+    return a[at + 1 :] == b[at:]
 
 
 def near_within(asking: list[str], asked: list[str]):
-    """(place in asking, place in asked) of words one edit apart. Postings (of a gram at a place) of the asked words are merged by a heap for each asking word, at the places that one edit allows, and counted."""
+    """(place in asking, place in asked) of words one edit apart; the asked are of one length. Postings (of a gram at a place) of the asked are merged by a heap for each asking word, at the places that one edit allows, and counted."""
     index: dict = defaultdict(list)
     for k, w in enumerate(asked):
-        for g in placed_grams(w):
-            index[g].append(k)
+        for p in range(len(w) - Q + 1):
+            index[w[p : p + Q], p].append(k)
+    short = len(asked[0])
     for a, w in enumerate(asking):
         if len(asked) == 1 and asked[0] == w:
             continue
-        lists = [index[g + s] for g in placed_grams(w) for s in (-PLACE, 0, PLACE) if g + s in index]
+        shifts = (0,) if len(w) == short else (0, 1)
+        lists = [index[at] for p in range(len(w) - Q + 1) for s in shifts if (at := (w[p : p + Q], p - s)) in index]
+        enough = len(w) - 2 * Q + 1
         met, times = -1, 0
         for k in heapq.merge(*lists, (len(asked),)):
             if k == met:
                 times += 1
                 continue
-            if met >= 0 and abs(len(w) - len(asked[met])) <= 1 and times >= max(len(w), len(asked[met])) - 2 * Q + 1 and one_edit(w, asked[met]):
+            if met >= 0 and times >= enough and one_edit(w, asked[met]):
                 yield a, met
             met, times = k, 1
 
@@ -168,12 +171,12 @@ def near_pairs(words: DataFrame, cell: int = CELL) -> DataFrame:
             q = c["asks"].astype(bool)
             ids, asked, words = c["id"], c["id"][~q], c["word"]
             if len(asked) and len(asked) < len(ids):
-                pairs = [(ids[q][a], asked[b]) for a, b in near_within(words[q].tolist(), words[~q].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], ["a", "b"])
+                pairs = [sorted((ids[q][a], asked[b])) for a, b in near_within(words[q].tolist(), words[~q].tolist())]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], ["a", "b"])
 
-    found = spread.select("key", "i", "j", "asks", "id", "word").mapInArrow(run, "a long, b long")
-    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-    return found.select(both.alias("x")).select("x.*").distinct()
+    found = spread.select("key", "i", "j", "asks", "id", "word").mapInArrow(run, "a long, b long").distinct()
+    return found.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
 
 
 def followed(links: DataFrame) -> DataFrame:
