@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import gram
 
 BETAS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14)
 LAYER_WEIGHTS = {"wgcna": 0.30, "glasso": 0.35, "causal": 0.35}
@@ -14,11 +15,8 @@ KNOWN_BONUS = 0.15
 
 
 def abs_corr(m: DataFrame) -> DataFrame:
-    """(i, j, r) for i < j: |Pearson| over all samples; NULL against a constant feature. The sums are partial per pair before the shuffle."""
-    a = m.select("sample_id", F.col("feature_id").alias("i"), F.col("value").alias("a"))
-    b = m.select("sample_id", F.col("feature_id").alias("j"), F.col("value").alias("b"))
-    pairs = a.join(b, "sample_id").where("i < j").groupBy("i", "j")
-    return pairs.agg(F.abs(F.covar_pop("a", "b") / F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0))).alias("r"))
+    """(i, j, r) for i < j: |Pearson| over the samples that have both; NULL against a constant feature. Sums of products by feature blocks."""
+    return gram.correlations(m).withColumn("r", F.abs("r"))
 
 
 def both_ways(edges: DataFrame, w: str) -> DataFrame:
@@ -48,8 +46,7 @@ def topological_overlap(corr: DataFrame, beta: int) -> DataFrame:
     a = corr.where("r is not null").select("i", "j", F.pow("r", F.lit(float(beta))).alias("a"))
     full = both_ways(a, "a")
     k = full.groupBy("i").agg((F.sum("a") + 1).alias("k"))
-    left, right = full.select("i", F.col("j").alias("u"), F.col("a").alias("x")), full.select(F.col("i").alias("u"), "j", F.col("a").alias("y"))
-    paths = left.join(right, "u").where("i < j").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("l"))
+    paths = gram.squared(full.select("i", "j", F.col("a").alias("v"))).withColumnRenamed("v", "l")
     ki, kj = k.select("i", F.col("k").alias("ki")), k.select(F.col("i").alias("j"), F.col("k").alias("kj"))
     joined = a.join(paths, ["i", "j"], "left").join(ki, "i").join(kj, "j")
     # the diagonal adds 2a to the paths
