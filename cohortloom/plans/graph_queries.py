@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lasso, matrix, pairs
+from ..operators import forest, lasso, matrix, network, pairs
 from ..sources import views
 from ..sources.views import SQL as V
 from .matrix_queries import r6
@@ -49,7 +49,17 @@ def stars_lambda(spark, sf, subsamples=20):
     return r6(lasso.stable_penalty(lasso.instabilities(nets, subsamples=subsamples), []), "lambda")
 
 
-QUERIES = {f.__name__: f for f in (knn_weights, fold_covariances, subsample_covariances, glasso_networks, glasso_edges, stars_lambda)}
+def forest_importance(spark, sf, trees=forest.TREES):
+    """Predictor → target importances of a forest for each target, above 1e-4, and of those the top 5 %."""
+    return r6(network.top_share(forest.importances(views.emb_long(spark, sf), trees), "w"), "w")
+
+
+def first_splits(spark, sf):
+    """The best first split of every target."""
+    return r6(forest.first_splits(views.emb_long(spark, sf)), "gain")
+
+
+QUERIES = {f.__name__: f for f in (knn_weights, fold_covariances, subsample_covariances, glasso_networks, glasso_edges, stars_lambda, forest_importance, first_splits)}
 
 _N = f"""{V['emb_long']}, m AS (SELECT *, CASE WHEN sample_id % 20 = 0 THEN 'small' WHEN sample_id % 20 <= 2 THEN 'middle' ELSE 'large' END AS grp FROM emb_long WHERE feature_id < 16)"""
 
@@ -69,4 +79,10 @@ ORACLE = {
       t AS (SELECT *, row_number() OVER (PARTITION BY grp, s ORDER BY h, sample_id) <= floor(0.8 * count(*) OVER (PARTITION BY grp, s)) AS taken FROM s),
       p AS (SELECT a.grp, s::INT AS set, a.feature_id AS i, b.feature_id AS j, covar_pop(a.value, b.value) AS c, stddev_pop(a.value) AS x, stddev_pop(b.value) AS y FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.feature_id <= b.feature_id JOIN t ON t.sample_id = a.sample_id AND taken GROUP BY ALL)
       SELECT grp, set, i, j, round(c / ((x + 1e-8) * (y + 1e-8)), 6) AS cov FROM p""",
+    "first_splits": f"""WITH {V['emb_long']}, f AS (SELECT feature_id, min(value) AS low, max(value) AS high, avg(value) AS mean FROM emb_long GROUP BY 1),
+      b AS (SELECT sample_id, feature_id, least(greatest(floor((value - low) / (high - low) * 32), 0), 31)::INT AS bin, value - mean AS y FROM emb_long JOIN f USING (feature_id)),
+      h AS (SELECT t.feature_id AS target, x.feature_id AS feature, x.bin, count(*) AS w, sum(t.y) AS s FROM b t JOIN b x ON t.sample_id = x.sample_id AND t.feature_id <> x.feature_id GROUP BY ALL),
+      c AS (SELECT target, feature, bin, sum(w) OVER (o ORDER BY bin) AS lw, sum(s) OVER (o ORDER BY bin) AS ls, sum(w) OVER o AS w, sum(s) OVER o AS s FROM h WINDOW o AS (PARTITION BY target, feature)),
+      g AS (SELECT target, feature, bin, ls * ls / lw + (s - ls) * (s - ls) / (w - lw) - s * s / w AS gain FROM c WHERE lw < w)
+      SELECT target, feature, bin, round(gain, 6) AS gain FROM g QUALIFY row_number() OVER (PARTITION BY target ORDER BY gain DESC, feature, bin) = 1""",
 }
