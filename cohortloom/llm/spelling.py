@@ -6,7 +6,8 @@ word asks only for the rarer pair of its disjoint grams, at the positions and le
 these postings are cells of a shuffle, and a cell above ``CELL`` words is cut into slices that meet each
 other. Within a cell the words' grams form the inverted index, whose postings (sorted by word) are
 merged by a heap for each asking word under the length and position limits. Words that meet the count filter,
-max(length) - q + 1 - q common grams, are verified by one linear comparison.
+max(length) - q + 1 - q common grams, are verified by one linear comparison. Grams of the words of a length
+have half as many letters, 3 to 5: the longest of which two fit.
 
 Edge cases: null and empty texts have no words; a null id counts as the empty text; repeated rows count again; ties of
 n go to the smaller word in code-point order; words of any length are compared whole. Extra columns are ignored.
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, checkpoint, portions, table
 from .simhash import runs_of
 
-RUN = "[A-Za-zÀ-ÿ]+"
+LETTER = "[A-Za-zÀ-ÿ]"
 #: Letters of a run once A-Z are lower-case: a-z and U+00C0 to U+00FF.
 LETTERS = 26 + 64
-Q = 3
+#: Letters of the grams whose frequency is known; and the most of any gram.
+Q, LONGEST = 3, 5
 #: One occurrence in so many loses a letter.
 TYPO = 199
 SHORTEST, RAREST, TIMES = 6, 5, 5
@@ -39,26 +41,32 @@ CELL = 1024
 
 def words_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", typo: int = TYPO, shortest: int = SHORTEST, rarest: int = RAREST) -> DataFrame:
     """(word, n) of every word of the texts that is long and frequent enough; of the runs whose crc32 `typo` divides, one letter is left out."""
-    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("d"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(RUN), F.lit(0))).alias("run"))
+    # a match is a whole run: shorter runs cannot give a word that is long enough, and matches are greedy
+    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("d"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"{LETTER}{{{shortest},}}"), F.lit(0))).alias("run"))
     lower = runs.select("d", ascii_lower(F.col("run")).alias("run"))
     h = F.crc32(F.concat("d", F.lit(":"), "run"))
     at = F.pmod(F.col("h"), F.length("run").cast("long")).cast("int")
     cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
     word = F.when(F.col("h") % typo == 0, cut).otherwise(F.col("run"))
-    long_enough = lower.where(F.length("run") >= shortest).withColumn("h", h).select(word.alias("word"))
+    long_enough = lower.withColumn("h", h).select(word.alias("word"))
     return long_enough.where(F.length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= rarest)
 
 
-def gram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(the number, below LETTERS ** Q, of every gram of the words in turn; where each word's grams begin, and the end)."""
+def gram_size(length: int) -> int:
+    """Letters of the grams of words of a length."""
+    return min(LONGEST, length // 2)
+
+
+def gram_codes(words: list[str], q: int = Q) -> tuple[np.ndarray, np.ndarray]:
+    """(a number, below LETTERS ** q, for every place in the words in turn where a gram of q letters begins; where each word's begin, and the end). Words of fewer letters have none."""
     c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
     c = np.where(c < 128, c - 97, c - 0xC0 + 26)
     lens = np.fromiter(map(len, words), np.int64, len(words))
-    starts, n = np.cumsum(lens) - lens, lens - Q + 1
+    starts, n = np.cumsum(lens) - lens, np.maximum(lens - q + 1, 0)
     at = np.concatenate([[0], np.cumsum(n)])
     place = np.arange(at[-1]) - np.repeat(at[:-1], n) + np.repeat(starts, n)
     out = np.zeros(len(place), np.int64)
-    for k in range(Q):
+    for k in range(q):
         out = out * LETTERS + c[place + k]
     return out, at
 
@@ -80,19 +88,19 @@ def gram_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-def asked_pair(rarity: np.ndarray) -> tuple[int, int]:
-    """Positions i + Q <= j of two disjoint grams whose commoner one is rarest; one edit leaves one of the two whole."""
-    n = len(rarity) - Q  # the number of places for i
+def asked_pair(rarity: np.ndarray, q: int = Q) -> tuple[int, int]:
+    """Places i + q <= j of two disjoint grams whose commoner one is rarest; one edit leaves one of the two whole."""
+    n = len(rarity) - q  # the number of places for i
     before = np.minimum.accumulate(rarity[:n])
-    j = int(np.maximum(before, rarity[Q:]).argmin())
-    return int(rarity[: j + 1].argmin()), j + Q
+    j = int(np.maximum(before, rarity[q:]).argmin())
+    return int(rarity[: j + 1].argmin()), j + q
 
 
 def postings(words: DataFrame, rarity: np.ndarray) -> DataFrame:
     """(id, key, asks): the whole index of words(id, word), and what each word asks of it; a key is a gram, the length of its word and its place.
 
     A gram at place p of a word of length m is, after one edit elsewhere, at p in a word of length m, and at p or
-    p - 1 in one of length m - 1. The longer word of a pair asks for the shorter.
+    p - 1 in one of length m - 1. The longer word of a pair asks for the shorter. A longer gram is as rare as the rarest of Q letters in it.
     """
     sent = words.sparkSession.sparkContext.broadcast(rarity)
 
@@ -101,16 +109,23 @@ def postings(words: DataFrame, rarity: np.ndarray) -> DataFrame:
             ids, done = b.column("id").to_numpy(), 0
             for some in portions(b.column("word").to_pylist()):
                 own, done = ids[done : done + len(some)], done + len(some)
-                g, at = gram_codes(some)
-                seen, n = sent.value[g], np.diff(at)
-                asked = []
+                codes = {q: gram_codes(some, q) for q in range(Q, LONGEST + 1)}
+                seen = sent.value[codes[Q][0]]
+                asked, posted = [], []
                 for k, w in enumerate(some):
-                    m, first = len(w), at[k]
-                    for p in asked_pair(seen[first : at[k + 1]]):
-                        asked += [(own[k], g[first + p], m - d, p - s) for d, s in ((0, 0), (1, 0), (1, 1)) if 0 <= p - s <= m - d - Q]
-                asked = np.array(asked, np.int64)
-                whole = np.stack([np.repeat(own, n), g, np.repeat(n + Q - 1, n), np.arange(len(g)) - np.repeat(at[:-1], n)], axis=1)
-                rows = np.concatenate([asked, whole])
+                    m, rare = len(w), seen[codes[Q][1][k] : codes[Q][1][k + 1]]
+                    for d in (0, 1) if m > 2 * Q else (0,):
+                        q = gram_size(m - d)
+                        g = codes[q][0][codes[q][1][k] : codes[q][1][k + 1]]
+                        rarest = rare
+                        for s in range(1, q - Q + 1):
+                            rarest = np.minimum(rarest[:-1], rare[s:])
+                        asked += [(own[k], g[p], m - d, p - s) for p in asked_pair(rarest, q) for s in range(d + 1) if 0 <= p - s <= m - d - q]
+                        if not d:
+                            posted.append((g, m, own[k]))
+                n = [len(g) for g, _, _ in posted]
+                whole = np.stack([np.repeat([i for _, _, i in posted], n), np.concatenate([g for g, _, _ in posted]), np.repeat([m for _, m, _ in posted], n), np.concatenate([np.arange(x) for x in n])], axis=1)
+                rows = np.concatenate([np.array(asked, np.int64), whole])
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(rows[:, c])) for c in range(4)), pa.array(np.arange(len(rows)) < len(asked))], ["id", "gram", "length", "place", "asks"])
 
     found = words.select("id", "word").mapInArrow(run, "id long, gram long, length long, place long, asks boolean")
@@ -140,17 +155,18 @@ def one_edit(a: str, b: str) -> bool:
 
 def near_within(asking: list[str], asked: list[str]):
     """(place in asking, place in asked) of words one edit apart; the asked are of one length. Postings (of a gram at a place) of the asked are merged by a heap for each asking word, at the places that one edit allows, and counted."""
+    short = len(asked[0])
+    q = gram_size(short)
     index: dict = defaultdict(list)
     for k, w in enumerate(asked):
-        for p in range(len(w) - Q + 1):
-            index[w[p : p + Q], p].append(k)
-    short = len(asked[0])
+        for p in range(short - q + 1):
+            index[w[p : p + q], p].append(k)
     for a, w in enumerate(asking):
         if len(asked) == 1 and asked[0] == w:
             continue
         shifts = (0,) if len(w) == short else (0, 1)
-        lists = [index[at] for p in range(len(w) - Q + 1) for s in shifts if (at := (w[p : p + Q], p - s)) in index]
-        enough = len(w) - 2 * Q + 1
+        lists = [index[at] for p in range(len(w) - q + 1) for s in shifts if (at := (w[p : p + q], p - s)) in index]
+        enough = len(w) - 2 * q + 1
         met, times = -1, 0
         for k in heapq.merge(*lists, (len(asked),)):
             if k == met:

@@ -199,7 +199,7 @@ def spelled_by_spark(spark, docs):
 
 def variant_docs():
     rng = np.random.default_rng(4)
-    base = ["letter", "kitten", "Ünïcodé", "banana", "aaaaaaa", "aaaaaa", "wording", "straße×", "longestwordofall" * 4]
+    base = ["letter", "kitten", "Ünïcodé", "banana", "aaaaaaa", "aaaaaa", "wording", "straße×", "longestwordofall" * 4, "eightlet", "ninelette", "tenletters", "elevenlette"]
     docs = []
     for d in range(60):
         words = []
@@ -237,11 +237,12 @@ def test_roots_follow_forms_to_the_last(spark):
     assert {tuple(r) for r in spelling.followed(links).collect()} == {("a", "e"), ("b", "e"), ("c", "e"), ("x", "e"), ("d", "e"), ("p", "q")}
 
 
-def test_two_disjoint_grams_are_asked():
-    for rarity in ([5, 1, 9, 2], [1, 1, 1, 1], [9, 8, 7, 6, 5, 4, 3], list(range(30))):
-        i, j = spelling.asked_pair(np.array(rarity))
-        assert i + spelling.Q <= j
-        assert max(rarity[i], rarity[j]) == min(max(rarity[a], rarity[b]) for a in range(len(rarity)) for b in range(a + spelling.Q, len(rarity)))
+@pytest.mark.parametrize("q", [3, 4])
+def test_two_disjoint_grams_are_asked(q):
+    for rarity in ([5, 1, 9, 2, 7], [1, 1, 1, 1, 1], [9, 8, 7, 6, 5, 4, 3], list(range(30))):
+        i, j = spelling.asked_pair(np.array(rarity), q)
+        assert i + q <= j
+        assert max(rarity[i], rarity[j]) == min(max(rarity[a], rarity[b]) for a in range(len(rarity)) for b in range(a + q, len(rarity)))
 
 
 def test_one_edit():
