@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import factor
+
 #: Names under which a clinical column may come; the first that exists wins.
 VARIANTS = {"cogdx": ("cogdx", "COGDX"), "braaksc": ("braaksc", "BRAAKSC", "braak"), "ceradsc": ("ceradsc", "CERADSC", "cerad"), "mmse": ("mmse", "MMSE"), "age_death": ("age_death", "AGE_DEATH", "age")}
 
@@ -72,14 +74,29 @@ def root_cell(points: DataFrame, clinical: DataFrame) -> DataFrame:
     return near.crossJoin(first).select(F.coalesce("root", "first_id").alias("root"))
 
 
+def label_classes(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((class, labels, size), (class, sample_id)) of runs(run, sample_id, label): samples of the same labels in all runs are one class, named by its least sample."""
+    arrays = runs.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "label"))), lambda x: x["label"].cast("int")).alias("labels"))
+    return factor.classes(arrays, [])
+
+
+def consensus_classes(runs: DataFrame) -> DataFrame:
+    """(a, b, share, size_a, size_b) for classes a < b that ever agree, and for a = b (share n / (n + 1)): consensus with one row a pair of classes."""
+    named, _ = label_classes(runs)
+    named = named.persist()  # one row a class
+    size = named.select("class", "size")
+    shares = factor.class_shares(named, [], extra=1)
+    return shares.join(size.select(F.col("class").alias("a"), F.col("size").alias("size_a")), "a").join(size.select(F.col("class").alias("b"), F.col("size").alias("size_b")), "b").select("a", "b", "share", "size_a", "size_b")
+
+
 def consensus_matrix(runs: DataFrame) -> DataFrame:
     """(i, j, share) for i < j: in which share of all runs plus one two samples have one label, as the base run counts once more.
 
-    An equality self-join on (run, label); pairs that never meet are absent (share 0).
+    Classes of equal labels, expanded to their samples; pairs that never agree are absent (share 0).
     """
-    n = runs.select("run").distinct().count()
-    a, b = runs.select("run", "label", F.col("sample_id").alias("i")), runs.select("run", "label", F.col("sample_id").alias("j"))
-    return a.join(b, ["run", "label"]).where("i < j").groupBy("i", "j").agg((F.count("*") / F.lit(n + 1)).alias("share"))
+    pairs, (_, members) = consensus_classes(runs), label_classes(runs)
+    one, other = members.select(F.col("class").alias("a"), F.col("sample_id").alias("x")), members.select(F.col("class").alias("b"), F.col("sample_id").alias("y"))
+    return pairs.join(one, "a").join(other, "b").where("a < b or x < y").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "share")
 
 
 def select_k(candidates: DataFrame, min_cophenetic: float = 0.85, min_size: int = 10) -> DataFrame:

@@ -3,61 +3,42 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nonneg import nonnegative
+
 
 def reference_profiles(cells: DataFrame) -> DataFrame:
     """(cell_type, gene_id, value): mean over the cells of a type."""
     return cells.groupBy("cell_type", "gene_id").agg(F.avg("value").alias("value"))
 
 
-def nnls(a: np.ndarray, b: np.ndarray, steps: int = 0) -> np.ndarray:
-    """x >= 0 of least |ax - b|, by active sets."""
-    n = a.shape[1]
-    x, free = np.zeros(n), np.zeros(n, bool)
-    gradient = a.T @ (b - a @ x)
-    tol = 1e-10 * max(1.0, np.abs(a.T @ b).max(initial=0))
-    for _ in range(steps or 30 * n):
-        if free.all() or not (gradient[~free] > tol).any():
-            break
-        free[np.argmax(np.where(free, -np.inf, gradient))] = True
-        while True:
-            z = np.zeros(n)
-            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
-            if (z[free] > 0).all():
-                x = z
-                break
-            bad = free & (z <= 0)
-            alpha = np.min(x[bad] / (x[bad] - z[bad]))
-            x = x + alpha * (z - x)
-            free &= x > 1e-14
-            x[~free] = 0
-        gradient = a.T @ (b - a @ x)
-    return x
-
-
 def proportions(bulk: DataFrame, reference: DataFrame) -> DataFrame:
     """(sample_id, cell_type, proportion) summing to 1; an all-zero fit gives equal shares.
 
     bulk(sample_id, features array) and the reference share the gene order. The reference is a
-    types × genes table (a few types), sent along with the task.
+    types × genes table (a few types, at most nonneg.MOST), sent along with the task; a batch of samples is solved at once.
     """
     rows = sorted(reference.collect(), key=lambda r: r["cell_type"])  # a few cell types
     types, a = [r["cell_type"] for r in rows], np.array([r["features"] for r in rows], float).T
 
-    def run(parts):
-        for p in parts:
-            out = []
-            for s, f in zip(p["sample_id"], p["features"]):
-                x = nnls(a, np.nan_to_num(np.array(f, float)))
-                x = x / x.sum() if x.sum() > 0 else np.full(len(types), 1 / len(types))
-                out += [(s, t, float(v)) for t, v in zip(types, x)]
-            yield pd.DataFrame(out, columns=["sample_id", "cell_type", "proportion"])
+    gram = a.T @ a
+    names = pa.array(types)
+
+    def run(batches):
+        for b in batches:
+            f = b.column("features")
+            x = np.nan_to_num(f.flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(b.num_rows, -1)
+            w = nonnegative(gram, x @ a)
+            total = w.sum(axis=1, keepdims=True)
+            w = np.where(total > 0, w / np.where(total > 0, total, 1), 1 / len(types))
+            at = np.repeat(np.arange(b.num_rows), len(types))
+            yield pa.RecordBatch.from_arrays([b.column("sample_id").take(pa.array(at)), names.take(pa.array(np.tile(np.arange(len(types)), b.num_rows))), pa.array(w.reshape(-1))], ["sample_id", "cell_type", "proportion"])
 
     kind = bulk.schema["sample_id"].dataType.simpleString()
-    return bulk.mapInPandas(run, f"sample_id {kind}, cell_type string, proportion double")
+    return bulk.select("sample_id", "features").mapInArrow(run, f"sample_id {kind}, cell_type string, proportion double")
 
 
 def celltype_profiles(bulk: DataFrame, shares: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import forest, lasso, matrix, network, pairs
+from ..operators import cohort, factor, forest, lasso, matrix, network, pairs
 from ..sources import views
 from ..sources.views import SQL as V
 from .matrix_queries import r6
@@ -59,7 +61,25 @@ def first_splits(spark, sf):
     return r6(forest.first_splits(views.emb_long(spark, sf)), "gain")
 
 
-QUERIES = {f.__name__: f for f in (knn_weights, fold_covariances, subsample_covariances, glasso_networks, glasso_edges, stars_lambda, forest_importance, first_splits)}
+def factor_weights(spark, sf):
+    """(sample_id, w1, w2, error): every sample's least-squares weights, not negative, on the rows of the two least samples, and the squared error left."""
+    rows = matrix.arrays(matrix.shift_nonnegative(views.emb_long(spark, sf)))
+    first = np.array([r["features"] for r in rows.orderBy("sample_id").limit(2).collect()], float)
+
+    def run(batches):
+        for ids, x in factor.tables(batches, first.shape[1]):
+            w = factor.scores(x, first)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(((x - w @ first) ** 2).sum(axis=1))], ["sample_id", "w1", "w2", "error"])
+
+    return r6(factor.blocks_of(rows).mapInArrow(run, "sample_id long, w1 double, w2 double, error double"), "w1", "w2", "error")
+
+
+def consensus_classes(spark, sf):
+    """Consensus between classes of samples with the same labels."""
+    return r6(cohort.consensus_classes(views.runs(spark, sf)), "share")
+
+
+QUERIES = {f.__name__: f for f in (knn_weights, fold_covariances, subsample_covariances, glasso_networks, glasso_edges, stars_lambda, forest_importance, first_splits, factor_weights, consensus_classes)}
 
 _N = f"""{V['emb_long']}, m AS (SELECT *, CASE WHEN sample_id % 20 = 0 THEN 'small' WHEN sample_id % 20 <= 2 THEN 'middle' ELSE 'large' END AS grp FROM emb_long WHERE feature_id < 16)"""
 
@@ -85,4 +105,15 @@ ORACLE = {
       c AS (SELECT target, feature, bin, sum(w) OVER (o ORDER BY bin) AS lw, sum(s) OVER (o ORDER BY bin) AS ls, sum(w) OVER o AS w, sum(s) OVER o AS s FROM h WINDOW o AS (PARTITION BY target, feature)),
       g AS (SELECT target, feature, bin, ls * ls / lw + (s - ls) * (s - ls) / (w - lw) - s * s / w AS gain FROM c WHERE lw < w)
       SELECT target, feature, bin, round(gain, 6) AS gain FROM g QUALIFY row_number() OVER (PARTITION BY target ORDER BY gain DESC, feature, bin) = 1""",
+    "factor_weights": f"""WITH {V['emb_long']}, s AS (SELECT min(value) AS low FROM emb_long), x AS (SELECT sample_id, feature_id, CASE WHEN low < 0 THEN value - low + 0.01 ELSE value END AS v FROM emb_long, s),
+      t AS (SELECT DISTINCT sample_id FROM x ORDER BY 1 LIMIT 2), a AS (SELECT feature_id, v FROM x WHERE sample_id = (SELECT min(sample_id) FROM t)), b AS (SELECT feature_id, v FROM x WHERE sample_id = (SELECT max(sample_id) FROM t)),
+      g AS (SELECT sum(a.v * a.v) AS aa, sum(a.v * b.v) AS ab, sum(b.v * b.v) AS bb FROM a JOIN b USING (feature_id)),
+      c AS (SELECT sample_id, sum(x.v * a.v) AS xa, sum(x.v * b.v) AS xb FROM x JOIN a USING (feature_id) JOIN b USING (feature_id) GROUP BY 1),
+      z AS (SELECT *, (bb * xa - ab * xb) / (aa * bb - ab * ab) AS p, (aa * xb - ab * xa) / (aa * bb - ab * ab) AS q FROM c, g),
+      w AS (SELECT sample_id, CASE WHEN p >= 0 AND q >= 0 THEN p WHEN greatest(xa, 0) ** 2 / aa >= greatest(xb, 0) ** 2 / bb THEN greatest(xa, 0) / aa ELSE 0 END AS w1,
+        CASE WHEN p >= 0 AND q >= 0 THEN q WHEN greatest(xa, 0) ** 2 / aa >= greatest(xb, 0) ** 2 / bb THEN 0 ELSE greatest(xb, 0) / bb END AS w2 FROM z)
+      SELECT sample_id, round(w1, 6) AS w1, round(w2, 6) AS w2, round(sum((x.v - w1 * a.v - w2 * b.v) ** 2), 6) AS error FROM w JOIN x USING (sample_id) JOIN a USING (feature_id) JOIN b USING (feature_id) GROUP BY sample_id, w1, w2""",
+    "consensus_classes": f"""WITH {V['runs']}, s AS (SELECT sample_id, list(label ORDER BY run) AS l FROM runs GROUP BY 1), c AS (SELECT l, min(sample_id) AS class, count(*) AS size FROM s GROUP BY 1),
+      r AS (SELECT class, size, unnest(l) AS label, unnest(range(len(l))) AS run FROM c)
+      SELECT a.class AS a, b.class AS b, round(count(*) / 6.0, 6) AS share, any_value(a.size) AS size_a, any_value(b.size) AS size_b FROM r a JOIN r b ON a.run = b.run AND a.label = b.label AND a.class <= b.class GROUP BY 1, 2""",
 }

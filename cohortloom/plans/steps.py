@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import cohort, deconv, matrix, network, stats
+from ..operators import cohort, deconv, factor, matrix, network, stats
 from ..sources import io
 
 
@@ -68,34 +68,15 @@ def pseudotime(m: DataFrame, clinical: DataFrame) -> dict:
 
 
 def subtypes(m: DataFrame, master: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), runs: int = 50, steps: int = 1000, k: int | None = None) -> dict:
-    """Subtypes of the clinical cases by factorisations agreed upon; k by cophenetic correlation unless given. One cohort and run is held in a task."""
+    """Subtypes of the clinical cases by factorisations agreed upon; k by cophenetic correlation unless given."""
     cases = cohort.subtype_cohort(master).select(F.col("projid").alias("sample_id"))
     x = matrix.arrays(matrix.shift_nonnegative(m.join(cases, "sample_id", "left_semi")))
-    spark = m.sparkSession
-    tasks = spark.createDataFrame([(a, r) for a in ((k,) if k else ks) for r in range(runs + 1)], "k int, run int")
-    kind = m.schema["sample_id"].dataType.simpleString()
-
-    def factorise(pdf):
-        pdf = pdf.sort_values("sample_id")
-        w, _ = kernels.nmf(np.array(pdf["features"].tolist(), float), int(pdf["k"].iloc[0]), seed=42 + int(pdf["run"].iloc[0]), steps=steps)
-        return pd.DataFrame({"k": pdf["k"], "run": pdf["run"], "sample_id": pdf["sample_id"], "label": w.argmax(axis=1)})
-
-    labels = x.crossJoin(F.broadcast(tasks)).groupBy("k", "run").applyInPandas(factorise, f"k int, run int, sample_id {kind}, label int")
-
-    def agree(pdf):
-        table = pdf.pivot(index="sample_id", columns="run", values="label").to_numpy()
-        d = 1 - np.mean([table[:, [r]] == table[:, [r]].T for r in range(table.shape[1])], axis=0)
-        upper = np.triu_indices(len(d), 1)
-        c = kernels.cophenetic(d)
-        whole = float(np.corrcoef(d[upper], c[upper])[0, 1]) if np.ptp(d[upper]) and np.ptp(c[upper]) else None
-        base = pdf[pdf["run"] == 0]
-        return pd.DataFrame({"k": [int(pdf["k"].iloc[0])], "cophenetic": [whole], "min_cluster": [int(base.groupby("label").size().min())]})
-
-    # labels of 51 runs are small; written once by the study, so that both readers see the same
-    labels = labels.persist()
-    fits = labels.groupBy("k").applyInPandas(agree, "k int, cophenetic double, min_cluster long")
+    blocks, hs, _ = factor.factorised(x, (k,) if k else ks, runs, steps)
+    arrays = factor.label_arrays(blocks, hs, m.schema["sample_id"].dataType.simpleString()).persist()  # one row a sample and k; read by both results
+    classes = factor.classes(arrays, ["k"])[0].persist()
+    fits = factor.agreement(classes, factor.class_shares(classes, ["k"]))
     best = k or cohort.select_k(fits).first()["k"]
-    named = labels.where((F.col("run") == 0) & (F.col("k") == best)).select(F.col("sample_id").alias("projid"), F.concat(F.lit("ST"), F.col("label") + 1).alias("subtype"))
+    named = arrays.where(F.col("k") == best).select(F.col("sample_id").alias("projid"), F.concat(F.lit("ST"), F.col("labels")[0] + 1).alias("subtype"))
     return {"status": "PASS", "subtypes": named, "fits": fits}
 
 
