@@ -63,10 +63,47 @@ def top_edges(edges: DataFrame, w: str, n: int) -> DataFrame:
     return edges.orderBy(F.desc(w), "i", "j").limit(n)
 
 
+def cut_at(df: DataFrame, col: str, n: int, bins: int = 1024) -> tuple[float, int] | None:
+    """(value, above): the n-th greatest value of a column and how many rows are above it; None if there are fewer rows or n is 0.
+
+    A histogram of the values, then of those in the bin that holds the n-th, until that bin holds one value: each a partial aggregate of `bins` rows.
+    """
+    first = df.agg(F.count(col).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    if n < 1 or first["n"] < n:
+        return None
+    lo, hi, above = first["lo"], first["hi"], 0
+    while lo < hi:
+        # bins are monotone in the value, so a bin's rows are those between its own least and greatest
+        at = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit((hi - lo) / bins)), F.lit(bins - 1)) if (hi - lo) / bins > 0 else F.when(F.col(col) < hi, 0).otherwise(1)
+        found = df.where((F.col(col) >= lo) & (F.col(col) <= hi)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).collect()
+        for r in sorted(found, key=lambda r: -r["b"]):
+            if above + r["n"] >= n:
+                lo, hi = r["lo"], r["hi"]
+                break
+            above += r["n"]
+    return lo, above
+
+
 def top_share(edges: DataFrame, w: str, share: float = 0.05, least: float = 1e-4) -> DataFrame:
-    """The strongest floor(share * n) of the edges above `least`; none if that is 0. Sorted by range, not in one window."""
-    kept = edges.where(F.col(w) > least)
-    return top_edges(kept, w, int(kept.count() * share))
+    """The strongest floor(share * n) of the edges above `least`; none if that is 0. Ties at the cut go by (i, j).
+
+    The cut is found by histograms; only the edges of its very weight are ranked, by the first end (one row a node on the driver) and then, for one node, by the other.
+    """
+    kept = edges.where(F.col(w) > least).persist()  # read by every histogram; computed again if an executor is lost
+    n = int(kept.count() * share)
+    cut = cut_at(kept, w, n)
+    if cut is None:
+        return kept.limit(0)
+    value, above = cut
+    need, ties = n - above, kept.where(F.col(w) == value)
+    last = None
+    for r in sorted(ties.groupBy("i").agg(F.count("*").alias("n")).collect(), key=lambda r: r["i"]):
+        if need <= r["n"]:
+            last = r["i"]
+            break
+        need -= r["n"]
+    rest = ties.where(F.col("i") == last).orderBy("j").limit(need)
+    return kept.where(F.col(w) > value).unionByName(ties.where(F.col("i") < last)).unionByName(rest)
 
 
 def confidence_tier(methods: Column, bonus: Column) -> Column:
