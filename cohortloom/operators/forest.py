@@ -99,7 +99,7 @@ def best_splits(w: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     ok = (left_w > 0) & (right_w > 0)
     gain = np.where(ok, left_s**2 / np.where(ok, left_w, 1) + right_s**2 / np.where(ok, right_w, 1) - all_s**2 / np.where(all_w > 0, all_w, 1), 0.0)
     flat = gain.reshape(*gain.shape[:2], -1)
-    top = flat.argmax(axis=2)
+    top = (flat >= flat.max(axis=2, keepdims=True) * (1 - 1e-9)).argmax(axis=2)  # sums in another order are ties still
     return top // gain.shape[3], top % gain.shape[3], np.take_along_axis(flat, top[:, :, None], axis=2)[:, :, 0]
 
 

@@ -6,22 +6,6 @@ from cohortloom.functions import kernels
 from cohortloom.operators import cohort, deconv, matrix, network, stats
 
 
-def test_nnls_meets_its_optimality_conditions():
-    rng = np.random.default_rng(0)
-    for _ in range(20):
-        a, b = rng.random((9, 4)), rng.normal(size=9)
-        x = deconv.nnls(a, b)
-        g = a.T @ (b - a @ x)
-        assert (x >= 0).all() and (g <= 1e-8).all() and abs(g[x > 1e-9]).max(initial=0) < 1e-8
-
-
-def test_nmf_reaches_an_exact_factorisation():
-    rng = np.random.default_rng(1)
-    x = rng.random((30, 2)) @ rng.random((2, 12))
-    w, h = kernels.nmf(x, 2, seed=3, steps=2000)
-    assert (w >= 0).all() and (h >= 0).all() and np.abs(x - w @ h).max() < 1e-2
-
-
 def test_cophenetic_of_a_small_tree():
     d = np.array([[0, 2, 6, 10], [2, 0, 6, 10], [6, 6, 0, 10], [10, 10, 10, 0]], float)
     assert np.allclose(kernels.cophenetic(d), d)
@@ -51,13 +35,6 @@ def test_pseudotime_follows_a_line():
     assert d[0] == 0 and d.max() == 1 and d[59] > d[30] > d[5]
 
 
-def test_forest_finds_the_cause():
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(150, 5))
-    imp = kernels.forest_importance(x, 3 * x[:, 2] + 0.1 * rng.normal(size=150), 10, 1)
-    assert imp.argmax() == 2 and imp.sum() == pytest.approx(1)
-
-
 def test_imputation_arms(spark):
     m = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 1.0), (3, "a", 5.0), (3, "b", 9.0)], "sample_id int, feature_id string, value double")
     assert [tuple(r) for r in matrix.knn_impute(m).collect()] == [(2, "b", 2.0)]  # a donor at distance zero takes all

@@ -34,8 +34,8 @@ def test_same_as_sql(spark, sf, duck, name):
     assert got
 
 
-#: Fewer trees and subsamples than registered, so that the tests end.
-FEWER = {"forest_importance": {"trees": 1}, "stars_lambda": {"subsamples": 4}}
+#: Fewer trees, subsamples and runs than registered, so that the tests end.
+FEWER = {"forest_importance": {"trees": 4}, "stars_lambda": {"subsamples": 4}, **{n: {"ks": (2, 3), "runs": 2} for n in ("nmf_subtypes", "nmf_errors", "cophenetic", "select_k")}}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
