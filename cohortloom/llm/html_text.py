@@ -5,7 +5,7 @@ Parts that are never the article (menus, headers and footers of the page, asides
 scripts, and blocks whose class, id or role names adverts, notices, sidebars or reader
 comments) are cut first. A name cuts blocks only, never words within a paragraph, and not a
 block that holds the page's heading, its main element or an article, nor the header of an
-article; and if names would cut all the text there is, they cut nothing. Every node left has a
+article, nor the wrapper beside whose text there is next to none outside named blocks; and if names would cut all the text there is, they cut nothing. Every node left has a
 density: its characters per tag, adjusted by how much of
 them stands in links, against the share of links in the whole body. A node's density sum
 adds up its children's. The node of the greatest sum is the article; the least density on
@@ -42,6 +42,9 @@ NAMES = "ad ads advert adverts advertisement advertising banner breadcrumb bread
 #: What may follow a name in a class: comment-list, nav-2, but not comment-free.
 PARTS = "area articles bar block body bottom box button buttons col column container content form group head holder icons inner item items left links list main media menu message outer panel post posts primary right row secondary section signup slot stories text thread title top unit wrap wrapper".split()
 CUT_NAME = re.compile(rf"(?:^|\s)(?!(?:has|with|no|non|without)[-_])(?:[^\s]*[-_])?(?:{'|'.join(NAMES)})(?:[-_](?:{'|'.join(PARTS)}|\d+))*(?=\s|$)", re.I)
+#: A block's own text against all text outside named blocks, from which on it is the article's wrapper; and for names of SURE_NAME.
+WRAPPER_TIMES, SURE_TIMES = 3, 8
+SURE_NAME = re.compile(r"(?:^|[\s_-])(?:comments?|consent|cookies?|disclaimer|disqus|gdpr|newsletter|respond|subscribe|related|sponsor(?:ed)?)(?:[\s_-]|$)", re.I)
 HEADER_NAME = re.compile(r"(?:^|[\s_-])header(?:[\s_-]|$)", re.I)
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 KEPT_TAGS = frozenset("html body main article".split())
@@ -182,7 +185,8 @@ def cut_nodes(dom: Dom) -> list[bool]:
     in_named = inherited(dom, named)
     first = [i for i in range(n) if dom.tag[i] == "h1" and not plain[i]]
     heading = first[:1] if all(in_named[i] for i in first) else []  # a heading outside named blocks needs no care
-    safe = [not plain[i] and (dom.tag[i] == "main" or (dom.tag[i] == "article" and not named[i]) or i in heading) for i in range(n)]
+    around = wrapper(dom, plain, named)
+    safe = [not plain[i] and (dom.tag[i] == "main" or (dom.tag[i] == "article" and not named[i]) or i in heading or i == around) for i in range(n)]
     # an article in a block of comments is one of them
     comments = inherited(dom, [named[i] and "comment" in dom.names[i].lower() for i in range(n)])
     safe = holding(dom, [safe[i] and not (comments[i] and dom.tag[i] == "article") for i in range(n)])
@@ -191,6 +195,33 @@ def cut_nodes(dom: Dom) -> list[bool]:
     return cut if left else plain
 
 
+def wrapper(dom: Dom, plain: list[bool], named: list[bool]) -> int:
+    """The named block, if any, that must be the article's wrapper: outside named blocks there is next to no text against its own.
+
+    A block's own text is what lies in no named block within it; links don't count. -1 if there is none.
+    """
+    n = len(dom.tag)
+    near, link = [-1] * n, [False] * n
+    for i in range(1, n):
+        near[i] = i if named[i] and not plain[i] else near[dom.parent[i]]
+        link[i] = link[dom.parent[i]] or dom.tag[i] == "a"
+    own, rest = {}, 0
+    for node, s in dom.flow:
+        if node >= 0 and not plain[node] and not link[node]:
+            size = len("".join(s.split()))
+            if near[node] < 0:
+                rest += size
+            else:
+                own[near[node]] = own.get(near[node], 0) + size
+    if not own:
+        return -1
+    most = max(own, key=lambda i: (own[i], -i))
+    others = rest + sum(own.values()) - own[most]
+    # what a page says of itself in names (comments and the like) is believed longer than where it puts things
+    times = SURE_TIMES if SURE_NAME.search(dom.names[most]) else WRAPPER_TIMES
+    return most if own[most] > times * rest and 2 * own[most] > others else -1
+
+
 def hosts(dom: Dom) -> list[int]:
     """The parent of each node in the tree without inline formatting, which counts as text of the element around it (links stay nodes)."""
     host = list(dom.parent)
