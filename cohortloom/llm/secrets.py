@@ -53,13 +53,11 @@ RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]+", 0, 20, 0, True),
     SecretRule("hex", r"[0-9a-f]+", 0, 24, 0, True),
     SecretRule("private_key", PRIVATE_KEY),
-    SecretRule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # from the left end of a run only, so that a run is read once however often it restarts
+    SecretRule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     SecretRule("bearer", r"[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}"),
     SecretRule("url_login", r"://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]{3,}@"),
 )
-#: The SQL keeps its text: headers of keys only, and logins of up to 64 characters a part.
-SQL_PATTERNS = {"private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "url_login": r"://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/:@]{3,64}@"}
-
 # A query is True (no condition), ("tri", trigram), ("and", ...) or ("or", ...).
 
 
@@ -258,17 +256,38 @@ def digest(spans: list[tuple[int, int, str]]) -> str:
 
 def _in_sql(rule: SecretRule, order: int) -> str:
     """Spans of one rule: the pieces between matches and the matches themselves give the offsets."""
-    pattern = SQL_PATTERNS.get(rule.kind, rule.pattern)
+    pattern = rule.pattern
+    if rule.kind == "private_key":
+        return _keys_in_sql(order)
     if rule.flags & re.IGNORECASE:  # letters of the first group in either case, and no others
         head, rest = pattern.split(")", 1)
         pattern = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", head) + ")" + rest
+    group = rule.group
+    if pattern.startswith("(?<!"):  # the letter before is taken along, and left out of the span
+        behind, rest = pattern[len("(?<!") :].split(")", 1)
+        pattern, group = f"(?:^|{behind.replace('[', '[^', 1)})({rest})", 1
     quoted = pattern.replace("'", "''")
-    return f"""SELECT row_id, '{rule.kind}' AS kind, {order} AS k, list_sum(list_transform(pieces[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0) AS s, len(found[i]) AS size
+    inner = "(size - len(held[i]))" if group != rule.group else "0"
+    return f"""SELECT row_id, '{rule.kind}' AS kind, {order} AS k, s + {inner} AS s, size - {inner} AS size FROM (SELECT *, list_sum(list_transform(pieces[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0) AS s, len(found[i]) AS size
   FROM (SELECT row_id, pieces, found, held, unnest(range(1, len(found) + 1)) AS i FROM (
-    SELECT row_id, string_split_regex(t, '{quoted}') AS pieces, regexp_extract_all(t, '{quoted}') AS found, regexp_extract_all(t, '{quoted}', {rule.group}) AS held FROM d))
+    SELECT row_id, string_split_regex(t, '{quoted}') AS pieces, regexp_extract_all(t, '{quoted}') AS found, regexp_extract_all(t, '{quoted}', {group}) AS held FROM d)))
   WHERE len(held[i]) >= {rule.least}"""
 
 
+def _keys_in_sql(order: int) -> str:
+    """Private keys: the text from one BEGIN to the next holds at most one, so the rule's look-ahead is not needed; its other look-ahead ends a match that is captured."""
+    head, block = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----", _BREAK
+    fields = r"(?:\r?\n[A-Z][A-Za-z0-9-]*:\x20[^\r\n]*)*"
+    lines = rf"(?:{block}+[A-Za-z0-9+/]{{16,}}={{0,2}})+"
+    last = rf"{block}+=?[A-Za-z0-9+/]+"
+    ways = [rf"^({head}{fields}(?:{lines})?)", rf"^({head}{fields}{lines}{last}={{1,2}})", rf"^({head}{fields}{lines}{last})[\x20\t]*(?:[\r\n]|\\[rn]|\z)"]
+    quote = lambda p: p.replace("'", "''")
+    whole = quote(rf"^({head}(?s:.*?)-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)")
+    longest = ", ".join(f"len(regexp_extract(part, '{quote(w)}', 1))" for w in ways)
+    return f"""SELECT row_id, 'private_key' AS kind, {order} AS k, s, size FROM (SELECT row_id, s, coalesce(nullif(len(regexp_extract(part, '{whole}', 1)), 0), greatest({longest})) AS size FROM (
+    SELECT row_id, '-----BEGIN ' || pieces[i] AS part, list_sum(list_transform(pieces[1:i - 1], lambda x: len(x))) + 11 * (i - 2) AS s FROM (SELECT row_id, pieces, unnest(range(2, len(pieces) + 1)) AS i FROM (SELECT row_id, string_split(t, '-----BEGIN ') AS pieces FROM d)))) WHERE size > 0"""
+
+
 def _count_sql(kind: str) -> str:
     return f"count(*) FILTER (kind = '{kind}') AS n_{kind}"
 
