@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from . import factor
+from . import factor, stats
 
 #: Names under which a clinical column may come; the first that exists wins.
 VARIANTS = {"cogdx": ("cogdx", "COGDX"), "braaksc": ("braaksc", "BRAAKSC", "braak"), "ceradsc": ("ceradsc", "CERADSC", "cerad"), "mmse": ("mmse", "MMSE"), "age_death": ("age_death", "AGE_DEATH", "age")}
@@ -38,13 +39,26 @@ def event_flag(braak: Column, mmse: Column) -> Column:
     return F.coalesce(braak >= 4, F.lit(False)) | F.coalesce(mmse < 20, F.lit(False))
 
 
+def in_order(df: DataFrame) -> DataFrame:
+    """t: how many patients have a smaller id; ids that are not numbers are counted by prefix first, so that a window holds the ids of one prefix."""
+    if isinstance(df.schema["projid"].dataType, NumericType):
+        before = stats.running_sums(df.groupBy("projid").agg(F.count("*").alias("_n")), "projid", {"_t": F.col("_n")})
+    else:
+        counted = df.groupBy("projid").agg(F.count("*").alias("_n")).withColumn("_p", F.substring(F.col("projid").cast("string"), 1, 4))
+        prefixes = counted.groupBy("_p").agg(F.sum("_n").alias("_m"))
+        starts = prefixes.select("_p", (F.sum("_m").over(Window.orderBy("_p")) - F.col("_m")).alias("_from"))  # one row a prefix
+        own = Window.partitionBy("_p").orderBy("projid")
+        before = counted.join(starts, "_p").withColumn("_t", F.col("_from") + F.sum("_n").over(own) - F.col("_n"))
+    return df.join(before.select("projid", F.col("_t").cast("double").alias("t")), "projid")
+
+
 def survival_inputs(df: DataFrame) -> DataFrame:
     """Adds t = (1 - dpt) * 100, the event flag and the stage; without pseudotime t is the row's place by id, and a measure that is absent marks no event."""
     absent = lambda name: F.col(name) if name in df.columns else F.lit(None).cast("double")
     if "dpt" in df.columns:
         timed = df.withColumn("t", (1 - F.col("dpt")) * 100)
     else:
-        timed = df.withColumn("t", (F.row_number().over(Window.orderBy("projid")) - 1).cast("double"))  # a cohort's patients
+        timed = in_order(df)
     return timed.withColumn("event", event_flag(absent("braaksc"), absent("mmse"))).withColumn("stage", disease_stage(absent("dpt")))
 
 

@@ -1,8 +1,8 @@
 """Rank tests, survival curves and scores, as sums over ranks.
 
 Average ranks come from per-value counts, summed up in the order of the values. The sums run inside
-ranges of values, cut at approximate quantiles, and start from the totals of the ranges before
-(a table of at most RANGES rows a group), so no window ever holds a whole column.
+ranges of about ROWS values, cut at approximate quantiles, and start from the totals of the ranges before
+(one row a range), so that no window ever holds a whole column; as many values as one range holds need no cuts.
 """
 
 from __future__ import annotations
@@ -14,21 +14,36 @@ from ..functions.pvalues import chi2_sf, exact_mann_whitney, normal_two_sided
 from .matrix import arrays
 from .pairs import label_distances
 
-RANGES = 256
+#: Values of a range: what one window holds.
+ROWS = 1 << 16
+
+
+def place_among(cuts: Column, x: Column, most: int) -> Column:
+    """How many of at most `most` sorted cuts are not above x, by bisection."""
+
+    def halve(at, _):
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        open_ = at["lo"] < at["hi"]
+        below = open_ & (F.get(cuts, F.least(middle, F.size(cuts) - 1)) <= x)
+        return F.struct(F.when(below, middle + 1).otherwise(at["lo"]).alias("lo"), F.when(open_ & ~below, middle).otherwise(at["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, most.bit_length()))), F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), halve)["lo"]
 
 
 def running_sums(df: DataFrame, order: str, weights: dict[str, Column], by: list[str] | None = None) -> DataFrame:
     """The rows with, for each weight, its sum over the rows before in the group `by`, in the order of the (numeric) column; rows of one group and value must be one."""
     by = by or []
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    ranges = -(-df.count() // ROWS)
+    inside = Window.partitionBy(*by, *(["_range"] if ranges > 1 else [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if ranges <= 1:
+        return df.withColumns({n: F.coalesce(F.sum(w).over(inside), F.lit(0)) for n, w in weights.items()})
     x = F.col(order).cast("double")
-    rows = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= x)), F.lit(0))).drop("_cuts")
+    cuts = df.agg(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    rows = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.coalesce(place_among(F.array_distinct("_cuts"), x, ranges), F.lit(0))).drop("_cuts")
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*by, "_range").agg(*[F.sum(w).alias(f"_all_{n}") for n, w in weights.items()])
     starts = starts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_all_{n}").over(before), F.lit(0)).alias(f"_from_{n}") for n in weights])
-    inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    for n, w in weights.items():
-        rows = rows.withColumn(n, F.coalesce(F.sum(w).over(inside), F.lit(0)))
+    rows = rows.withColumns({n: F.coalesce(F.sum(w).over(inside), F.lit(0)) for n, w in weights.items()})
     same = F.col("_range") == F.col("_at")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
@@ -47,15 +62,35 @@ def average_ranks(df: DataFrame, col: str, out: str, by: list[str] | None = None
     return df.join(ranks, [*by, col])
 
 
-def spearman(pairs: DataFrame, x: str, y: str, max_missing: float = 1.0) -> DataFrame:
-    """rho over rows with both values, with n; NULL for three rows or fewer, a constant side, or if y misses that share of all rows or more."""
-    both = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    ranked = average_ranks(average_ranks(both, x, "rx"), y, "ry")
+def spearman(pairs: DataFrame, x: str, y: str, max_missing: float = 1.0, by: list[str] | None = None) -> DataFrame:
+    """(by, n, rho) over rows with both values; rho is NULL for three rows or fewer, a constant side, or if y misses that share of all rows or more.
+
+    One ranking of each side serves all groups of `by`.
+    """
+    by = by or []
+    both = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = average_ranks(average_ranks(both, x, "rx", by), y, "ry", by)
     rho = F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0))
-    missing = pairs.agg((F.count("*") - F.count(y)).alias("_gone"), F.count("*").alias("_rows"))
-    out = ranked.agg(F.count("*").alias("n"), rho.alias("rho")).crossJoin(F.broadcast(missing))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"))
+    missing = pairs.groupBy(*by).agg((F.count("*") - F.count(y)).alias("_gone"), F.count("*").alias("_rows"))
+    out = missing.join(out, by, "left") if by else missing.crossJoin(F.broadcast(out))
     skipped = F.lit(max_missing < 1) & (F.col("_gone") >= max_missing * F.col("_rows"))
-    return out.select("n", F.when((F.col("n") > 3) & ~skipped, F.col("rho")).alias("rho"))
+    return out.select(*by, F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when((F.col("n") > 3) & ~skipped, F.col("rho")).alias("rho"))
+
+
+#: Which way each measure should go with the time, and the bound of sign * rho.
+EXPECTED = (("mmse", -1, -0.30), ("braaksc", 1, 0.30), ("ceradsc", -1, -0.30), ("cogdx", 1, 0.30))
+
+
+def time_validation(clinical: DataFrame, time: str, columns: dict[str, str], max_missing: float = 0.5) -> DataFrame:
+    """(measure, sign, n, rho, passed) of every measure that has a column: passed if sign * rho is above its bound. All measures are stacked and ranked together."""
+    held = [(m, s, b) for m, s, b in EXPECTED if m in columns]
+    if not held:
+        return clinical.sparkSession.createDataFrame([], "measure string, sign int, n long, rho double, passed boolean")
+    stacked = clinical.select(F.col(time).alias("t"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(columns[m]).cast("double").alias("v")) for m, _, _ in held])).alias("x")).select("t", "x.*")
+    found = spearman(stacked, "t", "v", max_missing, ["measure"])
+    pick = lambda k: F.create_map(*[v for r in held for v in (F.lit(r[0]), F.lit(r[k]))])[F.col("measure")]
+    return found.select("measure", pick(1).alias("sign"), "n", "rho", F.coalesce(pick(1) * F.col("rho") > pick(2), F.lit(False)).alias("passed"))
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -61,9 +61,7 @@ def survival_product_limit(spark, sf):
 
 def spearman_validation(spark, sf):
     """One row per measure; rho with pseudotime and both readings of the pass rule."""
-    c = views.clinical(spark, sf)
-    rows = [stats.spearman(c, "dpt", m).select(F.lit(m).alias("measure"), F.lit(sign).alias("sign"), "n", "rho") for m, sign in (("mmse", -1), ("braaksc", 1), ("ceradsc", -1), ("cogdx", 1))]
-    out = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    out = stats.time_validation(views.clinical(spark, sf), "dpt", {m: m for m, _, _ in stats.EXPECTED})
     coded = F.when(F.col("sign") < 0, F.col("rho") < 0.30).otherwise(F.col("rho") > 0.30)
     meant = F.when(F.col("sign") < 0, F.col("rho") < -0.30).otherwise(F.col("rho") > 0.30)
     return r6(out.select("measure", "n", "rho", coded.alias("pass_as_coded"), meant.alias("pass_as_documented")), "rho")

@@ -121,7 +121,9 @@ def test_exact_mann_whitney(spark):
     assert r["p"] == pytest.approx(np.vectorize(__import__("math").erfc)(abs(r["z"]) / 2**0.5))
 
 
-def test_running_sums_are_brute_force(spark):
+@pytest.mark.parametrize("rows_a_range", [1 << 16, 100])
+def test_running_sums_are_brute_force(spark, rows_a_range, monkeypatch):
+    monkeypatch.setattr(stats, "ROWS", rows_a_range)
     rng = np.random.default_rng(7)
     rows = sorted({(int(g), float(v)): int(n) for g, v, n in zip(rng.integers(0, 3, 4000), rng.normal(size=4000).round(3), rng.integers(1, 9, 4000))}.items())
     df = spark.createDataFrame([(None if g == 2 else g, v, n) for (g, v), n in rows], "g int, v double, n long")
@@ -160,6 +162,22 @@ def test_spearman_skips_a_measure_that_is_mostly_missing(spark):
     assert stats.spearman(df, "x", "y", 0.5).first()["rho"] is None and stats.spearman(df, "x", "y", 0.6).first()["rho"] == pytest.approx(1)
 
 
+def test_validation_of_a_time_by_its_measures(spark):
+    rows = [(float(i), 30.0 - i, float(i % 3), None if i % 2 else 1.0) for i in range(12)]
+    df = spark.createDataFrame(rows, "t double, mmse double, braaksc double, cogdx double")
+    got = {r["measure"]: r for r in stats.time_validation(df, "t", {"mmse": "mmse", "braaksc": "braaksc", "cogdx": "cogdx"}).collect()}
+    assert got["mmse"]["rho"] == pytest.approx(-1) and got["mmse"]["passed"]
+    assert 0 < got["braaksc"]["rho"] < 0.30 and not got["braaksc"]["passed"]
+    assert got["cogdx"]["rho"] is None and not got["cogdx"]["passed"] and got["cogdx"]["n"] == 6
+    assert stats.time_validation(df, "t", {}).count() == 0
+
+
+def test_patients_in_order_of_their_ids(spark):
+    for ids in ([5, 1, 30, 2], ["b12345", "a2", "b12346", "b1234"]):
+        df = spark.createDataFrame([(i,) for i in ids], "projid long" if ids[0] == 5 else "projid string")
+        assert {r["projid"]: r["t"] for r in cohort.in_order(df).collect()} == {i: float(k) for k, i in enumerate(sorted(ids))}
+
+
 def test_study_writes_its_tables_and_stops_at_the_first_failure(spark, tmp_path):
     from cohortloom.plans import steps
     from cohortloom.sources import io
