@@ -1,15 +1,16 @@
 """Byte-level BPE by corpus-level merge replay.
 
 Tasks split their texts by the public pattern into chunks: the distinct words, and the texts as
-runs of word numbers. The words of all chunks are dealt by hash to buckets; a bucket replays
-the merges over its distinct words at once, so that a word of the corpus is encoded once, and
-sends each chunk the ids of the words it asked for. In a replay an inverted index leads from a
+runs of word numbers. The words of all chunks are dealt by hash to buckets; a bucket's task replays
+the merges over the words it has not met, a batch of packets at once, so that a word of the corpus is encoded once
+(or again, if all the words a task has met outgrow its bound), and sends each chunk the ids of the words it asked for. In a replay an inverted index leads from a
 token pair (by the rank of the token it makes; all pairs that make it share a list) to the word
 positions that hold it, a heap hands out the ranks in order, and each merge updates only the
 neighbours it touches. A word's positions of one rank are merged left to right; should a merge
 bear a lower rank, that goes first in its word, as in word-by-word encoding.
 
-Chunks are cut by size and buckets by the bytes of all texts, so groups stay small.
+Chunks are cut by size; buckets are as many as the session's tasks, so packets grow as the corpus
+does, and a task holds a batch of packets and a bounded store of words.
 
 Edge cases: null text counts as empty and gives no ids; very long texts are whole words
 and positions like any other; repeated rows stay; extra columns are ignored.
@@ -33,8 +34,9 @@ from .common import pack, parts, table, unpack
 
 CHUNK_BYTES = 8 << 20
 CHUNK_ROWS = 1 << 16
-#: Bytes of text for each bucket of words.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for each bucket of words at least; of what a task holds of words and their ids.
+LEAST_BUCKET = 1 << 20
+KNOWN_BYTES = 64 << 20
 MAX_VOCAB_BYTES = 64 << 20
 #: For texts of these characters only, the standard library's classes agree with the Unicode properties of the pattern.
 PLAIN = re.compile("[\t\n\x20-\x7eÀ-ÖØ-öø-ɏ]*")
@@ -334,6 +336,35 @@ def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> D
     return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, lens array<long>, seq binary, words binary")
 
 
+class Known:
+    """The ids of the words that a task has met, each replayed once; forgotten together when they take KNOWN_BYTES."""
+
+    def __init__(self, replay: MergeReplay):
+        self.replay = replay
+        self.forget()
+
+    def forget(self):
+        self.numbers: dict[bytes, int] = {}
+        self.flat, self.start, self.size, self.held = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
+
+    def learn(self, asked: list[list[bytes]]):
+        if self.held > KNOWN_BYTES:
+            self.forget()
+        new = {w: None for words in asked for w in words if w not in self.numbers}
+        if new:
+            flat, n_ids = self.replay.encode(list(new))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n_ids) - n_ids])
+            self.flat, self.size = np.concatenate([self.flat, flat.astype(np.uint32)]), np.concatenate([self.size, n_ids])
+            self.held += sum(len(w) + 100 for w in new) + flat.nbytes
+            for w in new:
+                self.numbers[w] = len(self.numbers)
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each word has, the ids in turn)."""
+        at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        return self.size[at].astype(np.uint32), self.flat[spread(self.start[at], self.size[at])]
+
+
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
     """Which of n equal ranges of hashes, in their order."""
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -343,8 +374,9 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>]) of every row; the ids have been decoded again for the last digest."""
     vocab = docs.sparkSession.sparkContext.broadcast(_vocab(vocab_path))
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    n = max(1, -(-size // BUCKET_BYTES))
-    spread_over = parts(docs.sparkSession, n)
+    spread_over = parts(docs.sparkSession, -(-size // CHUNK_BYTES))
+    # as many buckets as the session's tasks, however large the corpus: packets are chunks × buckets, and grow as the chunks do
+    n = max(1, min(parts(docs.sparkSession, 1), -(-size // LEAST_BUCKET)))
     # one exchange of the chunks serves both uses below, so both read all columns
     chunks = split_chunks(docs, pattern, id_col, text_col).repartition(spread_over, "chunk")
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
@@ -358,14 +390,15 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
                 cuts = [*starts.tolist(), len(words)]
                 yield pa.RecordBatch.from_arrays([pa.array(present), pa.array(np.full(len(present), chunk)), pa.array([pack_words(words[a:z]) for a, z in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "chunk", "words"])
 
-    def encode(rows: pa.Table) -> pa.Table:
-        numbers: dict[bytes, int] = {}
-        asked = [np.array([numbers.setdefault(w, len(numbers)) for w in unpack_words(x)], np.int64) for x in rows["words"].to_pylist()]
-        flat, n_ids = replay_of(vocab.value).encode(list(numbers))
-        start = np.cumsum(n_ids) - n_ids
-        return pa.table({"bucket": rows["bucket"], "chunk": rows["chunk"], "n_ids": pa.array([pack(n_ids[w].astype(np.uint32)) for w in asked], pa.binary()), "word_ids": pa.array([pack(flat[spread(start[w], n_ids[w])].astype(np.uint32)) for w in asked], pa.binary())})
+    def encode(batches):
+        known = Known(replay_of(vocab.value))
+        for b in batches:
+            asked = [unpack_words(x) for x in b.column("words").to_pylist()]
+            known.learn(asked)
+            answers = [known.ids(words) for words in asked]
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("chunk"), pa.array([pack(k) for k, _ in answers], pa.binary()), pa.array([pack(ids) for _, ids in answers], pa.binary())], ["bucket", "chunk", "n_ids", "word_ids"])
 
-    answers = chunks.mapInArrow(ask, "bucket long, chunk long, words binary").repartition(spread_over, "bucket").groupBy("bucket").applyInArrow(encode, "bucket long, chunk long, n_ids binary, word_ids binary")
+    answers = chunks.mapInArrow(ask, "bucket long, chunk long, words binary").repartition(spread_over, "bucket").mapInArrow(encode, "bucket long, chunk long, n_ids binary, word_ids binary")
 
     def write(chunk: pa.Table, got: pa.Table) -> pa.Table:
         got = got.sort_by("bucket")

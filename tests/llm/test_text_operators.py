@@ -457,7 +457,7 @@ def tiktoken_ids(texts):
 
 def test_bpe_over_many_chunks_and_buckets(spark, docs, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 20_000)
-    monkeypatch.setattr(bpe, "BUCKET_BYTES", 10_000)
+    monkeypatch.setattr(bpe, "LEAST_BUCKET", 10_000)
     texts = [t for _, t in docs[:80]] + ["same words again"] * 50
     df = frame(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])
     got = {r["doc_id"]: r["ids"] for r in bpe.encode_texts(df, *bpe.default_vocab(), keep_ids=True).collect()}
