@@ -23,6 +23,11 @@ HELD = 1 << 25
 SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 
 
+def named_types(df: DataFrame, by: list[str]) -> str:
+    """The columns as the head of a schema."""
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+
+
 def columns_of(m: DataFrame) -> tuple[list, np.ndarray]:
     """The feature ids in order, and a value of each to count from (its least: a constant feature becomes 0)."""
     rows = sorted(m.where("value is not null").groupBy("feature_id").agg(F.min("value").alias("low")).collect(), key=lambda r: r["feature_id"])
@@ -149,7 +154,7 @@ def moments(m: DataFrame, by: list[str] | None = None, member: Column | None = N
     names, low = columns_of(m)
     rows = sample_rows(m, names, by, member)
     blocks = max(1, -(-len(names) // width))
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in by).replace(", ,", ",")
+    kinds = named_types(rows, by)
     keys = [*by, "set", "a", "b"]
     schema = f"{kinds}set int, a int, b int, " + ", ".join(f"{s} binary" for s in SUMS)
     wide = lambda k: min(width, len(names) - k * width)
@@ -218,9 +223,10 @@ def moments(m: DataFrame, by: list[str] | None = None, member: Column | None = N
     return summed(partial, keys, list(SUMS), lambda key, v: shaped(v, (wide(key[-2]), wide(key[-1])))), names, low
 
 
-def correlations(m: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(i, j, r) for i < j: Pearson over the samples that have both; NULL against a constant feature or without a common sample."""
-    found, names, _ = moments(m, width=width)
+def correlations(m: DataFrame, width: int = WIDTH, by: list[str] | None = None) -> DataFrame:
+    """(by, i, j, r) for i < j: Pearson over the samples that have both; NULL against a constant feature or without a common sample."""
+    by = by or []
+    found, names, _ = moments(m, by, width=width)
     kind = m.schema["feature_id"].dataType.simpleString()
     arrow = pa.array(names, to_arrow_type(m.schema["feature_id"].dataType))
 
@@ -238,51 +244,56 @@ def correlations(m: DataFrame, width: int = WIDTH) -> DataFrame:
                 met = np.broadcast_to(n > 0, (wa, wb))
                 first, second = np.nonzero(met & (np.arange(wa)[:, None] + a * width < np.arange(wb)[None] + b * width))
                 r = r[first, second]
-                yield pa.RecordBatch.from_arrays([arrow.take(pa.array(first + a * width)), arrow.take(pa.array(second + b * width)), pa.array(r, mask=~np.isfinite(r))], ["i", "j", "r"])
+                yield pa.RecordBatch.from_arrays([*(t.column(c).take(pa.array([i] * len(r), pa.int32())) for c in by), arrow.take(pa.array(first + a * width)), arrow.take(pa.array(second + b * width)), pa.array(r, mask=~np.isfinite(r))], [*by, "i", "j", "r"])
 
-    return found.where("a <= b").select("a", "b", *SUMS).mapInArrow(run, f"i {kind}, j {kind}, r double")
+    return found.select(*by, "a", "b", *SUMS).mapInArrow(run, named_types(m, by) + f"i {kind}, j {kind}, r double")
 
 
-def squared(cells: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(i, j, v) for i < j: the product of the symmetric matrix cells(i, j, v) with itself, as a join of its blocks on the inner one."""
+def squared(cells: DataFrame, width: int = WIDTH, by: list[str] | None = None) -> DataFrame:
+    """(by, i, j, v) for i < j: the product of each group's symmetric matrix cells(by, i, j, v) with itself, as a join of its blocks on the inner one."""
+    by = by or []
     names = sorted(r[0] for r in cells.select("i").distinct().collect())
-    kind = cells.schema["i"].dataType.simpleString()
-    arrow = pa.array(names, to_arrow_type(cells.schema["i"].dataType))
+    kind, groups = cells.schema["i"].dataType.simpleString(), named_types(cells, by)
+    arrow, types = pa.array(names, to_arrow_type(cells.schema["i"].dataType)), [to_arrow_type(cells.schema[c].dataType) for c in by] + [pa.int32()] * 2
     wide = lambda k: min(width, len(names) - k * width)
+    keys = [*by, "a", "b"]
+    key_of = lambda t, i: [t.column(c)[i].as_py() for c in keys]
     at = placed(placed(cells, names, "i", "p"), names, "j", "q")
     block = lambda c: F.floor(F.col(c) / F.lit(width)).cast("int")
-    packed = at.groupBy(block("p").alias("a"), block("q").alias("b")).agg(F.collect_list(F.struct((F.col("p") % width).alias("p"), (F.col("q") % width).alias("q"), F.col("v").cast("double").alias("v"))).alias("cells"))
+    packed = at.groupBy(*by, block("p").alias("a"), block("q").alias("b")).agg(F.collect_list(F.struct((F.col("p") % width).alias("p"), (F.col("q") % width).alias("q"), F.col("v").cast("double").alias("v"))).alias("cells"))
 
     def dense(batches):
         for t in batches:
             for i in range(t.num_rows):
-                a, b, c = t.column("a")[i].as_py(), t.column("b")[i].as_py(), t.column("cells")[i].values
+                *_, a, b = key = key_of(t, i)
+                c = t.column("cells")[i].values
                 x = np.zeros((wide(a), wide(b)))
                 x[c.field("p").to_numpy(), c.field("q").to_numpy()] = c.field("v").to_numpy(zero_copy_only=False)
-                yield record([a, b], ["a", "b", "x"], [x], [pa.int32()] * 2)
+                yield record(key, [*keys, "x"], [x], types)
 
-    blocks = packed.mapInArrow(dense, "a int, b int, x binary").persist()
-    left, right = blocks.select("a", F.col("b").alias("c"), "x"), blocks.select(F.col("a").alias("c"), "b", F.col("x").alias("y"))
+    blocks = packed.mapInArrow(dense, groups + "a int, b int, x binary").persist()
+    left, right = blocks.select(*by, "a", F.col("b").alias("c"), "x"), blocks.select(*by, F.col("a").alias("c"), "b", F.col("x").alias("y"))
 
     def multiplied(batches):
         totals = Totals(_added)
-        give = lambda made: (record(k, ["a", "b", "x"], v, [pa.int32()] * 2) for k, v in made)
+        give = lambda made: (record(k, [*keys, "x"], v, types) for k, v in made)
         for t in batches:
             for i in range(t.num_rows):
-                a, b, c = (t.column(n)[i].as_py() for n in ("a", "b", "c"))
+                *_, a, b = key = key_of(t, i)
+                c = t.column("c")[i].as_py()
                 x, y = np.frombuffer(t.column("x")[i].as_buffer()).reshape(wide(a), wide(c)), np.frombuffer(t.column("y")[i].as_buffer()).reshape(wide(c), wide(b))
-                yield from give(totals.put((a, b), [x @ y]))
+                yield from give(totals.put(tuple(key), [x @ y]))
         yield from give(totals.rest())
 
-    partial = left.join(right, "c").where("a <= b").select("a", "b", "c", "x", "y").mapInArrow(multiplied, "a int, b int, x binary")
-    total = summed(partial, ["a", "b"], ["x"], lambda key, v: [np.frombuffer(v[0]).reshape(wide(key[0]), wide(key[1]))])
+    partial = left.join(right, [*by, "c"]).where("a <= b").select(*keys, "c", "x", "y").mapInArrow(multiplied, groups + "a int, b int, x binary")
+    total = summed(partial, keys, ["x"], lambda key, v: [np.frombuffer(v[0]).reshape(wide(key[-2]), wide(key[-1]))])
 
     def rows(batches):
         for t in batches:
             for i in range(t.num_rows):
-                a, b = t.column("a")[i].as_py(), t.column("b")[i].as_py()
+                *_, a, b = key_of(t, i)
                 x = np.frombuffer(t.column("x")[i].as_buffer()).reshape(wide(a), wide(b))
                 first, second = np.nonzero(np.arange(wide(a))[:, None] + a * width < np.arange(wide(b))[None] + b * width)
-                yield pa.RecordBatch.from_arrays([arrow.take(pa.array(first + a * width)), arrow.take(pa.array(second + b * width)), pa.array(x[first, second])], ["i", "j", "v"])
+                yield pa.RecordBatch.from_arrays([*(t.column(c).take(pa.array([i] * len(first), pa.int32())) for c in by), arrow.take(pa.array(first + a * width)), arrow.take(pa.array(second + b * width)), pa.array(x[first, second])], [*by, "i", "j", "v"])
 
-    return total.mapInArrow(rows, f"i {kind}, j {kind}, v double")
+    return total.mapInArrow(rows, groups + f"i {kind}, j {kind}, v double")

@@ -126,6 +126,12 @@ def prefilter(m: DataFrame, most: int = 500) -> DataFrame:
     return m.join(F.broadcast(top_variable(m, most).select("feature_id")), "feature_id", "left_semi").select(*KEYS, "value")
 
 
+def prefilter_by(m: DataFrame, most: int = 500) -> DataFrame:
+    """prefilter for a matrix with further columns, which stay; the variance is that of all its cells."""
+    few = prefilter(m, most)
+    return m if few is m else m.join(few.select("feature_id").distinct(), "feature_id", "left_semi").select(m.columns)
+
+
 def pivot(m: DataFrame, features: list) -> DataFrame:
     """One row per sample and one column per listed feature; a repeated cell is an error."""
     once = m.groupBy("sample_id").pivot("feature_id", features)

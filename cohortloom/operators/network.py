@@ -14,49 +14,55 @@ LAYER_WEIGHTS = {"wgcna": 0.30, "glasso": 0.35, "causal": 0.35}
 KNOWN_BONUS = 0.15
 
 
-def abs_corr(m: DataFrame) -> DataFrame:
-    """(i, j, r) for i < j: |Pearson| over the samples that have both; NULL against a constant feature. Sums of products by feature blocks."""
-    return gram.correlations(m).withColumn("r", F.abs("r"))
+def abs_corr(m: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, i, j, r) for i < j: |Pearson| over the samples that have both; NULL against a constant feature. Sums of products by feature blocks."""
+    return gram.correlations(m, by=by).withColumn("r", F.abs("r"))
 
 
-def both_ways(edges: DataFrame, w: str) -> DataFrame:
-    return edges.select("i", "j", w).unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), w))
+def both_ways(edges: DataFrame, w: str, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    return edges.select(*by, "i", "j", w).unionByName(edges.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), w))
 
 
-def soft_threshold(corr: DataFrame, n_features: int, betas: tuple = BETAS, least_r2: float = 0.85) -> DataFrame:
-    """(beta, bins, r2, chosen): scale-free fit of each power; chosen is the first that reaches least_r2, else 6."""
+def soft_threshold(corr: DataFrame, n_features: int, betas: tuple = BETAS, least_r2: float = 0.85, by: list[str] | None = None) -> DataFrame:
+    """(by, beta, bins, r2, chosen): scale-free fit of each power; chosen is the first that reaches least_r2, else 6."""
+    by = by or []
     spark = corr.sparkSession
     powers = F.broadcast(spark.createDataFrame([(b,) for b in betas], "beta int"))
-    k = both_ways(corr.where("r is not null"), "r").crossJoin(powers).groupBy("beta", "i").agg(F.sum(F.pow("r", F.col("beta"))).alias("k"))
+    k = both_ways(corr.where("r is not null"), "r", by).crossJoin(powers).groupBy(*by, "beta", "i").agg(F.sum(F.pow("r", F.col("beta"))).alias("k"))
     bins = max(3, min(10, n_features // 5))
-    bounds = k.groupBy("beta").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n"))
+    bounds = k.groupBy(*by, "beta").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count("*").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
-    binned = k.join(F.broadcast(bounds), "beta").withColumn("w", width).withColumn("bin", F.least(F.floor((F.col("k") - F.col("lo")) / F.nullif("w", F.lit(0.0))), F.lit(bins - 1)))
-    dense = binned.groupBy("beta", "bin").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("w").alias("w"), F.first("lo").alias("lo"))
-    point = dense.select("beta", (F.col("lo") + (F.col("bin") + 0.5) * F.col("w")).alias("mid"), (F.col("m") / F.nullif(F.col("n") * F.col("w"), F.lit(0.0))).alias("p")).where("mid > 0 and p > 0")
+    binned = k.join(F.broadcast(bounds), [*by, "beta"]).withColumn("w", width).withColumn("bin", F.least(F.floor((F.col("k") - F.col("lo")) / F.nullif("w", F.lit(0.0))), F.lit(bins - 1)))
+    dense = binned.groupBy(*by, "beta", "bin").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("w").alias("w"), F.first("lo").alias("lo"))
+    point = dense.select(*by, "beta", (F.col("lo") + (F.col("bin") + 0.5) * F.col("w")).alias("mid"), (F.col("m") / F.nullif(F.col("n") * F.col("w"), F.lit(0.0))).alias("p")).where("mid > 0 and p > 0")
     x, y = F.log10("mid"), F.log10("p")
-    fit = point.select("beta", x.alias("x"), y.alias("y")).groupBy("beta").agg(F.count("*").alias("bins"), F.pow(F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0)), F.lit(2)).alias("r2"))
+    fit = point.select(*by, "beta", x.alias("x"), y.alias("y")).groupBy(*by, "beta").agg(F.count("*").alias("bins"), F.pow(F.covar_pop("x", "y") / F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0)), F.lit(2)).alias("r2"))
     fit = fit.withColumn("r2", F.when(F.col("bins") >= 3, F.col("r2")))
-    chosen = fit.agg(F.coalesce(F.min(F.when(F.col("r2") >= least_r2, F.col("beta"))), F.lit(6)).alias("chosen"))
-    return fit.crossJoin(F.broadcast(chosen))
-
-
-def topological_overlap(corr: DataFrame, beta: int) -> DataFrame:
-    """(i, j, tom) for i < j, on |r|^beta with the unit diagonal kept in paths and degrees."""
-    a = corr.where("r is not null").select("i", "j", F.pow("r", F.lit(float(beta))).alias("a"))
-    full = both_ways(a, "a")
-    k = full.groupBy("i").agg((F.sum("a") + 1).alias("k"))
-    paths = gram.squared(full.select("i", "j", F.col("a").alias("v"))).withColumnRenamed("v", "l")
-    ki, kj = k.select("i", F.col("k").alias("ki")), k.select(F.col("i").alias("j"), F.col("k").alias("kj"))
-    joined = a.join(paths, ["i", "j"], "left").join(ki, "i").join(kj, "j")
+    chosen = F.coalesce(F.min(F.when(F.col("r2") >= least_r2, F.col("beta"))), F.lit(6)).alias("chosen")
+    return fit.join(fit.groupBy(*by).agg(chosen), by) if by else fit.crossJoin(F.broadcast(fit.agg(chosen)))
+
+
+def topological_overlap(corr: DataFrame, beta: int | DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, i, j, tom) for i < j, on |r|^beta with the unit diagonal kept in paths and degrees. beta is a number, or (by, chosen) for each group."""
+    by = by or []
+    known = corr.where("r is not null")
+    powered = known.withColumn("_beta", F.lit(float(beta))) if isinstance(beta, int) else known.join(beta.select(*by, F.col("chosen").cast("double").alias("_beta")).distinct(), by)
+    a = powered.select(*by, "i", "j", F.pow("r", F.col("_beta")).alias("a"))
+    full = both_ways(a, "a", by)
+    k = full.groupBy(*by, "i").agg((F.sum("a") + 1).alias("k"))
+    paths = gram.squared(full.select(*by, "i", "j", F.col("a").alias("v")), by=by).withColumnRenamed("v", "l")
+    ki, kj = k.select(*by, "i", F.col("k").alias("ki")), k.select(*by, F.col("i").alias("j"), F.col("k").alias("kj"))
+    joined = a.join(paths, [*by, "i", "j"], "left").join(ki, [*by, "i"]).join(kj, [*by, "j"])
     # the diagonal adds 2a to the paths
     tom = (F.coalesce("l", F.lit(0.0)) + 3 * F.col("a")) / (F.least("ki", "kj") + 1 - F.col("a"))
-    return joined.select("i", "j", tom.alias("tom"))
+    return joined.select(*by, "i", "j", tom.alias("tom"))
 
 
 def tom_edges(tom: DataFrame, least: float = 0.1) -> DataFrame:
     """Edges above the bound; protein_A is the later feature, protein_B the earlier."""
-    return tom.where(F.col("tom") > least).select(F.col("j").alias("protein_a"), F.col("i").alias("protein_b"), F.col("tom").alias("weight"), F.lit("wgcna").alias("layer"), F.lit(LAYER_WEIGHTS["wgcna"]).alias("consensus_weight"))
+    by = [c for c in tom.columns if c not in ("i", "j", "tom")]
+    return tom.where(F.col("tom") > least).select(*by, F.col("j").alias("protein_a"), F.col("i").alias("protein_b"), F.col("tom").alias("weight"), F.lit("wgcna").alias("layer"), F.lit(LAYER_WEIGHTS["wgcna"]).alias("consensus_weight"))
 
 
 def top_edges(edges: DataFrame, w: str, n: int) -> DataFrame:
@@ -110,17 +116,18 @@ def confidence_tier(methods: Column, bonus: Column) -> Column:
     return F.when((methods >= 3) & (bonus > 0), "Highest").when(methods >= 3, "High").when(methods == 2, "Moderate").otherwise("Low")
 
 
-def consensus_edges(wgcna: DataFrame, glasso: DataFrame, causal: DataFrame, known: DataFrame) -> DataFrame:
-    """Directed consensus of three layers (i, j, w): undirected ones count both ways, the greatest weight of each layer stays.
+def consensus_edges(wgcna: DataFrame, glasso: DataFrame, causal: DataFrame, known: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Directed consensus of three layers (by, i, j, w): undirected ones count both ways, the greatest weight of each layer stays.
 
     `{layer}_w` is the layer's fixed weight where it has the edge and 0 elsewhere, `{layer}_raw` the edge's own weight;
-    the total adds the fixed weights and a bonus for known pairs.
+    the total adds the fixed weights and a bonus for known pairs (i, j).
     """
-    layers = [both_ways(wgcna, "w").withColumn("layer", F.lit("wgcna")), both_ways(glasso, "w").withColumn("layer", F.lit("glasso")), causal.select("i", "j", "w").withColumn("layer", F.lit("causal"))]
+    by = by or []
+    layers = [both_ways(wgcna, "w", by).withColumn("layer", F.lit("wgcna")), both_ways(glasso, "w", by).withColumn("layer", F.lit("glasso")), causal.select(*by, "i", "j", "w").withColumn("layer", F.lit("causal"))]
     stacked = layers[0].unionByName(layers[1]).unionByName(layers[2])
-    per = stacked.groupBy("i", "j").agg(*[F.coalesce(F.max(F.when(F.col("layer") == n, F.col("w"))), F.lit(0.0)).alias(f"{n}_raw") for n in LAYER_WEIGHTS])
+    per = stacked.groupBy(*by, "i", "j").agg(*[F.coalesce(F.max(F.when(F.col("layer") == n, F.col("w"))), F.lit(0.0)).alias(f"{n}_raw") for n in LAYER_WEIGHTS])
     bonus = known.select("i", "j", F.lit(KNOWN_BONUS).alias("bonus")).distinct()
-    merged = per.join(bonus, ["i", "j"], "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
+    merged = per.join(bonus, ["i", "j"], "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0))).select(*by, "i", "j", *[f"{n}_raw" for n in LAYER_WEIGHTS], "bonus")
     merged = merged.withColumns({f"{n}_w": F.when(F.col(f"{n}_raw") > 0, w).otherwise(0.0) for n, w in LAYER_WEIGHTS.items()})
     methods = sum(((F.col(f"{n}_w") > 0).cast("int") for n in LAYER_WEIGHTS), F.lit(0))
     total = sum((F.col(f"{n}_w") for n in LAYER_WEIGHTS), F.lit(0.0)) + F.col("bonus")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..operators import cohort, deconv, factor, matrix, network, stats
+from ..operators import cohort, deconv, factor, forest, lasso, matrix, network, stats
 from ..sources import io
 
 
@@ -67,6 +67,14 @@ def pseudotime(m: DataFrame, clinical: DataFrame) -> dict:
     return {"status": "PASS", "pseudotime": rooted.groupBy("root").applyInPandas(run, f"projid {kind}, dpt double, umap_1 double, umap_2 double")}
 
 
+def validate_time(times: DataFrame, clinical: DataFrame) -> dict:
+    """The rank correlations of the pseudotime with the clinical measures, and WARNING unless all four go as expected."""
+    columns = {m: c for m, _, _ in stats.EXPECTED if (c := cohort.resolve(clinical, m))}
+    found = stats.time_validation(clinical.join(times.select("projid", "dpt"), "projid"), "dpt", columns).persist()  # four rows
+    passed = found.where("passed").count()
+    return {"status": "PASS" if passed == len(stats.EXPECTED) else "WARNING", "validation": found}
+
+
 def subtypes(m: DataFrame, master: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5), runs: int = 50, steps: int = 1000, k: int | None = None) -> dict:
     """Subtypes of the clinical cases by factorisations agreed upon; k by cophenetic correlation unless given."""
     cases = cohort.subtype_cohort(master).select(F.col("projid").alias("sample_id"))
@@ -101,15 +109,65 @@ def report(validation: dict) -> list[str]:
     return lines
 
 
-def coexpression(m: DataFrame, n_features: int, least: float = 0.1) -> dict:
-    """Edges of the overlap network at the fitted power."""
-    corr = network.abs_corr(m).persist()  # used by the fit and by the overlap; recomputed if an executor is lost
-    fit = network.soft_threshold(corr, n_features)
-    first = fit.select("chosen").first()
-    tom = network.topological_overlap(corr, first["chosen"] if first else 6)
+NETWORK = ["subtype", "cell_type"]
+
+
+def network_profiles(profiles: DataFrame, subtypes: DataFrame, first_type: bool = False, n_features: int | None = None) -> DataFrame:
+    """(subtype, cell_type, sample_id, feature_id, value): the profiles of the patients that have a subtype; of the first cell type and the first features only, if asked."""
+    own = io.with_sample_id(subtypes.where(F.col("subtype").isNotNull())).select("sample_id", "subtype")
+    m = io.with_sample_id(profiles).join(own, "sample_id").select(*NETWORK, "sample_id", "feature_id", F.col("abundance").alias("value"))
+    if first_type:
+        m = m.join(m.groupBy("subtype").agg(F.min("cell_type").alias("cell_type")), NETWORK, "left_semi").select(m.columns)
+    if n_features is not None:
+        m = m.join(matrix.first_features(m, n_features).select("feature_id").distinct(), "feature_id", "left_semi").select(m.columns)
+    return m
+
+
+def as_edges(edges: DataFrame, layer: str) -> DataFrame:
+    """(by, i, j, w) as stored edges of a layer."""
+    return edges.select(*NETWORK, F.col("i").alias("protein_a"), F.col("j").alias("protein_b"), F.col("w").alias("weight"), F.lit(layer).alias("layer"), F.lit(network.LAYER_WEIGHTS[layer]).alias("consensus_weight"))
+
+
+def coexpression(m: DataFrame, n_features: int, least: float = 0.1, by: list[str] | None = None) -> dict:
+    """Edges of the overlap networks, each at its fitted power."""
+    corr = network.abs_corr(m, by).persist()  # used by the fit and by the overlap; recomputed if an executor is lost
+    fit = network.soft_threshold(corr, n_features, by=by)
+    if by:
+        tom = network.topological_overlap(corr, fit.select(*by, "chosen").distinct(), by)
+    else:
+        first = fit.select("chosen").first()
+        tom = network.topological_overlap(corr, first["chosen"] if first else 6)
     return {"status": "PASS", "fit": fit, "edges": network.tom_edges(tom, least)}
 
 
+def sparse_precision(m: DataFrame, fixed: float | None = None) -> dict:
+    """Edges of every network's sparse precision matrix by the arm of its size, or at a fixed penalty; of at most 500 features."""
+    few = matrix.prefilter_by(m, 500)
+    found = lasso.fixed(few, NETWORK, fixed) if fixed else lasso.networks(few, NETWORK)
+    return {"status": "PASS", "edges": as_edges(found.withColumnRenamed("weight", "w"), "glasso")}
+
+
+def directed_importance(m: DataFrame, trees: int = 100) -> dict:
+    """The strongest 5 % of every network's importances; networks are few and are grown in turn, each over all its samples at once."""
+    few, edges = matrix.prefilter_by(m, 500).persist(), None
+    for r in few.select(*NETWORK).distinct().orderBy(*NETWORK).collect():
+        own = few.where((F.col("subtype") == r["subtype"]) & (F.col("cell_type") == r["cell_type"]))
+        one = network.top_share(forest.importances(own.select("sample_id", "feature_id", "value"), trees), "w")
+        one = one.select(F.lit(r["subtype"]).alias("subtype"), F.lit(r["cell_type"]).alias("cell_type"), "i", "j", "w")
+        edges = one if edges is None else edges.unionByName(one)
+    kind = m.schema["feature_id"].dataType.simpleString()
+    return {"status": "PASS", "edges": as_edges(edges if edges is not None else m.sparkSession.createDataFrame([], f"subtype string, cell_type string, i {kind}, j {kind}, w double"), "causal")}
+
+
+def consensus(edges: DataFrame, known: DataFrame | None = None) -> dict:
+    """The consensus of the three layers of every network, and each node's degree."""
+    layer = lambda n: edges.where(F.col("layer") == n).select(*NETWORK, F.col("protein_a").alias("i"), F.col("protein_b").alias("j"), F.col("weight").alias("w"))
+    known = known if known is not None else edges.sparkSession.createDataFrame([], "i string, j string")
+    merged = network.consensus_edges(layer("wgcna"), layer("glasso"), layer("causal"), known, NETWORK)
+    ends = merged.select(*NETWORK, F.col("i").alias("node")).unionAll(merged.select(*NETWORK, F.col("j").alias("node")))
+    return {"status": "PASS", "edges": merged, "nodes": ends.groupBy(*NETWORK, "node").agg(F.count("*").alias("degree"))}
+
+
 def run_all(steps: list[tuple[str, Callable[[dict], dict]]]) -> dict:
     """Runs named steps in turn, each given the results so far; the first that raises is marked FAIL and ends the run."""
     done: dict = {}
@@ -122,10 +180,12 @@ def run_all(steps: list[tuple[str, Callable[[dict], dict]]]) -> dict:
     return done
 
 
-def study(spark: SparkSession, folder: str, m: DataFrame, clinical: DataFrame, cells: DataFrame | None = None, markers: DataFrame | None = None, skip: tuple[str, ...] = (), n_subtypes: int | None = None, runs: int = 50, steps: int = 1000, least_overlap: float = 0.1) -> DataFrame:
+def study(spark: SparkSession, folder: str, m: DataFrame, clinical: DataFrame, cells: DataFrame | None = None, markers: DataFrame | None = None, skip: tuple[str, ...] = (), n_subtypes: int | None = None, runs: int = 50, steps: int = 1000, least_overlap: float = 0.1, networks: bool = False, test: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Runs the steps 1A to 1F and the co-expression of 2A, writes their tables below the folder, and returns the log (step, status, seconds, error).
 
-    `skip` names steps that are passed over (1B without deconvolution has equal shares); a step that needs one that was skipped fails.
+    With `networks`, 2A to 2D run for every subtype and cell type: co-expression, sparse precision, directed importance and
+    their consensus with `known` pairs (i, j); `test` takes the first cell type and ten features, ten trees, an overlap from 0.01 and a penalty of 0.5. The status of 1C is WARNING
+    if the pseudotime does not go with the clinical measures. `skip` names steps that are passed over (1B without deconvolution has equal shares); a step that needs one that was skipped fails.
     """
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
     save = lambda df, name: io.write_table(df, f"{folder}/{name}")
@@ -152,7 +212,7 @@ def study(spark: SparkSession, folder: str, m: DataFrame, clinical: DataFrame, c
     def time_of(_):
         out = keep(pseudotime(read("matrix"), clinical), pseudotime="pseudotime")
         io.update_table(spark, f"{folder}/master", lambda d: d.join(read("pseudotime"), "projid", "left"))
-        return out
+        return keep(validate_time(read("pseudotime"), clinical), validation="pseudotime_validation") | {"pseudotime": out["pseudotime"]}
 
     def classes(_):
         out = keep(classify(read("master")), counts="class_counts")
@@ -176,7 +236,31 @@ def study(spark: SparkSession, folder: str, m: DataFrame, clinical: DataFrame, c
         io.write_edges(out["edges"].withColumns({"subtype": F.lit("all"), "cell_type": F.lit("all")}), f"{folder}/edges")
         return out
 
-    listed = [("1A", load), ("1B", profiles), ("1C", time_of), ("1D", classes), ("1E", clusters), ("1F", check), ("2A", overlap)]
+    def own_networks():
+        return network_profiles(read("profiles"), read("subtypes"), test, 10 if test else None)
+
+    def overlaps(_):
+        x = own_networks().persist()
+        out = coexpression(x, x.select("feature_id").distinct().count(), 0.01 if test else least_overlap, NETWORK)
+        save(out["edges"], "wgcna")
+        return out
+
+    def precision(_):
+        out = sparse_precision(own_networks(), 0.5 if test else None)
+        save(out["edges"], "glasso")
+        return out
+
+    def importance(_):
+        out = directed_importance(own_networks(), 10 if test else forest.TREES)
+        save(out["edges"], "causal")
+        return out
+
+    def agreed(_):
+        layers = read("wgcna").unionByName(read("glasso")).unionByName(read("causal"))
+        io.write_edges(layers, f"{folder}/edges")
+        return keep(consensus(layers, known), edges="consensus", nodes="consensus_nodes")
+
+    listed = [("1A", load), ("1B", profiles), ("1C", time_of), ("1D", classes), ("1E", clusters), ("1F", check), *([("2A", overlaps), ("2B", precision), ("2C", importance), ("2D", agreed)] if networks else [("2A", overlap)])]
     took: dict[str, float] = {}
 
     def timed(name, step):

@@ -26,6 +26,20 @@ def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
     return long.select(F.col("row").alias(names[0]), F.col("col").alias(names[1]), "value").select("sample_id", "feature_id", "value")
 
 
+#: Names of the sample's column in older files.
+SAMPLE_NAMES = ("projid", "patient_id", "sample_id", "individualID")
+
+
+def with_sample_id(df: DataFrame, out: str = "sample_id") -> DataFrame:
+    """The table with its sample's column, under whichever of SAMPLE_NAMES it comes, called `out`."""
+    if out in df.columns:
+        return df
+    found = next((c for c in SAMPLE_NAMES if c in df.columns), None)
+    if found is None:
+        raise ValueError(f"none of {', '.join(SAMPLE_NAMES)} among the columns")
+    return df.withColumnRenamed(found, out)
+
+
 def read_clinical_csv(spark: SparkSession, path: str) -> DataFrame:
     wide = spark.read.csv(path, header=True, inferSchema=True)
     return wide.withColumnRenamed(wide.columns[0], "projid").withColumn("projid", F.col("projid").cast("string"))
@@ -55,16 +69,22 @@ def availability(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
-    """Parquet by way of a staging folder beside the path, so that a table may replace the one it was read from and a failed write leaves the old one."""
+    """Parquet by way of a staging folder beside the path, so that a table may replace the one it was read from and a failed write leaves the old one, at the path or beside it."""
     spark = df.sparkSession
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(staging)
     old, fs = _store(spark, path)
-    if fs.exists(old):
-        fs.delete(old, True)
+    aside = _store(spark, f"{staging}-old")[0]
     fs.mkdirs(old.getParent())
+    replaced = fs.exists(old)
+    if replaced and not fs.rename(old, aside):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(_store(spark, staging)[0], old):
+        if replaced:
+            fs.rename(aside, old)
         raise OSError(f"{staging} could not be moved to {path}")
+    if replaced:
+        fs.delete(aside, True)
 
 
 def update_table(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
