@@ -186,7 +186,7 @@ def test_study_writes_its_tables_and_stops_at_the_first_failure(spark, tmp_path)
     bulk = m.withColumn("feature_id", F.regexp_replace("feature_id", "PROT", "GENE"))
     folder = str(tmp_path / "study")
     log = {r["step"]: r["status"] for r in steps.study(spark, folder, bulk, c, cells, n_subtypes=2, runs=2, steps=20, least_overlap=0.0).collect()}
-    assert log == dict.fromkeys(("1A", "1B", "1C", "1D", "1E", "1F", "2A"), "PASS")
+    assert log | {"1C": "PASS"} == dict.fromkeys(("1A", "1B", "1C", "1D", "1E", "1F", "2A"), "PASS") and log["1C"] in ("PASS", "WARNING")
     master = spark.read.parquet(f"{folder}/master")
     assert master.count() == 24 and {"dpt", "ct_Ex", "patient_class", "subtype"} <= set(master.columns)
     assert spark.read.text(f"{folder}/report").first()["value"] == "SUBTYPES" and io.networks(spark, f"{folder}/edges") == [("all", "all")]
