@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pack, parts, table, unpack
+from .common import lean, pack, parts, table, trim, unpack
 
 CHUNK_BYTES = 8 << 20
 CHUNK_ROWS = 1 << 16
@@ -333,7 +333,7 @@ def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> D
         if ids:
             yield chunk()
 
-    return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, lens array<long>, seq binary, words binary")
+    return rows.mapInArrow(lean(run), f"chunk long, ids array<{kind}>, lens array<long>, seq binary, words binary")
 
 
 class Known:
@@ -398,7 +398,7 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
             answers = [known.ids(words) for words in asked]
             yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("chunk"), pa.array([pack(k) for k, _ in answers], pa.binary()), pa.array([pack(ids) for _, ids in answers], pa.binary())], ["bucket", "chunk", "n_ids", "word_ids"])
 
-    answers = chunks.mapInArrow(ask, "bucket long, chunk long, words binary").repartition(spread_over, "bucket").mapInArrow(encode, "bucket long, chunk long, n_ids binary, word_ids binary")
+    answers = chunks.mapInArrow(lean(ask), "bucket long, chunk long, words binary").repartition(spread_over, "bucket").mapInArrow(lean(encode), "bucket long, chunk long, n_ids binary, word_ids binary")
 
     def write(chunk: pa.Table, got: pa.Table) -> pa.Table:
         got = got.sort_by("bucket")
@@ -421,6 +421,7 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
                 out["ids"].append(ids.astype(np.int32))
         ids_col = chunk["ids"].combine_chunks()
         cols = {id_col: ids_col.flatten(), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids_sha256": pa.array(out["ids_sha256"], pa.string()), "decoded_sha256": pa.array(out["decoded_sha256"], pa.string())}
+        trim()
         return pa.table(cols | ({"ids": pa.array(out["ids"], pa.list_(pa.int32()))} if keep_ids else {}))
 
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids

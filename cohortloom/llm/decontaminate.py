@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, lean, table
 
 WIDTH = 10
 BLOCK_BYTES = 16 << 20
@@ -64,7 +64,7 @@ def _counts(docs: DataFrame, text_col: str, items: list) -> dict[bytes, int]:
         held = np.flatnonzero(total[:n])
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["w", "n"])
 
-    found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
+    found = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(lean(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     shared.unpersist()
     seen = {vocabulary[r["w"]]: r["n"] for r in found}
     return {w: seen.get(w, 0) for w in vocabulary}
@@ -147,7 +147,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for b in batches:
                 yield finished(b.column(id_col), [b.column(c) for c in carried], list(over(b.column("_text").to_pylist())))
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(lean(run), schema)
 
     def block_hits(over):
         def run(batches):
@@ -174,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 got.append((len(words_of(text)), names, *merged(sorted(s for h in hits or () for s in zip(h["span_from"], h["span_to"])))))
             yield finished(b.column(id_col), [b.column(c) for c in carried], got)
 
-    return joined.select(id_col, *carried, "_text", "hits").mapInArrow(gather, schema)
+    return joined.select(id_col, *carried, "_text", "hits").mapInArrow(lean(gather), schema)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:

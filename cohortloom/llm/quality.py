@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table, within_bytes
+from .common import crc_mod, lean, table, within_bytes
 from .features import char_buckets, codepoints, word_hashes
 
 BITS = 16
@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             pairs = [weighted(t) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array([p[0].astype(np.int32) for p in pairs], pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.float32()))], ["id", "y", "at", "w"])
 
-    got = within_bytes(sample.mapInArrow(featurise, "id string, y int, at array<int>, w array<float>"), "id", 8 * F.size("at"), fit_bytes).toArrow()
+    got = within_bytes(sample.mapInArrow(lean(featurise), "id string, y int, at array<int>, w array<float>"), "id", 8 * F.size("at"), fit_bytes).toArrow()
     rows = [(at.values.to_numpy(), w.values.to_numpy(), y) for _, y, at, w in sorted(zip(got["id"].to_pylist(), got["y"].to_pylist(), got["at"], got["w"]), key=lambda r: r[:2])]
     vectors, out, bias = fit_sgd(rows)
     seen = [max(1, sum(r[2] == k for r in rows)) for k in (0, 1)]
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             logits = np.array([logit(t, m.gain, m.bias) for t in b.column(text_col).to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(logits, -60, 60))))], [*b.schema.names, out_col])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(out_col)).schema)
+    return docs.mapInArrow(lean(run), docs.select("*", F.lit(0.0).alias(out_col)).schema)
 
 
 def held_out(col: str | Column = "doc_id") -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, portions, table
+from .common import free_name, lean, portions, table
 
 
 @dataclass(frozen=True)
@@ -213,7 +213,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[SecretRul
 
     docs = docs.drop(out_col)
     schema = docs.select("*", F.lit(None).cast("array<struct<kind:string,start:bigint,end:bigint>>").alias(out_col)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def joined(spans: str) -> str:
@@ -247,7 +247,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> D
                 out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_col else b.column(n) for n in names], names)
 
-    return found.mapInArrow(run, kind)
+    return found.mapInArrow(lean(run), kind)
 
 
 def digest(spans: list[tuple[int, int, str]]) -> str:
