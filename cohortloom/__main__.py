@@ -17,6 +17,7 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--skip-deconvolution", action="store_true", help="equal shares of the cell types")
     p.add_argument("--n-subtypes", type=int, help="as many subtypes, instead of the number chosen by cophenetic correlation")
     p.add_argument("--networks", action="store_true", help="the networks of every subtype and cell type, 2A to 2D")
+    p.add_argument("--models", action="store_true", help="the networks, and the graph models of each, 3A, 3E and 3F")
     return p.parse_args(args)
 
 
@@ -37,7 +38,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
     else:
         m, clinical = io.read_wide_csv(spark, f"{a.data_dir}/matrix.csv"), io.read_clinical_csv(spark, f"{a.data_dir}/clinical.csv")
         cells, markers, known = (spark.read.parquet(path) if io.exists(spark, path) else None for path in (f"{a.data_dir}/{n}.parquet" for n in ("cells", "markers", "known")))
-    log = steps.study(spark, a.results_dir, m.persist(), clinical.persist(), None if a.skip_deconvolution else cells, markers, n_subtypes=a.n_subtypes, networks=a.networks, test=a.test, known=known)
+    log = steps.study(spark, a.results_dir, m.persist(), clinical.persist(), None if a.skip_deconvolution else cells, markers, n_subtypes=a.n_subtypes, networks=a.networks, models=a.models, test=a.test, known=known)
     rows = log.orderBy("step").collect()
     for r in rows:
         print(f"{r['step']}  {r['status']:8s} {r['seconds']:8.1f} s  {r['error'] or ''}".rstrip())

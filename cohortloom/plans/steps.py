@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..operators import cohort, deconv, factor, forest, lasso, matrix, network, stats
 from ..sources import io
+from . import models as graph_models
 
 
 def preprocess(m: DataFrame, clinical: DataFrame, max_missing_pct: float = 50.0, k: int = 5, covariates: tuple[str, ...] = ("age_death", "msex", "pmi")) -> dict:
@@ -180,11 +181,12 @@ def run_all(steps: list[tuple[str, Callable[[dict], dict]]]) -> dict:
     return done
 
 
-def study(spark: SparkSession, folder: str, m: DataFrame, clinical: DataFrame, cells: DataFrame | None = None, markers: DataFrame | None = None, skip: tuple[str, ...] = (), n_subtypes: int | None = None, runs: int = 50, steps: int = 1000, least_overlap: float = 0.1, networks: bool = False, test: bool = False, known: DataFrame | None = None) -> DataFrame:
+def study(spark: SparkSession, folder: str, m: DataFrame, clinical: DataFrame, cells: DataFrame | None = None, markers: DataFrame | None = None, skip: tuple[str, ...] = (), n_subtypes: int | None = None, runs: int = 50, steps: int = 1000, least_overlap: float = 0.1, networks: bool = False, test: bool = False, known: DataFrame | None = None, models: bool = False) -> DataFrame:
     """Runs the steps 1A to 1F and the co-expression of 2A, writes their tables below the folder, and returns the log (step, status, seconds, error).
 
     With `networks`, 2A to 2D run for every subtype and cell type: co-expression, sparse precision, directed importance and
-    their consensus with `known` pairs (i, j); `test` takes the first cell type and ten features, ten trees, an overlap from 0.01 and a penalty of 0.5. The status of 1C is WARNING
+    their consensus with `known` pairs (i, j); `test` takes the first cell type and ten features, ten trees, an overlap from 0.01 and a penalty of 0.5. With `models` the networks are made and then the graph models
+    of each: 3A bundles of graphs, 3E thirty seeds of 50 epochs with their stability, 3F baselines (in a `test`: of the first network, two seeds of three epochs). The status of 1C is WARNING
     if the pseudotime does not go with the clinical measures. `skip` names steps that are passed over (1B without deconvolution has equal shares); a step that needs one that was skipped fails.
     """
     read = lambda name: spark.read.parquet(f"{folder}/{name}")
@@ -260,7 +262,36 @@ def study(spark: SparkSession, folder: str, m: DataFrame, clinical: DataFrame, c
         io.write_edges(layers, f"{folder}/edges")
         return keep(consensus(layers, known), edges="consensus", nodes="consensus_nodes")
 
-    listed = [("1A", load), ("1B", profiles), ("1C", time_of), ("1D", classes), ("1E", clusters), ("1F", check), *([("2A", overlaps), ("2B", precision), ("2C", importance), ("2D", agreed)] if networks else [("2A", overlap)])]
+    def bundled(_):
+        nodes = graph_models.bundle_nodes(read("consensus"))
+        if nodes is None:
+            return {"status": "SKIPPED"}
+        save(nodes, "bundle_nodes")
+        bundle = graph_models.bundles(read("bundle_nodes"), read("profiles"), read("proportions"), read("master"))
+        io.write_table(bundle, f"{folder}/bundles", tuple(NETWORK))
+        return {"status": "PASS"}
+
+    def each_network():
+        return graph_models.each(read("bundle_nodes"), read("consensus"), read("bundles"), test)
+
+    def steady(_):
+        if not io.exists(spark, f"{folder}/bundles"):
+            return {"status": "SKIPPED"}
+
+        def stored(df, name):
+            save(df, f"step3/{name}")
+            return read(f"step3/{name}")
+
+        few = {"seeds": 2, "epochs": 3, "top": 5} if test else {}
+        return keep(graph_models.stability(each_network(), stored, **few), evaluation="evaluation", scores="stability_scores", summary="stability_summary")
+
+    def benchmarked(_):
+        if not io.exists(spark, f"{folder}/bundles"):
+            return {"status": "SKIPPED"}
+        return keep(graph_models.baselines(each_network(), *((10, 5) if test else ())), benchmarks="benchmarking_summary")
+
+    networks = networks or models
+    listed = [("1A", load), ("1B", profiles), ("1C", time_of), ("1D", classes), ("1E", clusters), ("1F", check), *([("2A", overlaps), ("2B", precision), ("2C", importance), ("2D", agreed)] if networks else [("2A", overlap)]), *([("3A", bundled), ("3E", steady), ("3F", benchmarked)] if models else [])]
     took: dict[str, float] = {}
 
     def timed(name, step):

@@ -35,7 +35,7 @@ def test_same_as_sql(spark, sf, duck, name):
 
 
 #: Fewer trees, subsamples and runs than registered, so that the tests end.
-FEWER = {"forest_importance": {"trees": 4}, "stars_lambda": {"subsamples": 4}, **{n: {"ks": (2, 3), "runs": 2} for n in ("nmf_subtypes", "nmf_errors", "cophenetic", "select_k")}}
+FEWER = {"forest_importance": {"trees": 4}, "stars_lambda": {"subsamples": 4}, **{n: {"ks": (2, 3), "runs": 2} for n in ("nmf_subtypes", "nmf_errors", "cophenetic", "select_k")}, "gat_train_eval": {"epochs": 2, "seeds": 2}, "integrated_gradients": {"epochs": 2, "seeds": 2, "steps": 5}, "baseline_mlp": {"steps": 20}, "baseline_gbt": {"trees": 5}, "baseline_gbt_mse": {"trees": 5}}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))

@@ -44,12 +44,19 @@ def test_json_and_graph_tables(spark, tmp_path):
 
 def test_study_with_networks_from_the_command_line(spark, tmp_path, capsys):
     folder = str(tmp_path / "out")
-    assert command.main(["--test", "--networks", "--n-subtypes", "2", "--results-dir", folder], spark) == 0
+    assert command.main(["--test", "--models", "--n-subtypes", "2", "--results-dir", folder], spark) == 0
     said = capsys.readouterr().out
-    assert [line.split()[0] for line in said.splitlines()] == ["1A", "1B", "1C", "1D", "1E", "1F", "2A", "2B", "2C", "2D"]
+    assert [line.split()[0] for line in said.splitlines()] == ["1A", "1B", "1C", "1D", "1E", "1F", "2A", "2B", "2C", "2D", "3A", "3E", "3F"]
     checked = {r["measure"]: r for r in spark.read.parquet(f"{folder}/pseudotime_validation").collect()}
     assert set(checked) == {"mmse", "braaksc", "ceradsc", "cogdx"}
     assert ("WARNING" in said) == (not all(r["passed"] for r in checked.values()))
     edges = io.read_edges(spark, f"{folder}/edges")
     assert {r["layer"] for r in edges.select("layer").distinct().collect()} <= {"wgcna", "glasso", "causal"} and edges.count() > 0
     assert spark.read.parquet(f"{folder}/consensus").count() >= edges.count()
+    graphs, nodes = spark.read.parquet(f"{folder}/bundles"), spark.read.parquet(f"{folder}/bundle_nodes")
+    sizes = {(r["subtype"], r["cell_type"]): r["count"] for r in nodes.groupBy("subtype", "cell_type").count().collect()}
+    assert {r["y"] for r in graphs.collect()} == {0.0, 1.0} and all(len(r["x"]) == 7 * sizes[r["subtype"], r["cell_type"]] for r in graphs.collect())
+    summary = spark.read.parquet(f"{folder}/stability_summary").collect()
+    assert len(summary) == 1 and 0 <= summary[0]["mean_jaccard"] <= 1 and 0 <= summary[0]["mean_auroc"] <= 1
+    assert spark.read.parquet(f"{folder}/stability_scores").agg({"frequency": "max"}).first()[0] <= 2
+    assert {r["model"] for r in spark.read.parquet(f"{folder}/benchmarking_summary").collect()} == {"mlp", "gbt"}
