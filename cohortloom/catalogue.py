@@ -6,4 +6,4 @@ from .plans import cohort_queries, graph_queries, kernel_queries, learning_queri
 from .plans.network_queries import minimum_slice  # noqa: F401
 
 QUERIES = matrix_queries.QUERIES | cohort_queries.QUERIES | network_queries.QUERIES | graph_queries.QUERIES | kernel_queries.QUERIES | learning_queries.QUERIES
-ORACLE = matrix_queries.ORACLE | cohort_queries.ORACLE | network_queries.ORACLE | graph_queries.ORACLE
+ORACLE = matrix_queries.ORACLE | cohort_queries.ORACLE | network_queries.ORACLE | graph_queries.ORACLE | kernel_queries.ORACLE

@@ -11,13 +11,10 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernels
-from ..operators import cohort, deconv, factor, forest, lasso, matrix, network, stats
+from ..operators import cohort, deconv, factor, forest, lasso, matrix, network, pairs, stats, trajectory
 from ..sources import io
 from . import models as graph_models
 
@@ -50,22 +47,15 @@ def classify(clinical: DataFrame) -> dict:
     return {"status": "PASS", "classes": classes, "counts": classes.groupBy("patient_class").count()}
 
 
-def pseudotime(m: DataFrame, clinical: DataFrame) -> dict:
-    """Diffusion pseudotime from the calmest sample and a layout in two dimensions; one cohort is held in a task."""
-    arrays = matrix.arrays(m)
-    samples = clinical.select("projid", "cogdx", "braaksc")
-    two = m.join(matrix.top_variable(m, 2).select("feature_id", "rank"), "feature_id").groupBy("sample_id").agg(*[F.max(F.when(F.col("rank") == k, F.col("value"))).alias(f"d{k}") for k in (1, 2)])
-    rooted = arrays.crossJoin(F.broadcast(cohort.root_cell(two, samples)))
-
-    def run(pdf):
-        pdf = pdf.sort_values("sample_id")
-        x = np.array(pdf["features"].tolist(), float)
-        place = kernels.layout(x)
-        root = int(np.flatnonzero(pdf["sample_id"] == pdf["root"].iloc[0])[0])
-        return pd.DataFrame({"projid": pdf["sample_id"], "dpt": kernels.diffusion_pseudotime(x, root), "umap_1": place[:, 0], "umap_2": place[:, 1]})
-
-    kind = m.schema["sample_id"].dataType.simpleString()
-    return {"status": "PASS", "pseudotime": rooted.groupBy("root").applyInPandas(run, f"projid {kind}, dpt double, umap_1 double, umap_2 double")}
+def pseudotime(m: DataFrame, clinical: DataFrame, k: int = 15) -> dict:
+    """A layout in two dimensions and the diffusion pseudotime from the calmest sample nearest to its middle."""
+    arrays = matrix.arrays(m).persist()  # packed for the graph and counted twice; made again if an executor is lost
+    near = pairs.nearest(arrays, k).persist()
+    start, _ = matrix.principal_components(m, min(2, m.select("feature_id").distinct().count()))
+    places = trajectory.layout(pairs.fuzzy_weights(near, k), start).persist()
+    root = cohort.root_cell(places, clinical.select("projid", "cogdx", "braaksc")).first()["root"]
+    times = trajectory.pseudotime(*trajectory.diffusion_map(arrays, k, near=near), F.col("sample_id") == F.lit(root))
+    return {"status": "PASS", "pseudotime": times.join(places, "sample_id").withColumnRenamed("sample_id", "projid")}
 
 
 def validate_time(times: DataFrame, clinical: DataFrame) -> dict:

@@ -29,12 +29,6 @@ def test_betweenness_of_a_path_and_of_equal_ways():
     assert two["b"] == two["c"] == pytest.approx(0.5 / 6)
 
 
-def test_pseudotime_follows_a_line():
-    x = np.stack([np.arange(60.0), np.zeros(60)], axis=1)
-    d = kernels.diffusion_pseudotime(x, 0, k=6)
-    assert d[0] == 0 and d.max() == 1 and d[59] > d[30] > d[5]
-
-
 def test_imputation_arms(spark):
     m = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 1.0), (3, "a", 5.0), (3, "b", 9.0)], "sample_id int, feature_id string, value double")
     assert [tuple(r) for r in matrix.knn_impute(m).collect()] == [(2, "b", 2.0)]  # a donor at distance zero takes all
@@ -65,14 +59,6 @@ def test_choices(spark):
     assert cohort.running_lambda(high).first()["lambda"] == 1.0  # the largest stays though it is unstable
 
 
-def test_layout_keeps_groups_apart():
-    rng = np.random.default_rng(6)
-    x = np.concatenate([rng.normal(0, 0.1, (40, 5)), rng.normal(4, 0.1, (40, 5))])
-    y = kernels.layout(x, k=8)
-    inside = np.linalg.norm(y[:40] - y[:40].mean(axis=0), axis=1).mean()
-    assert np.linalg.norm(y[:40].mean(axis=0) - y[40:].mean(axis=0)) > 2 * inside
-
-
 def test_steps_run_and_stop_at_the_first_failure(spark, tmp_path):
     from cohortloom.plans import steps
     from cohortloom.sources import io
