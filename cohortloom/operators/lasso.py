@@ -235,7 +235,7 @@ def edges_of(nets: Networks, penalties: dict[tuple, list[float]], method: str) -
         a, b, first, second = nets.pairs()
         w = np.abs(fit[a, b]) if fit is not None else np.zeros(len(a))
         keep = np.flatnonzero((a < b) & (w > EDGE))
-        return [first.take(pa.array(keep)), second.take(pa.array(keep)), w[keep], [method] * len(keep)]
+        return [first.take(pa.array(keep)), second.take(pa.array(keep)), w[keep], pa.array([method] * len(keep), pa.string())]
 
     name = nets.kind.simpleString()
     return nets.over(nets.whole, work, f"i {name}, j {name}, weight double, method string")

@@ -267,3 +267,10 @@ def test_regressor_gradients_and_fit(spark):
     assert scored.where("x is null").first()["prediction"] is None
     got = perceptron.mean_squared_error(scored, "prediction", "y").first()
     assert got["n"] == 400 and got["mse"] < 0.1
+
+
+def test_networks_without_edges_beside_others(spark):
+    x = np.random.default_rng(5).normal(size=(80, 2))
+    rows = [(f"g{g}", s, f, float(x[s, 0] if g % 2 else x[s, f])) for g in range(10) for s in range(80) for f in range(2)]
+    m = spark.createDataFrame(rows, "grp string, sample_id int, feature_id int, value double")
+    assert sorted(r["grp"] for r in lasso.fixed(m, ["grp"], 0.5).collect()) == ["g1", "g3", "g5", "g7", "g9"]
