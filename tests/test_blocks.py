@@ -274,3 +274,16 @@ def test_networks_without_edges_beside_others(spark):
     rows = [(f"g{g}", s, f, float(x[s, 0] if g % 2 else x[s, f])) for g in range(10) for s in range(80) for f in range(2)]
     m = spark.createDataFrame(rows, "grp string, sample_id int, feature_id int, value double")
     assert sorted(r["grp"] for r in lasso.fixed(m, ["grp"], 0.5).collect()) == ["g1", "g3", "g5", "g7", "g9"]
+
+
+def test_average_linkage_of_more_classes_than_one_table_holds(spark, monkeypatch):
+    labels = np.random.default_rng(11).integers(0, 3, (30, 400))
+    labels = np.concatenate([labels, labels[:7], labels[:3]])
+    arrays = spark.createDataFrame([(3, i, r.tolist()) for i, r in enumerate(labels)], "k int, sample_id int, labels array<int>")
+    named = factor.classes(arrays, ["k"])[0].persist()
+    d = np.array([[1 - np.mean(a == b) for b in labels] for a in labels])
+    upper = np.triu_indices(40, 1)
+    monkeypatch.setattr(factor, "MOST_CLASSES", 6)
+    got = factor.agreement(named, factor.class_shares(named, ["k"])).first()
+    assert got["cophenetic"] == pytest.approx(np.corrcoef(d[upper], kernels.cophenetic(d)[upper])[0, 1])
+    assert got["min_cluster"] == min(np.unique(labels[:, 0], return_counts=True)[1])
