@@ -1,10 +1,10 @@
 """Directed importances: forests of regression trees for every feature as a target, grown level by level for all targets at once.
 
-Samples stay in their partitions. They share one table of binned features (equal-width bins from each
-feature's least to greatest value); a sample's node in each tree follows from the splits so far, which go along with
-the tasks. A level is one pass: every task counts weights and sums of the target by (tree, node, candidate feature, bin)
-and passes on what is not empty, these are added by target, and the best split of each node comes back. What the
-driver holds are splits, targets × trees × 2^depth at most, whatever the number of samples.
+Samples share one table of binned features (equal-width bins from each feature's least to greatest value) and are packed
+once into blocks of at most CHUNK, which stay cached. A level is one pass: a task has a few targets and goes through the blocks one at a
+time, finding each sample's node from the splits so far and adding up weights and sums of the target by (tree, node,
+candidate feature, bin). It holds these sums and a block, whatever the number of samples, and passes on its targets'
+splits only: sums are not shuffled. What the driver holds are splits, targets × trees × 2^depth at most.
 
 Trees take Poisson(1) weights by a hash of the sample as their bootstrap, the square root of the
 other features as candidates at a node, and end at DEPTH levels, at nodes of one sample or of one value. Missing values
@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -26,8 +27,10 @@ from .gram import placed
 BINS = 32
 DEPTH = 8
 TREES = 100
-#: Samples that a task spreads over the trees at a time.
-CHUNK = 256
+#: Samples of a block.
+CHUNK = 8192
+#: Targets of a task at most, and trees whose splits are chosen at a time.
+TARGETS, AT_ONCE = 4, 10
 
 
 class Table:
@@ -39,25 +42,37 @@ class Table:
         self.names, self.kind = [r["feature_id"] for r in rows], m.schema["feature_id"].dataType
         self.low, self.high, self.mean = (np.array([r[c] for r in rows], float) for c in ("low", "high", "mean"))
         cells = F.collect_list(F.struct("place", F.col("value").cast("double").alias("value"))).alias("cells")
-        self.rows = placed(known, self.names).groupBy(F.col("sample_id").cast("string").alias("id")).agg(cells).persist()  # read once a level
+        self.count = known.select("sample_id").distinct().count()
+        self.rows = placed(known, self.names).groupBy(F.col("sample_id").cast("string").alias("id")).agg(cells)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "rows"}
 
-    def chunks(self, batches):
-        """(ids, samples × features with the mean where absent)."""
-        ids, held = [], []
-        for b in batches:
-            for i, cells in zip(b.column("id").to_pylist(), b.column("cells")):
+    def blocks(self, trees: int, seed: int, bootstrap: bool) -> RDD:
+        """(bins, deviations from the mean, weights) of at most CHUNK samples, one row a feature or tree; kept, as every level reads them."""
+
+        def pack(rows):
+            ids, held = [], []
+
+            def block():
+                x = np.array(held)
+                w = weights(ids, trees, seed).T if bootstrap else np.ones((trees, len(ids)))
+                return np.ascontiguousarray(self.bins(x).T.astype(np.uint8)), np.ascontiguousarray((x - self.mean).T), np.ascontiguousarray(w.astype(np.uint8))
+
+            for i, cells in rows:
                 row = self.mean.copy()
-                row[cells.values.field("place").to_numpy()] = cells.values.field("value").to_numpy(zero_copy_only=False)
+                for place, value in cells:
+                    row[place] = value
                 ids.append(i)
                 held.append(row)
                 if len(held) == CHUNK:
-                    yield ids, np.array(held)
+                    yield block()
                     ids, held = [], []
-        if held:
-            yield ids, np.array(held)
+            if held:
+                yield block()
+
+        parts = max(1, -(-self.count * 4 // (3 * CHUNK)))  # full blocks: a task's cost a block is that of some thousand samples
+        return self.rows.repartition(parts, "id").rdd.mapPartitions(pack).persist(StorageLevel.MEMORY_AND_DISK)
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -80,15 +95,16 @@ def candidates(target: int, level: int, features: int, trees: int, many: int, se
     return np.argpartition(draw, many, axis=2)[:, :, :many]
 
 
-def nodes(bins: np.ndarray, splits: list[tuple[np.ndarray, np.ndarray]], trees: int) -> np.ndarray:
-    """samples × trees: the node each sample has come to, -1 below a leaf. splits: by level (feature, bin) of trees × nodes, feature -1 at a leaf."""
-    at = np.zeros((len(bins), trees), np.int64)
-    tree = np.arange(trees)[None]
+def nodes(bins: np.ndarray, who: np.ndarray, splits: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(samples, nodes) of one tree for those of the samples that a leaf has not ended. splits: by level (feature, bin) of each node, feature -1 at a leaf."""
+    at = np.zeros(len(who), np.int64)
     for feature, cut in splits:
-        f = feature[tree, np.maximum(at, 0)]
-        right = np.take_along_axis(bins, np.maximum(f, 0), axis=1) > cut[tree, np.maximum(at, 0)]
-        at = np.where((at < 0) | (f < 0), -1, 2 * at + right)
-    return at
+        f = feature[at]
+        if (f < 0).any():
+            on = f >= 0
+            who, at, f = who[on], at[on], f[on]
+        at = 2 * at + (bins[f, who] > cut[at])
+    return who, at
 
 
 def best_splits(w: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,54 +119,46 @@ def best_splits(w: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return top // gain.shape[3], top % gain.shape[3], np.take_along_axis(flat, top[:, :, None], axis=2)[:, :, 0]
 
 
-def grow(table: Table, level: int, splits: list, trees: int, many: int, seed: int, bootstrap: bool) -> pa.Table:
-    """(target, feature, cut, gain): each target's splits of one level, trees × nodes each."""
+def grow(table: Table, blocks: RDD, level: int, splits: list, trees: int, many: int, seed: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(target, feature, cut, gain) of every target: its splits of one level, trees × nodes each."""
     p = len(table.names)
-    sent = table.rows.sparkSession.sparkContext.broadcast(splits)
-    shape = (trees, 1 << level, min(many, p - 1), BINS)
-
-    def counted(batches):
-        for ids, x in table.chunks(batches):
-            bins, y = table.bins(x), x - table.mean
-            w = weights(ids, trees, seed) if bootstrap else np.ones((len(ids), trees))
-            tree = np.broadcast_to(np.arange(trees)[None], w.shape)
-            for t in range(p):
-                at = nodes(bins, [(f[t], c[t]) for f, c in sent.value], trees)
-                here = (at >= 0) & (w > 0)
-                who, k = np.nonzero(here)
-                node = at[here]
-                f = candidates(t, level, p, trees, many, seed)[k, node]
-                cell = ((k * shape[1] + node)[:, None] * shape[2] + np.arange(shape[2])[None]) * BINS + bins[who[:, None], f]
-                weight = np.repeat(w[who, k], shape[2])
-                cells, back = np.unique(cell, return_inverse=True)
-                back = back.reshape(-1)
-                sums = np.bincount(back, weight * np.repeat(y[who, t], shape[2]), len(cells))
-                yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (cells, np.bincount(back, weight, len(cells)), sums))], ["target", "cell", "w", "s"])
-
-    def split(batches):
-        target, w, s = None, None, None
-
-        def out():
-            at, cut, gain = best_splits(w.reshape(shape), s.reshape(shape))
-            feature = np.take_along_axis(candidates(target, level, p, trees, many, seed), at[:, :, None], axis=2)[:, :, 0]
-            feature = np.where(gain > 1e-12, feature, -1)
-            return pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), *(pa.array([v.astype(k).tobytes()], pa.binary()) for v, k in ((feature, np.int32), (cut, np.uint8), (gain, float)))], ["target", "feature", "cut", "gain"])
-
-        for b in batches:
-            for i, t in enumerate(b.column("target").to_pylist()):
-                if t != target:
-                    if target is not None:
-                        yield out()
-                    target, w, s = t, np.zeros(np.prod(shape)), np.zeros(np.prod(shape))
-                cells = np.frombuffer(b.column("cell")[i].as_buffer(), np.int64)
-                w[cells] += np.frombuffer(b.column("w")[i].as_buffer())
-                s[cells] += np.frombuffer(b.column("s")[i].as_buffer())
-        if target is not None:
-            yield out()
-
-    partial = table.rows.mapInArrow(counted, "target int, cell binary, w binary, s binary")
-    by_target = partial.repartition("target").sortWithinPartitions("target")
-    return by_target.mapInArrow(split, "target int, feature binary, cut binary, gain binary").toArrow()
+    sc = table.rows.sparkSession.sparkContext
+    sent = sc.broadcast(splits)
+    wide = min(many, p - 1)
+    shape = (trees, 1 << level, wide, BINS)
+    few = max(1, min(TARGETS, p // (2 * sc.defaultParallelism)))
+
+    def add(t, drawn, sums, block):
+        bins, y, weight = block
+        own = [(f[t], c[t]) for f, c in sent.value]
+        y = y[t]
+        for k in range(trees):
+            who, at = nodes(bins, np.flatnonzero(weight[k]), [(f[k], c[k]) for f, c in own])
+            w = weight[k, who].astype(float)
+            wy = w * y[who]
+            size = shape[1] * BINS
+            at_bin = at * BINS
+            for c in range(wide):
+                cell = at_bin + bins[drawn[k, :, c][at], who]
+                sums[0, k, :, c] += np.bincount(cell, w, size).reshape(-1, BINS)
+                sums[1, k, :, c] += np.bincount(cell, wy, size).reshape(-1, BINS)
+
+    def run(met):
+        # a partition has one group of targets, and meets every block in turn
+        held: dict = {}
+        for group, block in met:
+            if not held:
+                held = {t: (np.ascontiguousarray(candidates(t, level, p, trees, many, seed)), np.zeros((2, *shape))) for t in group}
+            for t, (drawn, sums) in held.items():
+                add(t, drawn, sums, block)
+        for t, (drawn, (w, s)) in held.items():
+            parts = [best_splits(w[k : k + AT_ONCE], s[k : k + AT_ONCE]) for k in range(0, trees, AT_ONCE)]
+            at, cut, gain = (np.concatenate(v) for v in zip(*parts))
+            feature = np.take_along_axis(drawn, at[:, :, None], axis=2)[:, :, 0]
+            yield t, np.where(gain > 1e-12, feature, -1).astype(np.int32), cut.astype(np.uint8), gain
+
+    groups = [list(range(k, min(k + few, p))) for k in range(0, p, few)]
+    return sc.parallelize(groups, len(groups)).cartesian(blocks.coalesce(1)).mapPartitions(run).collect()
 
 
 def levels(table: Table, trees: int = TREES, depth: int = DEPTH, seed: int = 42, many: int | None = None, bootstrap: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -160,15 +168,16 @@ def levels(table: Table, trees: int = TREES, depth: int = DEPTH, seed: int = 42,
         return []
     many = many or max(1, int(np.sqrt(p - 1)))
     out: list = []
+    blocks = table.blocks(trees, seed, bootstrap)
     for level in range(depth):
-        got = grow(table, level, [(f, c) for f, c, _ in out], trees, many, seed, bootstrap)
         size = (p, trees, 1 << level)
         feature, cut, gain = np.full(size, -1, np.int32), np.zeros(size, np.uint8), np.zeros(size)
-        for t, *v in zip(*(got.column(c).to_pylist() for c in ("target", "feature", "cut", "gain"))):
-            feature[t], cut[t], gain[t] = (np.frombuffer(x, k).reshape(size[1:]) for x, k in zip(v, (np.int32, np.uint8, float)))
+        for t, *v in grow(table, blocks, level, [(f, c) for f, c, _ in out], trees, many, seed):
+            feature[t], cut[t], gain[t] = v
         out.append((feature, cut, gain))
         if (feature < 0).all():
             break
+    blocks.unpersist()
     return out
 
 

@@ -136,6 +136,17 @@ def test_forest_finds_the_cause_and_its_first_split(spark):
     assert first["f005"]["feature"] == "f002" and first["f002"]["feature"] == "f005"
 
 
+def test_forest_shuffles_samples_not_sums(spark, monkeypatch):
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    m = long(spark, np.random.default_rng(8).normal(size=(1000, 6))).persist()
+    table = forest.Table(m)
+    before = written()
+    grown = forest.levels(table, trees=20, depth=4)
+    assert written() - before < 1000 * 1000  # a sample's cells, not its trees, candidates and bins
+    monkeypatch.setattr(forest, "CHUNK", 100)  # many blocks are as one
+    assert all(np.array_equal(a, b) for x, y in zip(grown, forest.levels(table, trees=20, depth=4)) for a, b in zip(x[:2], y[:2]))
+
+
 def test_one_tree_is_that_of_plain_recursion(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(300, 4))
