@@ -73,3 +73,15 @@ def test_attributions_add_up_and_training_learns():
     assert ((logit > 0) == (y > 0)).mean() > 0.9
     base, _, _ = gat.forward(p, x * 0, g)
     assert np.allclose(gat.integrated_gradients(p, x, g, 200).sum(axis=(1, 2)), logit - base, atol=0.05)
+
+
+def test_asked_for_gradients_are_those_of_the_whole_way_back():
+    rng = np.random.default_rng(9)
+    g = gat.Graph(6, [(0, 1), (1, 2), (5, 2), (4, 0)])
+    x, p, d = rng.normal(size=(4, 6, 7)), gat.start(2), rng.normal(size=4)
+    kept = gat.forward(p, x, g)[2]
+    grads, dx = gat.backward(p, x, g, kept, d, d)
+    none, only_dx = gat.backward(p, x, g, kept, d, d, params=False)
+    only_grads, no_dx = gat.backward(p, x, g, kept, d, d, inputs=False)
+    assert not none and no_dx is None and np.array_equal(dx, only_dx)
+    assert grads.keys() == only_grads.keys() == p.keys() and all(np.array_equal(grads[k], only_grads[k]) and grads[k].shape == p[k].shape for k in p)
