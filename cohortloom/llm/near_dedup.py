@@ -1,9 +1,10 @@
 """Near-duplicate texts at a stated similarity of word shingles, exact for that similarity.
 
 Two texts are alike if the Jaccard similarity of their sets of distinct five-word shingles
-is 0.8 or more. They are found in two steps. First, texts that share a MinHash band (ten
-bands of three minima) meet in cells, which joins nearly all pairs cheaply. Second, a
-prefix join finds what no band showed: with shingles in any fixed order, similar sets share
+is 0.8 or more. They are found in three steps. First, the SimHash fingerprints of op2 are
+searched by its BK-trees, and the texts of each class of fingerprints meet in cells. Second, texts that
+share a MinHash band (ten bands of three minima) with one of another group meet there too: pairs at 0.8 lie up
+to some 20 of 64 bits apart, where no radius shows them. Third, a prefix join finds what neither showed: with shingles in any fixed order, similar sets share
 one of their first n - ceil(0.8 n) + 1, so texts of different groups that share such a
 shingle are compared too. Shingles frequent in a sample of the texts come last in the
 order; the sample bears on cost only, not on what is found.
@@ -12,7 +13,7 @@ In a cell every pair that can be similar is verified on the shingle sets (32-bit
 nodes that share no shingle of their prefixes by the cell's own frequencies can't be.
 
 Texts of equal shingle sets are one node before anything is compared, so a text copied any
-number of times is one node. A key of more than ``SHARD`` nodes is cut into cells. Of a band, each
+number of times is one node. A key of more than ``SHARD`` nodes is cut into cells. Of a class or band, each
 cell holds a slice of the nodes and the key's ``LEADERS``, so a group of near copies of any size is
 joined in proportion to its size; what no leader shows is left to the prefix join, which is exact.
 Of a prefix element, the nodes outside the key's largest group meet all its nodes, slice by slice,
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components, free_name, lean
-from .simhash import runs_of
+from .simhash import fingerprint, near_classes, runs_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -79,25 +80,26 @@ def minima(distinct: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, set_key, size, bands) of every row with an id; size counts the distinct shingles."""
+    """(id, set_key, size, bands, fp) of every row with an id; size counts the distinct shingles, fp is op2's fingerprint."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            keys, sizes, bands = [], [], []
+            keys, sizes, bands, fps = [], [], [], []
             for text in b.column(1).to_pylist():
                 distinct = np.unique(shingle_hashes(text, shingle))
                 m = minima(distinct)
                 keys.append(xxh64_intdigest(distinct.tobytes(), 1))
                 sizes.append(len(distinct))
+                fps.append(fingerprint(text))
                 bands.append([xxh64_intdigest(m[k : k + ROWS].tobytes(), k) for k in range(0, BANDS * ROWS, ROWS)])
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             flat = signed([x for y in bands for x in y])
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(keys), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat)], ["id", "set_key", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), signed(keys), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), flat), signed(fps)], ["id", "set_key", "size", "bands", "fp"])
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(lean(run), "id long, set_key long, size long, bands array<long>")
+    return rows.mapInArrow(lean(run), "id long, set_key long, size long, bands array<long>, fp long")
 
 
 def similarity_of(p: np.ndarray, q: np.ndarray) -> float:
@@ -289,17 +291,26 @@ def prefix_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, group_id) of every row with an id; a group is named by its smallest id."""
     marked = checkpoint(marks(docs, id_col, text_col, shingle))
-    first = F.min_by(F.struct("size", "bands"), "id").alias("m")
+    first = F.min_by(F.struct("size", "bands", "fp"), "id").alias("m")
     nodes = checkpoint(marked.groupBy("set_key").agg(F.min("id").alias("rep"), first).select("set_key", "rep", "m.*"))
     args = (docs, id_col, text_col, shingle, similarity)
-    filled = nodes.where("size > 0").select("set_key", "rep", "size", F.col("rep").alias("group"), "bands")
-    bands = filled.select("rep", F.posexplode("bands").alias("k", "v")).select("rep", F.xxhash64("k", "v").alias("key"))
-    links = checkpoint(near_links(filled, band_cells(bands), *args))
-    comps = connected_components(links).withColumnRenamed("node", "rep")
-    grouped = checkpoint(filled.select("set_key", "rep", "size").join(comps, "rep", "left").select("set_key", "rep", "size", F.coalesce("component", "rep").alias("group")))
-    more = checkpoint(prefix_links(grouped, *args))
-    if not more.isEmpty():
-        comps = connected_components(links.unionByName(more)).withColumnRenamed("node", "rep")
+    filled = nodes.where("size > 0").drop("bands", "fp").withColumn("group", F.col("rep"))
+
+    def grouped(links):
+        comps = connected_components(links).withColumnRenamed("node", "rep")
+        return comps, checkpoint(filled.drop("group").join(comps, "rep", "left").select("set_key", "rep", "size", F.coalesce("component", "rep").alias("group")))
+
+    classes = near_classes(nodes.where("size > 0").select("fp", "rep")).select("rep", F.col("component").alias("key"))
+    links = checkpoint(near_links(filled, band_cells(classes), *args))
+    comps, filled = grouped(links)
+    bands = nodes.select("rep", F.posexplode("bands").alias("k", "v")).select("rep", F.xxhash64("k", "v").alias("key")).join(filled.select("rep", "group"), "rep")
+    mixed = bands.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least < most").select("key")
+    keys = checkpoint(bands.join(mixed, "key", "left_semi").select("key", "rep"))
+    for step in (lambda n: near_links(n, band_cells(keys), *args), lambda n: prefix_links(n, *args)):
+        more = checkpoint(step(filled))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            comps, filled = grouped(links)
     named = nodes.select("set_key", "rep").join(comps, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("group_id"))
     return marked.select("id", "set_key").join(named, "set_key").select("id", "group_id")
 

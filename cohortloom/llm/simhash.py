@@ -196,6 +196,14 @@ def runs_of(batches, keys):
         yield left
 
 
+def near_classes(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, rep, component) of nodes(fp long, rep long) that share a class of fingerprints, named by its smallest rep."""
+    firsts = nodes.groupBy("fp").agg(F.min("rep").alias("first"))
+    comps = connected_components(near_links(firsts.select("fp", F.col("first").alias("rep")), radius))
+    named = firsts.join(comps.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("component", "first").alias("component"))
+    return nodes.join(named, "fp").select("fp", "rep", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(id, fingerprint, component_id) of every row; the component is named by its smallest id."""
     marked = checkpoint(fingerprints(docs, id_col, text_col, shingle))

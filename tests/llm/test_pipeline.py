@@ -9,7 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortloom.llm import bpe, decontaminate, near_dedup, quality, secrets
+from cohortloom.llm import bpe, decontaminate, near_dedup, quality, secrets, simhash
 from cohortloom.llm.common import table
 
 
@@ -90,3 +90,16 @@ def test_stages_keep_columns_and_clean_rows(spark, sf, name, stage):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = stage(spark, table(spark, sf, "documents").unionByName(docs), sf)
     assert out.columns == docs.columns and {r[0] for r in rows} <= {r["doc_id"] for r in out.collect()}
+
+
+def test_near_dedup_searches_fingerprints_first(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[:k], f"new{i}", *words[k + 1 :]])) for i, k in enumerate((3, 150, 290))] + [(9, " ".join(f"v{i}" for i in range(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r["id"]: r["fp"] & (2**64 - 1) for r in near_dedup.marks(docs, "doc_id", "text", 5).collect()}
+    assert prints == {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    asked = []
+    search = simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda nodes, *a: asked.append(nodes.count()) or search(nodes, *a))
+    groups = {r["id"]: r["group_id"] for r in near_dedup.near_groups(docs).collect()}
+    assert asked == [4] and groups == {0: 0, 1: 0, 2: 0, 9: 9}
