@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, table
+from .common import checkpoint, connected_components, lean, table
 
 SHINGLE = 4
 RADIUS = 4
@@ -169,7 +169,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
                 at = np.array(links)
                 yield pa.RecordBatch.from_arrays([pa.array(reps[at[:, 0]]), pa.array(reps[at[:, 1]])], ["a", "b"])
 
-    return spread.select("key", "i", "j", "q", "fp", "rep").mapInArrow(run, "a long, b long")
+    return spread.select("key", "i", "j", "q", "fp", "rep").mapInArrow(lean(run), "a long, b long")
 
 
 def runs_of(batches, keys):
