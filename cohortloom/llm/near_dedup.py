@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components, free_name, lean
@@ -43,6 +43,8 @@ SHARD = 512
 LEADERS = 16
 #: One row in SAMPLE is asked for frequent shingles: those of OFTEN rows or more, the MOST most frequent of them.
 SAMPLE, OFTEN, MOST = 32, 8, 100_000
+#: Bits of a set's sketch.
+SKETCH = 2048
 #: Id lists up to this long are broadcast (8 bytes each); longer ones are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -167,6 +169,11 @@ def cell_links(sets: list[np.ndarray], similarity: float, groups: np.ndarray | N
 
 def shingle_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(rep, set) for ids(rep, set_key): the sorted distinct shingle hashes, 32 bits each, of a row of that id and key."""
+    return hashed_sets(ids, docs, id_col, text_col, shingle).groupBy("rep").agg(F.min("set").alias("set"))
+
+
+def hashed_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """shingle_sets with a row for each repeated one."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).join(ids, "rep")
 
@@ -181,7 +188,7 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, sh
                 sets.append(np.unique(distinct.astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sets, pa.binary())], ["rep", "set"]).filter(pa.array(keep, pa.bool_()))
 
-    return texts.mapInArrow(lean(run), "rep long, set binary").groupBy("rep").agg(F.min("set").alias("set"))
+    return texts.mapInArrow(lean(run), "rep long, set binary")
 
 
 def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
@@ -198,23 +205,54 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int)
 
 
 def prefix_keys(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(rep, group, keys) for nodes(rep, set_key, group): the first shingles of each set, frequent ones last."""
+    """(rep, group, keys) for nodes(rep, set_key, group): the first shingles of each set, frequent ones last. No text is shuffled, only keys where nodes are too many to broadcast."""
     frequent = frequent_shingles(docs, id_col, text_col, shingle)
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).join(nodes.select("rep", "set_key", "group"), "rep")
+    nodes = nodes.select("rep", "set_key", "group")
+    nodes = F.broadcast(nodes) if 3 * nodes.count() <= BROADCAST_IDS else nodes
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for b in batches:
-            keep, keys = [], []
-            for text, key in zip(b.column("text").to_pylist(), b.column("set_key").to_pylist()):
+            sets, keys = [], []
+            for text in b.column("text").to_pylist():
                 distinct = np.unique(shingle_hashes(text, shingle))
-                keep.append(np.uint64(xxh64_intdigest(distinct.tobytes(), 1)).astype(np.int64) == key)
+                sets.append(xxh64_intdigest(distinct.tobytes(), 1))
                 last = np.isin(distinct, frequent, assume_unique=True)
                 keys.append(np.concatenate([distinct[~last], distinct[last]])[: prefix_sizes(np.array([len(distinct)]), similarity)[0]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("group"), pa.array(keys, pa.list_(pa.int64()))], ["rep", "group", "keys"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["rep", "set_key", "keys"])
+
+    return texts.mapInArrow(lean(run), "rep long, set_key long, keys array<long>").join(nodes, ["rep", "set_key"]).select("rep", "group", "keys")
+
+
+def sketch(distinct: np.ndarray) -> np.ndarray:
+    """SKETCH bits, each the parity of the elements that fall on it: two sets differ in at least as many elements as their sketches in bits."""
+    return np.packbits(np.bincount(distinct.astype(np.uint32) % SKETCH, minlength=SKETCH) & 1)
+
+
+def sketches(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(rep, n, bits) for ids(rep, set_key): the size and sketch of shingle_sets' sets."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.frombuffer(x, np.uint32) for x in b.column("set").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], ["rep", "n", "bits"])
+
+    return hashed_sets(ids, docs, id_col, text_col, shingle).mapInArrow(lean(run), "rep long, n long, bits binary").groupBy("rep").agg(F.min_by("n", "bits").alias("n"), F.min("bits").alias("bits"))
+
 
-    return texts.mapInArrow(lean(run), "rep long, group long, keys array<long>")
+def may_be_similar(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs(rep, rep2) that the sketches marked(rep, n, bits) don't rule out."""
+
+    def run(batches):
+        for b in batches:
+            p, q = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("bits", "bits2"))
+            n = b.column("n").to_numpy() + b.column("n2").to_numpy()
+            near = np.bitwise_count(p ^ q).sum(axis=1) <= (1 - similarity) / (1 + similarity) * n + 1e-6
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("rep2")], ["rep", "rep2"]).filter(pa.array(near))
+
+    return pairs.join(marked, "rep").join(marked.toDF("rep2", "n2", "bits2"), "rep2").mapInArrow(lean(run), "rep long, rep2 long")
 
 
 def band_cells(keys: DataFrame) -> DataFrame:
@@ -262,12 +300,13 @@ def prefix_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 
     Of keys up to SHARD nodes the pairs are formed and their shared prefix elements counted. What
     two prefixes don't show can add one fewer than ceil(similarity * larger size), so pairs that
-    share too few can't be similar; the others are verified. Keys of more nodes go through cells.
+    share too few can't be similar, nor can those whose sketches differ in too many bits; the others are verified. Keys of more nodes go through cells.
     """
     args = (docs, id_col, text_col, shingle, similarity)
-    keys = checkpoint(prefix_keys(nodes, *args)).select("rep", "group", F.explode("keys").alias("key"))
-    mixed = keys.groupBy("key").agg(F.min("group").alias("least"), F.max("group").alias("most"), F.count("*").alias("n")).where("least < most").select("key", "n")
-    rows = checkpoint(keys.join(mixed, "key").select("key", "rep", "group", "n"))
+    keys = prefix_keys(nodes, *args).select("rep", "group", F.explode("keys").alias("key"))
+    own = Window.partitionBy("key")
+    mixed = keys.withColumns({"least": F.min("group").over(own), "most": F.max("group").over(own), "n": F.count("*").over(own)}).where("least < most")
+    rows = checkpoint(mixed.select("key", "rep", "group", "n"))
     x = rows.where(F.col("n") <= SHARD).join(nodes.select("rep", "size"), "rep").select("key", "rep", "group", "size")
     y = x.toDF("key", "rep2", "group2", "size2")
     met = x.join(y, "key").where(f"rep < rep2 and group <> group2 and least(size, size2) >= {similarity!r} * greatest(size, size2) - 1e-6")
@@ -276,8 +315,14 @@ def prefix_links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     links = near_links(nodes, element_cells(rows.where(F.col("n") > SHARD).select("key", "rep", "group")), *args)
     if pairs.isEmpty():
         return links
-    ends = pairs.select("rep").unionByName(pairs.select(F.col("rep2").alias("rep"))).distinct()
-    sets = checkpoint(shingle_sets(nodes.select("rep", "set_key").join(ends, "rep", "left_semi"), *args[:-1]))
+
+    def ends(pairs):
+        return nodes.select("rep", "set_key").join(pairs.select("rep").unionByName(pairs.select(F.col("rep2").alias("rep"))).distinct(), "rep", "left_semi")
+
+    pairs = checkpoint(may_be_similar(pairs, checkpoint(sketches(ends(pairs), *args[:-1])), similarity))
+    if pairs.isEmpty():
+        return links
+    sets = checkpoint(shingle_sets(ends(pairs), *args[:-1]))
 
     def run(batches):
         for b in batches:

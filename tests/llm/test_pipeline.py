@@ -4,6 +4,7 @@ import hashlib
 import re
 import struct
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -103,3 +104,29 @@ def test_near_dedup_searches_fingerprints_first(spark, monkeypatch):
     monkeypatch.setattr(simhash, "near_links", lambda nodes, *a: asked.append(nodes.count()) or search(nodes, *a))
     groups = {r["id"]: r["group_id"] for r in near_dedup.near_groups(docs).collect()}
     assert asked == [4] and groups == {0: 0, 1: 0, 2: 0, 9: 9}
+
+
+def test_near_dedup_shuffles_no_texts_and_sketches_rule_pairs_out(spark):
+    draw = np.random.default_rng(5)
+    for size, other in ((0, 3), (40, 60), (3000, 2900)):
+        p, q = (np.unique(draw.integers(0, 2**32, n, np.uint32)) for n in (size, other))
+        q = np.unique(np.concatenate([q, p[::2]]))
+        bits = int(np.bitwise_count(near_dedup.sketch(p) ^ near_dedup.sketch(q)).sum())
+        assert bits <= len(np.setxor1d(p, q)) and len(near_dedup.sketch(p)) * 8 == near_dedup.SKETCH
+    sets = [np.arange(1000, dtype=np.uint32), np.arange(900, dtype=np.uint32), np.arange(500, dtype=np.uint32)]
+    marked = spark.createDataFrame([(i, len(s), near_dedup.sketch(s).tobytes()) for i, s in enumerate(sets)], "rep long, n long, bits binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "rep long, rep2 long")
+    assert [tuple(r) for r in near_dedup.may_be_similar(pairs, marked, 0.8).collect()] == [(0, 1)]
+
+    def written():
+        sc = spark.sparkContext
+        store, lists = sc._jsc.sc().statusStore(), sc._jvm.java.util.ArrayList
+        stages = store.stageList(lists(), False, False, sc._gateway.new_array(sc._jvm.double, 0), lists())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    texts = [" ".join(map(str, draw.integers(10**9, 10**10, 300))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = near_dedup.checkpoint(near_dedup.marks(docs, "doc_id", "text", 5).select("set_key", F.col("id").alias("rep"), "size", F.col("id").alias("group")))
+    before = written()
+    assert near_dedup.prefix_links(nodes, docs, "doc_id", "text", 5, 0.8).count() == 0
+    assert written() - before < sum(map(len, texts))
