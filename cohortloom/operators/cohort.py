@@ -103,14 +103,27 @@ def consensus_classes(runs: DataFrame) -> DataFrame:
     return shares.join(size.select(F.col("class").alias("a"), F.col("size").alias("size_a")), "a").join(size.select(F.col("class").alias("b"), F.col("size").alias("size_b")), "b").select("a", "b", "share", "size_a", "size_b")
 
 
-def consensus_matrix(runs: DataFrame) -> DataFrame:
+#: Samples of a class that are expanded together, about.
+BLOCK = 8_192
+
+
+def consensus_matrix(runs: DataFrame, digits: int | None = None) -> DataFrame:
     """(i, j, share) for i < j: in which share of all runs plus one two samples have one label, as the base run counts once more.
 
-    Classes of equal labels, expanded to their samples; pairs that never agree are absent (share 0).
+    Classes of equal labels, expanded to their samples; pairs that never agree are absent (share 0). Shares are rounded
+    to `digits` once a pair of classes. Classes are packed into blocks, pairs of blocks are dealt over the tasks, and only
+    there become rows, so that what is shuffled is small beside the result and no task holds more than two blocks at once.
     """
     pairs, (_, members) = consensus_classes(runs), label_classes(runs)
-    one, other = members.select(F.col("class").alias("a"), F.col("sample_id").alias("x")), members.select(F.col("class").alias("b"), F.col("sample_id").alias("y"))
-    return pairs.join(one, "a").join(other, "b").where("a < b or x < y").select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "share")
+    if digits is not None:
+        pairs = pairs.withColumn("share", F.round("share", digits))
+    sizes = members.groupBy("class").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("n"))
+    blocks = members.join(sizes, "class").groupBy("class", F.expr("pmod(xxhash64(sample_id), n)").alias("k")).agg(F.collect_list("sample_id").alias("ids"))
+    met = pairs.select("a", "b", "share").join(blocks.toDF("a", "p", "xs"), "a").join(blocks.toDF("b", "q", "ys"), "b").where("a < b or p <= q")
+    spark = runs.sparkSession
+    dealt = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "a", "p", "b", "q")
+    each = dealt.withColumn("x", F.explode("xs")).drop("xs").withColumn("y", F.explode("ys")).where("a < b or p < q or x < y")
+    return each.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "share")
 
 
 def select_k(candidates: DataFrame, min_cophenetic: float = 0.85, min_size: int = 10) -> DataFrame:

@@ -140,7 +140,7 @@ def subtype_labels(spark, sf):
 
 
 def consensus_matrix(spark, sf):
-    return r6(cohort.consensus_matrix(views.runs(spark, sf)), "share")
+    return cohort.consensus_matrix(views.runs(spark, sf), 6)
 
 
 def silhouette(spark, sf):

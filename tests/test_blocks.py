@@ -298,3 +298,12 @@ def test_average_linkage_of_more_classes_than_one_table_holds(spark, monkeypatch
     got = factor.agreement(named, factor.class_shares(named, ["k"])).first()
     assert got["cophenetic"] == pytest.approx(np.corrcoef(d[upper], kernels.cophenetic(d)[upper])[0, 1])
     assert got["min_cluster"] == min(np.unique(labels[:, 0], return_counts=True)[1])
+
+
+def test_consensus_of_one_large_class_is_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(cohort, "BLOCK", 8)
+    runs = spark.range(60).crossJoin(spark.range(2).withColumnRenamed("id", "run")).selectExpr("run", "id as sample_id", "cast(id div 55 as long) as label")
+    got = cohort.consensus_matrix(runs, 2).selectExpr("*", "spark_partition_id() as part").collect()
+    want = {(i, j): 0.67 for i in range(60) for j in range(i + 1, 60) if i // 55 == j // 55}
+    assert len(got) == len(want) and {(r["i"], r["j"]): r["share"] for r in got} == want
+    assert len({r["part"] for r in got}) > 2
