@@ -2,7 +2,7 @@
 
 Tasks split their texts by the public pattern into chunks: the distinct words, and the texts as
 runs of word numbers. The words of all chunks are dealt by hash to buckets; a bucket's task replays
-the merges over the words it has not met, a batch of packets at once, so that a word of the corpus is encoded once
+the merges over the words it has not met, packet by packet and REPLAY_BYTES of them at once, so that a word of the corpus is encoded once
 (or again, if all the words a task has met outgrow its bound), and sends each chunk the ids of the words it asked for. In a replay an inverted index leads from a
 token pair (by the rank of the token it makes; all pairs that make it share a list) to the word
 positions that hold it, a heap hands out the ranks in order, and each merge updates only the
@@ -10,7 +10,7 @@ neighbours it touches. A word's positions of one rank are merged left to right;
 bear a lower rank, that goes first in its word, as in word-by-word encoding.
 
 Chunks are cut by size; buckets are as many as the session's tasks, so packets grow as the corpus
-does, and a task holds a batch of packets and a bounded store of words.
+does, and a task holds a packet's words and a bounded store of words.
 
 Edge cases: null text counts as empty and gives no ids; very long texts are whole words
 and positions like any other; repeated rows stay; extra columns are ignored.
@@ -37,6 +37,8 @@ CHUNK_ROWS = 1 << 16
 #: Bytes of text for each bucket of words at least; of what a task holds of words and their ids.
 LEAST_BUCKET = 1 << 20
 KNOWN_BYTES = 64 << 20
+#: Bytes of words that are replayed together; a longer word is replayed alone.
+REPLAY_BYTES = 1 << 19
 MAX_VOCAB_BYTES = 64 << 20
 #: For texts of these characters only, the standard library's classes agree with the Unicode properties of the pattern.
 PLAIN = re.compile("[\t\n\x20-\x7eÀ-ÖØ-öø-ɏ]*")
@@ -51,24 +53,41 @@ FEW = 128
 
 
 class Pieces(dict):
-    """Numbers the pieces of texts and, once for each, the words that a piece falls into."""
+    """Word numbers of texts in pieces: the words themselves (each splits into itself alone), and ~k for a piece that is the kth run of word numbers."""
 
     def __init__(self, split):
-        self.split, self.words, self.lens = split, {}, []
-        self.flat = array("i")
+        self.split, self.runs = split, {}
+        self.flat, self.start, self.lens = array("i"), array("q"), array("i")
 
     def __missing__(self, piece: str) -> int:
+        if (number := self.runs.get(piece)) is not None:
+            return number
         got = self.split(piece)
-        self.flat.extend([self.words.setdefault(w, len(self.words)) for w in got])
+        if got == [piece]:
+            number = self[piece] = len(self)
+            return number
+        number = self.runs[piece] = ~len(self.lens)
+        self.start.append(len(self.flat))
         self.lens.append(len(got))
-        number = self[piece] = len(self)
+        self.flat.extend(self.whole(got).tolist())
         return number
 
-    def numbers(self, pieces: np.ndarray) -> np.ndarray:
+    def whole(self, words: list[str]) -> np.ndarray:
+        """Numbers of words."""
+        return np.fromiter((self.setdefault(w, len(self)) for w in words), np.int32, len(words))
+
+    def numbers(self, cut: list[str]) -> np.ndarray:
         """Word numbers of pieces on end."""
-        lens = np.array(self.lens, np.int64)
-        starts = np.cumsum(lens) - lens
-        return np.frombuffer(self.flat, np.int32)[spread(starts[pieces], lens[pieces])] if len(self.flat) else np.empty(0, np.int32)
+        at = np.fromiter(map(self.__getitem__, cut), np.int32, len(cut))
+        if not (at < 0).any():
+            return at
+        runs = ~at[at < 0]
+        lens = np.ones(len(at), np.int64)
+        lens[at < 0] = np.frombuffer(self.lens, np.int32)[runs]
+        out = np.repeat(at, lens)
+        if len(self.flat):
+            out[out < 0] = np.frombuffer(self.flat, np.int32)[spread(np.frombuffer(self.start, np.int64)[runs], lens[at < 0])]
+        return out
 
 
 class MergeReplay:
@@ -111,7 +130,9 @@ class MergeReplay:
         whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)
         lens = np.array([len(w) for w in words], np.int64)
         rest = np.flatnonzero((whole < 0) & (lens > 0))
-        flat, counts = self._replay([words[i] for i in rest], lens[rest])
+        # words don't bear on each other, so few bytes at a time hold the positions' lists down
+        some = np.split(rest, np.flatnonzero(np.diff(np.cumsum(lens[rest]) // REPLAY_BYTES)) + 1)
+        flat, counts = (np.concatenate(x) for x in zip(*(self._replay([words[i] for i in k], lens[k]) for k in some)))
         n_ids = np.where(whole >= 0, 1, 0)
         n_ids[rest] = counts
         start = np.cumsum(n_ids) - n_ids
@@ -302,20 +323,21 @@ def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> D
         schema = None
 
         def fresh():
-            # whole texts that can't be cut are pieces too, of which each is met once
-            return [], [], [], Pieces(lambda t: (PLAIN_PATTERN.findall if plain and PLAIN.fullmatch(t) else full.findall)(t)), 0
+            return [], [], Pieces(PLAIN_PATTERN.findall), 0
 
-        ids, n_pieces, seqs, pieces, held = fresh()
+        ids, seqs, pieces, held = fresh()
 
         def chunk():
-            words = [w.encode() for w in pieces.words]
+            words = [w.encode() for w in pieces]
+            pieces.clear(), pieces.runs.clear()
             hashes = word_hashes(words)
             order = np.lexsort((np.arange(len(words)), hashes))
             rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words), dtype=np.int32)
-            seq = np.concatenate(seqs)
-            ends = np.concatenate([[0], np.cumsum(np.append(np.array(pieces.lens, np.int64), 0)[seq])])[np.cumsum([0, *n_pieces])]
-            one = {"chunk": part << 32 | k, "ids": ids, "lens": np.diff(ends).tolist(), "seq": pack(rank[pieces.numbers(seq)]), "words": pack_words([words[i] for i in order.tolist()])}
+            lens = [len(x) for x in seqs]
+            seq = rank[np.concatenate(seqs)]
+            seqs.clear()
+            one = {"chunk": part << 32 | k, "ids": ids, "lens": lens, "seq": pack(seq), "words": pack_words([words[i] for i in order.tolist()])}
             return pa.RecordBatch.from_pylist([one], schema)
 
         for b in batches:
@@ -323,13 +345,16 @@ def split_chunks(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> D
                 schema = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(b.schema.field("id").type)), ("lens", pa.list_(pa.int64())), ("seq", pa.binary()), ("words", pa.binary())])
             for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 text = text or ""
-                cut = text.replace(" ", "\0 ").split("\0") if plain and PLAIN.fullmatch(text) and not BLANK_WITHIN.search(text) else [text]
-                ids.append(i), n_pieces.append(len(cut))
-                seqs.append(np.fromiter(map(pieces.__getitem__, cut), np.int32, len(cut)))
+                easy = plain and PLAIN.fullmatch(text)
+                ids.append(i)
+                if easy and not BLANK_WITHIN.search(text):
+                    seqs.append(pieces.numbers(text.replace(" ", "\0 ").split("\0")))
+                else:
+                    seqs.append(pieces.whole((PLAIN_PATTERN if easy else full).findall(text)))
                 held += len(text)
                 if held >= CHUNK_BYTES or len(ids) >= CHUNK_ROWS:
                     yield chunk()
-                    (ids, n_pieces, seqs, pieces, held), k = fresh(), k + 1
+                    (ids, seqs, pieces, held), k = fresh(), k + 1
         if ids:
             yield chunk()
 
@@ -345,24 +370,28 @@ class Known:
 
     def forget(self):
         self.numbers: dict[bytes, int] = {}
-        self.flat, self.start, self.size, self.held = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), 0
+        self.flat, self.start, self.size, self.held = array("I"), array("q"), array("I"), 0
 
-    def learn(self, asked: list[list[bytes]]):
+    def learn(self, words: list[bytes]):
         if self.held > KNOWN_BYTES:
             self.forget()
-        new = {w: None for words in asked for w in words if w not in self.numbers}
+        new = list({w: None for w in words if w not in self.numbers})
         if new:
-            flat, n_ids = self.replay.encode(list(new))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n_ids) - n_ids])
-            self.flat, self.size = np.concatenate([self.flat, flat.astype(np.uint32)]), np.concatenate([self.size, n_ids])
-            self.held += sum(len(w) + 100 for w in new) + flat.nbytes
+            flat, n_ids = self.replay.encode(new)
+            self.start.frombytes((len(self.flat) + np.cumsum(n_ids) - n_ids).tobytes())
+            self.flat.frombytes(flat.astype(np.uint32).tobytes())
+            self.size.frombytes(n_ids.astype(np.uint32).tobytes())
+            self.held += sum(len(w) + 100 for w in new) + 8 * len(flat)
             for w in new:
                 self.numbers[w] = len(self.numbers)
 
     def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(how many ids each word has, the ids in turn)."""
+        if not words:
+            return np.empty(0, np.uint32), np.empty(0, np.uint32)
         at = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        return self.size[at].astype(np.uint32), self.flat[spread(self.start[at], self.size[at])]
+        size = np.frombuffer(self.size, np.uint32)[at]
+        return size, np.frombuffer(self.flat, np.uint32)[spread(np.frombuffer(self.start, np.int64)[at], size.astype(np.int64))]
 
 
 def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -393,10 +422,13 @@ def encode_texts(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "
     def encode(batches):
         known = Known(replay_of(vocab.value))
         for b in batches:
-            asked = [unpack_words(x) for x in b.column("words").to_pylist()]
-            known.learn(asked)
-            answers = [known.ids(words) for words in asked]
-            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("chunk"), pa.array([pack(k) for k, _ in answers], pa.binary()), pa.array([pack(ids) for _, ids in answers], pa.binary())], ["bucket", "chunk", "n_ids", "word_ids"])
+            n_ids, word_ids = [], []
+            for x in b.column("words").to_pylist():
+                words = unpack_words(x)
+                known.learn(words)
+                size, ids = known.ids(words)
+                n_ids.append(pack(size)), word_ids.append(pack(ids))
+            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("chunk"), pa.array(n_ids, pa.binary()), pa.array(word_ids, pa.binary())], ["bucket", "chunk", "n_ids", "word_ids"])
 
     answers = chunks.mapInArrow(lean(ask), "bucket long, chunk long, words binary").repartition(spread_over, "bucket").mapInArrow(lean(encode), "bucket long, chunk long, n_ids binary, word_ids binary")
 

@@ -172,8 +172,12 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, sh
     return hashed_sets(ids, docs, id_col, text_col, shingle).groupBy("rep").agg(F.min("set").alias("set"))
 
 
-def hashed_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """shingle_sets with a row for each repeated one."""
+def set_columns(sets: list[np.ndarray]) -> dict[str, pa.Array]:
+    return {"set": pa.array([x.tobytes() for x in sets], pa.binary())}
+
+
+def hashed_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, columns=set_columns, schema: str = "set binary") -> DataFrame:
+    """shingle_sets with a row for each repeated one, or other columns of the sets, made in the same worker: a second one would stay beside it for all later stages."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("binary").alias("text")).join(ids, "rep")
 
@@ -185,10 +189,10 @@ def hashed_sets(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
             for text, key in zip(b.column("text").to_pylist(), b.column("set_key").to_pylist()):
                 distinct = np.unique(shingle_hashes(text, shingle))
                 keep.append(np.uint64(xxh64_intdigest(distinct.tobytes(), 1)).astype(np.int64) == key)
-                sets.append(np.unique(distinct.astype(np.uint32)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sets, pa.binary())], ["rep", "set"]).filter(pa.array(keep, pa.bool_()))
+                sets.append(np.unique(distinct.astype(np.uint32)))
+            yield pa.RecordBatch.from_pydict({"rep": b.column("rep")} | columns(sets)).filter(pa.array(keep, pa.bool_()))
 
-    return texts.mapInArrow(lean(run), "rep long, set binary")
+    return texts.mapInArrow(lean(run), f"rep long, {schema}")
 
 
 def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> np.ndarray:
@@ -234,12 +238,10 @@ def sketch(distinct: np.ndarray) -> np.ndarray:
 def sketches(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(rep, n, bits) for ids(rep, set_key): the size and sketch of shingle_sets' sets."""
 
-    def run(batches):
-        for b in batches:
-            sets = [np.frombuffer(x, np.uint32) for x in b.column("set").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())], ["rep", "n", "bits"])
+    def columns(sets):
+        return {"n": pa.array([len(x) for x in sets], pa.int64()), "bits": pa.array([sketch(x).tobytes() for x in sets], pa.binary())}
 
-    return hashed_sets(ids, docs, id_col, text_col, shingle).mapInArrow(lean(run), "rep long, n long, bits binary").groupBy("rep").agg(F.min_by("n", "bits").alias("n"), F.min("bits").alias("bits"))
+    return hashed_sets(ids, docs, id_col, text_col, shingle, columns, "n long, bits binary").groupBy("rep").agg(F.min_by("n", "bits").alias("n"), F.min("bits").alias("bits"))
 
 
 def may_be_similar(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:

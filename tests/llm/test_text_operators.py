@@ -714,3 +714,31 @@ def test_no_byte_of_a_key_or_login_survives(spark):
     ]
     got = secrets.redact(frame(spark, [(i, t, "", "", 0) for i, (t, _) in enumerate(texts)])).collect()
     assert [r["text"] for r in sorted(got, key=lambda r: int(r["doc_id"]))] == [t for _, t in texts]
+
+
+def test_replay_holds_few_words_at_once(monkeypatch):
+    replay = bpe.replay_of(bpe._vocab(bpe.default_vocab()[0]))
+    words = [b"zq%dxv%dkj" % (k * 7919, k) for k in range(400)] + [b"qz" * 600, b""]
+    want, sizes = replay.encode(words)
+    held, whole = [], bpe.MergeReplay._replay
+    monkeypatch.setattr(bpe, "REPLAY_BYTES", 256)
+    monkeypatch.setattr(bpe.MergeReplay, "_replay", lambda self, some, lens: held.append(sum(map(len, some))) or whole(self, some, lens))
+    got, n = replay.encode(words)
+    assert got.tolist() == want.tolist() and n.tolist() == sizes.tolist()
+    assert len(held) > 10 and sum(x > 512 for x in held) == 1  # the long word alone
+
+
+def test_words_of_pieces():
+    pieces = bpe.Pieces(bpe.PLAIN_PATTERN.findall)
+    texts = ["foo, bar foo", "bar,foo", "", "a\n\nb it's", "foo, bar"]
+    seqs = [pieces.numbers(t.replace(" ", "\0 ").split("\0")) for t in texts] + [pieces.whole(["foo", "new"])]
+    words = list(pieces)
+    assert [[words[k] for k in s] for s in seqs] == [bpe.PLAIN_PATTERN.findall(t) for t in texts] + [["foo", "new"]]
+
+
+def test_sketches_take_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    nodes = near_dedup.marks(docs, "doc_id", "text", 5).selectExpr("id as rep", "set_key").collect()
+    marked = near_dedup.sketches(spark.createDataFrame(nodes), docs, "doc_id", "text", 5)
+    assert [(r["rep"], r["n"], len(r["bits"])) for r in marked.collect()] == [(1, 3, near_dedup.SKETCH // 8)]
+    assert marked._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
