@@ -742,3 +742,10 @@ def test_sketches_take_one_worker_a_task(spark):
     marked = near_dedup.sketches(spark.createDataFrame(nodes), docs, "doc_id", "text", 5)
     assert [(r["rep"], r["n"], len(r["bits"])) for r in marked.collect()] == [(1, 3, near_dedup.SKETCH // 8)]
     assert marked._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_redaction_takes_one_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "a token=abcdef123 b"), (2, None), (3, "plain")], "doc_id long, text string")
+    got = secrets.redact(docs)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "a [secret] b", 2: None, 3: "plain"}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
