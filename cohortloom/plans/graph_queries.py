@@ -17,21 +17,26 @@ def knn_weights(spark, sf):
     return r6(pairs.fuzzy_weights(pairs.nearest(matrix.arrays(views.emb_long(spark, sf)), 15), 15), "w")
 
 
-def _networks(spark, sf, features: int = 64):
+def _networks(spark, sf):
     """Embeddings as the samples of three networks of unequal size: a twentieth, two twentieths and the rest."""
     part = F.col("sample_id") % 20
     grp = F.when(part == 0, "small").when(part <= 2, "middle").otherwise("large")
-    return views.emb_long(spark, sf).where(F.col("feature_id") < features).withColumn("grp", grp)
+    return views.emb_long(spark, sf).withColumn("grp", grp)
+
+
+def _sixteen(spark, sf):
+    """The first sixteen features of the networks, of which the covariances are listed."""
+    return _networks(spark, sf).where(F.col("feature_id") < 16)
 
 
 def fold_covariances(spark, sf):
     """Covariances of all but a fold, for every network and fold, by the deviations of all its samples."""
-    return r6(lasso.folded(_networks(spark, sf, 16), ["grp"]).covariances("train"), "cov")
+    return r6(lasso.folded(_sixteen(spark, sf), ["grp"]).covariances("train"), "cov")
 
 
 def subsample_covariances(spark, sf):
     """Covariances of every network's twenty subsamples of 80 %, by their own deviations."""
-    return r6(lasso.subsampled(_networks(spark, sf, 16), ["grp"]).covariances("subsample"), "cov")
+    return r6(lasso.subsampled(_sixteen(spark, sf), ["grp"]).covariances("subsample"), "cov")
 
 
 def glasso_networks(spark, sf):

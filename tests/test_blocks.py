@@ -287,6 +287,16 @@ def test_networks_without_edges_beside_others(spark):
     assert sorted(r["grp"] for r in lasso.fixed(m, ["grp"], 0.5).collect()) == ["g1", "g3", "g5", "g7", "g9"]
 
 
+def test_networks_have_all_features_of_their_vectors(spark, tmp_path):
+    from cohortloom.plans import graph_queries
+
+    x = np.random.default_rng(6).normal(size=(120, 67))
+    x[:, 66] = x[:, 65] + 0.1 * x[:, 66]
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = graph_queries.glasso_networks(spark, str(tmp_path)).where("i = 65 and j = 66").collect()
+    assert [r["grp"] for r in got] == ["large"]
+
+
 def test_average_linkage_of_more_classes_than_one_table_holds(spark, monkeypatch):
     labels = np.random.default_rng(11).integers(0, 3, (30, 400))
     labels = np.concatenate([labels, labels[:7], labels[:3]])
