@@ -640,6 +640,17 @@ def test_media_reads_all_kinds_of_png():
     assert np.allclose(media.decode_image(png(4, 5, 8, 2, lines)), rgb.mean(axis=2))
 
 
+def test_media_sends_one_block_of_queries_at_a_time(spark):
+    rng = np.random.default_rng(8)
+    drawn = vectors(spark, [(i, [float(x) for x in rng.normal(0, 0.4, 64)]) for i in range(6)] + [(9, [0.5] * 64), (8, [0.5] * 64)])
+    asked, known = (media.described(media.pictures(drawn, change=c)).cache() for c in (True, False))
+    found = media.find_copies(asked, known, 5000)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()  # what is left holds no block's tables
+    assert {r["query"] for r in found.where("query = image").collect()} >= set(range(6))
+    classes = known.groupBy("digest").agg(F.min("image").alias("class_id"))
+    assert [sorted(r["image"] for r in media.firsts(known, classes, most).collect()) for most in (100, 1, 0)] == [[0, 1, 2, 3, 4, 5, 8]] * 3
+
+
 def test_media_statuses_ties_and_one_id_with_two_images(spark):
     rng = np.random.default_rng(3)
     a, b = (media.drawn([float(x) for x in rng.normal(0, 0.4, 64)]) for _ in range(2))
