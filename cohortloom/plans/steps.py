@@ -73,7 +73,7 @@ def subtypes(m: DataFrame, master: DataFrame, ks: tuple[int, ...] = (2, 3, 4, 5)
     blocks, hs, _ = factor.factorised(x, (k,) if k else ks, runs, steps)
     arrays = factor.label_arrays(blocks, hs, m.schema["sample_id"].dataType.simpleString()).persist()  # one row a sample and k; read by both results
     classes = factor.classes(arrays, ["k"])[0].persist()
-    fits = factor.agreement(classes, factor.class_shares(classes, ["k"]))
+    fits = factor.agreement(classes, factor.class_shares(factor.few_classes(classes), ["k"]))
     best = k or cohort.select_k(fits).first()["k"]
     named = arrays.where(F.col("k") == best).select(F.col("sample_id").alias("projid"), F.concat(F.lit("ST"), F.col("labels")[0] + 1).alias("subtype"))
     return {"status": "PASS", "subtypes": named, "fits": fits}

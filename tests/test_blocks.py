@@ -310,6 +310,17 @@ def test_average_linkage_of_more_classes_than_one_table_holds(spark, monkeypatch
     assert got["min_cluster"] == min(np.unique(labels[:, 0], return_counts=True)[1])
 
 
+def test_pairs_of_many_classes_are_not_listed(spark, sf, monkeypatch):
+    from cohortloom.plans import kernel_queries
+
+    monkeypatch.setattr(factor, "MOST_CLASSES", 6)
+    asked, shares = [], factor.class_shares
+    monkeypatch.setattr(factor, "class_shares", lambda named, by: asked.append(named) or shares(named, by))
+    got = kernel_queries.cophenetic(spark, sf, ks=(2, 3), runs=5).collect()
+    assert sorted(r["k"] for r in got) == [2, 3]
+    assert all(r["count"] <= 6 for r in asked[0].groupBy("k").count().collect())
+
+
 def test_consensus_of_one_large_class_is_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(cohort, "BLOCK", 8)
     runs = spark.range(60).crossJoin(spark.range(2).withColumnRenamed("id", "run")).selectExpr("run", "id as sample_id", "cast(id div 55 as long) as label")
