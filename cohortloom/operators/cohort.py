@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import IntegralType, NumericType
 
 from . import factor, stats
 
@@ -107,6 +109,23 @@ def consensus_classes(runs: DataFrame) -> DataFrame:
 BLOCK = 8_192
 
 
+#: Rows of a batch of expanded pairs, about.
+PAIRS = 1 << 16
+
+
+def expanded(batches):
+    """(i, j, share), i < j, of pairs of blocks of whole-number ids; two blocks that are the same one give each pair once."""
+    for t in batches:
+        for xs, ys, share, same in zip(t.column("xs"), t.column("ys"), t.column("share").to_pylist(), t.column("same").to_pylist()):
+            x, y = xs.values.to_numpy(), ys.values.to_numpy()
+            step = max(1, PAIRS // len(y))
+            for k in range(0, len(x), step):
+                i, j = np.repeat(x[k : k + step], len(y)), np.tile(y, len(x[k : k + step]))
+                if same:
+                    i, j = i[i < j], j[i < j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(np.full(len(i), share))], ["i", "j", "share"])
+
+
 def consensus_matrix(runs: DataFrame, digits: int | None = None) -> DataFrame:
     """(i, j, share) for i < j: in which share of all runs plus one two samples have one label, as the base run counts once more.
 
@@ -122,6 +141,9 @@ def consensus_matrix(runs: DataFrame, digits: int | None = None) -> DataFrame:
     met = pairs.select("a", "b", "share").join(blocks.toDF("a", "p", "xs"), "a").join(blocks.toDF("b", "q", "ys"), "b").where("a < b or p <= q")
     spark = runs.sparkSession
     dealt = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "a", "p", "b", "q")
+    if isinstance(runs.schema["sample_id"].dataType, IntegralType):
+        kind = runs.schema["sample_id"].dataType.simpleString()
+        return dealt.select("xs", "ys", "share", F.expr("a = b and p = q").alias("same")).mapInArrow(expanded, f"i {kind}, j {kind}, share double")
     each = dealt.withColumn("x", F.explode("xs")).drop("xs").withColumn("y", F.explode("ys")).where("a < b or p < q or x < y")
     return each.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "share")
 

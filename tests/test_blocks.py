@@ -328,3 +328,11 @@ def test_consensus_of_one_large_class_is_dealt_over_tasks(spark, monkeypatch):
     want = {(i, j): 0.67 for i in range(60) for j in range(i + 1, 60) if i // 55 == j // 55}
     assert len(got) == len(want) and {(r["i"], r["j"]): r["share"] for r in got} == want
     assert len({r["part"] for r in got}) > 2
+
+
+def test_consensus_in_arrays_is_that_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(cohort, "BLOCK", 8)
+    runs = spark.range(40).crossJoin(spark.range(3).withColumnRenamed("id", "run")).selectExpr("run", "id as sample_id", "cast(id * (run + 2) div 5 % 3 as long) as label")
+    rows = cohort.consensus_matrix(runs.withColumn("sample_id", F.format_string("%03d", "sample_id")), 6).selectExpr("int(i)", "int(j)", "share")
+    found = cohort.consensus_matrix(runs, 6)
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.collect()))
